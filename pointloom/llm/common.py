@@ -66,6 +66,19 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def runs_of(texts: list[str], characters: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts in order, in runs of about so many characters."""
+    run, held = [], 0
+    for text in texts:
+        run.append(text)
+        held += len(text)
+        if held >= characters:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
+
+
 class BoundedCache(dict):
     """A dictionary of computed values that starts afresh beyond ``limit`` entries."""
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+from .chat import OP7_SQL, op7_typed_parts
 from .exact_dedup import OP2_SQL, op2_heavy_hitter_split
 from .line_dedup import OP8_SQL, op8_line_hashing
 from .packing import op9_power_of_two
+from .piece_codec import op6_offset_preserving
 from .quality_rules import op1_compression_bands
 from .simhash_dedup import op5_ball_hashing
+from .unigram_counts import op3_count_only_viterbi
 
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_heavy_hitter_split": op2_heavy_hitter_split,
+    "op3_count_only_viterbi": op3_count_only_viterbi,
     "op5_ball_hashing": op5_ball_hashing,
+    "op6_offset_preserving": op6_offset_preserving,
+    "op7_typed_parts": op7_typed_parts,
     "op8_line_hashing": op8_line_hashing,
     "op9_power_of_two": op9_power_of_two,
 }
 
-SQL = {"op2_heavy_hitter_split": OP2_SQL, "op8_line_hashing": OP8_SQL}
+SQL = {"op2_heavy_hitter_split": OP2_SQL, "op7_typed_parts": OP7_SQL, "op8_line_hashing": OP8_SQL}
