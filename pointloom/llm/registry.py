@@ -9,17 +9,21 @@ from .packing import op9_power_of_two
 from .piece_codec import op6_offset_preserving
 from .quality_rules import op1_compression_bands
 from .simhash_dedup import op5_ball_hashing
+from .subword_classifier import op10_subword_embeddings
+from .toxicity import op4_weak_supervision
 from .unigram_counts import op3_count_only_viterbi
 
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
     "op2_heavy_hitter_split": op2_heavy_hitter_split,
     "op3_count_only_viterbi": op3_count_only_viterbi,
+    "op4_weak_supervision": op4_weak_supervision,
     "op5_ball_hashing": op5_ball_hashing,
     "op6_offset_preserving": op6_offset_preserving,
     "op7_typed_parts": op7_typed_parts,
     "op8_line_hashing": op8_line_hashing,
     "op9_power_of_two": op9_power_of_two,
+    "op10_subword_embeddings": op10_subword_embeddings,
 }
 
 SQL = {"op2_heavy_hitter_split": OP2_SQL, "op7_typed_parts": OP7_SQL, "op8_line_hashing": OP8_SQL}
