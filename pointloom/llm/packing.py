@@ -14,11 +14,13 @@ are not read.
 
 from __future__ import annotations
 
-import re
+import json
+import struct
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -29,29 +31,56 @@ MAX_LEN = 1024
 END_ID = 0
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabularies write for bytes: printable Latin-1 stands for itself, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
 class CachedTokenizer:
     """Ids of a byte-level BPE tokenizer file, remembered for each word.
 
     The file's pattern never lets a token run from a visible character into
     white space, so a text cut before single spaces and line feeds that
     follow visible characters encodes piece by piece. Texts with other white
-    space, or with runs of it, are encoded whole.
+    space, or with runs of it, are encoded whole. Where the file's ids follow
+    the order of its merges, words go through the rank encoder, which gives
+    the same ids several times faster; else through the file's own library.
     """
 
-    _whole = re.compile(r"[^\S \n]|  |\n |\n\n|[ \n]\Z|\A[ \n]|[\x1c-\x1f]")
+    _other = ("  ", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranked = self._ranked(path)
         self.words = BoundedCache(lambda w: self.whole(w if w[:1] == "\n" else " " + w))
 
+    @staticmethod
+    def _ranked(path: str) -> tiktoken.Encoding | None:
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        letters, vocab = _byte_letters(), told["model"]["vocab"]
+        special = {t["content"] for t in told["added_tokens"]}
+        ranks = {bytes(letters[c] for c in w): i for w, i in vocab.items() if w not in special}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
+        in_order = [vocab["".join(m)] for m in merges] == list(range(256, 256 + len(merges)))
+        plain = told["normalizer"] is None and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        if not (in_order and plain and len(ranks) == 256 + len(merges)):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if self.ranked:
+            ids = self.ranked.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text or self._whole.search(text) or any(s in text for s in self.special):
+        if not text or not self.ranked or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, self._other)):
             return self.whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
