@@ -332,10 +332,10 @@ def coverage(spark, sf):
     return labels.coverage(cloud, found.unionByName(cloud.where("x < 20").select("idx", F.lit(2).alias("label"))))
 
 
-@query("SELECT idx, label FROM lab WHERE x_lt UNION ALL SELECT idx, NULL FROM lab WHERE NOT x_lt", "pts", "lab AS (SELECT idx, x < 100 AS x_lt, cast(cast(floor(x / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label FROM pts)")
+@query("SELECT idx, label FROM lab WHERE x_lt UNION ALL SELECT idx, 0 FROM lab WHERE NOT x_lt", "pts", "lab AS (SELECT idx, x < 100 AS x_lt, cast(cast(floor(x / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label FROM pts)")
 def merge_labels(spark, sf):
     cloud = views.pts(spark, sf)
-    return labels.merge_labels(cloud.select("idx"), labelling.label_rows(cloud.where("x < 100"), by_place))
+    return labels.merge_labels(cloud.select("idx"), labelling.label_rows(cloud.where("x < 100"), by_place)).fillna(0, ["label"])
 
 
 @query("SELECT idx, cast(asprs_code AS SMALLINT) AS code FROM pts JOIN classes USING (model_id) WHERE model = 'rail'", "pts", "classes")
@@ -362,9 +362,9 @@ def _ab(spark, sf) -> tuple[DataFrame, DataFrame]:
     return cloud.select("idx", F.col("model_id").alias("label")), labelling.label_rows(cloud, by_place)
 
 
-@query("SELECT a AS label, count(*) AS n, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS share FROM ab GROUP BY ROLLUP (a)", "pts", AB)
+@query("SELECT coalesce(a, 0) AS label, count(*) AS n, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS share FROM ab GROUP BY ROLLUP (a)", "pts", AB)
 def agreement(spark, sf):
-    return labels.agreement(*_ab(spark, sf))
+    return labels.agreement(*_ab(spark, sf)).fillna(0, ["label"])
 
 
 @query("SELECT a, b, count(*) AS n FROM ab GROUP BY a, b", "pts", AB)
@@ -643,10 +643,10 @@ FOOT = "(1200.0::DOUBLE / 3937.0::DOUBLE)"
 GEO = f"geo AS (SELECT *, CASE file_id % 4 WHEN 0 THEN {FOOT} WHEN 3 THEN NULL ELSE 1.0 END::DOUBLE AS xy, CASE file_id % 4 WHEN 3 THEN NULL ELSE 1.0 END::DOUBLE AS z FROM files)"
 
 
-@query("SELECT file_id, xy AS xy_to_m, z AS z_to_m, CASE file_id % 4 WHEN 2 THEN true WHEN 3 THEN NULL ELSE false END AS angular FROM geo", "files", GEO)
+@query("SELECT file_id, xy AS xy_to_m, z AS z_to_m, file_id % 4 = 2 AS angular FROM geo", "files", GEO)
 def geokey_units(spark, sf):
     found = units.units_from_geokeys(views.files(spark, sf), _crs(spark))
-    return found.select("file_id", "geo.xy_to_m", "geo.z_to_m", "geo.angular")
+    return found.select("file_id", "geo.xy_to_m", "geo.z_to_m", F.coalesce("geo.angular", F.lit(False)).alias("angular"))
 
 
 RESOLVED = f"res AS (SELECT file_id, CASE WHEN file_id % 4 = 2 THEN 1.0 WHEN override = 'metre' THEN 1.0 WHEN override = 'us_foot' THEN {FOOT} WHEN override = 'foot' THEN 0.3048 ELSE coalesce(xy, 1.0) END::DOUBLE AS xy_to_m, CASE WHEN file_id % 4 = 2 THEN 1.0 WHEN override = 'metre' THEN 1.0 WHEN override = 'us_foot' THEN {FOOT} WHEN override = 'foot' THEN 0.3048 ELSE coalesce(z, 1.0) END::DOUBLE AS z_to_m, file_id % 4 = 2 AS angular FROM geo)"
@@ -665,7 +665,7 @@ def to_metres(spark, sf):
     return out.select("idx", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"), "raw_x")
 
 
-@query("SELECT s_suppkey AS file_id, CASE s_suppkey % 4 WHEN 0 THEN 0.3048 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 END::DOUBLE AS xy_to_m, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 END::DOUBLE AS z_to_m, CASE s_suppkey % 4 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true END AS angular FROM supplier")
+@query("SELECT s_suppkey AS file_id, CASE s_suppkey % 4 WHEN 0 THEN 0.3048 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 END::DOUBLE AS xy_to_m, CASE s_suppkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 END::DOUBLE AS z_to_m, s_suppkey % 4 = 2 AS angular FROM supplier")
 def wkt_units(spark, sf):
     """Compound feet over metres, plain metres with a metric projection, degrees, and a text cut short."""
     texts = (
@@ -679,7 +679,7 @@ def wkt_units(spark, sf):
     for k in (2, 1, 0):
         text = F.when(key == k, texts[k]).otherwise(text)
     found = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("file_id"), units.units_from_wkt(text).alias("u"))
-    return found.select("file_id", "u.xy_to_m", "u.z_to_m", "u.angular")
+    return found.select("file_id", "u.xy_to_m", "u.z_to_m", F.coalesce("u.angular", F.lit(False)).alias("angular"))
 
 
 @query("SELECT code, CASE WHEN code <= 22 THEN list_extract([" + ", ".join(f"'{n}'" for n in codes.ASPRS_NAMES) + "], code + 1) WHEN code <= 63 THEN 'Reserved' ELSE 'User definable' END AS name FROM (SELECT DISTINCT cast(idx % 256 AS INTEGER) AS code FROM pts)", "pts")
@@ -747,11 +747,11 @@ SETTINGS = ('{"2": 64, "5": 64}', "", '{"9": 1}', '{"1": 300}', '{"1": 2, "1": 3
 
 
 @query("""SELECT s_suppkey AS setting_id, c.model_id, CASE WHEN s_suppkey % 8 = 0 AND c.model_id IN (2, 5) THEN 64 ELSE asprs_code END AS code, NULL::VARCHAR AS error FROM supplier, (SELECT * FROM classes WHERE model = 'voxel') c WHERE s_suppkey % 8 < 2
-    UNION ALL SELECT s_suppkey, NULL, NULL, CASE s_suppkey % 8 WHEN 2 THEN 'unknown class id' WHEN 3 THEN 'codes must be whole numbers from 0 to 255' WHEN 4 THEN 'repeated class id' WHEN 5 THEN 'keys must be plain whole numbers' WHEN 6 THEN 'not a JSON object of codes' ELSE 'codes must be whole numbers from 0 to 255' END FROM supplier WHERE s_suppkey % 8 >= 2""", "classes")
+    UNION ALL SELECT s_suppkey, -1, -1, CASE s_suppkey % 8 WHEN 2 THEN 'unknown class id' WHEN 3 THEN 'codes must be whole numbers from 0 to 255' WHEN 4 THEN 'repeated class id' WHEN 5 THEN 'keys must be plain whole numbers' WHEN 6 THEN 'not a JSON object of codes' ELSE 'codes must be whole numbers from 0 to 255' END FROM supplier WHERE s_suppkey % 8 >= 2""", "classes")
 def merged_codes(spark, sf):
     text = F.get(F.array(*[F.lit(s) for s in SETTINGS]), F.expr("cast(s_suppkey % 8 as int)"))
     settings = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("setting_id"), text.alias("codes"))
-    return codes.parse_output_codes(settings, views.classes(spark, "voxel"))
+    return codes.parse_output_codes(settings, views.classes(spark, "voxel")).fillna(-1, ["model_id", "code"])
 
 
 @query("""SELECT '{' || string_agg('"' || model_id || '":' || asprs_code, ',' ORDER BY cast(model_id AS VARCHAR)) || '}' AS codes FROM classes WHERE model = 'rail'""", "classes")
