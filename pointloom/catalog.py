@@ -165,6 +165,18 @@ def largest_tiles(spark, sf):
     return tiling.largest_tiles(_counts(spark, sf), 5)
 
 
+@query("SELECT count(*) AS n_tiles, max(n_window) AS most, round(avg(n_window), 4) AS mean, sum(n_core)::BIGINT AS points FROM counts", "pts", TILES, PAIRS, COUNTS)
+def tiling_summary(spark, sf):
+    return tiling.tiling_summary(_counts(spark, sf))
+
+
+@query("SELECT DISTINCT idx FROM pts WHERE x < 60 OR x >= 40", "pts")
+def union_distinct(spark, sf):
+    """Two overlapping windows together, each point once."""
+    cloud = views.pts(spark, sf)
+    return cloud.where("x < 60").select("idx").unionByName(cloud.where("x >= 40").select("idx")).distinct()
+
+
 @query("SELECT tile_id, ix, iy, x0, y0, x1, y1 FROM tiles", "pts", TILES)
 def tile_grid(spark, sf):
     return _grid(views.pts(spark, sf)).tiles(spark)
@@ -796,6 +808,21 @@ def las_roundtrip(spark, sf):
     return back.select(F.col("source_idx").alias("idx"), F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("z", 2).alias("z"), "classification")
 
 
+@query("SELECT count(*) AS points, round(min(x), 2) AS min_x, round(max(x), 2) AS max_x, 0::BIGINT AS unreadable FROM pts", "pts")
+def las_headers(spark, sf):
+    """Counts and bounds from the headers of written files, points unread."""
+    path = scratch(spark, "las").removeprefix("file:")
+    las.write_classified(views.pts(spark, sf).select("idx", "x", "y", "z"), path, "las", parts=3, scale=0.01)
+    heads = las.scan_headers(spark, path)
+    return heads.agg(F.sum("declared_count").alias("points"), F.round(F.min("min_x"), 2).alias("min_x"), F.round(F.max("max_x"), 2).alias("max_x"), F.count("warning").alias("unreadable"))
+
+
+@query("SELECT path, CASE WHEN point_format IN (4, 5, 9, 10) THEN 'waveform packets' ELSE 'coordinates in degrees' END AS reason FROM files WHERE point_format IN (4, 5, 9, 10) OR geo_1024 = 2", "files")
+def refused_files(spark, sf):
+    found = views.files(spark, sf).select("path", F.col("point_format").isin(4, 5, 9, 10).alias("waveforms"), (F.col("geo_1024") == 2).alias("angular"))
+    return catalogue.refused(found)
+
+
 @query("SELECT count(*) AS n_in, count(*) AS n_out, true AS complete FROM pts", "pts")
 def verify_written(spark, sf):
     path = scratch(spark, "classified")

@@ -144,3 +144,12 @@ def curve_code(order: str, x: Column, y: Column, z: Column, depth: int = 16) ->
     if order == "hilbert":
         return hilbert_encode(x, y, z, depth)
     raise ValueError(f"unknown order {order!r}")
+
+
+def register(spark) -> None:
+    """SQL functions zorder_encode(x, y, z), gray_encode(v) and gray_decode(v)."""
+    bits = " | ".join(f"shiftleft(shiftright({c}, {i}) & 1L, {3 * i + s})" for i in range(16) for c, s in (("x", 2), ("y", 1), ("z", 0)))
+    spark.sql(f"create or replace temporary function zorder_encode(x bigint, y bigint, z bigint) returns bigint return {bits}")
+    spark.sql("create or replace temporary function gray_encode(v bigint) returns bigint return v ^ shiftrightunsigned(v, 1)")
+    back = " ^ ".join(["v", *[f"shiftrightunsigned(v, {k})" for k in range(1, 64)]])
+    spark.sql(f"create or replace temporary function gray_decode(v bigint) returns bigint return {back}")

@@ -200,3 +200,11 @@ def resolve_units(files: DataFrame, crs_units: DataFrame, wkt: str | None = "wkt
         *files.columns, pick("xy_to_m").alias("xy_to_m"), pick("z_to_m").alias("z_to_m"), angular.alias("angular"),
         F.when(angular | forced.isNull(), F.coalesce("_found.detected", F.lit(False))).otherwise(True).alias("detected"), conflict.alias("conflict"),
     )
+
+
+def register(spark) -> None:
+    """SQL functions unit_from_name(name) and unit_label(to_m)."""
+    foot = "(lower(name) like '%foot%' or lower(name) like '%feet%' or lower(name) in ('ft', 'ftus', 'us-ft', 'us_ft'))"
+    spark.sql(f"create or replace temporary function unit_from_name(name string) returns double return case when {foot} and (lower(name) like '%us%' or lower(name) like '%survey%') then {US_FOOT!r}D when {foot} then {FOOT}D when lower(name) like '%kilomet%' then 1000D when lower(name) like '%met%' then 1D end")
+    rules = " ".join(f"when abs(to_m - {f!r}D) < 1e-9D then '{n}'" for f, n, _ in LABELS)
+    spark.sql(f"create or replace temporary function unit_label(to_m double) returns string return case {rules} when to_m is not null then concat(to_m, ' m unit') end")

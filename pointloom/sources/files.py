@@ -67,9 +67,18 @@ def bounds_audit(points: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(true, "file_id").select("file_id", holds.alias("holds"))
 
 
+def _refusal() -> Column:
+    return F.when(F.coalesce("waveforms", F.lit(False)), "waveform packets").when(F.coalesce("angular", F.lit(False)), "coordinates in degrees")
+
+
+def refused(files: DataFrame) -> DataFrame:
+    """(path, reason) of files that cannot be labelled: waveform packets, or coordinates in degrees."""
+    return files.select("path", _refusal().alias("reason")).where("reason is not null")
+
+
 def refuse_waveforms(files: DataFrame) -> DataFrame:
-    """``files``; one with waveform packets, or in degrees, fails the job."""
-    bad = F.when(F.coalesce("waveforms", F.lit(False)), "waveform packets").when(F.coalesce("angular", F.lit(False)), "coordinates in degrees")
+    """``files``; one that ``refused`` would list fails the job."""
+    bad = _refusal()
     path = F.when(bad.isNull(), F.col("path")).otherwise(F.raise_error(F.concat(F.col("path"), F.lit(": "), bad)).cast("string"))
     return files.withColumn("path", path)
 

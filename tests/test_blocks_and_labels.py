@@ -157,6 +157,11 @@ def test_sql_functions(spark):
     codes.register(spark)
     row = spark.sql("select asprs_name(2) a, asprs_name(40) b, asprs_name(64) c, point_format_upgrade(3) d, scan_angle(15) e").first()
     assert tuple(row) == ("Ground", "Reserved", "User definable", 7, 2500)
+    curves.register(spark)
+    units.register(spark)
+    row = spark.sql("select zorder_encode(5, 3, 1) z, gray_decode(gray_encode(123456789)) g, unit_label(unit_from_name('US survey foot')) u, unit_label(1000D) k, unit_from_name('rod') r").first()
+    want = spark.range(1).select(curves.zorder_encode(F.lit(5), F.lit(3), F.lit(1))).first()[0]
+    assert tuple(row) == (want, 123456789, "US survey foot", "kilometre", None)
 
 
 def test_duplicates_share_label(spark):
