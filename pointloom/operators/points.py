@@ -108,8 +108,9 @@ VOXEL = ["vx", "vy", "vz"]
 def voxel_downsample(points: DataFrame, grid: float, origin=None) -> DataFrame:
     """The first point (smallest idx) of each occupied voxel, with n points of the voxel."""
     voxels = voxelize(localize(points, origin), grid)
-    firsts = voxels.groupBy(*VOXEL).agg(F.min_by(F.struct(*points.columns), "idx").alias("first"), F.count("*").alias("n"))
-    return firsts.select(*VOXEL, "first.*", "n")
+    # a column at a time: buffers of fixed width are aggregated by hash, a struct would be sorted
+    firsts = [F.min_by(c, "idx").alias(c) for c in points.columns]
+    return voxels.groupBy(*VOXEL).agg(*firsts, F.count("*").alias("n"))
 
 
 def occupied_voxels(points: DataFrame, grid: float, origin=None) -> DataFrame:
