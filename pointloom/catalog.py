@@ -316,7 +316,7 @@ def class_histogram(spark, sf):
 @query("SELECT idx, model_id, cast(code AS SMALLINT) AS classification FROM pts JOIN lab USING (idx) JOIN cls USING (label)", "pts", LABELS, VOXEL_CODES)
 def classify(spark, sf):
     """The whole way: tiles, halos, model, merge, codes."""
-    found = labelling.classify(views.pts(spark, sf), by_place, views.classes(spark, "voxel"), tile_size=50.0, buffer=HALO)
+    found = labelling.classify(views.pts(spark, sf), by_place, views.classes(spark, "voxel"), tile_size=50.0, target=1000, buffer=HALO)
     return found.select("idx", "model_id", "classification")
 
 

@@ -18,7 +18,7 @@ from ..operators.blocks import block_voxels, last_block, or_merge, sliding_block
 from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays, merge_labels
 from ..operators.neighbors import cover_all
 from ..operators.points import localize, voxel_projection
-from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, tile_grid
+from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, plan_tiles, tile_grid
 from ..session import checkpointed
 
 Model = Callable[[np.ndarray], np.ndarray]
@@ -73,15 +73,16 @@ def label_blocks(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], r
     """
     size = tuple(r * n for r, n in zip(resolution, shape, strict=True))
     members = sliding_blocks(points.select("idx", "x", "y", "z"), size[:2] if flat else size, overlap)
-    placed = block_voxels(members, resolution, shape)
+    voxel = ["block_id", "vi", "vj", "vk"]
+    placed = block_voxels(members, resolution, shape).select("idx", *voxel)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        voxels = frame[["vi", "vj", "vk"]].to_numpy(np.int64)
-        kept, back = np.unique(voxels, axis=0, return_inverse=True)
-        pred = checked(model(kept), len(kept))[back.reshape(-1)]
-        return pd.DataFrame({"idx": frame.idx, "block_id": frame.block_id, "pred": pred.astype("i4")})
+        frame = frame.sort_values(["vi", "vj", "vk"])
+        return frame.assign(pred=checked(model(frame[["vi", "vj", "vk"]].to_numpy(np.int64)), len(frame)).astype("i4"))
 
-    votes = placed.select("block_id", "idx", "vi", "vj", "vk").groupBy("block_id").applyInPandas(run, "idx long, block_id long, pred int")
+    # voxels are made distinct before they meet in a group, so a group has at most the voxels of a block
+    labelled = placed.select(*voxel).distinct().groupBy("block_id").applyInPandas(run, "block_id long, vi long, vj long, vk long, pred int")
+    votes = placed.join(labelled, voxel).select("idx", "block_id", "pred")
     if binary:
         merged = or_merge(votes.withColumn("pred", F.col("pred") > 1), points, unseen=flat)
         return merged.select("idx", F.col("pred").alias("label"))
@@ -114,16 +115,19 @@ def label_crops(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], k:
     return projected.join(labels, "rep_idx").select("idx", "label")
 
 
-def classify(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, buffer: float = 50.0, raw_ids: bool = False) -> DataFrame:
-    """``points`` with column classification: tiles planned, labelled with halos, merged by idx and mapped to codes.
+def classify(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, budget: int | None = None, buffer: float = 50.0, raw_ids: bool = False) -> DataFrame:
+    """``points`` with column classification: tiles planned, dense ones cut, labelled with halos, merged by idx and mapped to codes.
 
-    An unmapped label, or a point without one, fails the job.
+    Tiles hold about ``target`` points where density is even; a window of
+    more than ``budget`` (by default four times the target) is cut, so that
+    no group of the model outgrows a worker. An unmapped label, or a point
+    without one, fails the job.
     """
     grid = tile_grid(points, target, tile_size)
-    labels = label_tiles(points, grid, model, buffer)
+    pieces = checkpointed(plan_tiles(points, grid, buffer, budget or 4 * target))
+    named = pieces.select(F.concat_ws("/", "tile_id", "path").alias("piece_id"), "x0", "y0", "x1", "y1")
+    labels = label_pieces(points, named, model, buffer)
     codes = apply_codes(labels, classes, raw_ids).withColumnRenamed("code", "label")
     merged = merge_labels(points, codes)
     sure = F.when(F.col("label").isNotNull(), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("no label for point "), F.col("idx").cast("string"))).cast("short"))
     return merged.withColumn("classification", sure).drop("label")
-
-
