@@ -49,10 +49,18 @@ STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near ded
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """A stage's files go when the next stage's are complete."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
