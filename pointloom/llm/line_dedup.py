@@ -76,7 +76,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     """
     units = checkpointed(line_units(docs, id_col, text_col))
     place = F.struct("doc_id", "text_key", "unit", "start")
-    firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("first_digest"), "first")
+    firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join deals both sides anew and may split a frequent digest
+    firsts = checkpointed(firsts.select(F.col("digest").alias("first_digest"), "first"))
     later = units.join(firsts, F.col("digest") == F.col("first_digest")).where(place != F.col("first"))
     later = later.select("doc_id", "text_key", "unit", "start", "end", "n_words", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start")).distinct()
     document = Window.partitionBy("doc_id", "text_key")
