@@ -57,10 +57,11 @@ class ToxicitySettings:
     longest: int = 8
     least_documents: int = 4
     precision: float = 0.8
+    margin: float = 3.0
     lexicon_voters: int = 80
     rounds: int = 40
     terms: int = 400
-    penalty: float = 0.2
+    penalty: float = 0.1
     steps: int = 250
 
 
@@ -86,43 +87,46 @@ def terms_of(text: str, words: BoundedCache) -> set[str]:
     return once | {TWICE + t for t in twice}
 
 
+def evidence_for(toxic: float, other: float, share: float) -> float:
+    """Log-likelihood ratio of a term's documents being toxic at their own rate against at the general ``share``; 0 if theirs is lower."""
+    own = (toxic + 0.5) / (toxic + other + 1)
+    if own <= share:
+        return 0.0
+    return toxic * math.log(own / share) + other * math.log((1 - own) / (1 - share))
+
+
 def mine_lexicon(terms: list[set[str]], labels: np.ndarray, s: ToxicitySettings) -> list[str]:
-    """Terms that mostly toxic training documents have, those of most documents first; of nested terms the widest."""
+    """Terms that mostly toxic training documents have, the strongest first; of nested terms one.
+
+    A term must show more than the best of so many tried would show by chance.
+    """
     toxic = Counter(t for found, y in zip(terms, labels, strict=True) if y for t in found)
     other = Counter(t for found, y in zip(terms, labels, strict=True) if not y for t in found if t in toxic)
-    good = [t for t, n in toxic.items() if n >= s.least_documents and (n + 0.5) / (n + other[t] + 1) >= s.precision]
-    kept: list[str] = []
-    for term in distinct_terms(sorted(good, key=lambda t: (-toxic[t], -len(t.removesuffix("-")), t)), toxic):
-        if len(kept) == s.lexicon_voters:
-            break
-        if not any(_covers(wide, term) for wide in kept):
-            kept.append(term)
-    return kept
+    share, least = float(np.mean(labels)), math.log(len(toxic) + 1) + s.margin
+    strength = {t: evidence_for(n, other[t], share) for t, n in toxic.items() if n >= s.least_documents and (n + 0.5) / (n + other[t] + 1) >= s.precision}
+    good = [t for t, e in strength.items() if e >= least]
+    return strongest(good, strength)[: s.lexicon_voters]
 
 
-def _covers(wide: str, term: str) -> bool:
-    """A word beginning covers terms that start with it and are as often asked for."""
-    if not wide.endswith("-") or wide.startswith(TWICE) != term.startswith(TWICE):
+def _nested(a: str, b: str) -> bool:
+    """Whether one of two terms, as often asked for, is a beginning of the other."""
+    if a.startswith(TWICE) != b.startswith(TWICE):
         return False
-    return term.startswith(wide[:-1])
+    return a.endswith("-") and b.startswith(a[:-1]) or b.endswith("-") and a.startswith(b[:-1])
 
 
-def distinct_terms(terms: list[str], count: Counter) -> list[str]:
-    """Without beginnings that no more documents have than a longer term before them."""
+def strongest(terms: list[str], strength: dict[str, float]) -> list[str]:
+    """The terms by strength, of nested ones only the strongest (of equals the longest)."""
     kept: list[str] = []
-    longer: set[tuple[str, int]] = set()
-    for term in terms:
-        if (term, count[term]) in longer:
-            continue
-        kept.append(term)
-        bare = term.removesuffix("-")
-        longer.update((f"{bare[:n]}-", count[term]) for n in range(1, len(bare)))
+    for term in sorted(terms, key=lambda t: (-round(strength[t], 6), -len(t.removesuffix("-")), t)):
+        if not any(_nested(term, other) for other in kept):
+            kept.append(term)
     return kept
 
 
 @dataclass
 class LabelModel:
-    """Per voter: chance to fire on class 0 and 1, and weight after correlations; and the log-odds of class 1 where all are silent.
+    """Per voter: chance to fire on class 0 and 1, and weight after correlations; the log-odds that evidence adds to, and the chance of class 1 where all are silent.
 
     A silent voter abstains: voters speak one language each, so silence of
     the others says nothing.
@@ -132,6 +136,7 @@ class LabelModel:
     weights: np.ndarray
     correlations: np.ndarray
     intercept: float = 0.0
+    silent: float = 0.0
 
     def evidence(self, votes: np.ndarray) -> np.ndarray:
         """Weighted sum of what the voters that fire say, but at least what the strongest says alone."""
@@ -139,13 +144,13 @@ class LabelModel:
         return np.maximum(votes @ (self.weights * says), (votes * says).max(1))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return _chance(self.intercept + self.evidence(votes))
+        return np.where(votes.any(1), _chance(self.intercept + self.evidence(votes)), self.silent)
 
     @classmethod
     def fit(cls, votes: np.ndarray, start: np.ndarray, share: float, expected: np.ndarray, strength: np.ndarray, rounds: int) -> LabelModel:
         """Expectation maximisation from the soft labels ``start``; no label is used after that.
 
-        ``share`` is the part of class 1, to which the intercept is set each
+        ``share`` is the part of class 1, by which the intercept is set each
         round. ``expected`` (2 x voters) are rates that each voter is expected
         to fire at, worth ``strength`` documents: they keep the classes from
         turning into whatever else splits the documents.
@@ -160,11 +165,15 @@ class LabelModel:
             np.fill_diagonal(correlations, 0)
             weights = 1 / np.sqrt(1 + (np.clip(correlations, 0, 1) ** 2).sum(0))
             model = cls(fires, weights, correlations)
-            evidence, low, high = model.evidence(votes), -60.0, 60.0
+            # the share is met by documents with votes as far as it can be, and what is left of it is spread over the silent ones
+            spoken = votes.any(1)
+            wanted = min(share * len(votes), 0.97 * float(spoken.sum()))
+            evidence, low, high = model.evidence(votes)[spoken], -60.0, 60.0
             for _ in range(50):
                 middle = (low + high) / 2
-                low, high = (middle, high) if _chance(middle + evidence).mean() < share else (low, middle)
+                low, high = (middle, high) if _chance(middle + evidence).sum() < wanted else (low, middle)
             model.intercept = low
+            model.silent = float(np.clip((share * len(votes) - wanted) / max(1, len(votes) - spoken.sum()), 1e-4, share))
             belief = model.posterior(votes)
         return model
 
@@ -193,14 +202,22 @@ class ToxicityModel:
         logit = self.bias + sum(self.weights.get(t, 0.0) for t in terms_of(text, self._words))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
+    def score_many(self, texts: list[str]) -> list[float]:
+        return [self.score(t) for t in texts]
+
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], settings: ToxicitySettings = ToxicitySettings()) -> ToxicityModel:
         y = np.array(labels, np.float64)
         if len(set(labels)) < 2:
             share = (y.sum() + 1) / (len(y) + 2)
             return cls(settings, {}, float(np.log(share / (1 - share))))
-        words = BoundedCache(lambda w: terms_of_word(w, settings))
-        terms = [terms_of(t, words) for t in texts]
+        words = BoundedCache(lambda w: terms_of_word(w, settings), 50_000)
+        documents_with: Counter = Counter()
+        for text in texts:
+            documents_with.update(terms_of(text, words))
+        common = {t: t for t, n in documents_with.items() if n >= settings.least_documents or t in INSULTS}
+        del documents_with  # most terms occur once
+        terms = [{common[t] for t in terms_of(text, words) if t in common} for text in texts]
         lexicon = list(dict.fromkeys([*mine_lexicon(terms, y, settings), *INSULTS]))
         patterns = [re.compile(p) for p in PATTERNS]
         votes = np.array([[*(t in found for t in lexicon), *(p.search(text) is not None for p in patterns)] for text, found in zip(texts, terms, strict=True)], np.float64)
@@ -224,9 +241,9 @@ class ToxicityModel:
             for t in found:
                 weight[t] += b
         mean = belief.mean()
-        lift = {t: (weight[t] - n * mean) / math.sqrt(n * mean * (1 - mean)) for t, n in seen.items() if n >= s.least_documents}
-        best = [t for t in sorted(lift, key=lambda t: (-lift[t], t)) if lift[t] > 5]
-        chosen = distinct_terms(sorted({*best, *(t for t in lexicon if seen[t])}, key=lambda t: (-seen[t], -len(t.removesuffix("-")), t)), seen)[: s.terms]
+        lift = {t: evidence_for(weight[t], n - weight[t], mean) for t, n in seen.items() if n >= s.least_documents and weight[t] >= 0.5 * n}
+        best = [t for t in lift if lift[t] >= math.log(len(seen) + 1) + s.margin]
+        chosen = strongest([*best, *(t for t in lexicon if seen[t] and t not in best)], Counter(lift))[: s.terms]
         column = {t: k for k, t in enumerate(chosen)}
         x = np.zeros((len(terms), len(chosen) + 1))
         x[:, -1] = 1
