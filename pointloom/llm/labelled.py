@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, narrow, remainder_of_crc, texts_of
+from .common import map_batches, narrow, remainder_of_crc, runs_of, texts_of
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_out: int, max_docs: int) -> list[tuple[str, int]]:
@@ -28,10 +28,10 @@ def score_documents(docs: DataFrame, model, divisor: int, held_out: int, thresho
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def make():
-        score = shared.value.score
+        score = shared.value.score_many
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t) for t in texts_of(batch.column(1))], pa.float64())], ["doc_id", "score"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for run in runs_of(texts_of(batch.column(1))) for s in score(run)], pa.float64())], ["doc_id", "score"])
 
         return step
 

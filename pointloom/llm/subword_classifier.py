@@ -27,13 +27,16 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BoundedCache, documents
+from .common import documents
 from .labelled import score_documents, training_rows
 
 
+#: Distinct words whose part of the score a task remembers.
+WORDS_HELD = 400_000
+
+
 @dataclass(frozen=True)
 class SubwordSettings:
     buckets: int = 1 << 17
@@ -46,12 +49,27 @@ class SubwordSettings:
     seed: int = 7
 
 
-def bucket_ids(word: str, s: SubwordSettings) -> list[int]:
-    """Buckets of a word and of its character n-grams."""
-    hashed = xxhash.xxh32_intdigest
-    marked = f"<{word}>"
-    grams = [marked[i : i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(marked) - n + 1)]
-    return [hashed("w" + word) % s.buckets, *[hashed("g" + g) % s.buckets for g in grams]]
+_BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashed(words: list[str], s: SubwordSettings) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of the word) of every word and of each of its character n-grams, for all words at once."""
+    marked = [f"<{w}>" for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    starts, owner, at = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(words)), sizes), np.arange(len(codes))
+    stops = (starts + sizes)[owner]
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(sizes.max(initial=1)), _BASE)]))
+    found = [(np.add.reduceat((codes + np.uint64(1)) * powers[at - starts[owner]], starts) if len(words) else codes, np.arange(len(words)))]
+    for n in range(s.shortest, s.longest + 1):
+        fits = np.flatnonzero(at + n <= stops)
+        gram = np.full(len(fits), np.uint64(n))
+        for k in range(n):
+            gram = gram * _BASE + codes[fits + k]
+        found.append((gram, owner[fits]))
+    mixed = np.concatenate([h for h, _ in found]) * _MIX
+    mixed = (mixed ^ mixed >> np.uint64(29)) * _MIX
+    return (mixed >> np.uint64(32)).astype(np.int64) % s.buckets, np.concatenate([o for _, o in found])
 
 
 def words_of(text: str) -> Counter:
@@ -66,14 +84,12 @@ def words_of(text: str) -> Counter:
     return counts
 
 
-def features_of(text: str, ids: BoundedCache) -> tuple[np.ndarray, np.ndarray]:
+def features_of(text: str, s: SubwordSettings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a document and their shares, which add up to 1."""
     counts = words_of(text)
-    parts = [ids[w] for w in counts]
-    flat = np.concatenate(parts)
-    weight = np.repeat(np.fromiter(counts.values(), np.float64, len(parts)), [len(p) for p in parts])
+    flat, owner = hashed(list(counts), s)
     buckets, back = np.unique(flat, return_inverse=True)
-    shares = np.bincount(back, weight)
+    shares = np.bincount(back, np.fromiter(counts.values(), np.float64, len(counts))[owner])
     return buckets, (shares / shares.sum()).astype(np.float32)
 
 
@@ -86,14 +102,14 @@ class SubwordModel:
 
     def __init__(self, settings: SubwordSettings, vectors=None, layer=None, constant: float | None = None):
         self.settings, self.vectors, self.layer, self.constant = settings, vectors, layer, constant
-        self.pulls = None if vectors is None else (vectors @ (layer[1] - layer[0])).tolist()
-        self._words = BoundedCache(self._pull)
+        self.pulls = None if vectors is None else (vectors @ (layer[1] - layer[0])).astype(np.float64)
+        self._words: dict[str, tuple[float, int]] = {}
 
     def __getstate__(self):
         return {"settings": self.settings, "constant": self.constant, "pulls": self.pulls}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, vectors=None, layer=None, _words=BoundedCache(self._pull))
+        self.__dict__.update(state, vectors=None, layer=None, _words={})
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], settings: SubwordSettings = SubwordSettings()) -> SubwordModel:
@@ -103,8 +119,7 @@ class SubwordModel:
         random = np.random.default_rng(settings.seed)
         vectors = random.uniform(-1, 1, (settings.buckets, settings.width)).astype(np.float32) / settings.width
         layer = np.zeros((2, settings.width), np.float32)
-        ids = BoundedCache(lambda w: np.array(bucket_ids(w, settings)))
-        examples = [features_of(t, ids) for t in texts]
+        examples = [features_of(t, settings) for t in texts]
         # the rarer class weighs more, at most fourfold
         share = np.bincount(y, minlength=2) / len(y)
         weight = np.minimum(4.0, 0.5 / share)
@@ -126,20 +141,33 @@ class SubwordModel:
                 done += 1
         return cls(settings, vectors, layer)
 
-    def _pull(self, word: str) -> tuple[float, int]:
-        """(sum over the word's buckets, their number)."""
-        ids = bucket_ids(word, self.settings)
-        return sum(map(self.pulls.__getitem__, ids)), len(ids)
+    def _learn(self, words: set[str]) -> None:
+        """For words not seen yet, (sum over their buckets, number of buckets)."""
+        if len(self._words) > WORDS_HELD:
+            self._words.clear()
+        new = [w for w in words if w not in self._words]
+        if new:
+            buckets, owner = hashed(new, self.settings)
+            sums = np.bincount(owner, self.pulls[buckets], len(new)).tolist()
+            self._words.update(zip(new, zip(sums, np.bincount(owner, minlength=len(new)).tolist(), strict=True), strict=True))
+
+    def score_many(self, texts: list[str]) -> list[float]:
+        if self.constant is not None:
+            return [self.constant] * len(texts)
+        counted = [words_of(t) for t in texts]
+        self._learn(set().union(*counted))
+        out = []
+        for counts in counted:
+            logit, size = 0.0, 0
+            for word, times in counts.items():
+                pull, n = self._words[word]
+                logit += times * pull
+                size += times * n
+            out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, logit / size)))))
+        return out
 
     def score(self, text: str) -> float:
-        if self.constant is not None:
-            return self.constant
-        logit, size = 0.0, 0
-        for word, times in words_of(text).items():
-            pull, n = self._words[word]
-            logit += times * pull
-            size += times * n
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit / size))))
+        return self.score_many([text])[0]
 
 
 def op10_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
