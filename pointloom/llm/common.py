@@ -47,16 +47,20 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+#: Rows that a task turns into Python values at a time.
+SLICE = 1024
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema) -> DataFrame:
-    """``make()`` builds one function a task, which maps each Arrow batch to another."""
+    """``make()`` builds one function a task, which maps each Arrow batch, in slices, to another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
         for batch in batches:
             if step is None:
                 step = make()
-            if batch.num_rows:
-                yield step(batch)
+            for k in range(0, batch.num_rows, SLICE):
+                yield step(batch.slice(k, SLICE))
 
     return df.mapInArrow(run, schema)
 
