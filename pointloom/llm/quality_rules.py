@@ -1,11 +1,12 @@
 """Quality rules: word and repetition counts, then compression bands.
 
-A text that zstandard shrinks far too well is repetitive; one that it hardly
-shrinks is noise (hashes, base64, binary). Both limits depend on how long the
-compressed stretch is, since short texts never compress well. The ratio
-(bytes / compressed bytes) is taken over the whole document and over fixed
-chunks; a document is rejected when the whole lies outside the band for its
-length, or when chunks outside their bands make up too much of it.
+A text that zstandard shrinks better than prose is repetitive; one that it
+shrinks less is noise: binary, base64 from 128 bytes, hashes in hex from 4 KiB
+(shorter ones shrink as prose of their length does). Both limits depend on how
+long the compressed stretch is, since short texts never compress well. The
+ratio (bytes / compressed bytes) is taken over the whole document and over
+fixed chunks; a document is rejected when the whole lies outside the band for
+its length, or when chunks outside their bands make up too much of it.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
 document of one chunk is judged as a whole only; repeated rows get the same
@@ -28,10 +29,43 @@ from .common import SPACES, documents, map_batches, narrow, texts_of
 SYMBOLS = "#*$%&|<>"
 
 
+#: (bytes from, lowest, highest ratio) of ordinary prose: the documents labelled
+#: good in sf0.1 that pass the base rule, whole, in stretches of each length and
+#: in their chunks.
+PROSE = (
+    (64, 0.88, 1.33),
+    (96, 0.92, 1.43),
+    (128, 1.05, 1.52),
+    (160, 1.10, 1.58),
+    (192, 1.15, 1.66),
+    (256, 1.24, 1.69),
+    (320, 1.29, 1.77),
+    (384, 1.35, 1.77),
+    (512, 1.44, 1.90),
+    (640, 1.47, 1.91),
+    (768, 1.54, 2.00),
+    (1024, 1.71, 2.03),
+    (1280, 1.77, 2.12),
+    (1536, 1.82, 2.15),
+    (2048, 1.92, 2.17),
+    (2560, 1.96, 2.20),
+    (3072, 2.02, 2.24),
+    (4096, 2.07, 2.30),
+    (6144, 2.18, 2.34),
+    (8192, 2.22, 2.41),
+    (12288, 2.26, 2.42),
+    (16384, 2.33, 2.48),
+)
+#: How far beyond ordinary prose the limits lie, as factors.
+LOW_MARGIN, HIGH_MARGIN = 0.95, 1.10
+
+
 @dataclass(frozen=True)
 class QualityLimits:
     """``bands``: (bytes from, lowest ratio, highest ratio), ascending; the
     last band whose first field is not above a stretch's bytes holds for it.
+    Below 64 bytes a ratio says nothing; no good document is longer than
+    32 KiB, so beyond that the upper limit has a margin of a quarter.
     """
 
     min_words: int = 10
@@ -42,11 +76,8 @@ class QualityLimits:
     max_bad_percent: int = 30
     bands: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, 3.0),
-        (128, 0.8, 3.0),
-        (256, 1.05, 3.2),
-        (1024, 1.25, 3.5),
-        (4096, 1.4, 4.0),
-        (16384, 1.5, 4.5),
+        *((size, low * LOW_MARGIN, high * HIGH_MARGIN) for size, low, high in PROSE),
+        (32768, 2.33 * LOW_MARGIN, 2.48 * 1.25),
     )
 
 

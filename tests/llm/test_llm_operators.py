@@ -106,6 +106,24 @@ def test_compression_bands():
     assert quality_rules.compression(mixed, compress, limits)[1] > 30 and len(noise)
 
 
+@pytest.mark.parametrize("size", [128, 200, 256, 400, 700, 1024, 2048, 4096, 5000, 10_000, 40_000])
+def test_bands_reject_noise_at_each_length(size):
+    limits, compress = quality_rules.QualityLimits(), zstandard.ZstdCompressor(level=3).compress
+    for seed in range(20):
+        pick = random.Random(seed)
+        coded = __import__("base64").encodebytes(pick.randbytes(size))[:size]
+        assert not quality_rules.compression(coded, compress, limits)[2]
+        words = " ".join(pick.randbytes(16).hex() for _ in range(size // 33 + 1)).encode()[:size]
+        if size >= 4096:  # shorter hex shrinks as prose does
+            assert not quality_rules.compression(words, compress, limits)[2]
+            assert not quality_rules.compression(pick.randbytes(size).hex().encode()[:size], compress, limits)[2]
+
+
+def test_bands_lie_close_around_prose():
+    bands = quality_rules.QualityLimits().bands[1:]
+    assert all(low < prose[1] < prose[2] < high < 1.3 * prose[2] for (_, low, high), prose in zip(bands, [*quality_rules.PROSE, quality_rules.PROSE[-1]], strict=True))
+
+
 def test_labelled_good_documents_stay(spark, sf):
     rows = quality_rules.measure_quality(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     assert rows.where("quality = 1 and not base_failed and not kept").count() == 0
