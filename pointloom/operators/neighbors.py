@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .points import crop_centers
+from .points import VOXEL, crop_centers, localize, voxelize
 
 AXES = ("x", "y", "z")
 
@@ -29,36 +29,57 @@ def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataF
     return met.where(F.col("d2") <= F.lit(float(radius) * float(radius)))
 
 
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each center, ties by idx, with rank from 1."""
-    order = Window.partitionBy("center").orderBy("d2", "idx")
+def nearest(found: DataFrame, k: int, own_first: bool = False) -> DataFrame:
+    """The ``k`` nearest of each center, ties by idx (``own_first``: the centre before all others), with rank from 1."""
+    order = Window.partitionBy("center").orderBy(*[F.col("idx") != F.col("center")] * own_first, "d2", "idx")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float) -> DataFrame:
+def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_first: bool = False) -> DataFrame:
     """(center, idx, d2, rank): at most ``k`` nearest points within ``radius`` of each center.
 
-    ``centers`` has idx of points; a centre is its own first neighbour.
+    ``centers`` has idx of points. A centre is its own first neighbour with
+    ``own_first``; else points in the same place with smaller idx precede it.
     """
     at = points.join(centers.select("idx"), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES)
-    return nearest(within_radius(points, at, radius), k)
+    return nearest(within_radius(points, at, radius), k, own_first)
 
 
-def cover_all(points: DataFrame, k: int, radius: float, spacing: float, max_rounds: int = 200) -> DataFrame:
+def fill_centers(left: DataFrame, k: int, size: float, turn: int) -> DataFrame:
+    """idx of the first point of each cell of side ``size``, and of one in ``k`` points of cells with more than ``k``.
+
+    The latter go by a hash that changes with ``turn``, so no window holds a dense cell.
+    """
+    voxels = checkpointed(voxelize(localize(left), size).select("idx", *VOXEL))
+    firsts = voxels.groupBy(*VOXEL).agg(F.min("idx").alias("first"), F.count("*").alias("n"))
+    some = voxels.where(F.pmod(F.xxhash64("idx", F.lit(turn)), F.lit(k)) == 0).join(firsts.where(F.col("n") > k), VOXEL, "left_semi")
+    return firsts.select(F.col("first").alias("idx")).union(some.select("idx")).distinct()
+
+
+def cover_all(points: DataFrame, k: int, radius: float, spacing: float) -> DataFrame:
     """(center, idx, d2, rank): crops that together visit every point.
 
     The first round puts a crop at the first point of each cell of side
     ``spacing``; each further round does so, in cells of side
-    radius / sqrt(3), for points that no crop has. A round visits at least
-    its own centres, so it ends; the points left are joined away in the
-    cluster, and the driver only asks whether there are any.
+    radius / sqrt(3), for points that no crop has, with more crops in dense
+    cells, until no point is left. Points in one place go as one, the first of
+    them, so ``k`` counts places; the others of a place are added once, with
+    the d2 and rank of the first, to the crop that has it nearest. A centre is
+    its own first neighbour, so a round visits at least its own centres and
+    the rounds end; the points left are joined away in the cluster, and the
+    driver only asks whether there are any.
     """
-    crops = checkpointed(knn_crops(points, crop_centers(points, spacing), k, radius))
-    left = checkpointed(points.join(crops.select("idx").distinct(), "idx", "left_anti"))
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            return crops
-        more = checkpointed(knn_crops(points, crop_centers(left, radius / math.sqrt(3)), k, radius))
+    single = checkpointed(points.groupBy(*AXES).agg(F.min("idx").alias("idx")))
+    crops = checkpointed(knn_crops(single, crop_centers(single, spacing), k, radius, own_first=True))
+    left = checkpointed(single.join(crops.select("idx").distinct(), "idx", "left_anti"))
+    turn = 0
+    while not left.isEmpty():
+        more = checkpointed(knn_crops(single, fill_centers(left, k, radius / math.sqrt(3), turn), k, radius, own_first=True))
         crops = crops.unionByName(more)
         left = checkpointed(left.join(more.select("idx").distinct(), "idx", "left_anti"))
-    raise RuntimeError(f"points left after {max_rounds} rounds of crops")
+        turn += 1
+    place = [F.col(c).alias(f"_{c}") for c in AXES]
+    others = points.select("idx", *AXES).join(single.select(F.col("idx").alias("_first"), *place), [F.col(c) == F.col(f"_{c}") for c in AXES]).where("idx <> _first").select("idx", "_first")
+    near = crops.groupBy(F.col("idx").alias("_first")).agg(F.min(F.struct("d2", "center", "rank")).alias("_crop"))
+    added = others.join(near, "_first").select("_crop.center", "idx", "_crop.d2", "_crop.rank")
+    return crops.unionByName(added)

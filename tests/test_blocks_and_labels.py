@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pointloom.functions import codes, curves, units
 from pointloom.operators import blocks, labels, neighbors, points
 from pointloom.plans import labelling
+from pointloom.session import checkpointed
 
 
 def cloud_of(spark, xyz):
@@ -53,6 +54,19 @@ def test_knn_equals_brute_force(spark):
         assert [i for _, i in sorted(found[c])] == [i for _, i in want] or np.allclose(sorted(d2[[i for _, i in found[c]]]), [d for d, _ in want])
 
 
+def test_crops_cover_coincident_and_dense_points(spark):
+    """100 points in one place and 1,500 in a cell of the fill rounds, with crops of at most 5 places."""
+    dense = np.random.default_rng(6).uniform(0, 0.5, (1500, 3)) + [300, 0, 0]
+    xyz = np.vstack([np.zeros((100, 3)), dense, [[0.0, 0.0, 1.0]]])
+    crops = checkpointed(neighbors.cover_all(cloud_of(spark, xyz), 5, 2.0, 40.0))
+    assert sorted(r.idx for r in crops.select("idx").distinct().collect()) == list(range(len(xyz)))
+    found = crops.toPandas()
+    assert not found.duplicated(["center", "idx"]).any() and found["rank"].max() == 5
+    assert (found[found.idx == found.center]["rank"] == 1).all() and set(found.center) <= set(found[found["rank"] == 1].idx)
+    assert np.allclose(((xyz[found.idx] - xyz[found.center]) ** 2).sum(1), found.d2)
+    assert (found[found.idx.between(1, 99)].groupby("idx").size() == 1).all()
+
+
 def test_crops_label_disconnected_groups(spark):
     """Two groups far apart, each point thrice, labels by height."""
     base = np.array([[5e5 + i % 2, 5.5e6 + i // 2 % 2, 700.0] for i in range(4)])
