@@ -17,9 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..session import checkpointed
+
 #: Fields of the point formats, fixed values: (name, numpy type).
 _OLD = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("_returns", "u1"), ("_class", "u1"), ("scan_angle_rank", "i1"), ("user_data", "u1"), ("point_source_id", "<u2")]
 _NEW = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("_returns", "u1"), ("_flags", "u1"), ("classification", "u1"), ("user_data", "u1"), ("scan_angle", "<i2"), ("point_source_id", "<u2"), ("gps_time", "<f8")]
@@ -244,10 +247,14 @@ class Written(WriterCommitMessage):
 
 
 class LasWriter(DataSourceArrowWriter):
-    """Points in format 6, or 7 with colours; columns that the format lacks become extra bytes."""
+    """Points in format 6, or 7 with colours; columns that the format lacks become extra bytes.
+
+    Coordinates are stored as whole numbers of ``scale`` from ``offsets``; one
+    that does not fit in 32 bits, or is not finite, fails the job.
+    """
 
-    def __init__(self, path: str, schema: StructType, scale: float, overwrite: bool):
-        self.path, self.scale, self.overwrite = path.removeprefix("file:"), scale, overwrite
+    def __init__(self, path: str, schema: StructType, scale: float, overwrite: bool, offsets: tuple[float, float, float] = (0.0, 0.0, 0.0)):
+        self.path, self.scale, self.overwrite, self.offsets = path.removeprefix("file:"), scale, overwrite, offsets
         self.temporary = f"{self.path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
         names = [f.name for f in schema.fields]
         self.format = 7 if {"red", "green", "blue"} <= set(names) else 6
@@ -268,7 +275,8 @@ class LasWriter(DataSourceArrowWriter):
                 records = self._encode(batch)
                 for k, c in enumerate("XYZ"):
                     if len(records):
-                        low[k], high[k] = min(low[k], records[c].min() * self.scale), max(high[k], records[c].max() * self.scale)
+                        low[k] = min(low[k], records[c].min() * self.scale + self.offsets[k])
+                        high[k] = max(high[k], records[c].max() * self.scale + self.offsets[k])
                 out.write(records.tobytes())
                 count += len(records)
         if not count:
@@ -288,8 +296,11 @@ class LasWriter(DataSourceArrowWriter):
         records = np.zeros(batch.num_rows, self._dtype())
         names = batch.schema.names
         get = lambda n: batch.column(names.index(n)).to_numpy(zero_copy_only=False)
-        for c in "xyz":
-            records[c.upper()] = np.rint(get(c) / self.scale).astype("i4")
+        for c, offset in zip("xyz", self.offsets, strict=True):
+            steps = np.rint((get(c).astype("f8") - offset) / self.scale)
+            if not (np.abs(steps) < 2**31).all():
+                raise ValueError(f"{c} does not fit in 32 bits at scale {self.scale} from offset {offset}")
+            records[c.upper()] = steps.astype("i4")
         for n, t in [*FORMATS[self.format], *self.extra]:
             if n in names and n not in "XYZ":
                 records[n] = get(n).astype(t)
@@ -307,7 +318,7 @@ class LasWriter(DataSourceArrowWriter):
         struct.pack_into("<4sHH", head, 0, b"LASF", 0, 0)
         head[24], head[25] = 1, 4
         struct.pack_into("<HIIBH", head, 94, 375, 375 + len(vlr), bool(vlr), self.format, self._dtype().itemsize)
-        struct.pack_into("<3d3d", head, 131, *[self.scale] * 3, 0.0, 0.0, 0.0)
+        struct.pack_into("<3d3d", head, 131, *[self.scale] * 3, *self.offsets)
         struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
         struct.pack_into("<Q", head, 247, count)
         return bytes(head) + vlr
@@ -336,7 +347,7 @@ class LasWriter(DataSourceArrowWriter):
 
 
 class Las(DataSource):
-    """Point records of a .las file or of a folder's; option ``range``: records a partition. Writing: option ``scale``."""
+    """Point records of a .las file or of a folder's; option ``range``: records a partition. Writing: options ``scale``, ``offset_x``, ``offset_y``, ``offset_z``."""
 
     @classmethod
     def name(cls):
@@ -355,7 +366,7 @@ class Las(DataSource):
         return LasReader(_paths(self.options["path"]), int(self.options.get("range", RANGE)), _columns(self._first()))
 
     def writer(self, schema, overwrite):
-        return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), overwrite)
+        return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), overwrite, tuple(float(self.options.get(f"offset_{c}", 0)) for c in "xyz"))
 
 
 def register(spark: SparkSession) -> SparkSession:
@@ -369,12 +380,24 @@ def scan_headers(spark: SparkSession, path: str):
     return register(spark).read.format("las_header").load(path)
 
 
+def whole_offsets(points) -> tuple[float, float, float]:
+    """The middle of the cloud's extent in whole units, from one aggregated row; 0 for an empty cloud."""
+    row = points.agg(*[((F.min(c) + F.max(c)) / 2).alias(c) for c in "xyz"]).first()
+    return tuple(float(np.rint(v)) if v is not None and np.isfinite(v) else 0.0 for v in row)
+
+
 def write_classified(points, path: str, kind: str = "parquet", parts: int | None = None, scale: float = 0.001) -> None:
-    """``points`` in the order of idx: ranges of idx, a file each, published together."""
+    """``points`` in the order of idx: ranges of idx, a file each, published together.
+
+    LAS files share whole-unit offsets in the middle of the cloud; for that,
+    ``points`` are stored first, so that a model behind them runs once.
+    """
+    points = checkpointed(points) if kind == "las" else points
     ordered = points.repartitionByRange(parts, "idx") if parts else points.repartitionByRange("idx")
     ordered = ordered.sortWithinPartitions("idx")
     if kind == "las":
         register(points.sparkSession)
-        ordered.write.format("las").mode("append").option("scale", str(scale)).save(path)
+        offsets = {f"offset_{c}": str(v) for c, v in zip("xyz", whole_offsets(points), strict=True)}
+        ordered.write.format("las").mode("append").option("scale", str(scale)).options(**offsets).save(path)
     else:
         ordered.write.mode("errorifexists").format(kind).save(path)

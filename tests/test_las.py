@@ -74,6 +74,22 @@ def test_write_las_keeps_order_columns_and_old_output_on_failure(spark, tmp_path
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == before
 
 
+def test_write_las_far_from_the_origin(spark, tmp_path):
+    cloud = spark.range(300).select(F.col("id").alias("idx"), (5e5 + F.col("id") / 8).alias("x"), (5.5e6 - F.col("id") / 4).alias("y"), F.lit(700.125).alias("z"))
+    out = str(tmp_path / "out")
+    las.write_classified(cloud, out, "las", parts=2)
+    rows = sorted((r.x, r.y, r.z) for r in spark.read.format("las").load(out).collect())
+    assert np.allclose(rows, [(5e5 + i / 8, 5.5e6 - i / 4, 700.125) for i in range(300)], rtol=0, atol=1e-6)
+    heads = las.scan_headers(spark, out).agg(F.min("min_x"), F.max("max_x"), F.min("min_y"), F.max("max_y")).first()
+    assert np.allclose(heads, [5e5, 5e5 + 299 / 8, 5.5e6 - 299 / 4, 5.5e6], rtol=0, atol=1e-6)
+    for value in ("5e6D", "double('NaN')"):
+        wide = cloud.withColumn("x", F.expr(f"if(idx = 7, {value}, -x)"))
+        with pytest.raises(Exception, match="does not fit in 32 bits"):
+            las.write_classified(wide, str(tmp_path / "wide"), "las", parts=2)
+        assert not list((tmp_path / "wide").glob("*.las"))
+    las.write_classified(cloud.where("false"), str(tmp_path / "none"), "las", parts=2)
+
+
 def test_folder_listing(spark, tmp_path):
     for name in ("b.LAS", "a.laz", "c.qgis-view.copc.laz", "d.txt"):
         (tmp_path / name).write_bytes(b"x")
