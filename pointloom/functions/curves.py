@@ -26,12 +26,16 @@ def _together(v: Column) -> Column:
     return v
 
 
+def _within(v: Column, depth: int) -> Column:
+    v = v.cast("long")
+    return F.when(v.isNull() | (v >= 0) & (v < F.lit(1 << depth)), v).otherwise(F.raise_error(F.lit(f"coordinate does not fit in {depth} bits")).cast("long"))
+
+
 def zorder_encode(x: Column, y: Column, z: Column, depth: int = 16) -> Column:
-    """Morton code: bit i of x at 3i + 2, of y at 3i + 1, of z at 3i."""
+    """Morton code: bit i of x at 3i + 2, of y at 3i + 1, of z at 3i; a coordinate outside 0 to 2**depth - 1 fails the job."""
     if depth > 16:
         raise ValueError("depth is 16 at most")
-    keep = F.lit((1 << depth) - 1)
-    x, y, z = (c.cast("long").bitwiseAND(keep) for c in (x, y, z))
+    x, y, z = (_within(c, depth) for c in (x, y, z))
     return F.shiftleft(_apart(x), 2).bitwiseOR(F.shiftleft(_apart(y), 1)).bitwiseOR(_apart(z))
 
 
@@ -114,14 +118,14 @@ def hilbert_axes(code: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def hilbert_encode(x: Column, y: Column, z: Column, bits: int = 16) -> Column:
-    """Place along a Hilbert curve through a cube of 2**bits a side."""
+    """Place along a Hilbert curve through a cube of 2**bits a side; a coordinate outside it fails the job."""
     _unused_bits(bits)
 
     @F.pandas_udf("long")
     def code(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(a.to_numpy(), b.to_numpy(), c.to_numpy(), bits))
 
-    return code(x.cast("long"), y.cast("long"), z.cast("long"))
+    return code(*[_within(c, bits) for c in (x, y, z)])
 
 
 def hilbert_decode(code: Column, bits: int = 16) -> Column:

@@ -112,6 +112,18 @@ def test_unmapped_label_fails(spark):
         labels.assert_covered(bad, good)
 
 
+def test_zorder_refuses_what_does_not_fit(spark):
+    at = [F.col(c) for c in "xyz"]
+    fits = spark.createDataFrame([(65535, 0, 1)], "x long, y long, z long")
+    assert fits.select(curves.zorder_decode(curves.zorder_encode(*at)).alias("p")).first().p == (65535, 0, 1)
+    for bad in [(65536, 0, 0), (0, 65536, 0), (0, 0, -1)]:
+        for code in (curves.zorder_encode(*at), curves.curve_code("z-trans", *at), curves.hilbert_encode(*at)):
+            with pytest.raises(Exception, match="does not fit in 16 bits"):
+                spark.createDataFrame([bad], "x long, y long, z long").select(code).collect()
+    with pytest.raises(Exception, match="does not fit in 4 bits"):
+        spark.createDataFrame([(16, 0, 0)], "x long, y long, z long").select(curves.zorder_encode(*at, depth=4)).collect()
+
+
 def test_hilbert_steps():
     for bits in (1, 2, 3):
         n = 1 << bits
