@@ -9,7 +9,9 @@ a fixed number of tokens.
 Defined cases: a null or empty text gives one piece, the end id alone;
 repeated rows, null ids and equal ids are packed row by row, each with
 sequence ids of its own; an empty table gives an empty result; other columns
-are not read.
+are not read. Texts that hold an added token's string ("<|endoftext|>") get
+the ids of its characters, not the token's: ``encode_special_tokens`` is on,
+unlike the library's default, so that no text can forge a document's end.
 """
 
 from __future__ import annotations
