@@ -421,25 +421,30 @@ def test_parts(spark):
 # --- 8 lines ----------------------------------------------------------------------------
 
 
-def brute_lines(rows, min_words=25):
-    """{(doc_id, text): spans of removed runs}."""
-    units = {}
-    for i, t in {(i, t or "") for i, t, *_ in rows if i is not None}:
-        at, out = 0, []
-        for line in t.split("\n"):
-            norm = b" ".join(line.encode().lower().split())
-            if norm:
-                out.append((at, at + len(line), norm))
-            at += len(line) + 1
-        units[i, t] = out
+def brute_units(text):
+    """(start, end, next, normalised words) of each line's sentences, character by character."""
+    spaces, out, at = " \t\n\x0b\x0c\r", [], 0
+    for k, c in enumerate(text):
+        marked = text[k - 1] if k > at and c in "\"'”’»)]" and text[k - 1] in ".!?…。！？" else c
+        if c == "\n" or marked in ".!?…。！？" and text[k + 1 : k + 2] in tuple(spaces):
+            out.append((at, k + 1))
+            at = k + 1
+    out = [(a, b, text[a:b]) for a, b in [*out, (at, len(text))] if text[a:b].strip(spaces)]
+    out = [(a + len(p) - len(p.lstrip(spaces)), a + len(p.rstrip(spaces)), b" ".join(p.encode().lower().split())) for a, b, p in out]
+    return [(a, b, n, norm) for (a, b, norm), n in zip(out, [*(u[0] for u in out[1:]), len(text)])]
+
+
+def brute_lines(rows, min_words=line_dedup.MIN_WORDS):
+    """{(doc_id, text): spans of removed passages}."""
+    units = {(i, t or ""): brute_units(t or "") for i, t, *_ in rows if i is not None}
     first = {}
     for (i, t), out in sorted(units.items(), key=lambda x: (x[0][0], xx_signed(x[0][1]))):
-        for k, (_, _, norm) in enumerate(out):
-            first.setdefault(norm, (i, t, k))
+        for k, u in enumerate(out):
+            first.setdefault(u[3], (i, t, k))
     gone = {}
     for (i, t), out in units.items():
         spans, run, words = [], None, 0
-        for k, (a, b, norm) in [*enumerate(out), (None, (0, 0, None))]:
+        for k, (a, _, b, norm) in [*enumerate(out), (None, (0, 0, 0, None))]:
             if norm is not None and first[norm] != (i, t, k):
                 run = (run[0] if run else a, b)
                 words += len(norm.split())
@@ -456,7 +461,7 @@ def xx_signed(text):
     return simhash_dedup._signed(xxhash.xxh64_intdigest(text.encode(), 42))
 
 
-@pytest.mark.parametrize("min_words", [1, 25])
+@pytest.mark.parametrize("min_words", [1, 20])
 def test_repeated_lines(docs, clashing, empty, min_words):
     want = brute_lines(hard_docs(), min_words)
     out = line_dedup.remove_repeated_lines(docs, min_words, spans_col="cut")
@@ -473,11 +478,34 @@ def test_repeated_lines(docs, clashing, empty, min_words):
         text = next(t for t in before[r.doc_id] if (r.doc_id, t or "") in want and [tuple(s) for s in r.cut] == want[r.doc_id, t])
         left, at = "", 0
         for a, b in want[r.doc_id, text]:
-            left, at = left + text[at:a], b + 1
+            left, at = left + text[at:a], b
         assert r.text == left + text[at:]
     assert cut_rows == sum((i, t or "") in want for i, t, *_ in hard_docs() if i is not None)
     assert line_dedup.remove_repeated_lines(clashing, min_words).columns == clashing.columns
-    assert line_dedup.repeated_lines(empty).count() == line_dedup.remove_repeated_lines(empty).count() == 0
+    assert line_dedup.repeated_units(empty).count() == line_dedup.remove_repeated_lines(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_units_of_strange_texts(seed):
+    pick = random.Random(seed)
+    for _ in range(300):
+        text = "".join(pick.choice(["ab", "c", ".", "!", "?", "…", "”", ")", "'", " ", "  ", "\n", "\t", "\x0b", "Ü", "。", "\x85"]) for _ in range(pick.randint(0, 30)))
+        assert [(a, b, n) for a, b, n, _, _ in line_dedup.units_of(text)] == [u[:3] for u in brute_units(text)], repr(text)
+
+
+def test_passage_inside_lines(spark, empty):
+    """A passage of sentences pasted into lines goes from all but one text, short boilerplate from none; no word of it is a line."""
+    passage = "Once there was a very small house. It stood, they say,\nnear the old river bank! Nobody had lived in it for years (or so one heard). Then a tall man came and bought it. He paid in gold."
+    texts = {k: f"{prose(100 + k, 40)} and so on.\nAll rights reserved. {passage} {prose(200 + k, 40)}" for k in range(5)}
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], SCHEMA)
+    out = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(frame).collect()}
+    assert out[0] == texts[0] and all(out[k] == texts[k].replace("All rights reserved. " + passage + " ", "") for k in range(1, 5))
+    listed = line_dedup.repeated_units(frame)
+    assert {r.keep_id for r in listed.where("removed").collect()} == {0}
+    alone = frame.withColumn("text", F.concat(F.lit("All rights reserved. "), F.xxhash64("doc_id").cast("string")))
+    found = line_dedup.repeated_units(alone).collect()
+    assert len(found) == 4 and not any(r.removed for r in found)
+    assert line_dedup.repeated_units(empty).count() == 0
 
 
 # --- 9 packing ---------------------------------------------------------------------------

@@ -59,7 +59,7 @@ def brute_pipeline(rows):
     for i, text, *_ in rows:
         left, at = "", 0
         for a, b in gone.get((i, text), []):
-            left, at = left + text[at:a], b + 1
+            left, at = left + text[at:a], b
         ids = np.array([*library.encode(left + text[at:], add_special_tokens=False).ids, 0], "<u4")
         start = 0
         for n in packing.lengths_of(len(ids)):
