@@ -23,6 +23,10 @@ OTHER_UNITS = (
 PROJECTED, LOCAL = ("PROJCS", "PROJCRS", "PROJECTEDCRS"), ("LOCAL_CS", "ENGCRS", "ENGINEERINGCRS")
 VERTICAL, GEOGRAPHIC = ("VERT_CS", "VERTCRS", "VERTICALCRS"), ("GEOGCS", "GEOGCRS", "GEODCRS", "GEODETICCRS")
 
+#: (whole name as a regular expression, metres), the first that fits; read alike by Python, Spark and SQL.
+_FEET = "(.*(foot|feet).*|ft|ftus|us-ft|us_ft)"
+NAME_RULES = ((f"(?=.*(us|survey)){_FEET}", US_FOOT), (_FEET, FOOT), (".*kilomet.*", KILOMETRE), (".*met.*", METRE))
+
 UNITS = "struct<xy_to_m:double,z_to_m:double,angular:boolean,detected:boolean>"
 
 
@@ -43,26 +47,27 @@ def unit_plural(factor: Column) -> Column:
 
 def unit_from_name(name: Column) -> Column:
     """Metres a unit of that name, null if it is none known."""
-    n = F.lower(name)
-    foot = n.contains("foot") | n.contains("feet") | n.isin("ft", "ftus", "us-ft", "us_ft")
-    return (
-        F.when(foot & (n.contains("us") | n.contains("survey")), US_FOOT)
-        .when(foot, FOOT)
-        .when(n.contains("kilomet"), KILOMETRE)
-        .when(n.contains("met"), METRE)
-    )
+    out = F.lit(None).cast("double")
+    for rule, factor in reversed(NAME_RULES):
+        out = F.when(name.rlike(_whole(rule)), F.lit(factor)).otherwise(out)
+    return out
+
+
+def _whole(rule: str) -> str:
+    return f"(?is)^(?:{rule})$"
 
 
-def to_metres(points: DataFrame, files: DataFrame) -> DataFrame:
-    """``points`` (file_id, x, y, z, ...) with x, y, z in metres by the file's factors (xy_to_m, z_to_m; null: 1); raw_x, raw_y, raw_z keep the source.
+def to_metres(points: DataFrame, files: DataFrame, key: str = "file_id", kept: str | None = "raw_") -> DataFrame:
+    """``points`` (file_id, x, y, z, ...) with x, y, z in metres by the file's factors (xy_to_m, z_to_m; null: 1); raw_x, raw_y, raw_z keep the source unless ``kept`` is None.
 
     The factors, one row a file, meet the points in a join that Spark
     broadcasts while the table is small.
     """
-    factors = files.select("file_id", F.coalesce("xy_to_m", F.lit(1.0)).alias("_xy"), F.coalesce("z_to_m", F.lit(1.0)).alias("_z"))
-    out = points.join(factors, "file_id", "left")
+    factors = files.select(key, F.coalesce("xy_to_m", F.lit(1.0)).alias("_xy"), F.coalesce("z_to_m", F.lit(1.0)).alias("_z"))
+    out = points.join(factors, key, "left")
     scaled = {c: F.col(c) * F.coalesce(F.col("_z" if c == "z" else "_xy"), F.lit(1.0)) for c in "xyz"}
-    return out.withColumns({f"raw_{c}": F.col(c) for c in "xyz"}).withColumns(scaled).drop("_xy", "_z")
+    source = {f"{kept}{c}": F.col(c) for c in "xyz"} if kept else {}
+    return out.withColumns(source | scaled).drop("_xy", "_z")
 
 
 def _epsg(code: Column) -> Column:
@@ -96,24 +101,15 @@ def units_from_geokeys(files: DataFrame, crs_units: DataFrame) -> DataFrame:
 _TOKEN = re.compile(r'"(?:[^"]|"")*"|[\[(]|[\])]|,|[^\[\](),"\s][^\[\](),"]*')
 
 
-def _name_factor(name: str) -> float | None:
-    n = name.lower()
-    if "foot" in n or "feet" in n or n in ("ft", "ftus", "us-ft", "us_ft"):
-        return US_FOOT if "us" in n or "survey" in n else FOOT
-    return KILOMETRE if "kilomet" in n else METRE if "met" in n else None
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?", re.IGNORECASE)
 
 
-def _unit_factor(args: list[str]) -> float | None:
-    """Metres of a unit node: its number if finite and positive, else by its name."""
-    for arg in args[1:]:
-        try:
-            number = float(arg)
-        except ValueError:
-            continue
-        if 0 < number < math.inf:
-            return number
-        break
-    return _name_factor(args[0][1:-1].replace('""', '"')) if args and args[0][:1] == '"' else None
+def _node_factor(name: str, numbers: list[str]) -> float | None:
+    """Metres of a unit node: its conversion if that is a positive number, else what the rules say of its name."""
+    stated = float(numbers[0]) if numbers else 0.0
+    if 0 < stated < math.inf:
+        return stated
+    return next((factor for rule, factor in NAME_RULES if re.search(_whole(rule), name)), None)
 
 
 def wkt_units(wkt: str | None) -> tuple[float, float, bool] | None:
@@ -148,7 +144,8 @@ def wkt_units(wkt: str | None) -> tuple[float, float, bool] | None:
             around = {k for k, _ in stack}
             if keyword in ("UNIT", "LENGTHUNIT") and not around.intersection(OTHER_UNITS):
                 role = "z" if around.intersection(VERTICAL) else "xy" if around.intersection(PROJECTED) else "local" if around.intersection(LOCAL) else ""
-                factor = _unit_factor(args)
+                names = [a[1:-1].replace('""', '"') for a in args[:1] if a[:1] == '"']
+                factor = _node_factor("".join(names), [a for a in args[1:] if _NUMBER.fullmatch(a)])
                 if factor is not None:
                     found.setdefault(role, factor)
             closed = not stack
@@ -203,8 +200,9 @@ def resolve_units(files: DataFrame, crs_units: DataFrame, wkt: str | None = "wkt
 
 
 def register(spark) -> None:
-    """SQL functions unit_from_name(name) and unit_label(to_m)."""
-    foot = "(lower(name) like '%foot%' or lower(name) like '%feet%' or lower(name) in ('ft', 'ftus', 'us-ft', 'us_ft'))"
-    spark.sql(f"create or replace temporary function unit_from_name(name string) returns double return case when {foot} and (lower(name) like '%us%' or lower(name) like '%survey%') then {US_FOOT!r}D when {foot} then {FOOT}D when lower(name) like '%kilomet%' then 1000D when lower(name) like '%met%' then 1D end")
-    rules = " ".join(f"when abs(to_m - {f!r}D) < 1e-9D then '{n}'" for f, n, _ in LABELS)
-    spark.sql(f"create or replace temporary function unit_label(to_m double) returns string return case {rules} when to_m is not null then concat(to_m, ' m unit') end")
+    """SQL functions unit_from_name(name), unit_label(to_m) and unit_plural(to_m)."""
+    names = " ".join(f"when name rlike '{_whole(rule)}' then {factor!r}D" for rule, factor in NAME_RULES)
+    spark.sql(f"create or replace temporary function unit_from_name(name string) returns double return case {names} end")
+    for function, column, ending in (("unit_label", 1, ""), ("unit_plural", 2, "s")):
+        rules = " ".join(f"when abs(to_m - {row[0]!r}D) < 1e-9D then '{row[column]}'" for row in LABELS)
+        spark.sql(f"create or replace temporary function {function}(to_m double) returns string return case {rules} when to_m is not null then concat(to_m, ' m unit{ending}') end")

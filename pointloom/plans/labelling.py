@@ -1,4 +1,4 @@
-"""Labelling with a model that the user brings: whole tiles, blocks, crops, rows.
+"""Labelling with a model that the user brings: whole tiles, blocks, crops, rows, folders of files.
 
 A model is a function ``xyz (N, 3) metres -> N whole numbers`` (or, for crops,
 ``-> (N, classes) probabilities``). It runs once a group; only idx and
@@ -11,15 +11,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.codes import provenance_json
+from ..functions.units import resolve_units, to_metres
 from ..operators.blocks import block_voxels, last_block, or_merge, sliding_blocks
-from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays, merge_labels
+from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays, merge_labels, needs_upgrade
 from ..operators.neighbors import cover_all
-from ..operators.points import localize, voxel_projection
-from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, plan_tiles, tile_grid
+from ..operators.points import assert_finite, localize, voxel_projection
+from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, buffer_for, plan_tiles, tile_grid
 from ..session import checkpointed
+from ..sources import las
+from ..sources.files import refuse_waveforms
 
 Model = Callable[[np.ndarray], np.ndarray]
 
@@ -32,25 +36,42 @@ def checked(labels, count: int) -> np.ndarray:
     return found
 
 
-def _grouped(assigned: DataFrame, group: str, model: Model) -> DataFrame:
+def _grouped(assigned: DataFrame, group: list[str], model: Model) -> DataFrame:
     """(idx, label) of core points: the model sees a group's whole window."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        labels = checked(model(frame[["x", "y", "z"]].to_numpy(float)), len(frame))
         core = (frame.x >= frame.x0) & (frame.x < frame.x1) & (frame.y >= frame.y0) & (frame.y < frame.y1)
+        if not core.any():  # halo alone
+            return pd.DataFrame({"idx": frame.idx[core], "label": np.zeros(0, "i4")})
+        labels = checked(model(frame[["x", "y", "z"]].to_numpy(float)), len(frame))
         return pd.DataFrame({"idx": frame.idx[core], "label": labels[core.to_numpy()].astype("i4")})
 
-    return assigned.select(group, "idx", "x", "y", "z", "x0", "y0", "x1", "y1").groupBy(group).applyInPandas(run, "idx long, label int")
+    return assigned.select(*group, "idx", "x", "y", "z", "x0", "y0", "x1", "y1").groupBy(*group).applyInPandas(run, "idx long, label int")
 
 
 def label_tiles(points: DataFrame, grid: TileGrid, model: Model, buffer: float) -> DataFrame:
-    """(idx, label): each tile labelled with its halo, cores kept. Groups are as large as windows; plan_tiles bounds them."""
-    return _grouped(assign_tiles(points.select("idx", "x", "y", "z"), grid, buffer), "tile_id", model)
+    """(idx, label): each tile labelled with its halo, cores kept. Groups are as large as windows; ``label_planned`` bounds them."""
+    return _grouped(assign_tiles(points.select("idx", "x", "y", "z"), grid, buffer), ["tile_id"], model)
+
 
+def label_pieces(points: DataFrame, pieces: DataFrame, model: Model, buffer: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """As label_tiles, for pieces (piece_id, x0, y0, x1, y1) of uneven size; with columns ``by``, points that differ in them never meet."""
+    return _grouped(assign_pieces(points.select("idx", "x", "y", "z", *by), pieces, buffer), ["piece_id", *by], model)
 
-def label_pieces(points: DataFrame, pieces: DataFrame, model: Model, buffer: float) -> DataFrame:
-    """As label_tiles, for pieces (piece_id, x0, y0, x1, y1) of uneven size."""
-    return _grouped(assign_pieces(points.select("idx", "x", "y", "z"), pieces, buffer), "piece_id", model)
+
+def label_planned(points: DataFrame, grid: TileGrid, model: Model, buffer: float, budget: int, allow_over_budget: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(idx, label) by the tiles of ``grid``, cut and refined until no window holds more than ``budget`` points.
+
+    A window that no cut can bring under the budget (more points than that
+    within the buffer of each other) is an error, unless it is allowed.
+    """
+    pieces = checkpointed(plan_tiles(points, grid, buffer, budget).where("total > 0"))
+    if not allow_over_budget:
+        over = pieces.where(F.col("total") > budget).agg(F.count("*").alias("n"), F.max("total").alias("most")).first()
+        if over["n"]:
+            raise ValueError(f"{over['n']} windows stay over the budget of {budget} points, the fullest has {over['most']}; take a larger budget or a smaller buffer")
+    named = pieces.select(F.concat_ws("/", "tile_id", "path").alias("piece_id"), "x0", "y0", "x1", "y1")
+    return label_pieces(points, named, model, buffer, by)
 
 
 def label_rows(points: DataFrame, model: Model) -> DataFrame:
@@ -115,19 +136,64 @@ def label_crops(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], k:
     return projected.join(labels, "rep_idx").select("idx", "label")
 
 
-def classify(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, budget: int | None = None, buffer: float = 50.0, raw_ids: bool = False) -> DataFrame:
-    """``points`` with column classification: tiles planned, dense ones cut, labelled with halos, merged by idx and mapped to codes.
+def classify(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, budget: int | None = None, buffer: float | None = None, need: float | None = None,
+             raw_ids: bool = False, allow_over_budget: bool = False, by: tuple[str, ...] = (), column: str = "classification") -> DataFrame:
+    """``points`` with ``column``: tiles planned, dense ones cut, labelled with halos, merged by idx and mapped to codes.
 
-    Tiles hold about ``target`` points where density is even; a window of
-    more than ``budget`` (by default four times the target) is cut, so that
-    no group of the model outgrows a worker. An unmapped label, or a point
-    without one, fails the job.
+    The halo is ``need``, what the model looks at around a point, or
+    ``buffer`` if that is more (``buffer_for``). Tiles hold about ``target``
+    points where density is even; a window of more than ``budget`` (by default
+    four times the target) is cut, so that no group of the model outgrows a
+    worker. An unmapped label, a point without a label and an idx that
+    several points share fail the job.
     """
-    grid = tile_grid(points, target, tile_size)
-    pieces = checkpointed(plan_tiles(points, grid, buffer, budget or 4 * target))
-    named = pieces.select(F.concat_ws("/", "tile_id", "path").alias("piece_id"), "x0", "y0", "x1", "y1")
-    labels = label_pieces(points, named, model, buffer)
-    codes = apply_codes(labels, classes, raw_ids).withColumnRenamed("code", "label")
-    merged = merge_labels(points, codes)
+    halo = buffer_for(buffer, need)
+    labels = label_planned(points, tile_grid(points, target, tile_size), model, halo, budget or 4 * target, allow_over_budget, by)
+    codes = apply_codes(labels, classes, raw_ids)
+    # one row an idx, by the shuffle that the join needs anyway
+    single = codes.groupBy("idx").agg(F.min("code").alias("label"), F.count("*").alias("_times"))
+    several = F.raise_error(F.concat(F.lit("several points have idx "), F.col("idx").cast("string"))).cast("short")
+    merged = merge_labels(points, single.select("idx", F.when(F.col("_times") == 1, F.col("label")).otherwise(several).alias("label")))
     sure = F.when(F.col("label").isNotNull(), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("no label for point "), F.col("idx").cast("string"))).cast("short"))
-    return merged.withColumn("classification", sure).drop("label")
+    return merged.withColumn(column, sure).drop("label")
+
+
+def classify_files(spark: SparkSession, source: str, result: str, model: Model, classes: DataFrame, *, crs_units: DataFrame | None = None, override: str = "auto", field: str = "classification",
+                   suffix: str = "_classified", model_name: str = "", weights: str = "", **options) -> DataFrame:
+    """Labels every LAS file of ``source`` and writes it to ``result``; (path, out, declared_count, n_out), a row a file.
+
+    The whole way: headers scanned; files refused that cannot be read, hold
+    waveforms or degrees; units resolved (``override``: metre, foot, us_foot or
+    auto; ``crs_units`` (code, to_m) for GeoTIFF keys that name a system) and
+    coordinates brought to metres; coordinates checked; each file labelled by
+    itself (``classify`` with ``options``); formats upgraded if a code needs
+    it; files written with all they had; counts compared with the sources'.
+    """
+    heads = las.scan_headers(spark, source)
+    for bad in heads.where("warning is not null").orderBy("path").limit(1).collect():
+        raise ValueError(bad.warning)
+    known = spark.createDataFrame([], "code int, to_m double") if crs_units is None else crs_units
+    resolved = resolve_units(heads.withColumn("override", F.lit(override)), known)
+    files = checkpointed(refuse_waveforms(resolved).select("path", "declared_count", "point_format", "xy_to_m", "z_to_m"))
+    points = assert_finite(to_metres(las.read_points(spark, source), files, key="path", kept=None))
+    labelled = checkpointed(classify(points, model, classes, by=("path",), column=field, **options))
+    oldest = files.agg(F.min("point_format")).first()[0]
+    upgrade = field == "classification" and oldest is not None and needs_upgrade(labelled.select(F.col(field).alias("code")), oldest).first()["needs_upgrade"]
+    named = classes.select("model_id", "asprs_code", F.col("name") if "name" in classes.columns else F.lit("").alias("name"))
+    table = named.agg(F.collect_list(F.struct(F.col("model_id").alias("id"), "name", F.col("asprs_code").alias("asprs"))).alias("c"))  # at most 256 classes
+    record = table.select(provenance_json(F.lit(model_name), F.lit(weights), F.lit(field), F.col("c"))).first()[0]
+    las.write_copies(labelled, result, field, upgrade, suffix, record)
+    return written_counts(files, las.scan_headers(spark, result), suffix)
+
+
+def written_counts(files: DataFrame, heads: DataFrame, suffix: str) -> DataFrame:
+    """(path, out, declared_count, n_out) of each file; one whose results have another number of points fails the job."""
+    stem = F.concat(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1), F.lit(suffix))
+    several = F.col("declared_count") > las.PART
+    parts = F.expr(f"sequence(0L, greatest(declared_count - 1, 0L) div {las.PART}L)")
+    wanted = files.select("path", "declared_count", several.alias("several"), stem.alias("stem"), F.explode(parts).alias("k"))
+    wanted = wanted.withColumn("name", F.concat("stem", F.when(F.col("several"), F.format_string("-%05d", "k")).otherwise(""), F.lit(".las")))
+    found = heads.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("path").alias("out"), F.col("declared_count").alias("n"))
+    totals = wanted.join(found, "name", "left").groupBy("path", "declared_count").agg(F.min("out").alias("out"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_out"))
+    wrong = F.raise_error(F.concat("path", F.lit(": not all points were written"))).cast("long")
+    return totals.select("path", "out", "declared_count", F.when(F.col("n_out") == F.col("declared_count"), F.col("n_out")).otherwise(wrong).alias("n_out"))

@@ -10,13 +10,27 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``, or one of our own where none is set."""
+    """The folder that all executors share, made the checkpoint folder if none is.
+
+    It is the session's ``spark.checkpoint.dir``. Where neither the session
+    nor its context names one, a local session gets a temporary folder and a
+    cluster an error, since executors would not share such a folder.
+    """
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not known.isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
         known = context._jsc.sc().getCheckpointDir()
-    return spark.conf.get("spark.checkpoint.dir", None) or known.get()
+    return named or known.get()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme: one without goes to the cluster's default file system."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(there).toString()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -2,26 +2,32 @@
 
 Point records have a fixed length, so a file is read in ranges of records, one
 a partition, each decoded as columns. A range that is shorter than its header
-declares fails the job. Writing gives one file a partition, published by the
-commit of the whole job; a failed job leaves nothing. Compressed files are not
-read. Paths are those of ``pyarrow.fs`` (local, shared mounts, or URIs).
+declares fails the job. ``idx`` numbers the points of all files read together,
+in order of path; ``record`` is a point's place in its own file. Writing is
+published by the commit of the whole job; a failed job leaves what was there.
+Compressed files are not read. Paths are those of ``pyarrow.fs``: URIs, or
+without a scheme local folders and shared mounts; the functions below send
+paths without a scheme to the cluster's default file system.
 """
 
 from __future__ import annotations
 
 import struct
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..session import checkpointed
+from ..functions.codes import UPGRADES
+from ..session import checkpointed, qualified
 
 #: Fields of the point formats, fixed values: (name, numpy type).
 _OLD = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("_returns", "u1"), ("_class", "u1"), ("scan_angle_rank", "i1"), ("user_data", "u1"), ("point_source_id", "<u2")]
@@ -41,6 +47,10 @@ _EXTRA = ("u1", "i1", "<u2", "<i2", "<u4", "<i4", "<u8", "<i8", "<f4", "<f8")
 #: numpy kind and size -> Spark type; unsigned 64-bit needs a decimal to stay exact.
 _SPARK = {"u1": "short", "i1": "byte", "u2": "int", "i2": "short", "u4": "long", "i4": "int", "u8": "decimal(20,0)", "i8": "long", "f4": "float", "f8": "double"}
 RANGE = 1_000_000
+#: Most points of a written file; a source with more is written in several.
+PART = 50_000_000
+#: Files whose headers the driver reads at a time when it plans a read by itself.
+HEADERS_AT_ONCE = 32
 #: Stored whole numbers, named apart from the coordinates made of them.
 RAW = {"X": "raw_x", "Y": "raw_y", "Z": "raw_z"}
 _STORED = {v: k for k, v in RAW.items()}
@@ -65,6 +75,10 @@ class Header:
     low: tuple[float, ...]
     high: tuple[float, ...]
     vlrs: tuple[tuple[str, int, bytes], ...]
+    #: As they stand in the file: the header, each record behind it, each extended record at the end.
+    head: bytes = b""
+    records: tuple[bytes, ...] = ()
+    extended: tuple[bytes, ...] = ()
 
     @property
     def extra(self) -> list[tuple[str, str, int, float | None, float]]:
@@ -91,8 +105,24 @@ class Header:
         return np.dtype(fields + ([("_rest", f"V{rest}")] if rest else []))
 
 
-def read_header(path: str) -> Header:
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the name it has there."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+#: User ids of records that do not describe copied points, fixed values.
+LAYOUT_RECORDS = ("copc", "laszip encoded")
+
+
+def _user(raw: bytes) -> str:
+    return raw[2:18].split(b"\0")[0].decode(errors="replace")
+
+
+def read_header(path: str, ends: bool = False) -> Header:
+    """The header of a file; with ``ends``, also its extended records."""
+    where, name = located(path)
     with where.open_input_file(name) as file:
         size = file.size()
         head = file.read(375)
@@ -103,20 +133,30 @@ def read_header(path: str) -> Header:
         if fmt & 0x80:
             raise ValueError(f"{path}: compressed points are not read")
         version, start, offset, n_vlr = (head[24], head[25]), at("<H", head, 94)[0], at("<I", head, 96)[0], at("<I", head, 100)[0]
-        count = at("<Q", head, 247)[0] if version >= (1, 4) and len(head) >= 255 else at("<I", head, 107)[0]
+        new = version >= (1, 4) and len(head) >= 375
+        count = at("<Q", head, 247)[0] if new else at("<I", head, 107)[0]
         bounds = at("<6d", head, 179)
         file.seek(start)
-        raw, vlrs, k = file.read(max(offset - start, 0)), [], 0
+        raw, records, k = file.read(max(offset - start, 0)), [], 0
         for _ in range(n_vlr):
-            user, record, length = raw[k + 2 : k + 18].split(b"\0")[0].decode(errors="replace"), at("<H", raw, k + 18)[0], at("<H", raw, k + 20)[0]
-            vlrs.append((user, record, raw[k + 54 : k + 54 + length]))
-            k += 54 + length
-    return Header(path, size, version, at("<H", head, 6)[0], offset, fmt & 0x3F, at("<H", head, 105)[0], count, at("<3d", head, 131), at("<3d", head, 155), bounds[1::2], bounds[0::2], tuple(vlrs))
+            length = 54 + at("<H", raw, k + 20)[0]
+            records.append(raw[k : k + length])
+            k += length
+        extended = []
+        if ends and new:
+            place, n_extended = at("<Q", head, 235)[0], at("<I", head, 243)[0]
+            for _ in range(n_extended):
+                file.seek(place)
+                opening = file.read(60)
+                extended.append(opening + file.read(at("<Q", opening, 20)[0]))
+                place += len(extended[-1])
+    vlrs = tuple((_user(r), at("<H", r, 18)[0], r[54:]) for r in records)
+    return Header(path, size, version, at("<H", head, 6)[0], offset, fmt & 0x3F, at("<H", head, 105)[0], count, at("<3d", head, 131), at("<3d", head, 155), bounds[1::2], bounds[0::2], vlrs, head[:start], tuple(records), tuple(extended))
 
 
 def _columns(header: Header) -> list[tuple[str, str]]:
     """(name, Spark type) of a file's rows."""
-    out = [("idx", "long"), ("path", "string"), ("x", "double"), ("y", "double"), ("z", "double")]
+    out = [("idx", "long"), ("path", "string"), ("record", "long"), ("x", "double"), ("y", "double"), ("z", "double")]
     bits = bits_of(header.point_format)
     out += [(RAW.get(n, n), _SPARK[np.dtype(t).str[1:]]) for n, t in FORMATS[header.point_format] if n[0] != "_"]
     out += [(n, "short") for n in bits]
@@ -137,12 +177,15 @@ def _arrow(values: np.ndarray, kind: str) -> pa.Array:
     return pa.array(values.astype({"short": "i2", "byte": "i1", "int": "i4", "long": "i8", "float": "f4", "double": "f8"}[kind]))
 
 
-def decode(header: Header, records: np.ndarray, first: int) -> pa.RecordBatch:
+def decode(header: Header, records: np.ndarray, first: int, start: int = 0) -> pa.RecordBatch:
+    """Rows of ``records``, the first of them number ``first`` of its file, which starts at idx ``start``."""
     kinds = _columns(header)
     bits, extra = bits_of(header.point_format), {e[0]: e for e in header.extra}
     out = []
     for name, kind in kinds:
         if name == "idx":
+            out.append(pa.array(np.arange(start + first, start + first + len(records), dtype=np.int64)))
+        elif name == "record":
             out.append(pa.array(np.arange(first, first + len(records), dtype=np.int64)))
         elif name == "path":
             out.append(pa.array([header.path] * len(records), pa.string()))
@@ -162,7 +205,7 @@ def decode(header: Header, records: np.ndarray, first: int) -> pa.RecordBatch:
 
 
 def _paths(path: str) -> list[str]:
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    where, name = located(path)
     info = where.get_file_info(name)
     if info.type == fs.FileType.File:
         return [path]
@@ -171,38 +214,60 @@ def _paths(path: str) -> list[str]:
     return sorted(f"{prefix}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name.lower().endswith(".las"))
 
 
+def decoded(path: str, first: int, count: int, start: int, kinds: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    """A range of a file's records, 100,000 at a time."""
+    header = read_header(path)
+    if _columns(header) != kinds:
+        raise ValueError(f"{path}: dimensions differ from the first file's; read it by itself")
+    where, name = located(path)
+    step = 100_000
+    with where.open_input_file(name) as file:
+        for k in range(first, first + count, step):
+            n = min(step, first + count - k)
+            file.seek(header.offset + k * header.record_length)
+            raw = file.read(n * header.record_length)
+            if len(raw) != n * header.record_length:
+                raise ValueError(f"{path}: {header.count} points declared, the file ends before point {k + n}")
+            yield decode(header, np.frombuffer(raw, header.dtype), k, start)
+
+
 class RecordRange(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        self.path, self.first, self.count = path, first, count
+    def __init__(self, path: str, first: int, count: int, start: int = 0):
+        self.path, self.first, self.count, self.start = path, first, count, start
 
 
 class LasReader(DataSourceReader):
+    """Plans by reading headers on the driver, some at a time; ``read_points`` does so in a job."""
+
     def __init__(self, paths: list[str], size: int, kinds: list[tuple[str, str]]):
         self.paths, self.size, self.kinds = paths, size, kinds
 
     def partitions(self):
-        ranges = []
-        for path in self.paths:
-            count = read_header(path).count
-            ranges += [RecordRange(path, k, min(self.size, count - k)) for k in range(0, count, self.size)]
+        ranges, start = [], 0
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            counts = pool.map(lambda p: read_header(p).count, self.paths)
+        for path, count in zip(self.paths, counts, strict=True):
+            ranges += [RecordRange(path, k, min(self.size, count - k), start) for k in range(0, count, self.size)]
+            start += count
         return ranges or [RecordRange("", 0, 0)]
 
     def read(self, part: RecordRange):
-        if not part.count:
-            return
-        header = read_header(part.path)
-        if _columns(header) != self.kinds:
-            raise ValueError(f"{part.path}: dimensions differ from the first file's; read it by itself")
-        where, name = fs.FileSystem.from_uri(part.path) if "://" in part.path or part.path.startswith("file:") else (fs.LocalFileSystem(), part.path)
-        step = 100_000
-        with where.open_input_file(name) as file:
-            for k in range(part.first, part.first + part.count, step):
-                n = min(step, part.first + part.count - k)
-                file.seek(header.offset + k * header.record_length)
-                raw = file.read(n * header.record_length)
-                if len(raw) != n * header.record_length:
-                    raise ValueError(f"{part.path}: {header.count} points declared, the file ends before point {k + n}")
-                yield decode(header, np.frombuffer(raw, header.dtype), k)
+        if part.count:
+            yield from decoded(part.path, part.first, part.count, part.start, self.kinds)
+
+
+#: GeoTIFF keys that tell units, fixed values; columns geo_<key>.
+GEO_KEYS = (1024, 3072, 3076, 4096, 4099)
+
+
+def geo_keys(vlrs) -> list[int | None]:
+    """Values of ``GEO_KEYS`` in a GeoKeyDirectory record, null where absent."""
+    found = {}
+    for user, record, data in vlrs:
+        if (user, record) == ("LASF_Projection", 34735) and len(data) >= 8:
+            numbers = np.frombuffer(data[: len(data) // 8 * 8], "<u2").reshape(-1, 4)[1:]
+            found |= {int(key): int(value) for key, place, _, value in numbers if place == 0}
+    return [found.get(k) for k in GEO_KEYS]
 
 
 class HeaderReader(DataSourceReader):
@@ -218,23 +283,25 @@ class HeaderReader(DataSourceReader):
         try:
             h = read_header(part.path)
             wkt = next((d.split(b"\0")[0].decode(errors="replace") for u, r, d in h.vlrs if (u, r) == ("LASF_Projection", 2112)), None)
-            row = (part.path, h.count, h.size, h.point_format, *h.low, *h.high, bool(h.encoding & 6), wkt, [(u, r, d) for u, r, d in h.vlrs], None)
+            waves = bool(h.encoding & 6) or h.point_format in (4, 5, 9, 10)
+            row = (part.path, h.count, h.size, h.point_format, *h.low, *h.high, waves, wkt, [(u, r, d) for u, r, d in h.vlrs], *geo_keys(h.vlrs), None)
         except Exception as error:  # an unreadable file is listed with its reason
-            where, name = fs.FileSystem.from_uri(part.path) if "://" in part.path or part.path.startswith("file:") else (fs.LocalFileSystem(), part.path)
-            row = (part.path, 0, where.get_file_info(name).size or 0, None, *[None] * 6, None, None, [], str(error))
+            where, name = located(part.path)
+            row = (part.path, 0, where.get_file_info(name).size or 0, None, *[None] * 6, None, None, [], *[None] * len(GEO_KEYS), str(error))
         yield row
 
 
 class LasHeaders(DataSource):
-    """One row a file: path, declared_count, size, point_format, bounds, waveforms, wkt, vlrs, warning."""
+    """One row a file: path, declared_count, size, point_format, bounds, waveforms, wkt, vlrs, geo keys, warning."""
 
     @classmethod
     def name(cls):
         return "las_header"
 
     def schema(self):
+        keys = "".join(f"geo_{k} int, " for k in GEO_KEYS)
         return ("path string, declared_count long, size long, point_format int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, "
-                "waveforms boolean, wkt string, vlrs array<struct<user_id:string,record_id:int,data:binary>>, warning string")
+                "waveforms boolean, wkt string, vlrs array<struct<user_id:string,record_id:int,data:binary>>, " + keys + "warning string")
 
     def reader(self, schema):
         return HeaderReader(_paths(self.options["path"]))
@@ -242,11 +309,90 @@ class LasHeaders(DataSource):
 
 @dataclass
 class Written(WriterCommitMessage):
-    part: str | None
-    count: int
+    files: tuple[tuple[str, int], ...]
+
+
+class Publisher(DataSourceArrowWriter):
+    """Files written under a temporary folder beside the target and moved into it, all together, by the job's commit."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path.removeprefix("file:") if "://" not in path else path, overwrite
+        self.temporary = f"{self.path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
+
+    def _folder(self) -> tuple[fs.FileSystem, str]:
+        where, folder = located(self.temporary)
+        where.create_dir(folder, recursive=True)
+        return where, folder
+
+    def commit(self, messages):
+        where, target = located(self.path)
+        temporary = located(self.temporary)[1]
+        names = [name for m in messages if m for name, _ in m.files]
+        if len(set(names)) < len(names):
+            raise ValueError("several results would have one name")
+        listed = where.get_file_info(fs.FileSelector(target, allow_not_found=True))
+        old = [f for f in listed if f.type == fs.FileType.File and f.base_name.endswith(".las") and f.base_name not in names]
+        for name in names:
+            where.move(f"{temporary}/{name}", f"{target}/{name}")
+        for file in old if self.overwrite else []:
+            where.delete_file(file.path)
+        self.abort(messages)
+
+    def abort(self, messages):
+        where, temporary = located(self.temporary)
+        if where.get_file_info(temporary).type == fs.FileType.Directory:
+            where.delete_dir(temporary)
 
 
-class LasWriter(DataSourceArrowWriter):
+class Body:
+    """Records on their way to a file, with what its header needs to know of them."""
+
+    def __init__(self, where: fs.FileSystem, path: str):
+        self.where, self.path = where, path
+        self.out = where.open_output_stream(f"{path}.body")
+        self.count, self.returns = 0, np.zeros(16, np.int64)
+        self.low, self.high = np.full(3, np.iinfo("i4").max, np.int64), np.full(3, np.iinfo("i4").min, np.int64)
+
+    def add(self, records: np.ndarray, return_bits: int) -> None:
+        if len(records):
+            whole = np.stack([records[c] for c in "XYZ"]).astype(np.int64)
+            self.low, self.high = np.minimum(self.low, whole.min(1)), np.maximum(self.high, whole.max(1))
+            self.returns += np.bincount(records["_returns"] & (1 << return_bits) - 1, minlength=16)
+            self.out.write(records.tobytes())
+            self.count += len(records)
+
+    def close(self, head: bytes, tail: bytes = b"") -> None:
+        self.out.close()
+        if self.count:
+            with self.where.open_output_stream(self.path) as out, self.where.open_input_stream(f"{self.path}.body") as points:
+                out.write(head)
+                while chunk := points.read(1 << 22):
+                    out.write(chunk)
+                out.write(tail)
+        self.where.delete_file(f"{self.path}.body")
+
+    def patch(self, head: bytearray, point_format: int, record_length: int, n_vlr: int, offset: int, scales, offsets) -> None:
+        """What depends on the points, in place."""
+        struct.pack_into("<IIBH", head, 96, offset, n_vlr, point_format, record_length)
+        old = point_format < 6
+        struct.pack_into("<6I", head, 107, *([self.count, *self.returns[1:6]] if old else [0] * 6))
+        low, high = (v * np.array(scales) + np.array(offsets) for v in (self.low, self.high))
+        struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
+        if len(head) >= 375:
+            struct.pack_into("<16Q", head, 247, self.count, *self.returns[1:16])
+
+
+def _packed(batch: pa.RecordBatch, bits: dict, records: np.ndarray) -> None:
+    """Fills the packed bits that the batch has columns for; a value that does not fit fails the job."""
+    for n, (source, shift, width) in bits.items():
+        if n in batch.schema.names:
+            values = batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False).astype("i8")
+            if len(values) and not (0 <= values.min() and values.max() < 1 << width):
+                raise ValueError(f"{n} does not fit in {width} bits")
+            records[source] |= (values << shift).astype("u1")
+
+
+class LasWriter(Publisher):
     """Points in format 6, or 7 with colours; columns that the format lacks become extra bytes.
 
     Coordinates are stored as whole numbers of ``scale`` from ``offsets``; one
@@ -254,40 +400,23 @@ class LasWriter(DataSourceArrowWriter):
     """
 
     def __init__(self, path: str, schema: StructType, scale: float, overwrite: bool, offsets: tuple[float, float, float] = (0.0, 0.0, 0.0)):
-        self.path, self.scale, self.overwrite, self.offsets = path.removeprefix("file:"), scale, overwrite, offsets
-        self.temporary = f"{self.path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
+        super().__init__(path, overwrite)
+        self.scale, self.offsets = scale, offsets
         names = [f.name for f in schema.fields]
         self.format = 7 if {"red", "green", "blue"} <= set(names) else 6
-        known = {n for n, _ in FORMATS[self.format]} | set(_NEW_BITS) | {"x", "y", "z", "idx", "path", *_STORED}
+        known = {n for n, _ in FORMATS[self.format]} | set(_NEW_BITS) | {"x", "y", "z", "idx", "path", "record", *_STORED}
         types = {"byte": "i1", "short": "<i2", "integer": "<i4", "long": "<i8", "float": "<f4", "double": "<f8", "decimal(20,0)": "<u8"}
         self.extra = [(f.name, types[f.dataType.typeName() if f.dataType.typeName() != "decimal" else f.dataType.simpleString()]) for f in schema.fields
                       if f.name not in known and (f.dataType.typeName() in types or f.dataType.simpleString() in types)]
 
     def write(self, batches):
-        where = fs.LocalFileSystem() if "://" not in self.path else fs.FileSystem.from_uri(self.path)[0]
-        folder = self.temporary if "://" not in self.path else fs.FileSystem.from_uri(self.temporary)[1]
-        where.create_dir(folder, recursive=True)
-        name, count = f"part-{uuid.uuid4().hex}.las", 0
-        low, high = np.full(3, np.inf), np.full(3, -np.inf)
-        body = f"{folder}/{name}.body"
-        with where.open_output_stream(body) as out:
-            for batch in batches:
-                records = self._encode(batch)
-                for k, c in enumerate("XYZ"):
-                    if len(records):
-                        low[k] = min(low[k], records[c].min() * self.scale + self.offsets[k])
-                        high[k] = max(high[k], records[c].max() * self.scale + self.offsets[k])
-                out.write(records.tobytes())
-                count += len(records)
-        if not count:
-            where.delete_file(body)
-            return Written(None, 0)
-        with where.open_output_stream(f"{folder}/{name}") as out, where.open_input_stream(body) as points:
-            out.write(self._header(count, low, high))
-            while chunk := points.read(1 << 22):
-                out.write(chunk)
-        where.delete_file(body)
-        return Written(name, count)
+        where, folder = self._folder()
+        name = f"part-{uuid.uuid4().hex}.las"
+        body = Body(where, f"{folder}/{name}")
+        for batch in batches:
+            body.add(self._encode(batch), 4)
+        body.close(self._header(body))
+        return Written(((name, body.count),) if body.count else ())
 
     def _dtype(self) -> np.dtype:
         return np.dtype(FORMATS[self.format] + self.extra)
@@ -304,12 +433,10 @@ class LasWriter(DataSourceArrowWriter):
         for n, t in [*FORMATS[self.format], *self.extra]:
             if n in names and n not in "XYZ":
                 records[n] = get(n).astype(t)
-        for n, (source, shift, width) in _NEW_BITS.items():
-            if n in names:
-                records[source] |= (get(n).astype("u1") & (1 << width) - 1) << shift
+        _packed(batch, _NEW_BITS, records)
         return records
 
-    def _header(self, count: int, low, high) -> bytes:
+    def _header(self, body: Body) -> bytes:
         vlr = b""
         if self.extra:
             data = b"".join(struct.pack("<2xBB32s4x24x24x24x24x24x32x", _EXTRA.index(t) + 1, 0, n.encode()[:32]) for n, t in self.extra)
@@ -317,33 +444,133 @@ class LasWriter(DataSourceArrowWriter):
         head = bytearray(375)
         struct.pack_into("<4sHH", head, 0, b"LASF", 0, 0)
         head[24], head[25] = 1, 4
-        struct.pack_into("<HIIBH", head, 94, 375, 375 + len(vlr), bool(vlr), self.format, self._dtype().itemsize)
+        struct.pack_into("<H", head, 94, 375)
         struct.pack_into("<3d3d", head, 131, *[self.scale] * 3, *self.offsets)
-        struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
-        struct.pack_into("<Q", head, 247, count)
+        body.patch(head, self.format, self._dtype().itemsize, int(bool(vlr)), 375 + len(vlr), [self.scale] * 3, self.offsets)
         return bytes(head) + vlr
 
-    def _place(self):
-        if "://" in self.path:
-            where, target = fs.FileSystem.from_uri(self.path)
-            return where, target, fs.FileSystem.from_uri(self.temporary)[1]
-        return fs.LocalFileSystem(), self.path, self.temporary
 
-    def commit(self, messages):
-        where, target, temporary = self._place()
-        old = [f.path for f in where.get_file_info(fs.FileSelector(target, allow_not_found=True)) if f.type == fs.FileType.File and f.base_name.endswith(".las")]
-        for m in messages:
-            if m and m.part:
-                where.move(f"{temporary}/{m.part}", f"{target}/{m.part}")
-        for path in old if self.overwrite else []:
-            where.delete_file(path)
-        if where.get_file_info(temporary).type == fs.FileType.Directory:
-            where.delete_dir(temporary)
+class LasCopier(Publisher):
+    """Each source file again, with other labels and everything else it had.
 
-    def abort(self, messages):
-        where, _, temporary = self._place()
-        if where.get_file_info(temporary).type == fs.FileType.Directory:
-            where.delete_dir(temporary)
+    Rows carry path, record, the stored whole numbers and every dimension of
+    the source. Scales, offsets, records behind the header and at the end are
+    the source's; with ``upgrade``, formats below 6 become their successors.
+    ``field`` is the dimension of the label; a new one is added as an extra
+    byte. A dimension that could not be kept fails the job.
+    """
+
+    def __init__(self, path: str, schema: StructType, upgrade: bool, field: str, suffix: str, part: int, provenance: str):
+        super().__init__(path, False)
+        self.upgrade, self.field, self.suffix, self.part, self.provenance = upgrade, field, suffix, part, provenance
+        missing = {"path", "record", *_STORED, field} - {f.name for f in schema.fields}
+        if missing:
+            raise ValueError(f"columns are missing: {sorted(missing)}")
+
+    def write(self, batches):
+        where, folder = self._folder()
+        key, body, done, source = None, None, [], None
+
+        def finish():
+            body.close(*self._ends(source, body))
+            done.append((body.path.rsplit("/", 1)[1], body.count))
+
+        for batch in batches:
+            names = batch.schema.names
+            paths, records = batch.column(names.index("path")), batch.column(names.index("record")).to_numpy()
+            at = paths.dictionary_encode().indices.to_numpy() if len(paths) else np.zeros(0, int)
+            parts = records // self.part
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (parts[1:] != parts[:-1])) + 1), len(at)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if a == b:
+                    continue
+                now = (paths[a].as_py(), int(parts[a]))
+                if now != key:
+                    if body:
+                        finish()
+                    key, source = now, read_header(now[0], ends=True)
+                    stem = now[0].rsplit("/", 1)[1].rsplit(".", 1)[0]
+                    numbered = f"-{now[1]:05d}" if source.count > self.part else ""
+                    body = Body(where, f"{folder}/{stem}{self.suffix}{numbered}.las")
+                body.add(self._encode(source, batch.slice(int(a), int(b - a))), 3 if self._format(source) < 6 else 4)
+        if body:
+            finish()
+        return Written(tuple(done))
+
+    def _format(self, source: Header) -> int:
+        return UPGRADES.get(source.point_format, source.point_format) if self.upgrade else source.point_format
+
+    def _extra(self, source: Header) -> list[tuple]:
+        """Extra dimensions of the result: the source's, and a label of its own name."""
+        have = source.extra
+        if any(kind[0] == "V" for _, kind, *_ in have) or "_rest" in (source.dtype.names or ()):
+            raise ValueError(f"{source.path}: bytes without a described type would be lost")
+        if self.upgrade and source.point_format < 6 and "scan_angle_rank" not in [e[0] for e in have]:
+            have = [*have, ("scan_angle_rank", "i1", 1, None, 0.0)]
+        fixed = {"classification", *(n for n, _ in FORMATS[self._format(source)])}
+        return have if self.field in fixed or self.field in [e[0] for e in have] else [*have, (self.field, "u1", 1, None, 0.0)]
+
+    def _encode(self, source: Header, batch: pa.RecordBatch) -> np.ndarray:
+        fmt, extra, names = self._format(source), self._extra(source), batch.schema.names
+        records = np.zeros(batch.num_rows, np.dtype(FORMATS[fmt] + [(n, t) if k == 1 else (n, t, (k,)) for n, t, k, _, _ in extra]))
+        get = lambda n: batch.column(names.index(n)).to_numpy(zero_copy_only=False)
+        for stored, column in RAW.items():
+            records[stored] = get(column)
+        for n, t in FORMATS[fmt]:
+            if n[0] == "_" or n in RAW:
+                continue
+            if n == "scan_angle" and n not in names:
+                records[n] = np.rint(get("scan_angle_rank") / 0.006)
+            elif n == "classification":
+                records[n] = _fits(get(n), n, t)
+            else:
+                records[n] = get(n)
+        _packed(batch, bits_of(fmt), records)
+        for n, t, k, scale, base in extra:
+            if k > 1:
+                values = np.array([list(v) for v in batch.column(names.index(n)).to_pylist()])
+                records[n] = np.rint((values - base) / scale) if scale is not None else values
+            else:
+                records[n] = _fits(get(f"{n}_raw" if scale is not None else n), n, t)
+        return records
+
+    def _ends(self, source: Header, body: Body) -> tuple[bytes, bytes]:
+        """(all before the points, all behind them)."""
+        fmt, extra = self._format(source), self._extra(source)
+        kept = [r for r in source.records if _user(r).lower() not in LAYOUT_RECORDS and (_user(r), struct.unpack_from("<H", r, 18)[0]) != ("LASF_Spec", 4) and _user(r) != PROVENANCE_USER]
+        described = b"".join(d for u, r, d in source.vlrs if (u, r) == ("LASF_Spec", 4))
+        described += b"".join(struct.pack("<2xBB32s4x24x24x24x24x24x32x", _EXTRA.index(t) + 1, 0, n.encode()[:32]) for n, t, *_ in extra[len(source.extra) :])
+        if described:
+            kept.append(struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(described), b"Extra bytes") + described)
+        if self.provenance:
+            text = self.provenance.encode()
+            kept.append(struct.pack("<H16sHH32s", 0, PROVENANCE_USER.encode(), 1, len(text), b"What labelled the points") + text)
+        head = bytearray(source.head if fmt < 6 or len(source.head) >= 375 else source.head[:227] + bytes(148))
+        if fmt >= 6:
+            head[24:26] = bytes([1, 4])
+            if any((u, r) == ("LASF_Projection", 2112) for u, r, _ in source.vlrs):
+                head[6] |= 16
+        struct.pack_into("<H", head, 94, len(head))
+        length = np.dtype(FORMATS[fmt] + [(n, t) if k == 1 else (n, t, (k,)) for n, t, k, _, _ in extra]).itemsize
+        offset = len(head) + sum(map(len, kept))
+        body.patch(head, fmt, length, len(kept), offset, source.scales, source.offsets)
+        extended = [e for e in source.extended if _user(e).lower() not in LAYOUT_RECORDS]
+        if len(head) >= 375:
+            struct.pack_into("<QI", head, 235, offset + length * body.count if extended else 0, len(extended))
+        return bytes(head) + b"".join(kept), b"".join(extended)
+
+
+#: User id of the record that says what labelled a file.
+PROVENANCE_USER = "pointloom"
+
+
+def _fits(values: np.ndarray, name: str, kind: str) -> np.ndarray:
+    """Values for a dimension of that type; one that it cannot hold fails the job."""
+    if np.dtype(kind).kind in "iu" and len(values):
+        bounds = np.iinfo(kind)
+        if not (bounds.min <= values.min() and values.max() <= bounds.max):
+            raise ValueError(f"{name} does not fit")
+    return values
 
 
 class Las(DataSource):
@@ -366,6 +593,8 @@ class Las(DataSource):
         return LasReader(_paths(self.options["path"]), int(self.options.get("range", RANGE)), _columns(self._first()))
 
     def writer(self, schema, overwrite):
+        if "field" in self.options:
+            return LasCopier(self.options["path"], schema, self.options["upgrade"] == "true", self.options["field"], self.options["suffix"], int(self.options["part"]), self.options["provenance"])
         return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), overwrite, tuple(float(self.options.get(f"offset_{c}", 0)) for c in "xyz"))
 
 
@@ -376,8 +605,51 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scan_headers(spark: SparkSession, path: str):
-    return register(spark).read.format("las_header").load(path)
+def scan_headers(spark: SparkSession, path: str) -> DataFrame:
+    """One row a file of ``path``, read by the cluster; points stay unread."""
+    return register(spark).read.format("las_header").load(qualified(spark, path))
+
+
+def read_points(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+    """The points of a file or folder, planned by a job over its headers.
+
+    Columns as of ``format("las")``. Only one header is read by the driver,
+    for the columns; ranges of ``size`` records are dealt to the tasks. Files
+    that cannot be read, or with other dimensions, fail.
+    """
+    heads = checkpointed(scan_headers(spark, path).select("path", "declared_count", "warning"))
+    for bad in heads.where("warning is not null").orderBy("path").limit(1).collect():
+        raise ValueError(bad.warning)
+    first = heads.agg(F.min("path")).first()[0]
+    if first is None:
+        raise FileNotFoundError(f"no .las file in {path}")
+    kinds = _columns(read_header(first))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = heads.select("path", "declared_count", F.coalesce(F.sum("declared_count").over(before), F.lit(0)).alias("start"))
+    ranges = starts.where("declared_count > 0").select("path", "declared_count", "start", F.explode(F.expr(f"sequence(0L, declared_count - 1, {size}L)")).alias("first"))
+    ranges = checkpointed(ranges.select("path", "first", F.least(F.lit(size), F.col("declared_count") - F.col("first")).alias("count"), "start"))
+
+    def read(batches):
+        for batch in batches:
+            for part in batch.to_pylist():
+                yield from decoded(part["path"], part["first"], part["count"], part["start"], kinds)
+
+    dealt = ranges.repartition(max(1, ranges.count()), "path", "first")
+    return dealt.mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in kinds))
+
+
+def write_copies(points: DataFrame, folder: str, field: str = "classification", upgrade: bool = False, suffix: str = "", provenance: str = "", part: int = PART) -> None:
+    """The source files of ``points`` (columns of ``read_points``) again in ``folder``, labels from column ``field``.
+
+    Files keep names, order, header, records and all dimensions; sources of
+    more than ``part`` points come in several files, so that no task writes
+    more. A file of the same name is replaced when the whole job is done.
+    """
+    register(points.sparkSession)
+    pieces = points.withColumn("_part", F.expr(f"record div {part}"))
+    ordered = pieces.repartition("path", "_part").sortWithinPartitions("path", "record").drop("_part")
+    options = {"field": field, "upgrade": str(upgrade).lower(), "suffix": suffix, "part": str(part), "provenance": provenance}
+    ordered.write.format("las").mode("append").options(**options).save(qualified(points.sparkSession, folder))
 
 
 def whole_offsets(points) -> tuple[float, float, float]:
@@ -390,7 +662,8 @@ def write_classified(points, path: str, kind: str = "parquet", parts: int | None
     """``points`` in the order of idx: ranges of idx, a file each, published together.
 
     LAS files share whole-unit offsets in the middle of the cloud; for that,
-    ``points`` are stored first, so that a model behind them runs once.
+    ``points`` are stored first, so that a model behind them runs once. What
+    was in the folder goes when the new files are there.
     """
     points = checkpointed(points) if kind == "las" else points
     ordered = points.repartitionByRange(parts, "idx") if parts else points.repartitionByRange("idx")
@@ -398,6 +671,6 @@ def write_classified(points, path: str, kind: str = "parquet", parts: int | None
     if kind == "las":
         register(points.sparkSession)
         offsets = {f"offset_{c}": str(v) for c, v in zip("xyz", whole_offsets(points), strict=True)}
-        ordered.write.format("las").mode("append").option("scale", str(scale)).options(**offsets).save(path)
+        ordered.write.format("las").mode("overwrite").option("scale", str(scale)).options(**offsets).save(qualified(points.sparkSession, path))
     else:
         ordered.write.mode("errorifexists").format(kind).save(path)

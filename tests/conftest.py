@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -44,7 +45,7 @@ def duck():
 
 def plain(value):
     """A value both engines agree on: floats rounded, missing as None."""
-    if value is None or value != value or str(value) == "<NA>":
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return bool(value)

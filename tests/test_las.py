@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.plans import labelling
+from pointloom.session import checkpointed
 from pointloom.sources import files, las
 
 
@@ -74,6 +76,82 @@ def test_write_las_keeps_order_columns_and_old_output_on_failure(spark, tmp_path
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == before
 
 
+def folder_of_files(path, counts=(200, 150), fmt=3):
+    """LAS files around (5e5, 5.5e6, 700) with a CRS record, a COPC record and an extra dimension."""
+    wkt = b'PROJCS["p",UNIT["metre",1]]\0'
+    path.mkdir()
+    for k, n in enumerate(counts):
+        raw = bytearray(las_bytes(n, fmt, extra=[("mine", "<u8")], vlrs=[(b"LASF_Projection", 2112, wkt), (b"copc", 1, b"x")]))
+        struct.pack_into("<6d", raw, 131, 0.01, 0.01, 0.01, 5e5 + 3 * k, 5.5e6, 700)
+        (path / f"{'ab'[k]}.las").write_bytes(bytes(raw))
+    return str(path)
+
+
+def test_points_of_several_files_have_ids_of_their_own(spark, tmp_path):
+    folder = folder_of_files(tmp_path / "in")
+    for cloud in (las.read_points(spark, folder, 60), las.register(spark).read.format("las").option("range", 60).load(folder)):
+        rows = cloud.orderBy("idx").collect()
+        assert [r.idx for r in rows] == list(range(350)) and [r.record for r in rows] == [*range(200), *range(150)]
+        assert (rows[201].x, rows[201].y) == pytest.approx((5e5 + 3.01, 5.5e6 + 0.02)) and rows[201].path.endswith("b.las")
+
+
+@pytest.mark.parametrize("upgrade", [False, True])
+def test_copies_keep_all_but_the_label(spark, tmp_path, upgrade):
+    folder, out = folder_of_files(tmp_path / "in"), tmp_path / "out"
+    cloud = checkpointed(las.read_points(spark, folder))
+    code = F.expr(f"cast(record % {256 if upgrade else 32} as smallint)")
+    for _ in range(2):  # a second run replaces the first
+        las.write_copies(cloud.withColumn("classification", code), str(out), upgrade=upgrade, provenance="{}")
+    assert sorted(p.name for p in out.iterdir()) == ["a.las", "b.las"]
+    back = las.read_points(spark, str(out)).orderBy("idx").collect()
+    same = ["idx", "record", "x", "y", "z", "raw_x", "intensity", "gps_time", "red", "mine", "return_number", "withheld", "scan_angle_rank"]
+    assert [[r[c] for c in same] for r in back] == [[r[c] for c in same] for r in cloud.orderBy("idx").collect()]
+    assert all(r.classification == r.record % (256 if upgrade else 32) for r in back)
+    old, new = las.read_header(f"{folder}/b.las"), las.read_header(str(out / "b.las"))
+    assert (new.scales, new.offsets, new.count, new.point_format, new.version) == (old.scales, old.offsets, 150, 7 if upgrade else 3, (1, 4) if upgrade else old.version)
+    assert [(u, r) for u, r, _ in new.vlrs] == [("LASF_Projection", 2112), ("LASF_Spec", 4), ("pointloom", 1)] and new.vlrs[0][2] == old.vlrs[0][2]
+    assert new.low[0] == pytest.approx(5e5 + 3) and new.high[0] == pytest.approx(5e5 + 3 + 1.49)
+    if not upgrade:
+        with pytest.raises(Exception, match="does not fit in 5 bits"):
+            las.write_copies(cloud.withColumn("classification", F.lit(40)), str(out))
+        assert len(las.read_points(spark, str(out)).collect()) == 350
+
+
+def test_large_sources_come_in_parts(spark, tmp_path):
+    cloud = las.read_points(spark, folder_of_files(tmp_path / "in"))
+    las.write_copies(cloud, str(tmp_path / "out"), part=80, suffix="_c")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{s}_c-0000{k}.las" for s, n in (("a", 3), ("b", 2)) for k in range(n)]
+    back = las.read_points(spark, str(tmp_path / "out")).orderBy("idx").collect()
+    assert [r.raw_x for r in back] == [r.raw_x for r in cloud.orderBy("idx").collect()]
+
+
+def test_classify_files_end_to_end(spark, tmp_path):
+    folder, out = folder_of_files(tmp_path / "in"), str(tmp_path / "out")
+    classes = spark.createDataFrame([(1, 2, "ground"), (2, 64, "platform")], "model_id int, asprs_code int, name string")
+
+    def by_side(xyz):
+        assert len(xyz) <= 100
+        return (xyz[:, 0] > 5e5 + 2).astype("i4") + 1
+
+    report = labelling.classify_files(spark, folder, out, by_side, classes, target=25, buffer=0.1, model_name="m").collect()
+    assert sorted((r.path[-5:], r.out.rsplit("/", 1)[1], r.declared_count, r.n_out) for r in report) == [("a.las", "a_classified.las", 200, 200), ("b.las", "b_classified.las", 150, 150)]
+    back = las.read_points(spark, out)
+    assert back.count() == 350 and back.where("classification <> if(x > 500002, 64, 2)").count() == 0
+    assert {r.point_format for r in las.scan_headers(spark, out).collect()} == {7}
+    with pytest.raises(ValueError, match="over the budget"):
+        labelling.classify_files(spark, folder, out, by_side, classes, target=25, buffer=50.0)
+    (tmp_path / "in" / "c.las").write_bytes(b"no las")
+    with pytest.raises(ValueError, match="no LAS file"):
+        labelling.classify_files(spark, folder, out, by_side, classes)
+
+
+def test_repeated_ids_fail(spark):
+    cloud = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 0.1, 0.0, 0.0)], "idx long, x double, y double, z double")
+    classes = spark.createDataFrame([(1, 2)], "model_id int, asprs_code int")
+    with pytest.raises(Exception, match="several points have idx 1"):
+        labelling.classify(cloud, lambda xyz: np.ones(len(xyz), int), classes).collect()
+
+
 def test_write_las_far_from_the_origin(spark, tmp_path):
     cloud = spark.range(300).select(F.col("id").alias("idx"), (5e5 + F.col("id") / 8).alias("x"), (5.5e6 - F.col("id") / 4).alias("y"), F.lit(700.125).alias("z"))
     out = str(tmp_path / "out")
