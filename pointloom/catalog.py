@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codes, curves, units
@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-WITH = {"pts": views.PTS, "big": views.PTS_BIG, "vecs": views.VECS.format(1, 2, 3), "files": views.FILES, "classes": views.CLASSES}
+WITH = {"pts": views.PTS, "big": views.PTS_BIG, "vecs": views.VECS.format(1, 2, 3), "files": views.FILES, "classes": views.CLASSES, "own": views.OWN_CLASSES}
 
 
 def query(sql: str | None = None, *ctes: str):
@@ -45,9 +45,11 @@ def extent(spark, sf):
     return points.extent(views.pts(spark, sf))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (NOT isfinite(x) OR NOT isfinite(y) OR NOT isfinite(z)) AS n_bad FROM pts", "pts")
+@query("SELECT count(*) AS n, count(*) FILTER (model_id = 1 OR model_id = 2 AND idx % 3 = 0 OR model_id = 3 AND idx % 2 = 0) AS n_bad FROM pts", "pts")
 def finite_check(spark, sf):
-    return points.finite_counts(points.assert_finite(views.pts(spark, sf)))
+    """Some x are NaN, some y infinite, some z null."""
+    bad = {"x": "if(model_id = 1, double('NaN'), x)", "y": "if(model_id = 2 and idx % 3 = 0, double('-Infinity'), y)", "z": "if(model_id = 3 and idx % 2 = 0, null, z)"}
+    return points.finite_counts(views.pts(spark, sf).withColumns({c: F.expr(e) for c, e in bad.items()}))
 
 
 LOCAL = "loc AS (SELECT idx, x, y, z, model_id, cast(x - ox AS REAL) AS lx, cast(y - oy AS REAL) AS ly, cast(z - oz AS REAL) AS lz FROM pts, (SELECT floor(min(x)) AS ox, floor(min(y)) AS oy, floor(min(z)) AS oz FROM pts))"
@@ -155,7 +157,7 @@ def halo_share(spark, sf):
     return tiling.replication_report(_counts(spark, sf))
 
 
-@query("SELECT count(*) AS n_tiles, max(n_window) AS most, max(n_window) * 32 AS needed_bytes FROM counts WHERE n_window > 1000", "pts", TILES, PAIRS, COUNTS)
+@query("SELECT count(*) AS n_tiles, coalesce(max(n_window), 0) AS most, coalesce(max(n_window), 0) * 32 AS needed_bytes FROM counts WHERE n_window > 1000", "pts", TILES, PAIRS, COUNTS)
 def over_budget(spark, sf):
     return tiling.over_budget(_counts(spark, sf), 1000)
 
@@ -191,21 +193,36 @@ def tile_partition(spark, sf):
     return joined.agg(F.count("*").alias("n_points"), F.count_if(F.coalesce("n", F.lit(0)) != 1).alias("n_wrong"))
 
 
-BOX = (0.0, 0.0, 500.0, 150.0)
-CELLS = "cells AS (SELECT cast(least(greatest(floor(x / 7.8125), 0), 64) AS BIGINT) AS cx, cast(least(greatest(floor(y / 7.8125), 0), 19) AS BIGINT) AS cy, count(*) AS n FROM pts GROUP BY ALL)"
+#: A grid of 64 cells along the longer side of the cloud's extent.
+EXTENT = "geom AS (SELECT *, cast(floor(w / cell) AS BIGINT) + 1 AS nx, cast(floor(h / cell) AS BIGINT) + 1 AS ny FROM (SELECT *, greatest(0.5::DOUBLE, greatest(w, h) / 64.0::DOUBLE) AS cell FROM (SELECT min(x) AS gx0, min(y) AS gy0, max(x) - min(x) AS w, max(y) - min(y) AS h FROM pts)))"
+
+
+def _cell_sql(value: str, axis: str) -> str:
+    return f"cast(least(greatest(floor(({value} - g{axis}0) / cell), 0), n{axis} - 1) AS BIGINT)"
+
+
+CELLS = f"cells AS (SELECT {_cell_sql('x', 'x')} AS cx, {_cell_sql('y', 'y')} AS cy, count(*) AS n FROM pts, geom GROUP BY ALL)"
+
+
+def _cell_grid(cloud: DataFrame) -> tiling.CellGrid:
+    return tiling.cell_grid(tiling.plane_extent(cloud)[0], max_cells=64)
 
 
 def _cells(spark, sf) -> tuple[DataFrame, tiling.CellGrid]:
-    grid = tiling.cell_grid(BOX, max_cells=64)
-    return tiling.count_grid(views.pts(spark, sf), grid), grid
+    cloud = views.pts(spark, sf)
+    grid = _cell_grid(cloud)
+    return tiling.count_grid(cloud, grid), grid
 
 
-@query("SELECT * FROM cells", "pts", CELLS)
+@query("SELECT * FROM cells", "pts", EXTENT, CELLS)
 def count_grid(spark, sf):
     return _cells(spark, sf)[0]
 
 
-@query("SELECT s_suppkey AS rect_id, coalesce((SELECT sum(n) FROM cells WHERE cx BETWEEN least(greatest(floor(s_suppkey % 40 * 10 / 7.8125), 0), 64) AND least(greatest(floor((s_suppkey % 40 * 10 + s_suppkey % 7 * 9 - 5) / 7.8125), 0), 64) AND cy BETWEEN least(greatest(floor(s_suppkey % 11 * 10 / 7.8125), 0), 19) AND least(greatest(floor((s_suppkey % 11 * 10 + 30) / 7.8125), 0), 19) AND s_suppkey % 7 * 9 - 5 >= 0), 0)::BIGINT AS n FROM supplier", "pts", CELLS)
+RECTS = "rects AS (SELECT s_suppkey AS rect_id, s_suppkey % 40 * 10.0::DOUBLE AS x0, s_suppkey % 11 * 10.0::DOUBLE AS y0, s_suppkey % 40 * 10.0::DOUBLE + s_suppkey % 7 * 9 - 5 AS x1, s_suppkey % 11 * 10.0::DOUBLE + 30 AS y1 FROM supplier)"
+
+
+@query(f"SELECT rect_id, coalesce((SELECT sum(n) FROM cells WHERE cx BETWEEN {_cell_sql('x0', 'x')} AND {_cell_sql('x1', 'x')} AND cy BETWEEN {_cell_sql('y0', 'y')} AND {_cell_sql('y1', 'y')} AND x1 >= x0), 0)::BIGINT AS n FROM rects, geom", "pts", EXTENT, CELLS, RECTS)
 def rect_counts(spark, sf):
     cells, grid = _cells(spark, sf)
     s = F.col("s_suppkey")
@@ -213,12 +230,12 @@ def rect_counts(spark, sf):
     return tiling.rect_count(cells, rects, grid)
 
 
-@query("SELECT a.cx, b.cy, coalesce((SELECT sum(n) FROM cells c WHERE c.cx <= a.cx AND c.cy <= b.cy), 0)::BIGINT AS total FROM (SELECT DISTINCT cx FROM cells) a, (SELECT DISTINCT cy FROM cells) b", "pts", CELLS)
+@query("SELECT a.cx, b.cy, coalesce((SELECT sum(n) FROM cells c WHERE c.cx <= a.cx AND c.cy <= b.cy), 0)::BIGINT AS total FROM (SELECT DISTINCT cx FROM cells) a, (SELECT DISTINCT cy FROM cells) b", "pts", EXTENT, CELLS)
 def prefix_sums(spark, sf):
     return tiling.prefix_sums(_cells(spark, sf)[0])
 
 
-@query("SELECT cy, cx AS cut FROM (SELECT DISTINCT cy, cx, lag(cx) OVER (PARTITION BY cy ORDER BY cx) AS prev FROM cells) WHERE cx - prev > 1", "pts", CELLS)
+@query("SELECT cy, cx AS cut FROM (SELECT DISTINCT cy, cx, lag(cx) OVER (PARTITION BY cy ORDER BY cx) AS prev FROM cells) WHERE cx - prev > 1", "pts", EXTENT, CELLS)
 def gap_cuts(spark, sf):
     return tiling.gap_cuts(_cells(spark, sf)[0], "x", ["cy"])
 
@@ -235,32 +252,35 @@ def rect_minus(spark, sf):
     return tiling.rect_minus(spark.read.parquet(f"{sf}/supplier.parquet").select(s.alias("piece_id"), *[v.alias(k) for k, v in ends.items()]))
 
 
-def _owners(cloud: DataFrame, pieces: DataFrame, budget_key: str = "total") -> DataFrame:
-    """One row: points, and those that are not in exactly one piece."""
-    named = pieces.select(F.concat_ws("/", F.col("tile_id"), "path").alias("piece_id"), "x0", "y0", "x1", "y1")
+def _planned(cloud: DataFrame, pieces: DataFrame, buffer: float, budget: int) -> DataFrame:
+    """One row: points, those that are not in exactly one piece, whether each labelled window keeps the budget, whether any tile was cut."""
+    named = checkpointed(pieces.select("total", "path", F.concat_ws("/", F.col("tile_id"), "path").alias("piece_id"), "x0", "y0", "x1", "y1"))
     wrong = labels.partition_check(cloud, named).agg(F.count("*").alias("n_wrong"))
-    return cloud.agg(F.count("*").alias("n_points")).crossJoin(wrong)
+    windows = tiling.assign_pieces(cloud, named.where("total > 0"), buffer).groupBy("piece_id").agg(F.count("*").alias("n"))
+    fits = windows.agg((F.max("n") <= budget).alias("within_budget"))
+    return cloud.agg(F.count("*").alias("n_points")).crossJoin(wrong).crossJoin(fits).crossJoin(named.agg((F.max(F.length("path")) > 0).alias("any_cut")))
 
 
-@query("SELECT count(*) AS n_points, 0::BIGINT AS n_wrong FROM pts", "pts")
+#: Cuts are needed, and windows can be cut to an eighth of the cloud (a window's halo is 2 m).
+BUDGETED = "counts AS (SELECT max(n) AS fullest FROM (SELECT count(*) AS n FROM pts JOIN tiles t ON x BETWEEN t.x0 - 2 AND t.x1 + 2 AND y BETWEEN t.y0 - 2 AND t.y1 + 2 GROUP BY tile_id))"
+
+
+@query("SELECT count(*) AS n_points, 0::BIGINT AS n_wrong, true AS within_budget, (SELECT fullest FROM counts) > count(*) // 8 AS any_cut FROM pts", "pts", TILES, BUDGETED)
 def split_dense(spark, sf):
-    """Tiles cut until windows hold at most an eighth of the cloud: still a partition of the points."""
+    """Tiles cut until windows hold at most an eighth of the cloud: a partition of the points, within the budget."""
     cloud = views.pts(spark, sf).select("idx", "x", "y")
-    n = cloud.count()
-    return _owners(cloud, checkpointed(tiling.plan_tiles(cloud, _grid(cloud), 2.0, max(n // 8, 1))))
+    budget = max(cloud.count() // 8, 1)
+    return _planned(cloud, checkpointed(tiling.plan_tiles(cloud, _grid(cloud), 2.0, budget)), 2.0, budget)
 
 
-@query("SELECT count(*) AS n_points, 0::BIGINT AS n_wrong FROM pts", "pts")
+@query("SELECT count(*) + 1 AS n_points, 0::BIGINT AS n_wrong, true AS within_budget, true AS any_cut FROM pts", "pts")
 def refine_dense(spark, sf):
-    """Pieces that a coarse count grid leaves dense, planned again on grids of their own."""
+    """The cloud and a stray point 3,000 km away: the first count grid resolves nothing, grids of the dense pieces do."""
     cloud = views.pts(spark, sf).select("idx", "x", "y")
-    n, grid = cloud.count(), _grid(cloud)
-    coarse = tiling.cell_grid((grid.xs[0], grid.ys[0], grid.xs[-1], grid.ys[-1]), 4)
-    cells = checkpointed(tiling.count_grid(cloud, coarse).withColumn("grid_id", F.lit(0).cast("long")))
-    whole = grid.tiles(spark).select("tile_id", F.lit("").alias("path"), F.lit(0).cast("long").alias("grid_id"), "x0", "y0", "x1", "y1")
-    budget = max(n // 8, 1)
-    pieces = tiling.split_dense(whole, cells, tiling.one_grid(spark, coarse), 2.0, budget)
-    return _owners(cloud, checkpointed(tiling.refine_dense(cloud, pieces, cells, coarse, 2.0, budget)))
+    stray = cloud.agg(F.lit(-1).cast("long").alias("idx"), F.lit(3e6).alias("x"), F.lit(3e6).alias("y"))
+    both = checkpointed(cloud.unionByName(stray))
+    budget = max(both.count() // 8, 1)
+    return _planned(both, checkpointed(tiling.plan_tiles(both, tiling.tile_grid(both, budget), 2.0, budget)), 2.0, budget)
 
 
 @query("SELECT idx, tile_id AS piece_id FROM pairs", "pts", TILES, PAIRS)
@@ -355,9 +375,10 @@ def map_codes(spark, sf):
     return labels.map_codes(views.pts(spark, sf).select("idx", F.col("model_id").alias("label")), views.classes(spark, "rail")).select("idx", "code")
 
 
-@query("SELECT asprs_code AS code, arg_min(color, model_id) AS color, string_agg(name, ' / ' ORDER BY model_id) AS label FROM classes c WHERE model = 'airborne' GROUP BY 1", "classes")
+@query("SELECT code, arg_min(color, at) AS color, string_agg(name, ' / ' ORDER BY at) AS label FROM (SELECT asprs_code AS code, name, min(model_id) AS at, arg_min(color, model_id) AS color FROM own GROUP BY 1, 2) GROUP BY 1", "own")
 def legend(spark, sf):
-    return labels.legend(views.classes(spark, "airborne"))
+    """Legend of a class table kept in the suppliers: several classes a code, names that repeat."""
+    return labels.legend(views.view(spark, sf, views.OWN_CLASSES))
 
 
 @query("SELECT max(code)::INTEGER AS max_code, max(code) > 31 AS needs_upgrade FROM (SELECT asprs_code AS code FROM pts JOIN classes ON classes.model_id = pts.model_id + 2 WHERE model = 'rail')", "pts", "classes")
@@ -389,12 +410,14 @@ def cloud_diff(spark, sf):
     return labels.compare_class_counts(*_ab(spark, sf))
 
 
-@query("SELECT false AS same_count, true AS same_min_x, false AS same_max_x, true AS same_min_y, true AS same_max_y, true AS same_min_z, true AS same_max_z, 'model_id' AS lost_columns")
+@query("""SELECT a.n = b.n AS same_count, abs(a.x0 - b.x0) <= 0.001 AS same_min_x, abs(a.x1 - b.x1) <= 0.001 AS same_max_x, abs(a.y0 - b.y0) <= 0.001 AS same_min_y, abs(a.y1 - b.y1) <= 0.001 AS same_max_y,
+    abs(a.z0 - b.z0) <= 0.001 AS same_min_z, abs(a.z1 - b.z1) <= 0.001 AS same_max_z, 'model_id' AS lost_columns FROM
+    (SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM pts) a,
+    (SELECT count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) + 0.0005 AS z0, max(z) + 0.0005 AS z1 FROM pts WHERE idx % 3 > 0) b""", "pts")
 def compare_clouds(spark, sf):
-    """The cloud against itself without the points of the largest x, and without a column."""
+    """The cloud against two thirds of itself, raised by less than the tolerance, without a column."""
     cloud = checkpointed(views.pts(spark, sf))
-    most = cloud.agg(F.max("x").alias("most"))
-    return labels.compare_clouds(cloud, cloud.crossJoin(F.broadcast(most)).where("x < most - 0.01").drop("most", "model_id"), 0.001)
+    return labels.compare_clouds(cloud, cloud.where("idx % 3 > 0").withColumn("z", F.col("z") + 0.0005).drop("model_id"), 0.001)
 
 
 @query("SELECT idx, x + 1 AS x, 'b' AS side FROM pts WHERE idx % 50 = 0 UNION ALL SELECT idx, x, 'a' FROM pts WHERE idx % 50 = 0", "pts")
@@ -494,12 +517,16 @@ def knn_radius(spark, sf):
     return neighbors.knn_crops(cloud, cloud.select("idx"), 8, 6.0).select("center", "idx", F.round("d2", 6).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("SELECT count(*) AS n_points, 0::BIGINT AS n_uncovered FROM pts", "pts")
+@query("SELECT idx, true AS visited, 0::BIGINT AS n_far FROM pts", "pts")
 def cover_all(spark, sf):
+    """Each point, whether a crop has it, and how many crops have it from further than the radius or by a distance that is not its own."""
     cloud = views.pts(spark, sf)
-    crops = neighbors.cover_all(cloud, 20, 6.0, 40.0)
-    left = labels.uncovered(cloud, crops.select("idx")).agg(F.count("*").alias("n_uncovered"))
-    return cloud.agg(F.count("*").alias("n_points")).crossJoin(left)
+    crops = checkpointed(neighbors.cover_all(cloud, 20, 6.0, 40.0))
+    centre = cloud.select(F.col("idx").alias("center"), *[F.col(c).alias(f"c{c}") for c in "xyz"])
+    true = F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)")
+    held = cloud.select("idx", "x", "y", "z").join(crops.select("center", "idx", "d2"), "idx").join(centre, "center").select("idx", ((true > 36) | (F.abs(true - F.col("d2")) > 1e-6)).alias("far"))
+    seen = held.groupBy("idx").agg(F.count_if("far").alias("n_far"))
+    return cloud.select("idx").join(seen, "idx", "left").select("idx", F.col("n_far").isNotNull().alias("visited"), F.coalesce("n_far", F.lit(0)).alias("n_far"))
 
 
 def everywhere_alike(xyz: np.ndarray) -> np.ndarray:
@@ -599,15 +626,30 @@ def zorder_roundtrip(spark, sf):
     return _gridded(spark, sf).select("idx", curves.zorder_decode(code).alias("p")).select("idx", "p.x", "p.y", "p.z")
 
 
-@query("SELECT idx, gx AS x, gy AS y, gz AS z, count(*) OVER (PARTITION BY gx, gy, gz) AS n_code, count(*) OVER (PARTITION BY gx, gy, gz) AS n_cell FROM grid", "pts", GRID)
+def _hilbert_sql(bits: int) -> list[str]:
+    """The curve's definition level by level: rotations and reflections of the axes, then the bits woven and read as a Gray code."""
+    steps, last = [], "SELECT idx, gx, gy, gz, gx AS a0, gy AS a1, gz AS a2 FROM grid"
+    for level in range(bits - 1, 0, -1):
+        on, low = 1 << level, (1 << level) - 1
+        for i in range(3):
+            name = f"h{level}_{i}"
+            steps.append(f"{name} AS MATERIALIZED ({last})")
+            swap = f"CASE WHEN a{i} & {on} > 0 THEN 0 ELSE xor(a0, a{i}) & {low} END"
+            other = [f"a{k}" if k != i else f"xor(a{i}, {swap}) AS a{i}" for k in (1, 2)]
+            last = f"SELECT idx, gx, gy, gz, CASE WHEN a{i} & {on} > 0 THEN xor(a0, {low}) ELSE xor(a0, {swap}) END AS a0, {', '.join(other)} FROM {name}"
+    weave = " | ".join(f"((a{i} >> {b} & 1) << {3 * b + 2 - i})" for b in range(bits) for i in range(3))
+    steps += [f"turned AS MATERIALIZED ({last})", f"woven AS MATERIALIZED (SELECT idx, gx, gy, gz, {weave} AS c0 FROM turned)"]
+    for k, shift in enumerate((1, 2, 4, 8, 16, 32)):
+        steps.append(f"g{k} AS MATERIALIZED (SELECT idx, gx, gy, gz, xor(c{k}, c{k} >> {shift}) AS c{k + 1} FROM {f'g{k - 1}' if k else 'woven'})")
+    return steps
+
+
+@query("SELECT idx, c6 AS code, gx AS x, gy AS y, gz AS z FROM g5", "pts", GRID, *_hilbert_sql(16))
 def hilbert(spark, sf):
-    """Codes turn back into their cells, and tell cells apart."""
-    from pyspark.sql import Window
-
+    """Codes, and the cells that they turn back into."""
     at = [F.col(f"g{c}") for c in "xyz"]
-    coded = _gridded(spark, sf).select("idx", *at, curves.hilbert_encode(*at, bits=16).alias("code"))
-    back = coded.withColumn("p", curves.hilbert_decode(F.col("code"), 16))
-    return back.select("idx", "p.x", "p.y", "p.z", F.count("*").over(Window.partitionBy("code")).alias("n_code"), F.count("*").over(Window.partitionBy("gx", "gy", "gz")).alias("n_cell"))
+    coded = _gridded(spark, sf).select("idx", curves.hilbert_encode(*at, bits=16).alias("code"))
+    return coded.select("idx", "code", curves.hilbert_decode(F.col("code"), 16).alias("p")).select("idx", "code", "p.x", "p.y", "p.z")
 
 
 @query("SELECT idx, xor(idx, idx >> 1) AS gray, idx AS back FROM pts", "pts")
@@ -766,9 +808,9 @@ def merged_codes(spark, sf):
     return codes.parse_output_codes(settings, views.classes(spark, "voxel")).fillna(-1, ["model_id", "code"])
 
 
-@query("""SELECT '{' || string_agg('"' || model_id || '":' || asprs_code, ',' ORDER BY cast(model_id AS VARCHAR)) || '}' AS codes FROM classes WHERE model = 'rail'""", "classes")
+@query("""SELECT '{' || string_agg('"' || model_id || '":' || asprs_code, ',' ORDER BY cast(model_id AS VARCHAR)) || '}' AS codes FROM own""", "own")
 def output_codes(spark, sf):
-    return codes.output_codes_json(views.classes(spark, "rail"))
+    return codes.output_codes_json(views.view(spark, sf, views.OWN_CLASSES))
 
 
 @query("""SELECT file_id, field, max(ts) AS ts, arg_max(record, ts) AS record FROM (
@@ -798,23 +840,58 @@ def strip_records(spark, sf):
 # --- LAS, stores, streams --------------------------------------------------------
 
 
-@query("SELECT idx, x, y, z, cast(model_id AS SMALLINT) AS classification FROM pts", "pts")
+#: Where the written clouds lie: metres of a projected system.
+PLACE = (5e5, 5.5e6, 700.0)
+
+
+def _stored(spark, sf, parts: int = 4) -> str:
+    """The cloud at ``PLACE``, written as LAS files; idx goes along as an extra dimension."""
+    path = scratch(spark, "las")
+    cloud = views.pts(spark, sf).withColumns({c: F.col(c) + o for c, o in zip("xyz", PLACE, strict=True)})
+    las.write_classified(cloud.select("idx", F.col("idx").alias("source_idx"), "x", "y", "z", F.col("model_id").alias("classification")), path, "las", parts=parts, scale=0.01)
+    return path
+
+
+def _back(cloud: DataFrame) -> list:
+    return [F.col("source_idx").alias("idx"), *[F.round(F.col(c) - o, 2).alias(c) for c, o in zip("xyz", PLACE, strict=True)]]
+
+
+@query("SELECT idx, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z, cast(model_id AS SMALLINT) AS classification, row_number() OVER (ORDER BY idx) - 1 AS place FROM pts", "pts")
 def las_roundtrip(spark, sf):
-    """Written as LAS in ranges of idx, read again with its own idx as an extra dimension."""
-    path = scratch(spark, "las").removeprefix("file:")
-    cloud = views.pts(spark, sf).select("idx", F.col("idx").alias("source_idx"), "x", "y", "z", F.col("model_id").alias("classification"))
-    las.write_classified(cloud, path, "las", parts=4, scale=0.01)
-    back = las.register(spark).read.format("las").option("range", 1000).load(path)
-    return back.select(F.col("source_idx").alias("idx"), F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("z", 2).alias("z"), "classification")
+    """Written as LAS in ranges of idx and read again: what each point has, and its place in the order of all files by their first point."""
+    back = checkpointed(las.read_points(spark, _stored(spark, sf), 1000))
+    firsts = back.where("record = 0").select(F.col("path").alias("_path"), F.col("source_idx").alias("_head"))
+    sizes = back.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("_n")).join(firsts, "_path")
+    starts = sizes.select("_path", (F.sum("_n").over(Window.orderBy("_head")) - F.col("_n")).alias("_start"))  # one row a file
+    return back.join(starts, back.path == starts._path).select(*_back(back), "classification", (F.col("_start") + F.col("record")).alias("place"))
 
 
 @query("SELECT count(*) AS points, round(min(x), 2) AS min_x, round(max(x), 2) AS max_x, 0::BIGINT AS unreadable FROM pts", "pts")
 def las_headers(spark, sf):
     """Counts and bounds from the headers of written files, points unread."""
-    path = scratch(spark, "las").removeprefix("file:")
-    las.write_classified(views.pts(spark, sf).select("idx", "x", "y", "z"), path, "las", parts=3, scale=0.01)
-    heads = las.scan_headers(spark, path)
-    return heads.agg(F.sum("declared_count").alias("points"), F.round(F.min("min_x"), 2).alias("min_x"), F.round(F.max("max_x"), 2).alias("max_x"), F.count("warning").alias("unreadable"))
+    heads = las.scan_headers(spark, _stored(spark, sf, 3))
+    return heads.agg(F.sum("declared_count").alias("points"), F.round(F.min("min_x") - PLACE[0], 2).alias("min_x"), F.round(F.max("max_x") - PLACE[0], 2).alias("max_x"), F.count("warning").alias("unreadable"))
+
+
+@query("SELECT 4::BIGINT AS n_files, 4 * (375 + 54 + 192) + count(*) * 38 AS bytes FROM pts", "pts")
+def list_files(spark, sf):
+    """A folder of written files, listed: a header, one record of extra dimensions and 38 bytes a point."""
+    return catalogue.list_files(spark, _stored(spark, sf)).agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
+def by_metre(xyz: np.ndarray) -> np.ndarray:
+    """``by_place`` for clouds at ``PLACE``, stored at 0.01."""
+    return by_place(np.round(xyz[:, :1] - PLACE[0], 2))
+
+
+@query("SELECT idx, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z, cast(code AS SMALLINT) AS classification FROM (SELECT *, cast(cast(floor(round(x, 2) / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label FROM pts) JOIN cls USING (label)", "pts", VOXEL_CODES)
+def classify_files(spark, sf):
+    """A folder of files labelled and written again, the whole way, with windows of at most a third of the cloud: as many rows out as in, each with its label."""
+    source, out = _stored(spark, sf, 3), scratch(spark, "las")
+    budget = max(views.pts(spark, sf).count() // 3, 1)
+    labelling.classify_files(spark, source, out, by_metre, views.classes(spark, "voxel"), tile_size=100.0, budget=budget, need=2.0).collect()
+    back = las.read_points(spark, out)
+    return back.select(*_back(back), "classification")
 
 
 @query("SELECT path, CASE WHEN point_format IN (4, 5, 9, 10) THEN 'waveform packets' ELSE 'coordinates in degrees' END AS reason FROM files WHERE point_format IN (4, 5, 9, 10) OR geo_1024 = 2", "files")
@@ -823,12 +900,16 @@ def refused_files(spark, sf):
     return catalogue.refused(found)
 
 
-@query("SELECT count(*) AS n_in, count(*) AS n_out, true AS complete FROM pts", "pts")
+@query("SELECT count(*) AS n_in, count(*) FILTER (k = 0 OR idx % 50 > 0) AS n_out, count(*) = count(*) FILTER (k = 0 OR idx % 50 > 0) AS complete FROM pts, range(2) t(k) GROUP BY k", "pts")
 def verify_written(spark, sf):
-    path = scratch(spark, "classified")
-    cloud = views.pts(spark, sf)
-    las.write_classified(cloud.withColumn("classification", F.col("model_id").cast("short")), path)
-    return catalogue.verify_written(spark.read.parquet(path), cloud)
+    """A cloud written whole, and one with some points lost."""
+    cloud, out = views.pts(spark, sf), None
+    for lost in ("false", "idx % 50 = 0"):
+        path = scratch(spark, "classified")
+        las.write_classified(cloud.where(f"not ({lost})").withColumn("classification", F.col("model_id").cast("short")), path)
+        row = catalogue.verify_written(spark.read.parquet(path), cloud)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("SELECT idx, x, y, z, tile_id FROM pairs WHERE tile_id = 1", "pts", TILES, PAIRS)
@@ -853,10 +934,10 @@ def _finished(stream) -> None:
         raise RuntimeError(str(stream.exception()))
 
 
-@query("SELECT * FROM cells", "pts", CELLS)
+@query("SELECT * FROM cells", "pts", EXTENT, CELLS)
 def stream_counts(spark, sf):
     target = scratch(spark, "counts")
-    _finished(arrivals.stream_counts(_arriving(spark, sf), tiling.cell_grid(BOX, max_cells=64), target, scratch(spark, "state")))
+    _finished(arrivals.stream_counts(_arriving(spark, sf), _cell_grid(views.pts(spark, sf)), target, scratch(spark, "state")))
     return spark.read.parquet(target)
 
 

@@ -60,6 +60,14 @@ CLASS_ROWS = (
 CLASSES = "select * from (values " + ", ".join(repr(r) for r in CLASS_ROWS) + ") as t(model, model_id, name, asprs_code, color)"
 
 
+#: A class table made of the suppliers, at most 97 classes: ids unique, codes and names not.
+OWN_CLASSES = """
+select cast(s_suppkey % 97 as int) as model_id, concat('class ', cast(min(s_nationkey) as varchar(20))) as name,
+       cast(min(s_suppkey) % 23 as int) as asprs_code, concat('#', cast(max(s_suppkey) % 1000 + 1000 as varchar(20))) as color
+from supplier group by s_suppkey % 97
+"""
+
+
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The result of ``text`` with the driver's tables it names; nothing is registered for longer."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "lineitem", "embeddings", "supplier") if f"from {t}" in text}
