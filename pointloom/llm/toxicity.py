@@ -1,13 +1,16 @@
 """Toxicity by weak supervision.
 
 Many weak voters each say "toxic" or nothing: lexicon voters (a short list of
-insults, and words and word beginnings, once or twice in a text, that labelled
-training documents bring up) and pattern voters (shouting, repeated marks, direct address). A
-generative label model over all their votes estimates, by expectation
-maximisation, how often each voter fires on toxic and on other documents (its
-accuracy), and from the residuals how strongly voters correlate; a voter that
-says what others say counts for correspondingly less. The posterior labels
-then train a linear classifier over terms of the text, which alone scores.
+insults; words and word beginnings, once or twice in a text, that labelled
+training documents bring up; word beginnings of which many different words
+occur in toxic documents and few in others, in whatever language) and pattern
+voters (shouting, repeated marks, direct address). A generative label model
+over all their votes estimates, by expectation maximisation, how often each
+voter fires on toxic and on other documents (its accuracy), and from the
+residuals how strongly voters correlate. Voters that correlate are one family:
+the model holds how many of a family fire on each class, so that a family
+speaks once, however many voters repeat each other. The posterior labels then
+train a linear classifier over terms of the text, which alone scores.
 
 Training takes at most ``max_docs`` labelled documents, chosen by hash of
 their id; scoring covers all documents and whole texts.
@@ -56,18 +59,24 @@ class ToxicitySettings:
     shortest: int = 3
     longest: int = 8
     least_documents: int = 4
-    precision: float = 0.8
+    precision: float = 0.5
     margin: float = 3.0
+    nested_margin: float = 0.0
     lexicon_voters: int = 80
+    related: float = 0.2
     rounds: int = 40
     terms: int = 400
     penalty: float = 0.1
     steps: int = 250
 
 
+def bare_word(word: str) -> str:
+    return word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+
+
 def terms_of_word(word: str, s: ToxicitySettings) -> tuple[str, ...]:
     """A word without marks around it in lower case, and its beginnings (marked by a dash)."""
-    bare = word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    bare = bare_word(word)
     if not bare:
         return ()
     return (bare, *[f"{bare[:n]}-" for n in range(s.shortest, min(s.longest, len(bare) - 1) + 1)])
@@ -95,17 +104,39 @@ def evidence_for(toxic: float, other: float, share: float) -> float:
     return toxic * math.log(own / share) + other * math.log((1 - own) / (1 - share))
 
 
-def mine_lexicon(terms: list[set[str]], labels: np.ndarray, s: ToxicitySettings) -> list[str]:
-    """Terms that mostly toxic training documents have, the strongest first; of nested terms one.
+def telling_beginnings(texts: list[str], labels: np.ndarray, s: ToxicitySettings) -> dict[str, float]:
+    """Word beginnings with the evidence of how many different words with them toxic and other documents have.
 
-    A term must show more than the best of so many tried would show by chance.
+    Copies of a document add no words, and a few documents can show many, so
+    this finds vocabularies of languages with few labelled documents.
     """
+    words: tuple[set[str], set[str]] = (set(), set())
+    for text, y in zip(texts, labels, strict=True):
+        words[int(y)].update(w for w in map(bare_word, text.split()) if len(w) > s.shortest)
+    counts = [Counter(t for w in side for t in terms_of_word(w, s)[1:]) for side in words]
+    share = (len(words[1]) + 1) / (len(words[0]) + len(words[1]) + 2)
+    least = math.log(len(counts[1]) + 1) + s.nested_margin  # beginnings nest, so these are far fewer trials than beginnings
+    found = {t: evidence_for(n, counts[0][t], share) for t, n in counts[1].items() if n >= s.least_documents and n > counts[0][t]}
+    return {t: e for t, e in found.items() if e >= least}
+
+
+def mine_lexicon(terms: list[set[str]], labels: np.ndarray, beginnings: dict[str, float], s: ToxicitySettings) -> list[str]:
+    """Terms that training documents bring up as toxic, the strongest first; of nested terms one.
+
+    A term must show more than the best of so many tried would show by
+    chance, by its documents or by its words (``beginnings``).
+    """
+    common = set().union(*terms)
     toxic = Counter(t for found, y in zip(terms, labels, strict=True) if y for t in found)
     other = Counter(t for found, y in zip(terms, labels, strict=True) if not y for t in found if t in toxic)
     share, least = float(np.mean(labels)), math.log(len(toxic) + 1) + s.margin
     strength = {t: evidence_for(n, other[t], share) for t, n in toxic.items() if n >= s.least_documents and (n + 0.5) / (n + other[t] + 1) >= s.precision}
-    good = [t for t, e in strength.items() if e >= least]
-    return strongest(good, strength)[: s.lexicon_voters]
+    strength = {t: e for t, e in strength.items() if e >= least}
+    for t, e in [*beginnings.items(), *[(t.removeprefix(TWICE), e) for t, e in strength.items()]]:
+        for term in (t, TWICE + t):
+            if term in common:
+                strength[term] = max(e, strength.get(term, 0.0))
+    return strongest(list(strength), strength)[: s.lexicon_voters]
 
 
 def _nested(a: str, b: str) -> bool:
@@ -124,38 +155,50 @@ def strongest(terms: list[str], strength: dict[str, float]) -> list[str]:
     return kept
 
 
+#: How many voters of a family fire: none, one, two, three or more.
+LEVELS = 4
+#: Least log-odds of class 1 where two voters of a lexicon family fire.
+AGREED = 1.0
+
+
 @dataclass
 class LabelModel:
-    """Per voter: chance to fire on class 0 and 1, and weight after correlations; the log-odds that evidence adds to, and the chance of class 1 where all are silent.
+    """Per class the chance of each voter to fire (2 x voters); what each level of each family says (families x LEVELS) as log-odds; log-odds of class 1.
 
-    A silent voter abstains: voters speak one language each, so silence of
-    the others says nothing.
+    ``families`` numbers each voter's family. Families are independent given
+    the class; within one, only the number of firing voters counts. A silent
+    family abstains: its voters speak one language, so silence says nothing.
     """
 
     fires: np.ndarray
-    weights: np.ndarray
+    families: np.ndarray
+    says: np.ndarray
+    prior: float
     correlations: np.ndarray
-    intercept: float = 0.0
-    silent: float = 0.0
 
-    def evidence(self, votes: np.ndarray) -> np.ndarray:
-        """Weighted sum of what the voters that fire say, but at least what the strongest says alone."""
-        says = np.log(self.fires[1] / self.fires[0])
-        return np.maximum(votes @ (self.weights * says), (votes * says).max(1))
+    @staticmethod
+    def counted(votes: np.ndarray, families: np.ndarray) -> np.ndarray:
+        """Level of each family on each document."""
+        member = np.zeros((len(families), families.max(initial=-1) + 1))
+        member[np.arange(len(families)), families] = 1
+        return np.minimum(votes @ member, LEVELS - 1).astype(np.int64)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        return np.where(votes.any(1), _chance(self.intercept + self.evidence(votes)), self.silent)
+        level = self.counted(votes, self.families)
+        return _chance(self.prior + self.says[np.arange(level.shape[1]), level].sum(1))
 
     @classmethod
-    def fit(cls, votes: np.ndarray, start: np.ndarray, share: float, expected: np.ndarray, strength: np.ndarray, rounds: int) -> LabelModel:
-        """Expectation maximisation from the soft labels ``start``; no label is used after that.
-
-        ``share`` is the part of class 1, by which the intercept is set each
-        round. ``expected`` (2 x voters) are rates that each voter is expected
-        to fire at, worth ``strength`` documents: they keep the classes from
-        turning into whatever else splits the documents.
+    def fit(cls, votes: np.ndarray, start: np.ndarray, share: float, expected: np.ndarray, strength: np.ndarray, rounds: int, related: float = 0.2) -> LabelModel:
+        """Expectation maximisation from the soft labels ``start``; no label is used after that but the ``share`` of class 1.
+
+        ``expected`` (2 x voters) are rates that each voter is expected to
+        fire at, worth ``strength`` documents: they keep the classes from
+        turning into whatever else splits the documents. How many voters of
+        a family fire on class 1 is left open where they are expected to
+        tell the classes apart.
         """
         belief, model = start, None
+        told = (expected[0] == expected[1]) & (expected[0] > 0)  # voters of which nothing is expected
         for _ in range(rounds):
             split = np.stack([1 - belief, belief])
             fires = np.clip((split @ votes + strength * expected) / (split.sum(1, keepdims=True) + strength), 1e-6, 1 - 1e-6)
@@ -163,43 +206,71 @@ class LabelModel:
             scale = np.sqrt((residual**2).mean(0)) + 1e-9
             correlations = (residual.T @ residual) / len(votes) / np.outer(scale, scale)
             np.fill_diagonal(correlations, 0)
-            weights = 1 / np.sqrt(1 + (np.clip(correlations, 0, 1) ** 2).sum(0))
-            model = cls(fires, weights, correlations)
-            # the share is met by documents with votes as far as it can be, and what is left of it is spread over the silent ones
-            spoken = votes.any(1)
-            wanted = min(share * len(votes), 0.97 * float(spoken.sum()))
-            evidence, low, high = model.evidence(votes)[spoken], -60.0, 60.0
+            families = _groups(correlations > related)
+            level = cls.counted(votes, families)
+            says = np.zeros((level.shape[1], LEVELS))
+            for f in range(level.shape[1]):
+                own = np.flatnonzero(families == f)
+                seen = np.stack([np.bincount(level[:, f], weights, LEVELS) for weights in split])
+                some = 1 - np.prod(1 - np.clip(expected[:, own], 0, 0.9), axis=1)  # independent voters would give this
+                guess = np.stack([1 - some, *[some * part for part in (0.5, 0.3, 0.2)]], axis=1)
+                guess[1] = guess[1] if told[own].all() else 1 / LEVELS
+                worth = np.array([strength[own].mean(), strength[own].mean() if told[own].all() else 2.0])[:, None]
+                chance = (seen + worth * guess + 1e-3) / (split.sum(1)[:, None] + worth + LEVELS * 1e-3)
+                says[f, 1:] = np.log(chance[1, 1:] / chance[0, 1:])
+                if not told[own].all():  # lexicon voters are no worse than chance, and two of them right more often than wrong
+                    says[f, 1:] = np.maximum(says[f, 1:], [0.0, *[AGREED - math.log(share / (1 - share))] * (LEVELS - 2)])
+            model = cls(fires, families, says, 0.0, correlations)
+            low, high = -60.0, 60.0  # the log-odds that meet the share
             for _ in range(50):
-                middle = (low + high) / 2
-                low, high = (middle, high) if _chance(middle + evidence).sum() < wanted else (low, middle)
-            model.intercept = low
-            model.silent = float(np.clip((share * len(votes) - wanted) / max(1, len(votes) - spoken.sum()), 1e-4, share))
+                model.prior = (low + high) / 2
+                low, high = (model.prior, high) if model.posterior(votes).mean() < share else (low, model.prior)
             belief = model.posterior(votes)
         return model
 
 
+def _groups(linked: np.ndarray) -> np.ndarray:
+    """Number of each row's connected group, from 0."""
+    group = np.arange(len(linked))
+    while True:
+        low = np.where(linked, group[None, :], len(linked)).min(1, initial=len(linked))
+        new = np.minimum(group, low)
+        new = new[new]
+        if (new == group).all():
+            return np.unique(group, return_inverse=True)[1]
+        group = new
+
+
 def _chance(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
+def agreements(found: set[str], families: dict[str, int]) -> list[tuple[int, int]]:
+    """(family, n) for each n up to how many of the family's terms a text has, at most LEVELS - 1."""
+    counts = Counter(families[t] for t in found if t in families)
+    return [(f, k) for f, n in counts.items() for k in range(1, min(n, LEVELS - 1) + 1)]
+
+
 class ToxicityModel:
-    """A linear classifier over terms, trained on the label model's posterior."""
+    """A linear classifier over terms, and over how many terms of a lexicon family agree, trained on the label model's posterior."""
 
-    def __init__(self, settings: ToxicitySettings, weights: dict[str, float], bias: float):
-        self.settings, self.weights, self.bias = settings, weights, bias
+    def __init__(self, settings: ToxicitySettings, weights: dict, bias: float, families: dict[str, int] | None = None):
+        self.settings, self.weights, self.bias, self.families = settings, weights, bias, families or {}
         self._words = BoundedCache(self._known)
 
     def __getstate__(self):
-        return {"settings": self.settings, "weights": self.weights, "bias": self.bias}
+        return {"settings": self.settings, "weights": self.weights, "bias": self.bias, "families": self.families}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
     def _known(self, word: str) -> tuple[str, ...]:
-        return tuple(t for t in terms_of_word(word, self.settings) if t in self.weights or TWICE + t in self.weights)
+        used = lambda t: t in self.weights or t in self.families
+        return tuple(t for t in terms_of_word(word, self.settings) if used(t) or used(TWICE + t))
 
     def score(self, text: str) -> float:
-        logit = self.bias + sum(self.weights.get(t, 0.0) for t in terms_of(text, self._words))
+        found = terms_of(text, self._words)
+        logit = self.bias + sum(self.weights.get(t, 0.0) for t in [*found, *agreements(found, self.families)])
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
     def score_many(self, texts: list[str]) -> list[float]:
@@ -215,10 +286,11 @@ class ToxicityModel:
         documents_with: Counter = Counter()
         for text in texts:
             documents_with.update(terms_of(text, words))
-        common = {t: t for t, n in documents_with.items() if n >= settings.least_documents or t in INSULTS}
+        beginnings = telling_beginnings(texts, y, settings)
+        common = {t: t for t, n in documents_with.items() if n >= settings.least_documents or t in INSULTS or t.removeprefix(TWICE) in beginnings}
         del documents_with  # most terms occur once
         terms = [{common[t] for t in terms_of(text, words) if t in common} for text in texts]
-        lexicon = list(dict.fromkeys([*mine_lexicon(terms, y, settings), *INSULTS]))
+        lexicon = list(dict.fromkeys([*mine_lexicon(terms, y, beginnings, settings), *INSULTS]))
         patterns = [re.compile(p) for p in PATTERNS]
         votes = np.array([[*(t in found for t in lexicon), *(p.search(text) is not None for p in patterns)] for text, found in zip(texts, terms, strict=True)], np.float64)
         # lexicon hits are the first guess; labels only chose the lexicon and set the share
@@ -228,11 +300,12 @@ class ToxicityModel:
         own = np.arange(votes.shape[1]) < len(lexicon)
         expected = np.stack([np.where(own, np.minimum(rate * 0.02, 1e-3), rate), np.where(own, np.maximum(rate / max(y.mean(), 1e-3), 0.01).clip(0, 0.9), rate)])
         strength = np.where(own, 0.05 * many, 0.5 * many)
-        labeller = LabelModel.fit(votes, np.where(hits, 0.9, 0.1 * y.mean()), float(y.mean()), expected, strength, settings.rounds)
-        return cls._linear(terms, labeller.posterior(votes), lexicon, settings)
+        labeller = LabelModel.fit(votes, np.where(hits, 0.9, 0.1 * y.mean()), float(y.mean()), expected, strength, settings.rounds, settings.related)
+        families = {t: int(f) for t, f in zip(lexicon, labeller.families, strict=False)}
+        return cls._linear(terms, labeller.posterior(votes), families, settings)
 
     @classmethod
-    def _linear(cls, terms: list[set[str]], belief: np.ndarray, lexicon: list[str], s: ToxicitySettings) -> ToxicityModel:
+    def _linear(cls, terms: list[set[str]], belief: np.ndarray, families: dict[str, int], s: ToxicitySettings) -> ToxicityModel:
         """Logistic regression on presence, soft labels, by accelerated gradient steps with an L2 penalty."""
         weight: Counter = Counter()
         seen: Counter = Counter()
@@ -243,12 +316,14 @@ class ToxicityModel:
         mean = belief.mean()
         lift = {t: evidence_for(weight[t], n - weight[t], mean) for t, n in seen.items() if n >= s.least_documents and weight[t] >= 0.5 * n}
         best = [t for t in lift if lift[t] >= math.log(len(seen) + 1) + s.margin]
-        chosen = strongest([*best, *(t for t in lexicon if seen[t] and t not in best)], Counter(lift))[: s.terms]
+        chosen = strongest([*best, *(t for t in families if seen[t] and t not in best)], Counter(lift))[: s.terms]
+        agreed = [agreements(found, families) for found in terms]
+        chosen += sorted(set().union(*agreed))
         column = {t: k for k, t in enumerate(chosen)}
         x = np.zeros((len(terms), len(chosen) + 1))
         x[:, -1] = 1
-        for row, found in enumerate(terms):
-            x[row, [column[t] for t in found if t in column]] = 1
+        for row, (found, levels) in enumerate(zip(terms, agreed, strict=True)):
+            x[row, [column[t] for t in [*found, *levels] if t in column]] = 1
         solution = np.zeros(x.shape[1])
         solution[-1] = math.log(mean / (1 - mean))
         ridge = np.full(x.shape[1], s.penalty)
@@ -261,7 +336,7 @@ class ToxicityModel:
             next_speed = (1 + math.sqrt(1 + 4 * speed**2)) / 2
             ahead = new + (speed - 1) / next_speed * (new - solution)
             solution, speed = new, next_speed
-        return cls(s, {t: float(v) for t, v in zip(chosen, solution, strict=False)}, float(solution[-1]))
+        return cls(s, {t: float(v) for t, v in zip(chosen, solution, strict=False)}, float(solution[-1]), families)
 
 
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
