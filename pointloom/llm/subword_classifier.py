@@ -3,9 +3,11 @@
 Every word and each of its character n-grams (with word boundaries) is hashed
 to a bucket with a learned vector; a document is the mean of all its vectors;
 a linear layer and softmax give the classes. Vectors and layer are trained
-together by plain stochastic gradient descent in numpy, with a falling rate.
-Two pseudo-words a document describe its shape (share of distinct words, and
-length class), hashed like any word.
+together by plain stochastic gradient descent in numpy, with a falling rate;
+vectors take larger steps than the layer, since each has a small share of the
+mean. A mean of words does not see that words repeat, so up to three
+pseudo-words a document, hashed like any word, describe its shape (share of
+distinct words, length class, words that follow themselves).
 
 Training takes at most ``max_docs`` labelled documents, chosen by hash of
 their id, so its size is bounded whatever the corpus; scoring covers all.
@@ -45,6 +47,7 @@ class SubwordSettings:
     longest: int = 4
     epochs: int = 6
     rate: float = 0.4
+    vector_rate: float = 50.0
     max_docs: int = 3000
     seed: int = 7
 
@@ -136,8 +139,7 @@ class SubwordModel:
                 chance[y[k]] -= 1
                 pull = layer.T @ chance
                 layer -= rate * np.outer(chance, mean)
-                # as in the published method, every bucket moves by the mean's full gradient
-                vectors[buckets] = rows - np.minimum(1, shares * len(shares))[:, None] * (rate * pull)
+                vectors[buckets] = rows - settings.vector_rate * rate * shares[:, None] * pull
                 done += 1
         return cls(settings, vectors, layer)
 
