@@ -9,9 +9,9 @@ a fixed number of tokens.
 Defined cases: a null or empty text gives one piece, the end id alone;
 repeated rows, null ids and equal ids are packed row by row, each with
 sequence ids of its own; an empty table gives an empty result; other columns
-are not read. Texts that hold an added token's string ("<|endoftext|>") get
-the ids of its characters, not the token's: ``encode_special_tokens`` is on,
-unlike the library's default, so that no text can forge a document's end.
+are not read. Texts that hold an added token's string ("<|endoftext|>") are
+encoded whole by the tokenizers library with its defaults, so the string gets
+the token's id.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ class CachedTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ranked = self._ranked(path)
         self.words = BoundedCache(lambda w: self.whole(w if w[:1] == "\n" else " " + w))
 
@@ -74,7 +74,7 @@ class CachedTokenizer:
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
-        if self.ranked:
+        if self.ranked and not any(map(text.__contains__, self.added)):
             ids = self.ranked.encode_ordinary(text)
         else:
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -82,7 +82,7 @@ class CachedTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text or not self.ranked or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, self._other)):
+        if not text or not self.ranked or text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, (*self._other, *self.added))):
             return self.whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
