@@ -149,6 +149,12 @@ def unpack(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<u4").tolist()
 
 
+def span_digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, digests of ids, spans and decoded text, and n_spanned: the ids whose span is not empty."""
+    filled = F.expr("length(span_begin) div 4 - size(filter(sequence(1, length(span_begin), 4), k -> substring(span_begin, k, 4) = substring(span_end, k, 4)))")
+    spans = F.sha2(F.concat("span_begin", "span_end"), 256).alias("spans_sha256")
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), spans, filled.cast("long").alias("n_spanned"))
+
+
 def op6_offset_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return span_digests(encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))

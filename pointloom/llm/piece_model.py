@@ -76,9 +76,9 @@ def read_model(raw: bytes) -> PieceModel:
             scores.append(struct.unpack("<f", found[2])[0] if 2 in found else 0.0)
             kinds.append(found.get(3, NORMAL))
         elif number == 2:
-            trainer = dict(fields_of(value))
+            trainer |= dict(fields_of(value))  # a message in several parts is their union
         elif number == 3:
-            rules = dict(fields_of(value))
+            rules |= dict(fields_of(value))
     return PieceModel(
         tuple(pieces), tuple(scores), tuple(kinds), trainer.get(3, UNIGRAM), bool(trainer.get(35, 0)),
         rules.get(2, b""), bool(rules.get(3, 1)), bool(rules.get(4, 1)), bool(rules.get(5, 1)), bool(trainer.get(24, 0)), raw,
