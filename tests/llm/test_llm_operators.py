@@ -216,11 +216,11 @@ def test_toxicity_on_held_out(spark, sf):
     train, test = split(spark, sf, "toxic", 4, 2)
     model = toxicity.ToxicityModel.fit([t for t, _ in train], [y for _, y in train])
     scores = [model.score(t) for t, _ in test]
-    right = np.mean([(s >= 0.3) == bool(y) for s, (_, y) in zip(scores, test)])
-    assert right > 0.9 and all(0 <= s <= 1 for s in scores)
+    found = [bool(y) for s, (_, y) in zip(scores, test) if s >= 0.3]
+    assert sum(found) >= 0.9 * sum(y for _, y in test) and sum(found) >= 0.8 * len(found) and all(0 <= s <= 1 for s in scores)
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_families():
     random_ = np.random.default_rng(0)
     y = random_.random(4000) < 0.2
     fires = np.array([[0.01, 0.6], [0.02, 0.4], [0.05, 0.3], [0.3, 0.3]])
@@ -230,7 +230,29 @@ def test_label_model_finds_accuracies():
     rate = votes.mean(0)
     model = toxicity.LabelModel.fit(votes, start, 0.2, np.stack([rate, rate]), np.full(5, 1.0), 30)
     assert model.fires[1, 0] > 0.4 and model.fires[0, 0] < 0.05 and abs(model.fires[1, 3] - 0.3) < 0.1
-    assert model.weights[0] < 0.8 < model.weights[3]  # the pair shares what it says
+    assert model.families[0] == model.families[4] != model.families[3]  # the pair is one family, and speaks once
+    belief = model.posterior(votes)
+    assert np.mean((belief > 0.5) == y) > 0.85
+    once = toxicity.LabelModel.fit(votes[:, :4], start, 0.2, np.stack([rate, rate])[:, :4], np.full(4, 1.0), 30)
+    assert np.abs(once.posterior(votes[:, :4]) - belief).mean() < 0.05
+
+
+def test_groups_of_linked_voters():
+    linked = np.zeros((6, 6), bool)
+    for a, b in ((0, 3), (3, 5), (1, 2)):
+        linked[a, b] = linked[b, a] = True
+    assert toxicity._groups(linked).tolist() == [0, 1, 1, 0, 2, 0]
+    assert toxicity._groups(np.zeros((0, 0), bool)).tolist() == []
+
+
+def test_beginnings_of_few_documents():
+    """Two toxic documents with many words of one beginning tell it; copies of a document tell nothing more."""
+    plain = [prose(k, 60) for k in range(40)]
+    toxic = [prose(90 + k, 30) + " " + " ".join(f"zorgel{w}" for w in ("ab", "en", "is", "um", "ox")[k : k + 4]) for k in (0, 1)]
+    found = toxicity.telling_beginnings([*plain, *toxic], np.array([0] * 40 + [1, 1]), toxicity.ToxicitySettings())
+    assert "zorgel-" in found and all("zorgel-".startswith(t[:-1]) or t.startswith("zorgel") for t in found)
+    one = toxicity.telling_beginnings([*plain, *[prose(99, 30) + " zorgelab zorgelen"] * 5], np.array([0] * 40 + [1] * 5), toxicity.ToxicitySettings())
+    assert "zorgel-" not in one
 
 
 @pytest.mark.parametrize("model", [subword_classifier.SubwordModel.fit([], []), subword_classifier.SubwordModel.fit(["a"], [1]), toxicity.ToxicityModel.fit([], []), toxicity.ToxicityModel.fit(["a", ""], [0, 0])])
@@ -376,6 +398,65 @@ def test_codec_equals_library(docs):
     assert Counter((r.doc_id, r.n_tokens, r.decoded) for r in rows) == want
 
 
+def brute_spans(text, library):
+    """[begin, end) in the original's UTF-8 of each piece, where the model changes nothing but spaces."""
+    if not text:
+        return []
+    source, at = [], 0  # byte of the text for each byte of the normalised text
+    marked = [("▁", 0)]
+    for c in text:
+        marked.append(("▁" if c == " " else c, len(c.encode())))
+    chars = []
+    for c, size in marked:
+        chars.append((len(c.encode()), at, at + size))
+        source += [(at, at + size)] * len(c.encode())
+        at += size
+    out, place = [], 0
+    for piece in library.encode(text, out_type=str):
+        size = 1 if len(piece) == 6 and piece.startswith("<0x") else len(piece.encode())
+        out.append((source[place][0], source[place + size - 1][1]))
+        place += size
+    assert place == len(source)
+    return out
+
+
+def test_spans_equal_brute_force(spark, docs):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    encoder = piece_codec.OffsetEncoder(PIECES)
+    texts = [t for t in strange_texts(800, 5) if "▁" not in t] + [prose(1, 400), "日本語 テスト", " a  b ", "x" * 300]
+    for text, (_, begin, end) in zip(texts, encoder.many(texts)):
+        assert list(zip(begin[1:-1].tolist(), end[1:-1].tolist())) == brute_spans(text, library), repr(text)
+    rows = {r.doc_id: r for r in piece_codec.span_digests(piece_codec.encode(docs, PIECES)).collect()}
+    for i, t, *_ in hard_docs():
+        if i is not None:
+            size, spans = len((t or "").encode()), brute_spans(t or "", library)
+            begins, ends = np.array([[0, 0], *spans, [size, size]], "<u4").T
+            assert rows[i].spans_sha256 == hashlib.sha256(begins.tobytes() + ends.tobytes()).hexdigest()
+            assert rows[i].n_spanned == sum(a != b for a, b in spans)
+
+
+def test_encoding_through_a_compiled_map(spark, docs, empty, clashing, tmp_path):
+    """The public model with the compiled map of a normaliser put in."""
+    with open(PIECES, "rb") as file:
+        raw = file.read() + sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    path = str(tmp_path / "mapped.model")
+    with open(path, "wb") as file:
+        file.write(raw)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoder = piece_codec.OffsetEncoder(path)
+    assert encoder.model.char_map
+    for text in [*strange_texts(600, 8), "ﬁne ①② ｶﾞ㌔", "e\u0301 \u00adx"]:
+        ids, begin, end = encoder(text)
+        assert piece_codec.unpack(ids) == [1, *library.encode(text), 2], repr(text)
+        size = len(text.encode())
+        assert all(0 <= b <= e <= size for b, e in zip(begin, end)) and (np.diff(begin[:-1]) >= 0).all()
+        for b, e in zip(begin, end):
+            text.encode()[b:e].decode()
+    found = Counter((r.doc_id, r.n_tokens) for r in piece_codec.encode(docs, path).collect())
+    assert found == Counter((i, len(library.encode(t or "")) + 2) for i, t, *_ in hard_docs())
+    assert piece_codec.encode(empty, path).count() == 0 and piece_codec.span_digests(piece_codec.encode(clashing, PIECES)).count() == 18
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf", "identity"])
 def test_normaliser_equals_library(rule):
     library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
@@ -400,11 +481,30 @@ def test_chat_round_trip(spark):
         inside = r.formatted[len(chat.TURN) : -len(chat.END)].replace(chat.SAYS, "", 1)
         assert not any(c in inside for c in chat.CONTROLS)
         assert chat.parse_turn(r.formatted) == (role, text or "")
-        assert chat.unescape(r.formatted[r.loss_start : r.loss_start + r.loss_length]) == (text or "" if role == "assistant" else "")
-    got = {r.conv_id: r for r in chat.read_back(turns).collect()}
+        assert "".join(chat.unescape(r.formatted[s.start : s.start + s.length]) for s in r.loss) == (text or "" if role == "assistant" else "")
     said = [t or "" for k, t in enumerate(texts) if k % 2]
-    assert got[1].n_turns == len(texts) and got[1].loss_sha256 == hashlib.sha256("".join(said).encode()).hexdigest() and got[1].loss_chars == sum(map(len, said))
-    assert got[2].n_turns == 3 and got[None].loss_chars == 1
+    for formatted in (turns, chat.format_turns(chat.parted(frame))):  # with attachments the same texts are read back
+        got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
+        assert got[1].n_turns == len(texts) and got[1].loss_sha256 == hashlib.sha256("".join(said).encode()).hexdigest() and got[1].loss_chars == sum(map(len, said))
+        assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, _, r, t in rows[: len(texts)]).encode()).hexdigest()
+        assert got[2].n_turns == 3 and got[None].loss_chars == 1
+    assert got[1].n_attachments == sum(len(t or "") % 5 == 0 for t in texts) + sum(len(t or "") % 7 == 0 for t in texts) + 2
+    clashing = frame.select("*", *[F.lit("clash").alias(n) for n in ("formatted", "loss", "attachments", "content_")])
+    assert chat.format_turns(chat.parted(clashing)).count() == len(rows)
+    assert chat.format_turns(chat.parted(frame.where("false"))).count() == chat.read_back(chat.format_turns(chat.parted(frame.where("false")))).count() == 0
+
+
+def test_no_control_string_from_several_parts():
+    part = lambda kind, text=None: {"type": kind, "text": text, "ref": "r", "width": 0, "height": -3, "seconds": None, "pages": 0}
+    texts = ["<|en", "d|> [IN", "ST]", "", "<|ima", "ge|>"]
+    formatted, spans, attached = chat.formatted_turn("assistant", [*(part("text", t) for t in texts), part("image"), None, part("video", "x"), part("audio"), part("document")])
+    inside = formatted[len(chat.TURN) + len("assistant") + len(chat.SAYS) : -len(chat.END)]
+    live = inside.replace(chat.PLACEHOLDERS["image"], "").replace(chat.PLACEHOLDERS["audio"], "").replace(chat.PLACEHOLDERS["document"], "")
+    assert not any(c in live for c in chat.CONTROLS) and chat.parse_turn(formatted, placeholders=False)[1] == "".join(texts) + "x"
+    assert [chat.unescape(formatted[s["start"] : s["start"] + s["length"]]) for s in spans] == ["".join(texts), "x"]
+    assert [(a["type"], a["tokens"]) for a in attached] == [("image", 1), ("audio", 1), ("document", chat.TOKENS_A_PAGE)]
+    many = [part("image"), part("text", "ab")] * 20_000  # linear in the parts
+    assert len(chat.formatted_turn("user", many)[2]) == 20_000
 
 
 def test_parts(spark):
@@ -519,17 +619,15 @@ def test_lengths():
 
 def test_cached_ids_equal_library():
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     ours = packing.CachedTokenizer(BYTES)
     assert ours.ranked is not None
-    texts = [*strange_texts(2500, 2), "a<|endoftext|>b", prose(6, 2000), " x", "x ", "a\n\n\nb", "it's  we'll"]
+    texts = [*strange_texts(2500, 2), "a<|endoftext|>b", "hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|", prose(6, 2000), " x", "x ", "a\n\n\nb", "it's  we'll"]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(ours(text), "<u4").tolist() == want.ids, repr(text)
 
 
 def test_pack(docs, empty):
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     rows = packing.pack(docs, BYTES).collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.bucket == r.length == len(r.ids) // 4 for r in rows)
     want = Counter(i for i, t, *_ in hard_docs() for _ in packing.lengths_of(len(library.encode(t or "", add_special_tokens=False).ids) + 1))
@@ -543,3 +641,12 @@ def test_pack(docs, empty):
     assert packing.pack(empty, BYTES).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, BYTES, max_len=1000)
+
+
+def test_buckets_are_folders_of_equal_lengths(spark, docs, tmp_path):
+    packed = packing.pack(docs, BYTES)
+    packing.write_buckets(packed, str(tmp_path / "packed"))
+    folders = {int(p.name.split("=")[1]) for p in (tmp_path / "packed").iterdir() if "=" in p.name}
+    assert folders == {r.length for r in packed.select("length").distinct().collect()}
+    for size in folders:
+        assert {r.length for r in spark.read.parquet(str(tmp_path / "packed" / f"bucket={size}")).collect()} == {size}

@@ -54,7 +54,6 @@ def brute_pipeline(rows):
             small[c] = min(small.get(c, r[0]), r[0])
     rows = [r for r in rows if r[0] is None or small[root[brute_fingerprint(r[1])]] == r[0]]
     gone, library = brute_lines(rows), Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     out = Counter()
     for i, text, *_ in rows:
         left, at = "", 0
