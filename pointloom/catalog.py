@@ -311,7 +311,7 @@ LABELS = "lab AS (SELECT idx, cast(cast(floor(x / 37) AS BIGINT) % 7 + 1 AS INTE
 
 def _tiled(spark, sf) -> DataFrame:
     cloud = views.pts(spark, sf)
-    return labelling.label_tiles(cloud, _grid(cloud), by_place, HALO)
+    return labelling.label_planned(cloud, _grid(cloud), by_place, HALO, 100_000)
 
 
 @query("SELECT idx, label FROM lab", "pts", LABELS)
@@ -375,7 +375,7 @@ def map_codes(spark, sf):
     return labels.map_codes(views.pts(spark, sf).select("idx", F.col("model_id").alias("label")), views.classes(spark, "rail")).select("idx", "code")
 
 
-@query("SELECT code, arg_min(color, at) AS color, string_agg(name, ' / ' ORDER BY at) AS label FROM (SELECT asprs_code AS code, name, min(model_id) AS at, arg_min(color, model_id) AS color FROM own GROUP BY 1, 2) GROUP BY 1", "own")
+@query("SELECT code, arg_min(color, first_id) AS color, string_agg(name, ' / ' ORDER BY first_id) AS label FROM (SELECT asprs_code AS code, name, min(model_id) AS first_id, arg_min(color, model_id) AS color FROM own GROUP BY 1, 2) GROUP BY 1", "own")
 def legend(spark, sf):
     """Legend of a class table kept in the suppliers: several classes a code, names that repeat."""
     return labels.legend(views.view(spark, sf, views.OWN_CLASSES))
@@ -925,7 +925,7 @@ def _arriving(spark, sf) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     rows = arrivals.arrivals(spark, f"{sf}/event[s].parquet", schema)
     kind = F.expr("case event_type when 'click' then 1 when 'view' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end")
-    return rows.select(F.col("event_id").alias("idx"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("z"), kind.alias("model_id"))
+    return rows.select(F.col("event_id").alias("idx"), F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), F.regexp_extract("props", "([0-9]+)", 1).cast("double").alias("z"), kind.alias("model_id"), F.col("_metadata.file_path").alias("path"))
 
 
 def _finished(stream) -> None:

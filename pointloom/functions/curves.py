@@ -151,9 +151,27 @@ def curve_code(order: str, x: Column, y: Column, z: Column, depth: int = 16) ->
 
 
 def register(spark) -> None:
-    """SQL functions zorder_encode(x, y, z), gray_encode(v) and gray_decode(v)."""
+    """The curve functions as SQL functions, at 16 bits: zorder_encode(x, y, z), zorder_decode(code), hilbert_encode(x, y, z), hilbert_decode(code), batch_code(batch, code), batch_split(code), gray_encode(v), gray_decode(v)."""
+    make = "create or replace temporary function"
     bits = " | ".join(f"shiftleft(shiftright({c}, {i}) & 1L, {3 * i + s})" for i in range(16) for c, s in (("x", 2), ("y", 1), ("z", 0)))
-    spark.sql(f"create or replace temporary function zorder_encode(x bigint, y bigint, z bigint) returns bigint return {bits}")
-    spark.sql("create or replace temporary function gray_encode(v bigint) returns bigint return v ^ shiftrightunsigned(v, 1)")
+    fits = " and ".join(f"({c} is null or {c} between 0 and 65535)" for c in "xyz")
+    spark.sql(f"{make} zorder_encode(x bigint, y bigint, z bigint) returns bigint return if({fits}, {bits}, cast(raise_error('coordinate does not fit in 16 bits') as bigint))")
+    axes = ", ".join("'{}', {}".format(c, " | ".join(f"shiftleft(shiftright(code, {3 * i + s}) & 1L, {i})" for i in range(16))) for c, s in (("x", 2), ("y", 1), ("z", 0)))
+    spark.sql(f"{make} zorder_decode(code bigint) returns struct<x:bigint,y:bigint,z:bigint> return named_struct({axes})")
+    spark.udf.register("hilbert_encode", F.pandas_udf(_hilbert_codes, "long"))
+    spark.udf.register("hilbert_decode", F.pandas_udf(_hilbert_places, "x long, y long, z long"))
+    spark.sql(f"{make} batch_code(batch bigint, code bigint) returns bigint return if(batch is null or batch between 0 and 32767, shiftleft(batch, 48) | code, cast(raise_error('batch does not fit beside the code') as bigint))")
+    spark.sql(f"{make} batch_split(code bigint) returns struct<batch:bigint,code:bigint> return named_struct('batch', shiftrightunsigned(code, 48), 'code', code & {(1 << 48) - 1}L)")
+    spark.sql(f"{make} gray_encode(v bigint) returns bigint return v ^ shiftrightunsigned(v, 1)")
     back = " ^ ".join(["v", *[f"shiftrightunsigned(v, {k})" for k in range(1, 64)]])
-    spark.sql(f"create or replace temporary function gray_decode(v bigint) returns bigint return {back}")
+    spark.sql(f"{make} gray_decode(v bigint) returns bigint return {back}")
+
+
+def _hilbert_codes(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+    if any(((v < 0) | (v > 65535)).any() for v in (a, b, c)):
+        raise ValueError("coordinate does not fit in 16 bits")
+    return pd.Series(hilbert_index(a.to_numpy(), b.to_numpy(), c.to_numpy(), 16))
+
+
+def _hilbert_places(code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip("xyz", hilbert_axes(code.to_numpy(), 16), strict=True)))

@@ -14,19 +14,52 @@ from .points import VOXEL, crop_centers, localize, voxelize
 AXES = ("x", "y", "z")
 
 
+#: How often the radius may be halved where points are dense.
+HALVINGS = 9
+
+
+def _cells(side) -> list:
+    return [F.floor(F.col(c) / side).cast("long").alias(f"_{c}") for c in AXES]
+
+
+CELL = ["_level", "_x", "_y", "_z"]
+
+
+def _reach(radius: float, level):
+    """How far to look at a level: the diagonal of its cell, at most the radius."""
+    return F.least(F.lit(float(radius)), F.lit(math.sqrt(3) * radius * (1 + 1e-9)) / F.pow(F.lit(2.0), level))
+
+
+def levels_of(points: DataFrame, centers: DataFrame, k: int, radius: float) -> DataFrame:
+    """``centers`` (center, x, y, z) with _level: the most halvings of the radius whose cell around the centre still has ``k`` points.
+
+    These lie within the cell's diagonal, so no nearer neighbour is further
+    away. Level 0, the radius itself, where no cell has as many.
+    """
+    finest = radius / 2**HALVINGS
+    above = [F.expr(f"shiftright(_{c}, {HALVINGS} - _level)").alias(f"_{c}") for c in AXES]  # a cell's cell at a lower level
+    level = F.explode(F.sequence(F.lit(1), F.lit(HALVINGS))).alias("_level")
+    counts = points.select(*_cells(F.lit(finest))).groupBy(*CELL[1:]).agg(F.count("*").alias("_n"))
+    full = counts.select("*", level).select("_level", *above, "_n").groupBy(*CELL).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k).drop("_n")
+    dense = centers.select("center", *_cells(F.lit(finest)), level).select("center", "_level", *above).join(full, CELL, "left_semi").groupBy("center").agg(F.max("_level").alias("_level"))
+    return centers.join(dense, "center", "left").select("center", *AXES, F.coalesce("_level", F.lit(0)).alias("_level"))
+
+
 def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
-    """(center, idx, d2): points at most ``radius`` from each center (center, x, y, z).
+    """(center, idx, d2): points at most ``radius`` from each center (center, x, y, z, and optionally _level of ``levels_of``).
 
     Centres go to the 27 cells around theirs, points to their own, so only
-    neighbours in space meet.
+    neighbours in space meet; at higher levels cells and reach are smaller.
     """
-    cell = lambda c, o=0: (F.floor(F.col(c) / radius) + o).cast("long")
-    around = F.array(*[F.struct(*[cell(c, o).alias(f"_{c}") for c, o in zip(AXES, step, strict=True)]) for step in product((-1, 0, 1), repeat=3)])
-    placed = centers.withColumn("_at", F.explode(around)).select("center", *[F.col(c).alias(f"c{c}") for c in AXES], "_at._x", "_at._y", "_at._z")
-    own = points.select("idx", *AXES, *[cell(c).alias(f"_{c}") for c in AXES])
+    placed = centers if "_level" in centers.columns else centers.withColumn("_level", F.lit(0))
+    used = [r[0] for r in placed.select("_level").distinct().collect()] or [0]  # at most HALVINGS + 1
+    reach = _reach(radius, F.col("_level"))
+    around = F.array(*[F.struct(*[(F.floor(F.col(c) / reach) + o).cast("long").alias(f"_{c}") for c, o in zip(AXES, step, strict=True)]) for step in product((-1, 0, 1), repeat=3)])
+    placed = placed.withColumn("_at", F.explode(around)).select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES], "_at._x", "_at._y", "_at._z")
+    own = points.select("idx", *AXES, F.explode(F.array(*[F.lit(v) for v in used])).alias("_level")).select("idx", *AXES, "_level", *_cells(reach))
     d2 = F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)")
-    met = placed.join(own, ["_x", "_y", "_z"]).select("center", "idx", d2.alias("d2"))
-    return met.where(F.col("d2") <= F.lit(float(radius) * float(radius)))
+    met = placed.join(own, CELL).select("center", "idx", "_level", d2.alias("d2"))
+    return met.where(F.col("d2") <= F.when(F.col("_level") == 0, F.lit(float(radius) * float(radius))).otherwise(reach * reach)).select("center", "idx", "d2")
 
 
 def nearest(found: DataFrame, k: int, own_first: bool = False) -> DataFrame:
@@ -40,9 +73,17 @@ def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_
 
     ``centers`` has idx of points. A centre is its own first neighbour with
     ``own_first``; else points in the same place with smaller idx precede it.
+    Where points are dense the search looks only as far as ``k`` points
+    surely lie, and of a place only the ``k`` smallest idx can be among the
+    nearest, so pairs grow with ``k``, not with the density.
     """
-    at = points.join(centers.select("idx"), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES)
-    return nearest(within_radius(points, at, radius), k, own_first)
+    at = checkpointed(points.join(centers.select("idx"), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES))
+    first = Window.partitionBy(*AXES).orderBy("idx")
+    some = checkpointed(points.select("idx", *AXES).withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).drop("_place"))
+    found = within_radius(some, checkpointed(levels_of(some, at, k, radius)), radius)
+    if own_first:
+        found = found.where("idx <> center").unionByName(at.select("center", F.col("center").alias("idx"), F.lit(0.0).alias("d2")))
+    return nearest(found, k, own_first)
 
 
 def fill_centers(left: DataFrame, k: int, size: float, turn: int) -> DataFrame:

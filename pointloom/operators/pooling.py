@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curves import batch_code, curve_code
-from ..session import numbered
+from ..session import numbered, running_total
 
 REDUCERS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 
@@ -44,14 +44,20 @@ def unpool(parent: DataFrame, inverse: DataFrame, pooled: DataFrame, value: str)
 
 
 def group_offsets(df: DataFrame, key: str = "batch") -> DataFrame:
-    """(key, n, offset): group sizes and their running sum, groups in order. One row a group passes through a single task."""
-    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
-    return sizes.withColumn("offset", F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """(key, n, offset): group sizes and their running sum, groups in order."""
+    return running_total(df.groupBy(key).agg(F.count("*").alias("n")), [key], "n", "offset")
+
+
+#: Members of a group that one row stands for on the way to a row each.
+STRETCH = 100_000
 
 
 def expand_offsets(offsets: DataFrame, key: str = "batch") -> DataFrame:
-    """(position, key): the inverse, a row for each member."""
-    return offsets.where("n > 0").select(F.explode(F.sequence(F.col("offset") - F.col("n"), F.col("offset") - 1)).alias("position"), key)
+    """(position, key): the inverse, a row for each member. Groups are cut into stretches, which are dealt anew, so no group is expanded by one task."""
+    first, last = F.col("offset") - F.col("n"), F.col("offset") - 1
+    cut = offsets.where("n > 0").select(key, last.alias("_last"), F.explode(F.sequence(first, last, F.lit(STRETCH).cast("long"))).alias("_first"))
+    dealt = cut.repartition(key, "_first")
+    return dealt.select(F.explode(F.sequence("_first", F.least(F.col("_first") + STRETCH - 1, F.col("_last")))).alias("position"), key)
 
 
 def serialize(df: DataFrame, order: str = "z", depth: int = 16) -> DataFrame:

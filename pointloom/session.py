@@ -59,3 +59,16 @@ def numbered(df: DataFrame, buckets: list[Column], order: list[Column], name: st
     same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return marked.withColumn("_place", within).join(starts, same).withColumn(name, F.col("_start") + F.col("_place") - 1).select(*df.columns, name)
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` up to each row in the order of the distinct keys ``order``.
+
+    Rows are dealt by ranges of the keys and summed inside them; only the
+    ranges' totals, one row each, pass through a single task.
+    """
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(F.col("_range").alias("_r")).agg(F.sum(value).alias("_sum")).select("_r", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn("_within", within).join(F.broadcast(starts), F.col("_range") == F.col("_r")).select(*df.columns, (F.col("_start") + F.col("_within")).alias(name))

@@ -8,11 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.labels import apply_codes
 from ..operators.tiling import CellGrid, TileGrid, count_grid
-from ..plans.labelling import Model, label_tiles
+from ..plans.labelling import Model, label_planned
+from ..session import checkpointed
 
 
 def arrivals(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of ``path`` as they arrive."""
+    """Parquet files of ``path`` as they arrive; ``_metadata.file_path`` tells a row's file."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
@@ -39,11 +40,17 @@ def stream_histogram(points: DataFrame, code: str, target: str, checkpoint: str)
     return _once(counts.writeStream.outputMode("complete").foreachBatch(publish), checkpoint)
 
 
-def stream_classify(points: DataFrame, model: Model, classes: DataFrame, grid: TileGrid, buffer: float, target: str, checkpoint: str) -> StreamingQuery:
-    """Labels each batch of arriving points in tiles; a batch that is run again replaces its own folder."""
+def stream_classify(points: DataFrame, model: Model, classes: DataFrame, grid: TileGrid, buffer: float, target: str, checkpoint: str, budget: int = 4_000_000, by: str = "path") -> StreamingQuery:
+    """Labels each batch of arriving files in tiles; a batch that is run again replaces its own folder.
+
+    Files arrive whole, and each (column ``by``) is labelled by itself, so no
+    point lacks neighbours that another batch brings. Dense tiles are cut
+    until windows keep the ``budget``.
+    """
 
     def label(batch: DataFrame, batch_id: int) -> None:
-        codes = apply_codes(label_tiles(batch, grid, model, buffer), classes)
+        arrived = checkpointed(batch)
+        codes = apply_codes(label_planned(arrived, grid, model, buffer, budget, by=(by,)), classes)
         codes.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return _once(points.writeStream.foreachBatch(label), checkpoint)

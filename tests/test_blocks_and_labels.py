@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import codes, curves, units
-from pointloom.operators import blocks, labels, neighbors, points
+from pointloom.operators import blocks, labels, neighbors, points, pooling
 from pointloom.plans import labelling
 from pointloom.session import checkpointed
 
@@ -54,6 +54,34 @@ def test_knn_equals_brute_force(spark):
         assert [i for _, i in sorted(found[c])] == [i for _, i in want] or np.allclose(sorted(d2[[i for _, i in found[c]]]), [d for d, _ in want])
 
 
+def test_dense_neighbours_meet_few_pairs(spark):
+    """1,000 points in one place and 3,000 in 1 m, radius 50 m: exact, and pairs grow with k."""
+    dense = np.random.default_rng(9).uniform(0, 1, (3000, 3))
+    xyz = np.vstack([np.full((1000, 3), 0.5), dense, np.random.default_rng(10).uniform(0, 100, (50, 3))])
+    cloud = checkpointed(cloud_of(spark, xyz))
+    some = cloud.where("idx % 40 = 0").select("idx")
+    found = {}
+    for r in neighbors.knn_crops(cloud, some, 8, 50.0).collect():
+        found.setdefault(r.center, []).append((r["rank"], r.idx))
+    for c, got in found.items():
+        d2 = ((xyz - xyz[c]) ** 2).sum(1)
+        want = sorted((d, i) for i, d in enumerate(d2) if d <= 2500)[:8]
+        assert np.allclose(sorted(d2[[i for _, i in got]]), [d for d, _ in want])
+    assert len(found) == len(xyz) // 40 + 1
+    few = cloud.where("idx >= 992")  # 8 of the place
+    at = few.where("idx % 40 = 0").select(F.col("idx").alias("center"), "x", "y", "z")
+    pairs = neighbors.within_radius(few, neighbors.levels_of(few, at, 8, 50.0), 50.0).count()
+    assert pairs < at.count() * 600 < at.count() * few.count() / 4
+
+
+def test_offsets_over_many_ranges(spark):
+    frame = spark.range(5000).selectExpr("cast(pow(id % 71, 2) as long) as batch")
+    offsets = pooling.group_offsets(frame).orderBy("batch").collect()
+    assert [r.offset for r in offsets] == list(np.cumsum([r.n for r in offsets]))
+    back = pooling.expand_offsets(spark.createDataFrame([(1, 250_000, 250_000), (2, 0, 250_000), (3, 5, 250_005)], "batch long, n long, offset long"))
+    assert back.count() == 250_005 and back.agg(F.count_distinct("position")).first()[0] == 250_005 and back.where("batch = 3").agg(F.min("position")).first()[0] == 250_000
+
+
 def test_crops_cover_coincident_and_dense_points(spark):
     """100 points in one place and 1,500 in a cell of the fill rounds, with crops of at most 5 places."""
     dense = np.random.default_rng(6).uniform(0, 0.5, (1500, 3)) + [300, 0, 0]
@@ -188,6 +216,12 @@ def test_sql_functions(spark):
     row = spark.sql("select zorder_encode(5, 3, 1) z, gray_decode(gray_encode(123456789)) g, unit_label(unit_from_name('US survey foot')) u, unit_label(1000D) k, unit_from_name('rod') r").first()
     want = spark.range(1).select(curves.zorder_encode(F.lit(5), F.lit(3), F.lit(1))).first()[0]
     assert tuple(row) == (want, 123456789, "US survey foot", "kilometre", None)
+    code = spark.range(1).select(curves.hilbert_encode(F.lit(5).cast("long"), F.lit(3).cast("long"), F.lit(1).cast("long"))).first()[0]
+    row = spark.sql(f"select zorder_decode(zorder_encode(5, 3, 65535)) z, hilbert_encode(5L, 3L, 1L) h, hilbert_decode({code}L) p, batch_split(batch_code(7, 99)) b, unit_plural(0.3048D) u").first()
+    assert (tuple(row.z), row.h, tuple(row.p), tuple(row.b), row.u) == ((5, 3, 65535), code, (5, 3, 1), (7, 99), "international feet")
+    for bad in ("zorder_encode(65536, 0, 0)", "hilbert_encode(-1L, 0L, 0L)", "batch_code(32768, 1)"):
+        with pytest.raises(Exception, match="fit"):
+            spark.sql(f"select {bad}").collect()
 
 
 def test_duplicates_share_label(spark):
