@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, fresh, narrow
@@ -79,25 +79,24 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS, id_col: str = "doc_i
         .where(F.col("group_size") >= limit)
     )
     hot = digests.join(F.broadcast(winners), "digest").select("doc_id", "tag", "digest", "last", "group_size")
-    same = Window.partitionBy("digest")
-    cold = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "doc_id", "tag", "digest", last.over(same).alias("last"), F.count("*").over(same).alias("group_size")
-    )
+    others = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # stored, so that the join deals both sides anew and may split a digest of many rows
+    groups = checkpointed(others.groupBy("digest").agg(last.alias("last"), F.count("*").alias("group_size")))
+    cold = others.join(groups, "digest").select("doc_id", "tag", "digest", "last", "group_size")
     return hot.unionByName(cold).select("doc_id", "digest", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("tag") == F.col("last.tag")).alias("kept"))
 
 
 def drop_exact_duplicates(docs: DataFrame, counters: int = COUNTERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they have.
 
-    Texts are shuffled once, to meet their verdict; the verdicts are the
-    hashed side, so texts are not sorted.
+    Texts are shuffled once at most, to meet their verdict.
     """
     groups = checkpointed(exact_groups(docs, counters, id_col, text_col))
     kept = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
     name = fresh(docs, "text_digest")
     marked = docs.withColumn(name, digest_of(docs[text_col]))
     match = marked[name].eqNullSafe(kept.kept_digest) & marked[id_col].eqNullSafe(kept.kept_id)
-    out = marked.join(kept.hint("shuffle_hash"), match, "left_semi")
+    out = marked.join(kept, match, "left_semi")
     if groups.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # whole rows repeat
         out = out.dropDuplicates([id_col, name])
     return out.drop(name)
