@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space that ends a word.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, set as checkpoint folder if none is set.
+from ..session import checkpointed, shared_folder
 
-    It is the session's ``spark.checkpoint.dir``; a folder of our own is taken
-    only where neither the session nor its context names one.
-    """
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not known.isDefined():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
-        known = context._jsc.sc().getCheckpointDir()
-    return named or known.get()
+__all__ = ["BoundedCache", "checkpointed", "documents", "fresh", "map_batches", "narrow", "remainder_of_crc", "runs_of", "shared_folder", "texts_of"]
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` stored once in the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: ASCII white space that ends a word.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -26,8 +26,8 @@ node from the start.
 Defined cases: null and empty texts have no words and fingerprint zero, which
 links like any other; fewer than three words are one shingle; a row without a
 doc_id gets its fingerprint, links nothing, has no component and is never
-dropped; repeated rows get equal results; an empty table gives an empty
-result; other columns are not read.
+dropped; repeated rows get equal results, and of them one stays; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, map_batches, narrow, texts_of
+from .common import checkpointed, documents, fresh, map_batches, narrow, texts_of
 from .components import components
 
 RADIUS = 3
@@ -69,17 +69,17 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
-    rows = narrow(docs, doc_id=id_col, text=text_col)
+    """(doc_id, text_key, fp): a hash of the text, and fp as a signed long."""
+    rows = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [_signed(fingerprint(t)) for t in texts_of(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [_signed(fingerprint(t)) for t in texts_of(batch.column(2))]
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["doc_id", "text_key", "fp"])
 
         return step
 
-    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_batches(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 def _masks(flips: list[int]):
@@ -130,27 +130,41 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (smallest doc_id reachable).
+    """One row per document: doc_id, text_key, fp (signed long), class_fp (the smallest fp reachable, which names the class), component_id (smallest doc_id reachable).
 
     Texts are read once. Equal fingerprints are aggregated before anything
     is emitted, so copies cost nothing.
     """
     marked = checkpointed(fingerprints(docs, id_col, text_col))
     nodes = checkpointed(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = near_links(nodes.select("fp"))
-    first = nodes.select(F.col("fp").alias("v"), F.col("first_id").alias("b"))
-    by_id = links.join(nodes.withColumnRenamed("fp", "u"), "u").join(first, "v").select(F.col("first_id").alias("u"), F.col("b").alias("v"))
-    found = components(by_id)
-    known = nodes.join(found, nodes.first_id == found.node, "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
-    joined = marked.join(known.withColumnRenamed("fp", "known_fp"), F.col("fp") == F.col("known_fp"), "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    found = components(near_links(nodes.select("fp")))
+    member = nodes.join(found, nodes.fp == found.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class_fp"))
+    member = checkpointed(member)
+    smallest = member.groupBy("class_fp").agg(F.min("first_id").alias("component_id"))
+    known = member.join(smallest, "class_fp").select(F.col("fp").alias("known_fp"), "class_fp", "component_id")
+    joined = marked.join(known, F.col("fp") == F.col("known_fp"), "left")
+    return joined.select("doc_id", "text_key", "fp", "class_fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, with the columns it has."""
-    groups = near_groups(docs, id_col, text_col)
-    drop = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(drop.hint("shuffle_hash"), docs[id_col] == drop.dropped_id, "left_anti")
+    """One document of each group, the one with the smallest doc_id, with the columns it has.
+
+    The verdict is on a row's doc_id and text: where one doc_id stands on
+    several texts, each is judged in its own group (of those that have the
+    smallest id, the one of the smallest text hash stays), and of rows that
+    repeat both, one stays.
+    """
+    groups = checkpointed(near_groups(docs, id_col, text_col).where("doc_id is not null").select("doc_id", "text_key", "class_fp", "component_id"))
+    heads = groups.where("doc_id = component_id").select("doc_id", "text_key", "class_fp")
+    first = heads.groupBy(F.col("class_fp").alias("_class")).agg(F.min("text_key").alias("_first"))
+    others = heads.join(first, (F.col("class_fp") == F.col("_class")) & (F.col("text_key") > F.col("_first"))).select("doc_id", "text_key")
+    drop = groups.where("doc_id <> component_id").select("doc_id", "text_key").unionByName(others).distinct().withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    name = fresh(docs, "text_key")
+    marked = docs.withColumn(name, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    left = marked.join(drop, (marked[id_col] == drop["_id"]) & (marked[name] == drop["_key"]), "left_anti")
+    if groups.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():  # whole rows repeat
+        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, name]).unionByName(left.where(F.col(id_col).isNull()))
+    return left.drop(name)
 
 
 def op5_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

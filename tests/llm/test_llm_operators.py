@@ -374,7 +374,17 @@ def test_drop_near(clashing):
     kept = simhash_dedup.drop_near_duplicates(clashing)
     assert kept.columns == clashing.columns
     groups = {r.doc_id: r.component_id for r in simhash_dedup.near_groups(clashing).collect() if r.doc_id is not None}
-    assert {r.doc_id for r in kept.collect()} == {i for i, c in groups.items() if i == c} | {None}
+    rows = [r.doc_id for r in kept.collect()]
+    assert set(rows) == {i for i, c in groups.items() if i == c} | {None}
+    assert rows.count(1) == 1 and rows.count(None) == 2  # repeated rows leave one, rows without an id all stay
+
+
+def test_drop_near_judges_texts_of_one_id_apart(spark):
+    a, b, c = prose(31, 200), prose(32, 200), prose(33, 200)
+    rows = [(7, a), (7, b), (3, b), (9, a + " more"), (7, c), (7, a)]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = sorted((r.doc_id, r.text) for r in simhash_dedup.drop_near_duplicates(frame).collect())
+    assert kept == sorted([(3, b), (7, a), (7, c)])
 
 
 # --- 6 pieces ---------------------------------------------------------------------------
