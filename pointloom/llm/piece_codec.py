@@ -117,12 +117,13 @@ class OffsetEncoder:
 
 
 def encode(docs: DataFrame, model_path: str, decode: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids, span_begin, span_end, decoded.
+    """One row per document: doc_id, n_tokens, ids, span_begin, span_end, decoded, n_spanned.
 
     ids, span_begin and span_end are binary, little-endian unsigned 32-bit
     (``unpack`` makes arrays of them); spans are byte offsets into the
-    original UTF-8. ``decoded`` is what the library makes of the ids (null
-    unless asked for). No shuffle.
+    original UTF-8, and ``n_spanned`` counts those that are not empty.
+    ``decoded`` is what the library makes of the ids (null unless asked for).
+    No shuffle.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -136,13 +137,13 @@ def encode(docs: DataFrame, model_path: str, decode: bool = True, id_col: str =
             spans = [pa.array([x[k].astype("<u4").tobytes() for x in found], pa.binary()) for k in (1, 2)]
             back = [encoder.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids] if decode else [None] * len(ids)
             return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *spans, pa.array(back, pa.string())],
-                ["doc_id", "n_tokens", "ids", "span_begin", "span_end", "decoded"],
+                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *spans, pa.array(back, pa.string()), pa.array([int((x[1] != x[2]).sum()) for x in found], pa.int64())],
+                ["doc_id", "n_tokens", "ids", "span_begin", "span_end", "decoded", "n_spanned"],
             )
 
         return step
 
-    return map_batches(rows, make, f"doc_id {kind}, n_tokens long, ids binary, span_begin binary, span_end binary, decoded string")
+    return map_batches(rows, make, f"doc_id {kind}, n_tokens long, ids binary, span_begin binary, span_end binary, decoded string, n_spanned long")
 
 
 def unpack(packed: bytes) -> list[int]:
@@ -150,10 +151,9 @@ def unpack(packed: bytes) -> list[int]:
 
 
 def span_digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, digests of ids, spans and decoded text, and n_spanned: the ids whose span is not empty."""
-    filled = F.expr("length(span_begin) div 4 - size(filter(sequence(1, length(span_begin), 4), k -> substring(span_begin, k, 4) = substring(span_end, k, 4)))")
+    """doc_id, n_tokens, digests of ids, decoded text and spans, n_spanned."""
     spans = F.sha2(F.concat("span_begin", "span_end"), 256).alias("spans_sha256")
-    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), spans, filled.cast("long").alias("n_spanned"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), spans, "n_spanned")
 
 
 def op6_offset_preserving(spark: SparkSession, sf_dir: str) -> DataFrame:
