@@ -6,7 +6,7 @@ Lines are exploded with their positions, normalised (white space of
 its lines except those in the largest doc_id that holds it. What is left of a
 document is put together again by position, joined by newlines.
 
-Only digests travel: (digest, doc_id) pairs are made distinct and counted with
+Only digests travel, stored once: (digest, doc_id) pairs are made distinct and counted with
 partial sums, so a line of every document costs no task more than others.
 Frequent digests meet their lines in two ways: at most ``HOT`` of them hold more
 than one part in ``HOT`` of all counted pairs each, which bounds what is
@@ -51,18 +51,18 @@ def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
     return keys.select("doc_id", "text_key", "pos", F.substring(whole, 1, 16).alias("digest"))
 
 
-def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, n_docs, keep_id) of the lines that at least ``min_docs`` documents hold."""
-    pairs = line_digests(docs, min_chars, id_col, text_col).select("digest", "doc_id").distinct()
+def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(digest, n_docs, keep_id) of those of ``lines`` (``line_digests``) that at least ``min_docs`` documents hold."""
+    pairs = lines.select("digest", "doc_id").distinct()
     return pairs.groupBy("digest").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id")).where(F.col("n_docs") >= min_docs)
 
 
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, dropped): ascending positions of the lines that go, of each text that loses any."""
-    found = checkpointed(frequent_lines(docs, min_chars, min_docs, id_col, text_col).withColumnRenamed("digest", "known"))
+    lines = checkpointed(line_digests(docs, min_chars, id_col, text_col))  # some 50 bytes a line; texts are cut and hashed once
+    found = checkpointed(frequent_lines(lines, min_docs).withColumnRenamed("digest", "known"))
     total = found.agg(F.sum("n_docs")).first()[0] or 0
     heavy = F.col("n_docs") * HOT > total
-    lines = line_digests(docs, min_chars, id_col, text_col)
     hot = lines.join(F.broadcast(found.where(heavy)), F.col("digest") == F.col("known"))
     rest = lines.join(found.where(~heavy), F.col("digest") == F.col("known"))
     gone = hot.unionByName(rest).where("doc_id <> keep_id")
