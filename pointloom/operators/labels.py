@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import unused
+
 
 def ensemble_mean(votes: DataFrame) -> DataFrame:
     """(idx, class, p) votes -> (idx, class, p, visits): mean over visits."""
@@ -28,9 +30,14 @@ def project(voxels: DataFrame, labels: DataFrame, key: list[str]) -> DataFrame:
     return voxels.join(labels, key)
 
 
-def merge_labels(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """``points`` with label, null where none; labels have one row an idx at most (``assert_covered`` checks)."""
-    return points.join(labels.select("idx", "label"), "idx", "left")
+def merge_labels(points: DataFrame, labels: DataFrame, column: str = "label") -> DataFrame:
+    """``points`` with ``column``, the label of its idx, null where none; a column of that name is replaced where it stands.
+
+    Labels have one row an idx at most (``assert_covered`` checks).
+    """
+    name, key = unused(points, "_merged"), unused(points, "_merged_idx")
+    known = labels.select(F.col("idx").alias(key), F.col("label").alias(name))
+    return points.join(known, F.col("idx") == F.col(key), "left").withColumn(column, F.col(name)).drop(name, key)
 
 
 def map_codes(labels: DataFrame, classes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curves import batch_code, curve_code
-from ..session import numbered, running_total
+from ..session import numbered, ranked, running_total
 
 REDUCERS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
 
@@ -60,14 +60,15 @@ def expand_offsets(offsets: DataFrame, key: str = "batch") -> DataFrame:
     return dealt.select(F.explode(F.sequence("_first", F.least(F.col("_first") + STRETCH - 1, F.col("_last")))).alias("position"), key)
 
 
-def serialize(df: DataFrame, order: str = "z", depth: int = 16) -> DataFrame:
+def serialize(df: DataFrame, order: str = "z", depth: int = 16, parts: int | None = None) -> DataFrame:
     """Adds code (of batch, gx, gy, gz along the curve) and rank, its place from 0 in the order of all codes, ties by idx.
 
-    Ranks are numbered inside runs of the curve, so no task sorts everything.
+    Codes are dealt by ``parts`` ranges (as many as shuffles have by default)
+    with bounds sampled from the codes, so a cloud in a corner of the curve
+    is dealt as evenly as any other.
     """
     coded = df.withColumn("code", batch_code(F.col("batch"), curve_code(order, F.col("gx"), F.col("gy"), F.col("gz"), depth), depth))
-    run = F.shiftrightunsigned("code", max(3 * depth - 9, 0))
-    return numbered(coded, [run], [F.col("code"), F.col("idx")], "rank")
+    return ranked(coded, ["code", "idx"], "rank", parts)
 
 
 def patches(df: DataFrame, size: int, depth_key: str = "batch") -> DataFrame:

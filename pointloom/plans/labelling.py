@@ -1,31 +1,32 @@
 """Labelling with a model that the user brings: whole tiles, blocks, crops, rows, folders of files.
 
 A model is a function ``xyz (N, 3) metres -> N whole numbers`` (or, for crops,
-``-> (N, classes) probabilities``). It runs once a group; only idx and
-coordinates travel to the groups, labels come back by idx.
+``-> (N, classes) probabilities``), or an object that workers load (``models``). It
+runs once a group; only idx and coordinates travel to the groups, labels come
+back by idx.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codes import provenance_json
+from ..functions.codes import audit_label_field, provenance_json
 from ..functions.units import resolve_units, to_metres
 from ..operators.blocks import block_voxels, last_block, or_merge, sliding_blocks
 from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays, merge_labels, needs_upgrade
 from ..operators.neighbors import cover_all
 from ..operators.points import assert_finite, localize, voxel_projection
-from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, buffer_for, plan_tiles, tile_grid
-from ..session import checkpointed
+from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, buffer_for, group_extents, in_group, plan_groups, plan_tiles, tile_grid
+from ..session import checkpointed, qualified
 from ..sources import las
-from ..sources.files import refuse_waveforms
-
-Model = Callable[[np.ndarray], np.ndarray]
+from ..sources.files import check_outputs, files_changed, list_files, refuse_waveforms
+from ..sources.publishing import discard_staged, publish_staged
+from .models import Model, need_of, sendable
 
 
 def checked(labels, count: int) -> np.ndarray:
@@ -38,6 +39,7 @@ def checked(labels, count: int) -> np.ndarray:
 
 def _grouped(assigned: DataFrame, group: list[str], model: Model) -> DataFrame:
     """(idx, label) of core points: the model sees a group's whole window."""
+    model = sendable(model)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         core = (frame.x >= frame.x0) & (frame.x < frame.x1) & (frame.y >= frame.y0) & (frame.y < frame.y1)
@@ -55,27 +57,46 @@ def label_tiles(points: DataFrame, grid: TileGrid, model: Model, buffer: float)
 
 
 def label_pieces(points: DataFrame, pieces: DataFrame, model: Model, buffer: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """As label_tiles, for pieces (piece_id, x0, y0, x1, y1) of uneven size; with columns ``by``, points that differ in them never meet."""
-    return _grouped(assign_pieces(points.select("idx", "x", "y", "z", *by), pieces, buffer), ["piece_id", *by], model)
+    """As label_tiles, for pieces (piece_id, x0, y0, x1, y1) of uneven size; with columns ``by``, points that differ in them never meet.
 
+    Pieces that have the columns ``by`` hold only points equal in them.
+    """
+    shared = tuple(c for c in by if c in pieces.columns)
+    return _grouped(assign_pieces(points.select("idx", "x", "y", "z", *by), pieces, buffer, shared), ["piece_id", *by], model)
 
-def label_planned(points: DataFrame, grid: TileGrid, model: Model, buffer: float, budget: int, allow_over_budget: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """(idx, label) by the tiles of ``grid``, cut and refined until no window holds more than ``budget`` points.
 
-    A window that no cut can bring under the budget (more points than that
-    within the buffer of each other) is an error, unless it is allowed.
-    """
-    pieces = checkpointed(plan_tiles(points, grid, buffer, budget).where("total > 0"))
+def _in_budget(plan: DataFrame, budget: int, allow_over_budget: bool) -> DataFrame:
+    pieces = checkpointed(plan.where("total > 0"))
     if not allow_over_budget:
         over = pieces.where(F.col("total") > budget).agg(F.count("*").alias("n"), F.max("total").alias("most")).first()
         if over["n"]:
             raise ValueError(f"{over['n']} windows stay over the budget of {budget} points, the fullest has {over['most']}; take a larger budget or a smaller buffer")
-    named = pieces.select(F.concat_ws("/", "tile_id", "path").alias("piece_id"), "x0", "y0", "x1", "y1")
-    return label_pieces(points, named, model, buffer, by)
+    return pieces.select(F.concat_ws("/", "tile_id", "path").alias("piece_id"), F.shiftright("tile_id", 32).alias("grid_id"), "x0", "y0", "x1", "y1")
+
+
+def label_planned(points: DataFrame, grid: TileGrid, model: Model, buffer: float, budget: int, allow_over_budget: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(idx, label) by the tiles of ``grid``, cut and refined until no window holds more than ``budget`` points.
+
+    A window that no cut can bring under the budget (more points than that
+    within the buffer of each other) is an error, unless it is allowed. With
+    columns ``by``, each group has tiles of that size of its own.
+    """
+    if by:
+        return label_groups(points, by, model, buffer, budget, None, grid.size, allow_over_budget)
+    return label_pieces(points, _in_budget(plan_tiles(points, grid, buffer, budget), budget, allow_over_budget), model, buffer)
+
+
+def label_groups(points: DataFrame, by: tuple[str, ...], model: Model, buffer: float, budget: int, target: int | None, size: float | None = None, allow_over_budget: bool = False) -> DataFrame:
+    """(idx, label): as label_planned, each group of points equal in the columns ``by`` planned, counted against the budget and labelled by itself."""
+    groups = checkpointed(group_extents(points, by))
+    members = in_group(points, groups, by)
+    pieces = _in_budget(plan_groups(members, groups, buffer, budget, target, size), budget, allow_over_budget)
+    return label_pieces(members, pieces, model, buffer, ("grid_id",))
 
 
 def label_rows(points: DataFrame, model: Model) -> DataFrame:
     """(idx, label) by a model that needs no neighbours, batch by batch. No shuffle."""
+    model = sendable(model)
 
     def run(frames):
         for frame in frames:
@@ -84,7 +105,7 @@ def label_rows(points: DataFrame, model: Model) -> DataFrame:
     return points.select("idx", "x", "y", "z").mapInPandas(run, "idx long, label int")
 
 
-def label_blocks(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], resolution: tuple[float, float, float], shape: tuple[int, int, int], overlap: float = 0.1, binary: bool = False, flat: bool = False) -> DataFrame:
+def label_blocks(points: DataFrame, model: Model, resolution: tuple[float, float, float], shape: tuple[int, int, int], overlap: float = 0.1, binary: bool = False, flat: bool = False) -> DataFrame:
     """(idx, label): overlapping blocks of ``shape`` voxels, occupancy given to the model.
 
     The model gets a block's occupied voxels (M, 3) and returns M labels. Of
@@ -92,7 +113,7 @@ def label_blocks(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], r
     block says more than 1. ``flat`` cuts blocks in x and y only; a binary
     point that no voxel grid holds then counts as 2. Else such a point is 0.
     """
-    size = tuple(r * n for r, n in zip(resolution, shape, strict=True))
+    model, size = sendable(model), tuple(r * n for r, n in zip(resolution, shape, strict=True))
     members = sliding_blocks(points.select("idx", "x", "y", "z"), size[:2] if flat else size, overlap)
     voxel = ["block_id", "vi", "vj", "vk"]
     placed = block_voxels(members, resolution, shape).select("idx", *voxel)
@@ -110,12 +131,13 @@ def label_blocks(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], r
     return points.select("idx").join(last_block(votes), "idx", "left").select("idx", F.coalesce("pred", F.lit(0)).alias("label"))
 
 
-def label_crops(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], k: int, radius: float, spacing: float, grid: float) -> DataFrame:
+def label_crops(points: DataFrame, model: Model, k: int, radius: float, spacing: float, grid: float) -> DataFrame:
     """(idx, label): voxel representatives labelled by overlapping crops, votes averaged, labels carried to every point.
 
     The model gets a crop's coordinates, less the centre of mass and above
     the lowest point, and returns (N, classes) probabilities.
     """
+    model = sendable(model)
     projected = checkpointed(voxel_projection(points, grid))
     reps = projected.select(F.col("rep_idx").alias("idx")).distinct()
     cloud = localize(points.join(reps, "idx", "left_semi").select("idx", "x", "y", "z"))
@@ -136,26 +158,61 @@ def label_crops(points: DataFrame, model: Callable[[np.ndarray], np.ndarray], k:
     return projected.join(labels, "rep_idx").select("idx", "label")
 
 
-def classify(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, budget: int | None = None, buffer: float | None = None, need: float | None = None,
-             raw_ids: bool = False, allow_over_budget: bool = False, by: tuple[str, ...] = (), column: str = "classification") -> DataFrame:
+def point_codes(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, budget: int | None = None, buffer: float | None = None, need: float | None = None,
+                raw_ids: bool = False, allow_over_budget: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(idx, label): the code of each point's label, by ``classify``'s plan; several points of one idx fail the job."""
+    halo, most = buffer_for(buffer, need_of(model, need)), budget or 4 * target
+    if by:
+        labels = label_groups(points, by, model, halo, most, target, tile_size, allow_over_budget)
+    else:
+        labels = label_planned(points, tile_grid(points, target, tile_size), model, halo, most, allow_over_budget)
+    codes = apply_codes(labels, classes, raw_ids)
+    # one row an idx, by the shuffle that the join needs anyway
+    single = codes.groupBy("idx").agg(F.min("code").alias("label"), F.count("*").alias("_times"))
+    several = F.raise_error(F.concat(F.lit("several points have idx "), F.col("idx").cast("string"))).cast("short")
+    return single.select("idx", F.when(F.col("_times") == 1, F.col("label")).otherwise(several).alias("label"))
+
+
+def with_codes(points: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """``points`` with ``column``, the codes; a point without one fails the job."""
+    missing = F.raise_error(F.concat(F.lit("no label for point "), F.col("idx").cast("string"))).cast("short")
+    merged = merge_labels(points, codes, column)
+    return merged.withColumn(column, F.when(F.col(column).isNotNull(), F.col(column)).otherwise(missing))
+
+
+def classify(points: DataFrame, model: Model, classes: DataFrame, *, column: str = "classification", **options) -> DataFrame:
     """``points`` with ``column``: tiles planned, dense ones cut, labelled with halos, merged by idx and mapped to codes.
 
-    The halo is ``need``, what the model looks at around a point, or
+    Options are those of ``point_codes``. The halo is ``need``, what the model
+    looks at around a point (by default its own ``context_buffer_m``), or
     ``buffer`` if that is more (``buffer_for``). Tiles hold about ``target``
     points where density is even; a window of more than ``budget`` (by default
     four times the target) is cut, so that no group of the model outgrows a
-    worker. An unmapped label, a point without a label and an idx that
-    several points share fail the job.
+    worker. Columns ``by`` tell groups apart, as files, that are planned and
+    labelled each by itself. ``column`` may exist already and is then replaced.
+    An unmapped label, a point without a label and an idx that several points
+    share fail the job.
     """
-    halo = buffer_for(buffer, need)
-    labels = label_planned(points, tile_grid(points, target, tile_size), model, halo, budget or 4 * target, allow_over_budget, by)
-    codes = apply_codes(labels, classes, raw_ids)
-    # one row an idx, by the shuffle that the join needs anyway
-    single = codes.groupBy("idx").agg(F.min("code").alias("label"), F.count("*").alias("_times"))
-    several = F.raise_error(F.concat(F.lit("several points have idx "), F.col("idx").cast("string"))).cast("short")
-    merged = merge_labels(points, single.select("idx", F.when(F.col("_times") == 1, F.col("label")).otherwise(several).alias("label")))
-    sure = F.when(F.col("label").isNotNull(), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("no label for point "), F.col("idx").cast("string"))).cast("short"))
-    return merged.withColumn(column, sure).drop("label")
+    return with_codes(points, point_codes(points, model, classes, **options), column)
+
+
+def check_run(heads: DataFrame, result: str, field: str, suffix: str) -> str:
+    """The name of the label field, if nothing speaks against a run: no result over an input or over another, and a field that all files can take.
+
+    One job over the headers; it fails before any label is made.
+    """
+    plan = planned_files(heads).select("path", F.concat(F.lit(f"{result.rstrip('/')}/"), result_name(suffix)).alias("out"))
+    wrong = check_outputs(plan).select(F.concat("out", F.lit(": "), "reason").alias("error"))
+    dims = heads.select(F.col("path").alias("file_id"), F.explode_outer("dims").alias("d")).select("file_id", "d.*")
+    audit = audit_label_field(dims, field)
+    unfit = audit.where("error is not null").select(F.concat("file_id", F.lit(": label field "), "field", F.lit(" "), "error").alias("error"))
+    for bad in wrong.unionByName(unfit).orderBy("error").limit(1).collect():
+        raise ValueError(bad.error)
+    name = (field or "").strip() or "classification"
+    name = "classification" if name.lower() == "classification" else name
+    if name.lower() in {*las.OWN, *las.RAW.values()}:
+        raise ValueError(f"label field {name}: every read has a column of that name")
+    return name
 
 
 def classify_files(spark: SparkSession, source: str, result: str, model: Model, classes: DataFrame, *, crs_units: DataFrame | None = None, override: str = "auto", field: str = "classification",
@@ -163,36 +220,61 @@ def classify_files(spark: SparkSession, source: str, result: str, model: Model,
     """Labels every LAS file of ``source`` and writes it to ``result``; (path, out, declared_count, n_out), a row a file.
 
     The whole way: headers scanned; files refused that cannot be read, hold
-    waveforms or degrees; units resolved (``override``: metre, foot, us_foot or
-    auto; ``crs_units`` (code, to_m) for GeoTIFF keys that name a system) and
-    coordinates brought to metres; coordinates checked; each file labelled by
-    itself (``classify`` with ``options``); formats upgraded if a code needs
-    it; files written with all they had; counts compared with the sources'.
+    waveforms or degrees; results that would replace an input or each other,
+    and a label field that a file cannot take, refused; units resolved
+    (``override``: metre, foot, us_foot or auto; ``crs_units`` (code, to_m) for
+    GeoTIFF keys that name a system) and coordinates brought to metres and
+    checked; each file planned and labelled by itself (``options`` as of
+    ``classify``); formats upgraded if a code needs it; files written with all
+    they had, provenance of other fields included; inputs compared with what
+    they were before; results published together; counts compared with the
+    sources'. ``field`` is classification, with the classes' codes, or the
+    name of a dimension for the model's own class numbers, which is added
+    where a file lacks it and replaced where it has it.
     """
-    heads = las.scan_headers(spark, source)
+    before = checkpointed(list_files(spark, source))
+    heads = checkpointed(las.scan_headers(spark, source))
     for bad in heads.where("warning is not null").orderBy("path").limit(1).collect():
         raise ValueError(bad.warning)
     known = spark.createDataFrame([], "code int, to_m double") if crs_units is None else crs_units
     resolved = resolve_units(heads.withColumn("override", F.lit(override)), known)
     files = checkpointed(refuse_waveforms(resolved).select("path", "declared_count", "point_format", "xy_to_m", "z_to_m"))
-    points = assert_finite(to_metres(las.read_points(spark, source), files, key="path", kept=None))
-    labelled = checkpointed(classify(points, model, classes, by=("path",), column=field, **options))
+    field = check_run(heads, qualified(spark, result), field, suffix)
+    options.setdefault("raw_ids", field != "classification")
+    place = las.read_points(spark, source, columns=["idx", "path", "x", "y", "z"])
+    codes = checkpointed(point_codes(assert_finite(to_metres(place, files, key="path", kept=None)), model, classes, by=("path",), **options))
+    labelled = with_codes(las.read_points(spark, source), codes, field)
     oldest = files.agg(F.min("point_format")).first()[0]
-    upgrade = field == "classification" and oldest is not None and needs_upgrade(labelled.select(F.col(field).alias("code")), oldest).first()["needs_upgrade"]
+    upgrade = field == "classification" and oldest is not None and needs_upgrade(codes.select(F.col("label").alias("code")), oldest).first()["needs_upgrade"]
     named = classes.select("model_id", "asprs_code", F.col("name") if "name" in classes.columns else F.lit("").alias("name"))
     table = named.agg(F.collect_list(F.struct(F.col("model_id").alias("id"), "name", F.col("asprs_code").alias("asprs"))).alias("c"))  # at most 256 classes
     record = table.select(provenance_json(F.lit(model_name), F.lit(weights), F.lit(field), F.col("c"))).first()[0]
-    las.write_copies(labelled, result, field, upgrade, suffix, record)
+    stage = uuid.uuid4().hex
+    las.write_copies(labelled, result, field, upgrade, suffix, record, stage=stage)
+    at = qualified(spark, result)
+    for changed in files_changed(before, list_files(spark, source)).orderBy("path").limit(1).collect():
+        discard_staged(at, stage)
+        raise ValueError(f"{changed.path} changed during the run; nothing was published")
+    publish_staged(at, stage)
     return written_counts(files, las.scan_headers(spark, result), suffix)
 
 
-def written_counts(files: DataFrame, heads: DataFrame, suffix: str) -> DataFrame:
-    """(path, out, declared_count, n_out) of each file; one whose results have another number of points fails the job."""
-    stem = F.concat(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1), F.lit(suffix))
+def planned_files(files: DataFrame) -> DataFrame:
+    """(path, declared_count, several, k): a row for each file that a source of ``files`` is written to."""
     several = F.col("declared_count") > las.PART
     parts = F.expr(f"sequence(0L, greatest(declared_count - 1, 0L) div {las.PART}L)")
-    wanted = files.select("path", "declared_count", several.alias("several"), stem.alias("stem"), F.explode(parts).alias("k"))
-    wanted = wanted.withColumn("name", F.concat("stem", F.when(F.col("several"), F.format_string("-%05d", "k")).otherwise(""), F.lit(".las")))
+    return files.select("path", "declared_count", several.alias("several"), F.explode(parts).alias("k"))
+
+
+def result_name(suffix: str):
+    """Name of the file for a row of ``planned_files``."""
+    stem = F.concat(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1), F.lit(suffix))
+    return F.concat(stem, F.when(F.col("several"), F.format_string("-%05d", "k")).otherwise(""), F.lit(".las"))
+
+
+def written_counts(files: DataFrame, heads: DataFrame, suffix: str) -> DataFrame:
+    """(path, out, declared_count, n_out) of each file; one whose results have another number of points fails the job."""
+    wanted = planned_files(files).select("path", "declared_count", result_name(suffix).alias("name"))
     found = heads.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("path").alias("out"), F.col("declared_count").alias("n"))
     totals = wanted.join(found, "name", "left").groupBy("path", "declared_count").agg(F.min("out").alias("out"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_out"))
     wrong = F.raise_error(F.concat("path", F.lit(": not all points were written"))).cast("long")

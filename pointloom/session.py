@@ -61,6 +61,32 @@ def numbered(df: DataFrame, buckets: list[Column], order: list[Column], name: st
     return marked.withColumn("_place", within).join(starts, same).withColumn(name, F.col("_start") + F.col("_place") - 1).select(*df.columns, name)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, led by underscores until no column of ``df`` has it (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def ranked(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``name`` = 0, 1, 2, ... in the order of the columns ``order``.
+
+    Rows are dealt by ranges whose bounds Spark samples from the columns
+    themselves, so ranges are about equal however the values lie, and sorted
+    in them. Only one row a range is summed up; the rank itself needs no
+    further shuffle.
+    """
+    at, part = unused(df, "_at"), unused(df, "_part")
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = checkpointed(dealt.withColumn(at, F.monotonically_increasing_id())).withColumn(part, F.shiftright(at, 33))
+    runs = dealt.groupBy(F.col(part).alias("_r")).agg(F.min(at).alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = runs.select("_r", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return dealt.join(F.broadcast(starts), F.col(part) == F.col("_r")).select(*df.columns, (F.col(at) + F.col("_shift")).alias(name))
+
+
 def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with ``name``, the sum of ``value`` up to each row in the order of the distinct keys ``order``.
 

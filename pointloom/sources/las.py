@@ -12,6 +12,7 @@ paths without a scheme to the cluster's default file system.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.codes import UPGRADES
 from ..session import checkpointed, qualified
+from .publishing import Publisher, Written, located, names_in
 
 #: Fields of the point formats, fixed values: (name, numpy type).
 _OLD = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("_returns", "u1"), ("_class", "u1"), ("scan_angle_rank", "i1"), ("user_data", "u1"), ("point_source_id", "<u2")]
@@ -51,9 +53,13 @@ RANGE = 1_000_000
 PART = 50_000_000
 #: Files whose headers the driver reads at a time when it plans a read by itself.
 HEADERS_AT_ONCE = 32
+#: Files whose headers a task reads.
+HEADERS_A_TASK = 64
 #: Stored whole numbers, named apart from the coordinates made of them.
 RAW = {"X": "raw_x", "Y": "raw_y", "Z": "raw_z"}
 _STORED = {v: k for k, v in RAW.items()}
+#: Columns that every read has.
+OWN = ("idx", "path", "record", "x", "y", "z")
 
 
 def bits_of(point_format: int) -> dict:
@@ -96,20 +102,35 @@ class Header:
                     out.append((name, f"V{options if kind == 0 else 1}", 1, None, 0.0))
         return out
 
+    @property
+    def columns(self) -> list[tuple[str, str | None]]:
+        """Columns of each extra dimension, and of its stored numbers where they are scaled.
+
+        That is the dimension's name; where another column has it (case
+        ignored), ``extra_`` goes before it until none has.
+        """
+        taken = {n.lower() for n, _ in _fixed_columns(self.point_format)}
+
+        def free(name: str) -> str:
+            while name.lower() in taken:
+                name = f"extra_{name}"
+            taken.add(name.lower())
+            return name
+
+        return [(free(name), free(f"{name}_raw") if scale is not None and k == 1 else None) for name, _, k, scale, _ in self.extra]
+
     @property
     def dtype(self) -> np.dtype:
-        fields = list(FORMATS[self.point_format]) + [(n, t) if k == 1 else (n, t, (k,)) for n, t, k, _, _ in self.extra]
+        fields = _record_fields(self.point_format, self.extra)
         rest = self.record_length - np.dtype(fields).itemsize
         if rest < 0:
             raise ValueError(f"{self.path}: records are shorter than their fields")
         return np.dtype(fields + ([("_rest", f"V{rest}")] if rest else []))
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the name it has there."""
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path.removeprefix("file:")
+def _record_fields(point_format: int, extra: list[tuple]) -> list[tuple]:
+    """numpy fields of a record; extra dimensions go by number, since their names may be anything."""
+    return list(FORMATS[point_format]) + [(f"+{i}", t) if k == 1 else (f"+{i}", t, (k,)) for i, (_, t, k, *_) in enumerate(extra)]
 
 
 #: User ids of records that do not describe copied points, fixed values.
@@ -154,18 +175,22 @@ def read_header(path: str, ends: bool = False) -> Header:
     return Header(path, size, version, at("<H", head, 6)[0], offset, fmt & 0x3F, at("<H", head, 105)[0], count, at("<3d", head, 131), at("<3d", head, 155), bounds[1::2], bounds[0::2], vlrs, head[:start], tuple(records), tuple(extended))
 
 
+def _fixed_columns(point_format: int) -> list[tuple[str, str]]:
+    """(name, Spark type) of the columns that all files of a format have."""
+    out = list(zip(OWN, ("long", "string", "long", "double", "double", "double"), strict=True))
+    out += [(RAW.get(n, n), _SPARK[np.dtype(t).str[1:]]) for n, t in FORMATS[point_format] if n[0] != "_"]
+    return out + [(n, "short") for n in bits_of(point_format)]
+
+
 def _columns(header: Header) -> list[tuple[str, str]]:
     """(name, Spark type) of a file's rows."""
-    out = [("idx", "long"), ("path", "string"), ("record", "long"), ("x", "double"), ("y", "double"), ("z", "double")]
-    bits = bits_of(header.point_format)
-    out += [(RAW.get(n, n), _SPARK[np.dtype(t).str[1:]]) for n, t in FORMATS[header.point_format] if n[0] != "_"]
-    out += [(n, "short") for n in bits]
-    for n, t, k, scale, _ in header.extra:
+    out = _fixed_columns(header.point_format)
+    for (_, t, k, scale, _), (column, stored) in zip(header.extra, header.columns, strict=True):
         if t[0] != "V":
             kind = "double" if scale is not None else _SPARK[t.lstrip("<")]
-            out.append((n, kind if k == 1 else f"array<{kind}>"))
-            if scale is not None and k == 1:
-                out.append((f"{n}_raw", _SPARK[t.lstrip("<")]))
+            out.append((column, kind if k == 1 else f"array<{kind}>"))
+            if stored:
+                out.append((stored, _SPARK[t.lstrip("<")]))
     return out
 
 
@@ -177,33 +202,45 @@ def _arrow(values: np.ndarray, kind: str) -> pa.Array:
     return pa.array(values.astype({"short": "i2", "byte": "i1", "int": "i4", "long": "i8", "float": "f4", "double": "f8"}[kind]))
 
 
-def decode(header: Header, records: np.ndarray, first: int, start: int = 0) -> pa.RecordBatch:
-    """Rows of ``records``, the first of them number ``first`` of its file, which starts at idx ``start``."""
-    kinds = _columns(header)
-    bits, extra = bits_of(header.point_format), {e[0]: e for e in header.extra}
+#: x0, y0, x1, y1; its edges belong to it.
+Box = tuple[float, float, float, float]
+
+
+def decode(header: Header, records: np.ndarray, numbers: np.ndarray, start: int = 0, kinds: list[tuple[str, str]] | None = None) -> pa.RecordBatch:
+    """Columns ``kinds`` (all by default) of ``records`` with these numbers in their file, which starts at idx ``start``."""
+    kinds = _columns(header) if kinds is None else kinds
+    bits = bits_of(header.point_format)
+    extra = {column: (i, e) for i, (e, (column, _)) in enumerate(zip(header.extra, header.columns, strict=True))}
+    stored = {column: i for i, (_, column) in enumerate(header.columns) if column}
     out = []
     for name, kind in kinds:
         if name == "idx":
-            out.append(pa.array(np.arange(start + first, start + first + len(records), dtype=np.int64)))
+            out.append(pa.array(start + numbers))
         elif name == "record":
-            out.append(pa.array(np.arange(first, first + len(records), dtype=np.int64)))
+            out.append(pa.array(numbers))
         elif name == "path":
             out.append(pa.array([header.path] * len(records), pa.string()))
-        elif name in "xyz":
-            k = "xyz".index(name)
-            out.append(pa.array(records[name.upper()] * header.scales[k] + header.offsets[k]))
+        elif name in ("x", "y", "z"):
+            out.append(pa.array(_real(header, records, name)))
         elif name in bits and name not in records.dtype.names:
             source, shift, width = bits[name]
             out.append(_arrow(records[source] >> shift & (1 << width) - 1, kind))
-        elif name.endswith("_raw") and name[:-4] in extra:
-            out.append(_arrow(records[name[:-4]], kind))
-        elif name in extra and extra[name][3] is not None:
-            out.append(_arrow(records[name] * extra[name][3] + extra[name][4], kind))
+        elif name in extra:
+            i, (_, _, _, scale, base) = extra[name]
+            values = records[f"+{i}"]
+            out.append(_arrow(values if scale is None else values * scale + base, kind))
+        elif name in stored:
+            out.append(_arrow(records[f"+{stored[name]}"], kind))
         else:
             out.append(_arrow(records[_STORED.get(name, name)], kind))
     return pa.RecordBatch.from_arrays(out, [n for n, _ in kinds])
 
 
+def _real(header: Header, records: np.ndarray, axis: str) -> np.ndarray:
+    k = "xyz".index(axis)
+    return records[axis.upper()] * header.scales[k] + header.offsets[k]
+
+
 def _paths(path: str) -> list[str]:
     where, name = located(path)
     info = where.get_file_info(name)
@@ -214,8 +251,8 @@ def _paths(path: str) -> list[str]:
     return sorted(f"{prefix}/{f.base_name}" for f in found if f.type == fs.FileType.File and f.base_name.lower().endswith(".las"))
 
 
-def decoded(path: str, first: int, count: int, start: int, kinds: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
-    """A range of a file's records, 100,000 at a time."""
+def decoded(path: str, first: int, count: int, start: int, kinds: list[tuple[str, str]], wanted: list[tuple[str, str]] | None = None, box: Box | None = None) -> Iterator[pa.RecordBatch]:
+    """A range of a file's records, 100,000 at a time: the ``wanted`` of its columns ``kinds``, of points in ``box``."""
     header = read_header(path)
     if _columns(header) != kinds:
         raise ValueError(f"{path}: dimensions differ from the first file's; read it by itself")
@@ -228,7 +265,12 @@ def decoded(path: str, first: int, count: int, start: int, kinds: list[tuple[str
             raw = file.read(n * header.record_length)
             if len(raw) != n * header.record_length:
                 raise ValueError(f"{path}: {header.count} points declared, the file ends before point {k + n}")
-            yield decode(header, np.frombuffer(raw, header.dtype), k, start)
+            records, numbers = np.frombuffer(raw, header.dtype), np.arange(k, k + n, dtype=np.int64)
+            if box:
+                x, y = _real(header, records, "x"), _real(header, records, "y")
+                inside = (x >= box[0]) & (x <= box[2]) & (y >= box[1]) & (y <= box[3])
+                records, numbers = records[inside], numbers[inside]
+            yield decode(header, records, numbers, start, wanted)
 
 
 class RecordRange(InputPartition):
@@ -256,6 +298,60 @@ class LasReader(DataSourceReader):
             yield from decoded(part.path, part.first, part.count, part.start, self.kinds)
 
 
+class LasArrivals(DataSourceStreamReader):
+    """LAS files of a folder as they arrive, each exactly once.
+
+    Which files a batch has is written to the folder ``log`` before the batch
+    exists, one small file a batch, so a query that starts again from its
+    checkpoint reads the same files for the same batch and none twice. An
+    offset is the number of batches so far. Files must appear under their
+    final name when they are complete (moved there, as publications do).
+    ``idx`` counts inside a file; with ``path`` it tells points apart.
+    """
+
+    def __init__(self, path: str, log: str, size: int, kinds: list[tuple[str, str]]):
+        self.path, self.log, self.size, self.kinds = path, log, size, kinds
+        self.seen, self.read_until = set(), 0
+
+    def _file(self, batch: int) -> tuple[fs.FileSystem, str]:
+        where, folder = located(self.log)
+        return where, f"{folder}/{batch:012d}.json"
+
+    def _batch(self, number: int) -> list[str]:
+        where, name = self._file(number)
+        with where.open_input_stream(name) as file:
+            return json.loads(file.read())
+
+    def initialOffset(self):
+        return {"batch": 0}
+
+    def latestOffset(self):
+        where, folder = located(self.log)
+        where.create_dir(folder, recursive=True)
+        known = sum(n.endswith(".json") for n in names_in(where, folder))
+        for number in range(self.read_until + 1, known + 1):
+            self.seen |= set(self._batch(number))
+        self.read_until = known
+        new = [p for p in _paths(self.path) if p not in self.seen]
+        if new:
+            where, name = self._file(known + 1)
+            with where.open_output_stream(f"{name}.part") as out:
+                out.write(json.dumps(new).encode())
+            where.move(f"{name}.part", name)
+            self.seen, self.read_until = self.seen | set(new), known + 1
+        return {"batch": self.read_until}
+
+    def partitions(self, start, end):
+        paths = [p for number in range(start["batch"] + 1, end["batch"] + 1) for p in self._batch(number)]
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+            counts = pool.map(lambda p: read_header(p).count, paths)
+        return [RecordRange(p, k, min(self.size, n - k)) for p, n in zip(paths, counts, strict=True) for k in range(0, n, self.size)] or [RecordRange("", 0, 0)]
+
+    def read(self, part: RecordRange):
+        if part.count:
+            yield from decoded(part.path, part.first, part.count, part.start, self.kinds)
+
+
 #: GeoTIFF keys that tell units, fixed values; columns geo_<key>.
 GEO_KEYS = (1024, 3072, 3076, 4096, 4099)
 
@@ -270,29 +366,37 @@ def geo_keys(vlrs) -> list[int | None]:
     return [found.get(k) for k in GEO_KEYS]
 
 
+class Paths(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
 class HeaderReader(DataSourceReader):
     def __init__(self, paths: list[str]):
         self.paths = paths
 
     def partitions(self):
-        return [RecordRange(p, 0, 1) for p in self.paths] or [RecordRange("", 0, 0)]
+        return [Paths(self.paths[k : k + HEADERS_A_TASK]) for k in range(0, len(self.paths), HEADERS_A_TASK)] or [Paths([])]
+
+    def read(self, part: Paths):
+        with ThreadPoolExecutor(8) as pool:
+            yield from pool.map(header_row, part.paths)
 
-    def read(self, part: RecordRange):
-        if not part.path:
-            return
-        try:
-            h = read_header(part.path)
-            wkt = next((d.split(b"\0")[0].decode(errors="replace") for u, r, d in h.vlrs if (u, r) == ("LASF_Projection", 2112)), None)
-            waves = bool(h.encoding & 6) or h.point_format in (4, 5, 9, 10)
-            row = (part.path, h.count, h.size, h.point_format, *h.low, *h.high, waves, wkt, [(u, r, d) for u, r, d in h.vlrs], *geo_keys(h.vlrs), None)
-        except Exception as error:  # an unreadable file is listed with its reason
-            where, name = located(part.path)
-            row = (part.path, 0, where.get_file_info(name).size or 0, None, *[None] * 6, None, None, [], *[None] * len(GEO_KEYS), str(error))
-        yield row
+
+def header_row(path: str) -> tuple:
+    try:
+        h = read_header(path)
+        wkt = next((d.split(b"\0")[0].decode(errors="replace") for u, r, d in h.vlrs if (u, r) == ("LASF_Projection", 2112)), None)
+        waves = bool(h.encoding & 6) or h.point_format in (4, 5, 9, 10)
+        dims = [(name, np.dtype(t).kind, k, scale is not None) for name, t, k, scale, _ in h.extra]
+        return (path, h.count, h.size, h.point_format, *h.low, *h.high, waves, wkt, [(u, r, d) for u, r, d in h.vlrs], dims, *geo_keys(h.vlrs), None)
+    except Exception as error:  # an unreadable file is listed with its reason
+        where, name = located(path)
+        return (path, 0, where.get_file_info(name).size or 0, None, *[None] * 6, None, None, [], [], *[None] * len(GEO_KEYS), str(error))
 
 
 class LasHeaders(DataSource):
-    """One row a file: path, declared_count, size, point_format, bounds, waveforms, wkt, vlrs, geo keys, warning."""
+    """One row a file: path, declared_count, size, point_format, bounds, waveforms, wkt, vlrs, extra dimensions, geo keys, warning."""
 
     @classmethod
     def name(cls):
@@ -301,49 +405,12 @@ class LasHeaders(DataSource):
     def schema(self):
         keys = "".join(f"geo_{k} int, " for k in GEO_KEYS)
         return ("path string, declared_count long, size long, point_format int, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, "
-                "waveforms boolean, wkt string, vlrs array<struct<user_id:string,record_id:int,data:binary>>, " + keys + "warning string")
+                "waveforms boolean, wkt string, vlrs array<struct<user_id:string,record_id:int,data:binary>>, dims array<struct<dim:string,kind:string,n:int,scaled:boolean>>, " + keys + "warning string")
 
     def reader(self, schema):
         return HeaderReader(_paths(self.options["path"]))
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    files: tuple[tuple[str, int], ...]
-
-
-class Publisher(DataSourceArrowWriter):
-    """Files written under a temporary folder beside the target and moved into it, all together, by the job's commit."""
-
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path.removeprefix("file:") if "://" not in path else path, overwrite
-        self.temporary = f"{self.path.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
-
-    def _folder(self) -> tuple[fs.FileSystem, str]:
-        where, folder = located(self.temporary)
-        where.create_dir(folder, recursive=True)
-        return where, folder
-
-    def commit(self, messages):
-        where, target = located(self.path)
-        temporary = located(self.temporary)[1]
-        names = [name for m in messages if m for name, _ in m.files]
-        if len(set(names)) < len(names):
-            raise ValueError("several results would have one name")
-        listed = where.get_file_info(fs.FileSelector(target, allow_not_found=True))
-        old = [f for f in listed if f.type == fs.FileType.File and f.base_name.endswith(".las") and f.base_name not in names]
-        for name in names:
-            where.move(f"{temporary}/{name}", f"{target}/{name}")
-        for file in old if self.overwrite else []:
-            where.delete_file(file.path)
-        self.abort(messages)
-
-    def abort(self, messages):
-        where, temporary = located(self.temporary)
-        if where.get_file_info(temporary).type == fs.FileType.Directory:
-            where.delete_dir(temporary)
-
-
 class Body:
     """Records on their way to a file, with what its header needs to know of them."""
 
@@ -416,7 +483,7 @@ class LasWriter(Publisher):
         for batch in batches:
             body.add(self._encode(batch), 4)
         body.close(self._header(body))
-        return Written(((name, body.count),) if body.count else ())
+        return Written(((name, name, body.count),) if body.count else ())
 
     def _dtype(self) -> np.dtype:
         return np.dtype(FORMATS[self.format] + self.extra)
@@ -460,8 +527,8 @@ class LasCopier(Publisher):
     byte. A dimension that could not be kept fails the job.
     """
 
-    def __init__(self, path: str, schema: StructType, upgrade: bool, field: str, suffix: str, part: int, provenance: str):
-        super().__init__(path, False)
+    def __init__(self, path: str, schema: StructType, upgrade: bool, field: str, suffix: str, part: int, provenance: str, stage: str = ""):
+        super().__init__(path, False, stage)
         self.upgrade, self.field, self.suffix, self.part, self.provenance = upgrade, field, suffix, part, provenance
         missing = {"path", "record", *_STORED, field} - {f.name for f in schema.fields}
         if missing:
@@ -469,11 +536,12 @@ class LasCopier(Publisher):
 
     def write(self, batches):
         where, folder = self._folder()
-        key, body, done, source = None, None, [], None
+        attempt = uuid.uuid4().hex
+        key, body, done, source, name = None, None, [], None, ""
 
         def finish():
             body.close(*self._ends(source, body))
-            done.append((body.path.rsplit("/", 1)[1], body.count))
+            done.append((name, f"{attempt}-{name}", body.count))
 
         for batch in batches:
             names = batch.schema.names
@@ -491,7 +559,8 @@ class LasCopier(Publisher):
                     key, source = now, read_header(now[0], ends=True)
                     stem = now[0].rsplit("/", 1)[1].rsplit(".", 1)[0]
                     numbered = f"-{now[1]:05d}" if source.count > self.part else ""
-                    body = Body(where, f"{folder}/{stem}{self.suffix}{numbered}.las")
+                    name = f"{stem}{self.suffix}{numbered}.las"
+                    body = Body(where, f"{folder}/{attempt}-{name}")
                 body.add(self._encode(source, batch.slice(int(a), int(b - a))), 3 if self._format(source) < 6 else 4)
         if body:
             finish()
@@ -501,18 +570,19 @@ class LasCopier(Publisher):
         return UPGRADES.get(source.point_format, source.point_format) if self.upgrade else source.point_format
 
     def _extra(self, source: Header) -> list[tuple]:
-        """Extra dimensions of the result: the source's, and a label of its own name."""
-        have = source.extra
-        if any(kind[0] == "V" for _, kind, *_ in have) or "_rest" in (source.dtype.names or ()):
+        """(name, type, elements, scale, offset, column) of the result's extra dimensions: the source's, and a label of its own name."""
+        if any(kind[0] == "V" for _, kind, *_ in source.extra) or "_rest" in (source.dtype.names or ()):
             raise ValueError(f"{source.path}: bytes without a described type would be lost")
+        have = [(*e, self.field if e[0] == self.field else stored or column) for e, (column, stored) in zip(source.extra, source.columns, strict=True)]
         if self.upgrade and source.point_format < 6 and "scan_angle_rank" not in [e[0] for e in have]:
-            have = [*have, ("scan_angle_rank", "i1", 1, None, 0.0)]
-        fixed = {"classification", *(n for n, _ in FORMATS[self._format(source)])}
-        return have if self.field in fixed or self.field in [e[0] for e in have] else [*have, (self.field, "u1", 1, None, 0.0)]
+            have.append(("scan_angle_rank", "i1", 1, None, 0.0, "scan_angle_rank"))
+        if self.field != "classification" and self.field not in [e[0] for e in have]:
+            have.append((self.field, LABEL_TYPE, 1, None, 0.0, self.field))
+        return have
 
     def _encode(self, source: Header, batch: pa.RecordBatch) -> np.ndarray:
         fmt, extra, names = self._format(source), self._extra(source), batch.schema.names
-        records = np.zeros(batch.num_rows, np.dtype(FORMATS[fmt] + [(n, t) if k == 1 else (n, t, (k,)) for n, t, k, _, _ in extra]))
+        records = np.zeros(batch.num_rows, np.dtype(_record_fields(fmt, extra)))
         get = lambda n: batch.column(names.index(n)).to_numpy(zero_copy_only=False)
         for stored, column in RAW.items():
             records[stored] = get(column)
@@ -526,20 +596,29 @@ class LasCopier(Publisher):
             else:
                 records[n] = get(n)
         _packed(batch, bits_of(fmt), records)
-        for n, t, k, scale, base in extra:
+        for i, (n, t, k, scale, base, column) in enumerate(extra):
             if k > 1:
-                values = np.array([list(v) for v in batch.column(names.index(n)).to_pylist()])
-                records[n] = np.rint((values - base) / scale) if scale is not None else values
+                values = np.array([list(v) for v in batch.column(names.index(column)).to_pylist()])
+                records[f"+{i}"] = np.rint((values - base) / scale) if scale is not None else values
             else:
-                records[n] = _fits(get(f"{n}_raw" if scale is not None else n), n, t)
+                records[f"+{i}"] = _fits(get(column), n, t)
         return records
 
+    def _replaced(self, raw: bytes) -> bool:
+        """Whether a record tells what labelled this field before; what other fields have stays."""
+        if not self.provenance or (_user(raw), struct.unpack_from("<H", raw, 18)[0]) != (PROVENANCE_USER, 1):
+            return False
+        try:
+            return json.loads(raw[54:]).get("field", self.field) == self.field
+        except (ValueError, AttributeError):
+            return True  # cannot be read by anyone
+
     def _ends(self, source: Header, body: Body) -> tuple[bytes, bytes]:
         """(all before the points, all behind them)."""
         fmt, extra = self._format(source), self._extra(source)
-        kept = [r for r in source.records if _user(r).lower() not in LAYOUT_RECORDS and (_user(r), struct.unpack_from("<H", r, 18)[0]) != ("LASF_Spec", 4) and _user(r) != PROVENANCE_USER]
+        kept = [r for r in source.records if _user(r).lower() not in LAYOUT_RECORDS and (_user(r), struct.unpack_from("<H", r, 18)[0]) != ("LASF_Spec", 4) and not self._replaced(r)]
         described = b"".join(d for u, r, d in source.vlrs if (u, r) == ("LASF_Spec", 4))
-        described += b"".join(struct.pack("<2xBB32s4x24x24x24x24x24x32x", _EXTRA.index(t) + 1, 0, n.encode()[:32]) for n, t, *_ in extra[len(source.extra) :])
+        described += b"".join(struct.pack("<2xBB32s4x24x24x24x24x24x32x", _EXTRA.index(t) + 1, 0, n.encode()[:32]) for n, t, *_ in extra[len(source.extra) :])  # the added ones
         if described:
             kept.append(struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(described), b"Extra bytes") + described)
         if self.provenance:
@@ -551,7 +630,7 @@ class LasCopier(Publisher):
             if any((u, r) == ("LASF_Projection", 2112) for u, r, _ in source.vlrs):
                 head[6] |= 16
         struct.pack_into("<H", head, 94, len(head))
-        length = np.dtype(FORMATS[fmt] + [(n, t) if k == 1 else (n, t, (k,)) for n, t, k, _, _ in extra]).itemsize
+        length = np.dtype(_record_fields(fmt, extra)).itemsize
         offset = len(head) + sum(map(len, kept))
         body.patch(head, fmt, length, len(kept), offset, source.scales, source.offsets)
         extended = [e for e in source.extended if _user(e).lower() not in LAYOUT_RECORDS]
@@ -560,8 +639,10 @@ class LasCopier(Publisher):
         return bytes(head) + b"".join(kept), b"".join(extended)
 
 
-#: User id of the record that says what labelled a file.
+#: User id of the records that say what labelled a file, one a field.
 PROVENANCE_USER = "pointloom"
+#: Type of a label field that a file lacked.
+LABEL_TYPE = "<i4"
 
 
 def _fits(values: np.ndarray, name: str, kind: str) -> np.ndarray:
@@ -574,14 +655,14 @@ def _fits(values: np.ndarray, name: str, kind: str) -> np.ndarray:
 
 
 class Las(DataSource):
-    """Point records of a .las file or of a folder's; option ``range``: records a partition. Writing: options ``scale``, ``offset_x``, ``offset_y``, ``offset_z``."""
+    """Point records of a .las file or of a folder's; option ``range``: records a partition; ``like``: a file whose dimensions all have. As a stream: files as they arrive, option ``log``: a folder for what was seen. Writing: options ``scale``, ``offset_x``, ``offset_y``, ``offset_z``."""
 
     @classmethod
     def name(cls):
         return "las"
 
     def _first(self) -> Header:
-        paths = _paths(self.options["path"])
+        paths = [self.options["like"]] if "like" in self.options else _paths(self.options["path"])
         if not paths:
             raise FileNotFoundError(f"no .las file in {self.options['path']}")
         return read_header(paths[0])
@@ -592,9 +673,12 @@ class Las(DataSource):
     def reader(self, schema):
         return LasReader(_paths(self.options["path"]), int(self.options.get("range", RANGE)), _columns(self._first()))
 
+    def streamReader(self, schema):
+        return LasArrivals(self.options["path"], self.options["log"], int(self.options.get("range", RANGE)), _columns(self._first()))
+
     def writer(self, schema, overwrite):
         if "field" in self.options:
-            return LasCopier(self.options["path"], schema, self.options["upgrade"] == "true", self.options["field"], self.options["suffix"], int(self.options["part"]), self.options["provenance"])
+            return LasCopier(self.options["path"], schema, self.options["upgrade"] == "true", self.options["field"], self.options["suffix"], int(self.options["part"]), self.options["provenance"], self.options.get("stage", ""))
         return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), overwrite, tuple(float(self.options.get(f"offset_{c}", 0)) for c in "xyz"))
 
 
@@ -610,45 +694,55 @@ def scan_headers(spark: SparkSession, path: str) -> DataFrame:
     return register(spark).read.format("las_header").load(qualified(spark, path))
 
 
-def read_points(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
+def read_points(spark: SparkSession, path: str, size: int = RANGE, box: Box | None = None, columns: list[str] | None = None) -> DataFrame:
     """The points of a file or folder, planned by a job over its headers.
 
-    Columns as of ``format("las")``. Only one header is read by the driver,
-    for the columns; ranges of ``size`` records are dealt to the tasks. Files
-    that cannot be read, or with other dimensions, fail.
+    Columns as of ``format("las")``, or ``columns`` of them; only these are
+    decoded. With a ``box``, files whose bounds lie outside stay unopened, and
+    of the others only points inside come back, with the idx that they have
+    in the whole folder. Only one header is read by the driver, for the
+    columns; ranges of ``size`` records are dealt to the tasks. Files that
+    cannot be read, or with other dimensions, fail.
     """
-    heads = checkpointed(scan_headers(spark, path).select("path", "declared_count", "warning"))
+    heads = checkpointed(scan_headers(spark, path).select("path", "declared_count", "warning", "min_x", "min_y", "max_x", "max_y"))
     for bad in heads.where("warning is not null").orderBy("path").limit(1).collect():
         raise ValueError(bad.warning)
     first = heads.agg(F.min("path")).first()[0]
     if first is None:
         raise FileNotFoundError(f"no .las file in {path}")
     kinds = _columns(read_header(first))
+    unknown = set(columns or []) - {n for n, _ in kinds}
+    if unknown:
+        raise ValueError(f"{first} has no columns {sorted(unknown)}")
+    wanted = [(n, t) for n, t in kinds if columns is None or n in columns]
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    starts = heads.select("path", "declared_count", F.coalesce(F.sum("declared_count").over(before), F.lit(0)).alias("start"))
-    ranges = starts.where("declared_count > 0").select("path", "declared_count", "start", F.explode(F.expr(f"sequence(0L, declared_count - 1, {size}L)")).alias("first"))
+    starts = heads.select("*", F.coalesce(F.sum("declared_count").over(before), F.lit(0)).alias("start")).where("declared_count > 0")
+    if box:
+        starts = starts.where((F.col("max_x") >= box[0]) & (F.col("min_x") <= box[2]) & (F.col("max_y") >= box[1]) & (F.col("min_y") <= box[3]))
+    ranges = starts.select("path", "declared_count", "start", F.explode(F.expr(f"sequence(0L, declared_count - 1, {size}L)")).alias("first"))
     ranges = checkpointed(ranges.select("path", "first", F.least(F.lit(size), F.col("declared_count") - F.col("first")).alias("count"), "start"))
 
     def read(batches):
         for batch in batches:
             for part in batch.to_pylist():
-                yield from decoded(part["path"], part["first"], part["count"], part["start"], kinds)
+                yield from decoded(part["path"], part["first"], part["count"], part["start"], kinds, wanted, box)
 
     dealt = ranges.repartition(max(1, ranges.count()), "path", "first")
-    return dealt.mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in kinds))
+    return dealt.mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in wanted))
 
 
-def write_copies(points: DataFrame, folder: str, field: str = "classification", upgrade: bool = False, suffix: str = "", provenance: str = "", part: int = PART) -> None:
+def write_copies(points: DataFrame, folder: str, field: str = "classification", upgrade: bool = False, suffix: str = "", provenance: str = "", part: int = PART, stage: str = "") -> None:
     """The source files of ``points`` (columns of ``read_points``) again in ``folder``, labels from column ``field``.
 
     Files keep names, order, header, records and all dimensions; sources of
     more than ``part`` points come in several files, so that no task writes
-    more. A file of the same name is replaced when the whole job is done.
+    more. A file of the same name is replaced when the whole job is done; with
+    a name for a ``stage``, when ``publish_staged`` is called.
     """
     register(points.sparkSession)
     pieces = points.withColumn("_part", F.expr(f"record div {part}"))
     ordered = pieces.repartition("path", "_part").sortWithinPartitions("path", "record").drop("_part")
-    options = {"field": field, "upgrade": str(upgrade).lower(), "suffix": suffix, "part": str(part), "provenance": provenance}
+    options = {"field": field, "upgrade": str(upgrade).lower(), "suffix": suffix, "part": str(part), "provenance": provenance, "stage": stage}
     ordered.write.format("las").mode("append").options(**options).save(qualified(points.sparkSession, folder))
 
 

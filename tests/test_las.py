@@ -1,14 +1,17 @@
 """LAS files written with numpy, and by the sink."""
 
+import json
+import os
 import struct
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.plans import labelling
+from pointloom.plans import labelling, models
 from pointloom.session import checkpointed
-from pointloom.sources import files, las
+from pointloom.sources import files, las, publishing
 
 
 def las_bytes(n, fmt=3, extra=(), vlrs=(), count=None):
@@ -102,7 +105,7 @@ def test_copies_keep_all_but_the_label(spark, tmp_path, upgrade):
     code = F.expr(f"cast(record % {256 if upgrade else 32} as smallint)")
     for _ in range(2):  # a second run replaces the first
         las.write_copies(cloud.withColumn("classification", code), str(out), upgrade=upgrade, provenance="{}")
-    assert sorted(p.name for p in out.iterdir()) == ["a.las", "b.las"]
+    assert sorted(p.name for p in out.iterdir()) == ["_manifest.json", "a.las", "b.las"]
     back = las.read_points(spark, str(out)).orderBy("idx").collect()
     same = ["idx", "record", "x", "y", "z", "raw_x", "intensity", "gps_time", "red", "mine", "return_number", "withheld", "scan_angle_rank"]
     assert [[r[c] for c in same] for r in back] == [[r[c] for c in same] for r in cloud.orderBy("idx").collect()]
@@ -120,7 +123,7 @@ def test_copies_keep_all_but_the_label(spark, tmp_path, upgrade):
 def test_large_sources_come_in_parts(spark, tmp_path):
     cloud = las.read_points(spark, folder_of_files(tmp_path / "in"))
     las.write_copies(cloud, str(tmp_path / "out"), part=80, suffix="_c")
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{s}_c-0000{k}.las" for s, n in (("a", 3), ("b", 2)) for k in range(n)]
+    assert sorted(p.name for p in (tmp_path / "out").glob("*.las")) == [f"{s}_c-0000{k}.las" for s, n in (("a", 3), ("b", 2)) for k in range(n)]
     back = las.read_points(spark, str(tmp_path / "out")).orderBy("idx").collect()
     assert [r.raw_x for r in back] == [r.raw_x for r in cloud.orderBy("idx").collect()]
 
@@ -184,3 +187,263 @@ def test_waveforms_and_degrees_are_refused(spark):
     with pytest.raises(Exception, match="waveform"):
         files.refuse_waveforms(rows).collect()
     assert files.refuse_waveforms(rows.where("path = 'a'")).count() == 1
+
+
+CLASSES = [(1, 2, "ground"), (2, 6, "building")]
+
+
+def sides():
+    """A model; not a function of this module, which workers cannot import."""
+    return lambda xyz: (xyz[:, 0] > 5e5 + 2).astype("i4") + 1
+
+
+def provenance_of(path):
+    return sorted(json.loads(data)["field"] for user, record, data in las.read_header(str(path)).vlrs if (user, record) == (las.PROVENANCE_USER, 1))
+
+
+def test_label_fields_and_their_records_live_side_by_side(spark, tmp_path):
+    """A field of its own, then the classification, then both again: each pass keeps what the others left."""
+    folder = folder_of_files(tmp_path / "in")
+    classes = spark.createDataFrame(CLASSES, "model_id int, asprs_code int, name string")
+    first, second, third = (str(tmp_path / n) for n in "123")
+    labelling.classify_files(spark, folder, first, sides(), classes, target=25, buffer=0.1, field="label", suffix="")
+    labelling.classify_files(spark, first, second, sides(), classes, target=25, buffer=0.1, suffix="")
+    labelling.classify_files(spark, second, third, lambda xyz: np.ones(len(xyz), int), classes, target=25, buffer=0.1, field="label", suffix="")
+    assert [provenance_of(tmp_path / n / "a.las") for n in "123"] == [["label"], ["classification", "label"], ["classification", "label"]]
+    for folder, label in ((second, "if(x > 500002, 2, 1)"), (third, "1")):
+        back = las.read_points(spark, folder)
+        assert back.schema["label"].dataType.simpleString() == "int"
+        assert back.count() == 350 and back.where(f"label <> {label} or classification <> if(x > 500002, 6, 2)").count() == 0
+
+
+def test_classify_replaces_a_column_where_it_stands(spark):
+    cloud = spark.range(50).select(F.col("id").alias("idx"), F.lit("mine").alias("label"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(7).alias("_merged"))
+    classes = spark.createDataFrame([(1, 2)], "model_id int, asprs_code int")
+    one = lambda xyz: np.ones(len(xyz), int)
+    for column in ("label", "classification"):
+        found = labelling.classify(cloud, one, classes, column=column)
+        assert found.columns == cloud.columns + ([column] if column not in cloud.columns else [])
+        assert [tuple(r) for r in found.select(column, "_merged").distinct().collect()] == [(2, 7)]
+    assert found.select("label").distinct().first()[0] == "mine"
+
+
+@pytest.mark.parametrize("result, suffix, field, message", [("in", "", "classification", "an input"), ("out", "_c", "intensity", "standard dimension"), ("out", "_c", "MINE", "other capitals"), ("out", "_c", "record", "every read"), ("out", "_c", "big", "no unscaled")])
+def test_runs_that_must_not_start(spark, tmp_path, result, suffix, field, message):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.las").write_bytes(las_bytes(20, extra=[("mine", "u1"), ("big", "<f8")]))
+    before = (tmp_path / "in" / "a.las").read_bytes()
+    classes = spark.createDataFrame(CLASSES, "model_id int, asprs_code int, name string")
+
+    def never(xyz):
+        raise AssertionError("a label was made")
+
+    with pytest.raises(ValueError, match=message):
+        labelling.classify_files(spark, str(tmp_path / "in"), str(tmp_path / result), never, classes, field=field, suffix=suffix)
+    assert (tmp_path / "in" / "a.las").read_bytes() == before and sorted(p.name for p in tmp_path.iterdir()) == ["in"]
+
+
+def test_changed_inputs_stop_the_publication(spark, tmp_path):
+    folder, source = folder_of_files(tmp_path / "in"), tmp_path / "in" / "b.las"
+    classes = spark.createDataFrame(CLASSES, "model_id int, asprs_code int, name string")
+
+    model = sides()
+
+    def meddling(xyz):
+        os.utime(source, (1, 1))
+        return model(xyz)
+
+    with pytest.raises(ValueError, match="b.las changed during the run"):
+        labelling.classify_files(spark, folder, str(tmp_path / "out"), meddling, classes, target=25, buffer=0.1)
+    assert list((tmp_path / "out").iterdir()) == []
+
+
+def test_files_in_one_place_keep_their_own_budget(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(20):
+        (tmp_path / "in" / f"{k:02}.las").write_bytes(las_bytes(50))
+    classes = spark.createDataFrame(CLASSES, "model_id int, asprs_code int, name string")
+
+    def alone(xyz):
+        assert len(xyz) <= 100
+        return np.ones(len(xyz), int)
+
+    report = labelling.classify_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), alone, classes, target=100, budget=100, buffer=50.0).collect()
+    assert len(report) == 20 and {r.n_out for r in report} == {50}
+
+
+def test_dimensions_named_like_columns(spark, tmp_path):
+    """Names that other columns have are led by extra_, and files get them back as they were."""
+    extra = [("idx", "u1"), ("path", "<i2"), ("Classification", "u1"), ("X", "<i4"), ("raw_x", "<u2"), ("extra_idx", "u1"), ("_class", "u1"), ("label", "<i4")]
+    (tmp_path / "in").mkdir()
+    raw = bytearray(las_bytes(30))
+    dtype = np.dtype(las.FORMATS[3] + [(f"+{i}", t) for i, (_, t) in enumerate(extra)])
+    data = np.zeros(30, dtype)
+    data["X"] = np.arange(30)
+    for i in range(len(extra)):
+        data[f"+{i}"] = i + 1
+    described = b"".join(struct.pack("<2xBB32s4x72x24x24x32x", las._EXTRA.index(t) + 1, 0, n.encode()) for n, t in extra)
+    record = struct.pack("<H16sHH32s", 0, b"LASF_Spec", 4, len(described), b"") + described
+    struct.pack_into("<IIBH", raw, 96, 227 + len(record), 1, 3, dtype.itemsize)
+    (tmp_path / "in" / "a.las").write_bytes(bytes(raw[:227]) + record + data.tobytes())
+    cloud = checkpointed(las.read_points(spark, str(tmp_path / "in")))
+    assert len({c.lower() for c in cloud.columns}) == len(cloud.columns)
+    renamed = ["extra_idx", "extra_path", "extra_Classification", "extra_X", "extra_raw_x", "extra_extra_idx", "_class", "label"]
+    assert cloud.columns[-len(extra):] == renamed and list(cloud.select(*renamed).distinct().first()) == list(range(1, 9))
+    las.write_copies(cloud, str(tmp_path / "out"))
+    assert [e[0] for e in las.read_header(str(tmp_path / "out" / "a.las")).extra] == [n for n, _ in extra]
+    assert las.read_points(spark, str(tmp_path / "out")).drop("path").exceptAll(cloud.drop("path")).count() == 0
+
+
+def test_boxes_and_columns_leave_files_unopened(spark, tmp_path):
+    """A file outside the box is broken beyond its header, and nobody notices."""
+    folder = folder_of_files(tmp_path / "in")
+    for name, x in (("a", 5e5), ("b", 5e5 + 3)):  # true bounds
+        with open(f"{folder}/{name}.las", "r+b") as file:
+            file.seek(179)
+            file.write(struct.pack("<6d", x + 2, x, 5.6e6, 5.5e6, 701, 700))
+    whole = checkpointed(las.read_points(spark, folder))
+    far = bytearray(las_bytes(40, extra=[("mine", "<u8")])[:-7])
+    struct.pack_into("<6d", far, 179, 99.0, 90.0, 99.0, 90.0, 1.0, 0.0)
+    (tmp_path / "in" / "c.las").write_bytes(bytes(far))
+    box = (5e5 + 1, 5e6, 5e5 + 4, 6e6)
+    near = las.read_points(spark, folder, 60, box=box, columns=["x", "idx", "mine"])
+    assert near.columns == ["idx", "x", "mine"]
+    want = whole.where("x between 500001 and 500004").select("idx", "x", "mine")
+    assert want.count() > 0 and near.exceptAll(want).count() == want.exceptAll(near).count() == 0
+    with pytest.raises(Exception, match="ends before"):
+        las.read_points(spark, folder).count()
+    with pytest.raises(ValueError, match="no columns"):
+        las.read_points(spark, folder, columns=["nothing"])
+
+
+# --- publication ------------------------------------------------------------------
+
+
+def staged(folder, **files):
+    """A stage with files (name -> text); what ``publish`` takes."""
+    hidden = folder / "_temporary-x"
+    hidden.mkdir(parents=True, exist_ok=True)
+    for name, text in files.items():
+        (hidden / f"try-{name}.las").write_text(text)
+    return str(folder), str(hidden), [(f"{n}.las", f"try-{n}.las", 1) for n in files]
+
+
+def contents(folder):
+    return {p.name: p.read_text() for p in folder.iterdir() if p.is_file() and p.suffix == ".las"}
+
+
+def test_two_attempts_of_a_task_do_not_meet(spark, tmp_path):
+    """The second attempt starts, and dies, after the first has written; the first one's file is whole."""
+    folder, out = folder_of_files(tmp_path / "in"), tmp_path / "out"
+    cloud = checkpointed(las.read_points(spark, folder))
+    writer = las.LasCopier(str(out), cloud.schema, False, "classification", "", las.PART, "")
+    batches = cloud.where("path like '%a.las'").orderBy("record").toArrow().to_batches()
+    winner = writer.write(iter(batches))
+
+    def dying():
+        yield batches[0].slice(0, 10)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        writer.write(dying())
+    again = writer.write(iter(batches))  # a speculative twin that ends well, too late
+    assert {f[0] for f in winner.files} == {f[0] for f in again.files} and {f[1] for f in winner.files}.isdisjoint(f[1] for f in again.files)
+    writer.commit([winner])
+    assert sorted(p.name for p in out.iterdir()) == ["_manifest.json", "a.las"]
+    assert las.read_points(spark, str(out)).count() == 200 and publishing.manifest(str(out))["files"] == [{"name": "a.las", "points": 200}]
+
+
+@pytest.mark.parametrize("failing", [0, 1, 2, 3, 4])
+def test_a_failing_move_leaves_what_was_there(tmp_path, monkeypatch, failing):
+    publishing.publish(*staged(tmp_path, a="old a", b="old b"), False)
+    before, told = contents(tmp_path), publishing.manifest(str(tmp_path))
+    moves = []
+
+    class Failing:
+        def __init__(self, where):
+            self.where = where
+
+        def __getattr__(self, name):
+            return getattr(self.where, name)
+
+        def move(self, a, b):
+            if ".json" not in a and "_previous" not in a:
+                moves.append(a)
+                if len(moves) == failing + 1:
+                    raise OSError("no")
+            self.where.move(a, b)
+
+    real = publishing.located
+    monkeypatch.setattr(publishing, "located", lambda path: (Failing(real(path)[0]), real(path)[1]))
+    with pytest.raises(OSError, match="no"):
+        publishing.publish(*staged(tmp_path, a="new a", b="new b", c="new c"), False)
+    assert contents(tmp_path) == before and publishing.manifest(str(tmp_path)) == told
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith(("_publishing", "_previous"))]
+
+
+@pytest.mark.parametrize("dying", range(1, 12))
+def test_a_crash_is_settled_by_the_next_publication(tmp_path, monkeypatch, dying):
+    """The driver dies at any step: after ``settle`` the folder has all of the old files, or all of the new."""
+    publishing.publish(*staged(tmp_path, a="old a", b="old b"), False)
+    old, new = contents(tmp_path), {"a.las": "new a", "b.las": "old b", "c.las": "new c"}
+    steps = []
+
+    class Dying:
+        def __init__(self, where):
+            self.where = where
+
+        def __getattr__(self, name):
+            if name in ("move", "delete_file", "delete_dir", "create_dir"):
+                steps.append(name)
+                if len(steps) >= dying:  # from here on nothing works, the undoing neither
+                    raise KeyboardInterrupt
+            return getattr(self.where, name)
+
+    real = publishing.located
+    monkeypatch.setattr(publishing, "located", lambda path: (Dying(real(path)[0]), real(path)[1]))
+    try:
+        publishing.publish(*staged(tmp_path, a="new a", c="new c"), False)
+    except KeyboardInterrupt:
+        pass
+    monkeypatch.setattr(publishing, "located", real)
+    publishing.settle(str(tmp_path))
+    assert contents(tmp_path) in (old, new)
+    assert (contents(tmp_path) == new) == ("c.las" in [f["name"] for f in publishing.manifest(str(tmp_path))["files"]])
+    assert not [p.name for p in tmp_path.iterdir() if p.name.startswith(("_publishing", "_previous"))] or dying == 1
+
+
+# --- models -----------------------------------------------------------------------
+
+
+def counted(folder):
+    """A model that leaves a file behind for each time it is loaded, named after the worker."""
+
+    class Counted:
+        context_buffer_m = 0.5
+        ready = False
+
+        def load(self):
+            self.ready = True
+            open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+        def predict(self, xyz):
+            assert self.ready
+            return (xyz[:, 0] % 2 < 1).astype("i4") + 1
+
+    return Counted()
+
+
+def test_a_worker_loads_a_model_once(spark, tmp_path):
+    cloud = spark.range(4000).select(F.col("id").alias("idx"), (F.col("id") % 200).cast("double").alias("x"), F.expr("double(id div 200)").alias("y"), F.lit(0.0).alias("z"))
+    classes = spark.createDataFrame([(1, 2), (2, 6)], "model_id int, asprs_code int")
+    labelled = checkpointed(labelling.classify(cloud, counted(str(tmp_path)), classes, target=40))
+    assert labelled.where("classification <> if(x % 2 < 1, 6, 2)").count() == 0
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert loads and len(loads) == len(set(loads))  # some hundred tiles, one load a worker
+
+
+def test_the_model_says_how_far_it_looks(spark):
+    seen = []
+    for need, want in ((None, 0.5), (2.0, 2.0)):
+        seen.append(models.need_of(counted(""), need) == want)
+    assert all(seen) and models.need_of(sides()) is None
