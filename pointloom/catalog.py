@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .functions import codes, curves, units
 from .operators import blocks, labels, neighbors, points, pooling, tiling
 from .plans import labelling
-from .session import checkpointed, scratch
+from .session import checkpointed, qualified, scratch
 from .sources import files as catalogue
-from .sources import las, views
+from .sources import las, publishing, views
 from .streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -894,6 +894,48 @@ def classify_files(spark, sf):
     return back.select(*_back(back), "classification")
 
 
+@query("SELECT idx, label, cast(code AS SMALLINT) AS classification, 2::BIGINT AS records FROM (SELECT *, cast(cast(floor(round(x, 2) / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label FROM pts) JOIN cls USING (label)", "pts", VOXEL_CODES)
+def label_fields(spark, sf):
+    """A folder labelled under a field of its own, then its results under classification: both labels, and a record of provenance for each."""
+    source, first, second = _stored(spark, sf, 2), scratch(spark, "las"), scratch(spark, "las")
+    for folder, out, field in ((source, first, "label"), (first, second, "classification")):
+        labelling.classify_files(spark, folder, out, by_metre, views.classes(spark, "voxel"), tile_size=200.0, need=1.0, field=field, suffix="").collect()
+    heads = las.scan_headers(spark, second).select(F.explode("vlrs").alias("v"), "path")
+    records = heads.where(F.col("v.user_id") == las.PROVENANCE_USER).groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("records"))
+    back = las.read_points(spark, second, columns=["path", "source_idx", "label", "classification"])
+    return back.join(records, F.col("path") == F.col("_path")).select(F.col("source_idx").alias("idx"), "label", "classification", "records")
+
+
+@query("SELECT idx, f AS file, cast(code AS SMALLINT) AS classification FROM (SELECT *, cast(cast(floor(round(x, 2) / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label FROM pts, range(3) t(f)) JOIN cls USING (label)", "pts", VOXEL_CODES)
+def overlapping_files(spark, sf):
+    """Three files with the same points, a budget that only one at a time keeps: files are planned and labelled each by itself."""
+    cloud = checkpointed(las.read_points(spark, _stored(spark, sf, 1), columns=["x", "y", "z", "source_idx"]))
+    copies = cloud.withColumn("file", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).withColumn("idx", F.col("source_idx") * 3 + F.col("file"))
+    n = views.pts(spark, sf).count()
+    found = labelling.classify(copies, by_metre, views.classes(spark, "voxel"), target=n, budget=n, need=50.0, by=("file",))
+    return found.select(F.col("source_idx").alias("idx"), "file", "classification")
+
+
+class Bands:
+    """``by_metre`` as a model to load: the table of its bands is made where it runs."""
+
+    context_buffer_m = 1.5
+
+    def load(self) -> None:
+        self.bands = np.arange(7, dtype=np.int32) + 1
+
+    def predict(self, xyz: np.ndarray) -> np.ndarray:
+        return self.bands[np.floor(np.round(xyz[:, 0], 6) / 37).astype(np.int64) % 7]
+
+
+@query("SELECT idx, cast(code AS SMALLINT) AS classification FROM (SELECT *, cast(cast(floor(round(x, 6) / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label FROM pts) JOIN cls USING (label)", "pts", VOXEL_CODES)
+def label_loaded(spark, sf):
+    """A model that workers load once and that says itself how far it looks."""
+    cloud = views.pts(spark, sf)
+    found = labelling.classify(cloud, Bands(), views.classes(spark, "voxel"), target=max(cloud.count() // 16, 1))
+    return found.select("idx", "classification")
+
+
 @query("SELECT path, CASE WHEN point_format IN (4, 5, 9, 10) THEN 'waveform packets' ELSE 'coordinates in degrees' END AS reason FROM files WHERE point_format IN (4, 5, 9, 10) OR geo_1024 = 2", "files")
 def refused_files(spark, sf):
     found = views.files(spark, sf).select("path", F.col("point_format").isin(4, 5, 9, 10).alias("waveforms"), (F.col("geo_1024") == 2).alias("angular"))
@@ -941,6 +983,19 @@ def stream_counts(spark, sf):
     return spark.read.parquet(target)
 
 
+@query("SELECT idx, round(x, 2) AS x, cast(code AS SMALLINT) AS code, CASE WHEN row_number() OVER (ORDER BY idx) <= first THEN 0 ELSE 1 END AS batch FROM (SELECT *, cast(cast(floor(round(x, 2) / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label, (SELECT count(*) FROM pts WHERE idx <= (SELECT quantile_disc(idx, 0.5) FROM pts)) AS first FROM pts) JOIN cls USING (label)", "pts", VOXEL_CODES)
+def stream_las(spark, sf):
+    """LAS files that arrive in two lots, with the stream stopped in between: each labelled once, in the batch of its lot."""
+    cloud, folder, log, state, target = views.pts(spark, sf), scratch(spark, "las"), scratch(spark, "log"), scratch(spark, "state"), scratch(spark, "labels")
+    half = cloud.agg(F.expr("percentile_disc(0.5) within group (order by idx)")).first()[0]
+    for lot in (f"idx <= {half}", f"idx > {half}"):
+        part = cloud.where(lot).withColumns({c: F.col(c) + o for c, o in zip("xyz", PLACE, strict=True)}).select("idx", F.col("idx").alias("source_idx"), "x", "y", "z")
+        las.write_classified(part, stage := scratch(spark, "las"), "las", parts=2, scale=0.01)
+        publishing.move_files(qualified(spark, stage), qualified(spark, folder))
+        _finished(arrivals.stream_labels(arrivals.las_arrivals(spark, folder, log), by_metre, views.classes(spark, "voxel"), target, state, tile_size=100.0, need=1.0))
+    return spark.read.parquet(target).select(F.col("source_idx").alias("idx"), F.round(F.col("x") - PLACE[0], 2).alias("x"), "code", "batch")
+
+
 @query("SELECT model_id AS code, count(*) AS n FROM pts GROUP BY 1", "pts")
 def stream_histogram(spark, sf):
     target = scratch(spark, "histogram")

@@ -30,21 +30,53 @@ def _reach(radius: float, level):
     return F.least(F.lit(float(radius)), F.lit(math.sqrt(3) * radius * (1 + 1e-9)) / F.pow(F.lit(2.0), level))
 
 
-def levels_of(points: DataFrame, centers: DataFrame, k: int, radius: float) -> DataFrame:
-    """``centers`` (center, x, y, z) with _level: the most halvings of the radius whose cell around the centre still has ``k`` points.
+def _fine(radius: float) -> list:
+    """Columns of the cell at the deepest level."""
+    return _cells(F.lit(radius / 2**HALVINGS))
 
-    These lie within the cell's diagonal, so no nearer neighbour is further
-    away. Level 0, the radius itself, where no cell has as many.
+
+def _cell_at(level) -> list:
+    """The cell at a level that a cell of the deepest level lies in."""
+    return [F.shiftright(F.col(f"_{c}"), HALVINGS - level).alias(f"_{c}") if isinstance(level, int) else F.expr(f"shiftright(_{c}, {HALVINGS} - {level})").alias(f"_{c}") for c in AXES]
+
+
+def dense_cells(points: DataFrame, k: int, radius: float) -> DataFrame:
+    """(_level, _x, _y, _z): cells of radius / 2 ** _level that hold at least ``k`` points, for levels from 1 up.
+
+    The index of a cloud: it is stored and serves any number of searches.
+    Counted from the coarsest level down, each level only inside the dense
+    cells of the one above, until none is dense, so an even cloud is read
+    once or twice, and what is stored are the dense cells alone.
+    """
+    inside, found = points.select(*_fine(radius)), None
+    for level in range(1, HALVINGS + 1):
+        counts = inside.select(*_cell_at(level)).groupBy(*CELL[1:]).agg(F.count("*").alias("_n"))
+        dense = checkpointed(counts.where(F.col("_n") >= k).select(F.lit(level).alias("_level"), *CELL[1:]))
+        found = dense if found is None else found.unionByName(dense)
+        if dense.isEmpty():
+            return found
+        keys = dense.select(*[F.col(c).alias(f"_in{c}") for c in CELL[1:]])
+        fine = points.select(*_fine(radius))
+        inside = fine.join(keys, [cell == F.col(f"_in{c}") for cell, c in zip(_cell_at(level), CELL[1:], strict=True)], "left_semi")
+    return found
+
+
+def levels_of(centers: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
+    """``centers`` (center, x, y, z) with _level: the deepest level at which the cell around the centre is one of ``cells`` (``dense_cells``).
+
+    ``k`` points lie within that cell's diagonal, so no nearer neighbour is
+    further away. Level 0, the radius itself, where no cell has as many.
     """
-    finest = radius / 2**HALVINGS
-    above = [F.expr(f"shiftright(_{c}, {HALVINGS} - _level)").alias(f"_{c}") for c in AXES]  # a cell's cell at a lower level
     level = F.explode(F.sequence(F.lit(1), F.lit(HALVINGS))).alias("_level")
-    counts = points.select(*_cells(F.lit(finest))).groupBy(*CELL[1:]).agg(F.count("*").alias("_n"))
-    full = counts.select("*", level).select("_level", *above, "_n").groupBy(*CELL).agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k).drop("_n")
-    dense = centers.select("center", *_cells(F.lit(finest)), level).select("center", "_level", *above).join(full, CELL, "left_semi").groupBy("center").agg(F.max("_level").alias("_level"))
+    around = centers.select("center", *_fine(radius), level).select("center", "_level", *_cell_at("_level"))
+    dense = around.join(cells, CELL, "left_semi").groupBy("center").agg(F.max("_level").alias("_level"))
     return centers.join(dense, "center", "left").select("center", *AXES, F.coalesce("_level", F.lit(0)).alias("_level"))
 
 
+#: Centres up to which their surroundings, 27 rows each, are broadcast; more meet the points by shuffle.
+BROADCAST_CENTERS = 8_000
+
+
 def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
     """(center, idx, d2): points at most ``radius`` from each center (center, x, y, z, and optionally _level of ``levels_of``).
 
@@ -52,35 +84,53 @@ def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataF
     neighbours in space meet; at higher levels cells and reach are smaller.
     """
     placed = centers if "_level" in centers.columns else centers.withColumn("_level", F.lit(0))
-    used = [r[0] for r in placed.select("_level").distinct().collect()] or [0]  # at most HALVINGS + 1
+    sizes = {r["_level"]: r["count"] for r in placed.groupBy("_level").count().collect()} or {0: 0}  # at most HALVINGS + 1
     reach = _reach(radius, F.col("_level"))
     around = F.array(*[F.struct(*[(F.floor(F.col(c) / reach) + o).cast("long").alias(f"_{c}") for c, o in zip(AXES, step, strict=True)]) for step in product((-1, 0, 1), repeat=3)])
     placed = placed.withColumn("_at", F.explode(around)).select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES], "_at._x", "_at._y", "_at._z")
-    own = points.select("idx", *AXES, F.explode(F.array(*[F.lit(v) for v in used])).alias("_level")).select("idx", *AXES, "_level", *_cells(reach))
+    placed = F.broadcast(placed) if sum(sizes.values()) <= BROADCAST_CENTERS else placed
+    own = points.select("idx", *AXES, F.explode(F.array(*[F.lit(v) for v in sorted(sizes)])).alias("_level")).select("idx", *AXES, "_level", *_cells(reach))
     d2 = F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)")
-    met = placed.join(own, CELL).select("center", "idx", "_level", d2.alias("d2"))
+    met = own.join(placed, CELL).select("center", "idx", "_level", d2.alias("d2"))
     return met.where(F.col("d2") <= F.when(F.col("_level") == 0, F.lit(float(radius) * float(radius))).otherwise(reach * reach)).select("center", "idx", "d2")
 
 
+def thinned(points: DataFrame, cells: DataFrame, k: int, radius: float) -> DataFrame:
+    """(idx, x, y, z) of ``points``, of each place only the ``k`` smallest idx.
+
+    A place with more lies in a dense cell of the deepest level; only points
+    of such cells are numbered, and nothing where there is none.
+    """
+    cloud, crowded = points.select("idx", *AXES), cells.where(F.col("_level") == HALVINGS).select(*[F.col(c).alias(f"_in{c}") for c in CELL[1:]])
+    if crowded.isEmpty():
+        return cloud
+    inside = [cell == F.col(f"_in{c}") for cell, c in zip(_fine(radius), CELL[1:], strict=True)]
+    place = Window.partitionBy(*AXES).orderBy("idx")
+    first = cloud.join(crowded, inside, "left_semi").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k).drop("_place")
+    return cloud.join(crowded, inside, "left_anti").unionByName(first)
+
+
 def nearest(found: DataFrame, k: int, own_first: bool = False) -> DataFrame:
     """The ``k`` nearest of each center, ties by idx (``own_first``: the centre before all others), with rank from 1."""
     order = Window.partitionBy("center").orderBy(*[F.col("idx") != F.col("center")] * own_first, "d2", "idx")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_first: bool = False) -> DataFrame:
+def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_first: bool = False, cells: DataFrame | None = None, single: bool = False) -> DataFrame:
     """(center, idx, d2, rank): at most ``k`` nearest points within ``radius`` of each center.
 
     ``centers`` has idx of points. A centre is its own first neighbour with
     ``own_first``; else points in the same place with smaller idx precede it.
     Where points are dense the search looks only as far as ``k`` points
     surely lie, and of a place only the ``k`` smallest idx can be among the
-    nearest, so pairs grow with ``k``, not with the density.
+    nearest, so pairs grow with ``k``, not with the density. ``cells``: the
+    cloud's ``dense_cells``, if they are known; ``single``: no two points
+    share a place. The cloud itself is neither sorted nor stored.
     """
+    cells = dense_cells(points, k, radius) if cells is None else cells
     at = checkpointed(points.join(centers.select("idx"), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES))
-    first = Window.partitionBy(*AXES).orderBy("idx")
-    some = checkpointed(points.select("idx", *AXES).withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k).drop("_place"))
-    found = within_radius(some, checkpointed(levels_of(some, at, k, radius)), radius)
+    some = points.select("idx", *AXES) if single else thinned(points, cells, k, radius)
+    found = within_radius(some, checkpointed(levels_of(at, cells, radius)), radius)
     if own_first:
         found = found.where("idx <> center").unionByName(at.select("center", F.col("center").alias("idx"), F.lit(0.0).alias("d2")))
     return nearest(found, k, own_first)
@@ -108,14 +158,16 @@ def cover_all(points: DataFrame, k: int, radius: float, spacing: float) -> DataF
     the d2 and rank of the first, to the crop that has it nearest. A centre is
     its own first neighbour, so a round visits at least its own centres and
     the rounds end; the points left are joined away in the cluster, and the
-    driver only asks whether there are any.
+    driver only asks whether there are any. Rounds share one index of dense
+    cells and read the stored places; none writes the cloud again.
     """
     single = checkpointed(points.groupBy(*AXES).agg(F.min("idx").alias("idx")))
-    crops = checkpointed(knn_crops(single, crop_centers(single, spacing), k, radius, own_first=True))
+    cells = dense_cells(single, k, radius)
+    crops = checkpointed(knn_crops(single, crop_centers(single, spacing), k, radius, True, cells, True))
     left = checkpointed(single.join(crops.select("idx").distinct(), "idx", "left_anti"))
     turn = 0
     while not left.isEmpty():
-        more = checkpointed(knn_crops(single, fill_centers(left, k, radius / math.sqrt(3), turn), k, radius, own_first=True))
+        more = checkpointed(knn_crops(single, fill_centers(left, k, radius / math.sqrt(3), turn), k, radius, True, cells, True))
         crops = crops.unionByName(more)
         left = checkpointed(left.join(more.select("idx").distinct(), "idx", "left_anti"))
         turn += 1

@@ -113,6 +113,14 @@ def publish(path: str, temporary: str, staged: Iterable[tuple[str, str, int]], o
     _remove_folder(where, hidden)
 
 
+def move_files(source: str, target: str, kind: str = ".las") -> None:
+    """Moves complete files of a folder to another of the same file system, each at once."""
+    (where, here), there = located(source), located(target)[1]
+    where.create_dir(there, recursive=True)
+    for name in sorted(n for n in names_in(where, here) if n.endswith(kind)):
+        where.move(f"{here}/{name}", f"{there}/{name}")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """(name, name under which it is staged, points) of an attempt's files."""

@@ -8,8 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.labels import apply_codes
 from ..operators.tiling import CellGrid, TileGrid, count_grid
-from ..plans.labelling import Model, label_planned
-from ..session import checkpointed
+from ..plans.labelling import Model, label_planned, point_codes, with_codes
+from ..session import checkpointed, qualified
+from ..sources.las import register
 
 
 def arrivals(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -17,6 +18,33 @@ def arrivals(spark: SparkSession, path: str, schema, files_per_batch: int = 1000
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def las_arrivals(spark: SparkSession, path: str, log: str, like: str | None = None) -> DataFrame:
+    """LAS files of the folder ``path`` as they arrive; columns as of ``read_points``, idx counts inside a file.
+
+    Each file comes exactly once, also after a restart: the folder ``log``
+    keeps which files each batch has. ``like`` names a file with the
+    dimensions that all have, for a folder that is still empty.
+    """
+    reader = register(spark).readStream.format("las").option("log", qualified(spark, log))
+    return (reader.option("like", qualified(spark, like)) if like else reader).load(qualified(spark, path))
+
+
+def stream_labels(points: DataFrame, model: Model, classes: DataFrame, target: str, checkpoint: str, **options) -> StreamingQuery:
+    """Labels arriving files, each planned and labelled by itself (``point_codes`` with ``options``): ``points`` with code, a folder a batch.
+
+    A batch that is run again replaces its own folder. Points are told apart
+    by path and idx.
+    """
+
+    def label(batch: DataFrame, batch_id: int) -> None:
+        arrived = checkpointed(batch.withColumnRenamed("idx", "in_file").withColumn("idx", F.monotonically_increasing_id()))
+        codes = point_codes(arrived, model, classes, by=("path",), **options)
+        done = with_codes(arrived, codes, "code").drop("idx").withColumnRenamed("in_file", "idx")
+        done.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return _once(points.writeStream.foreachBatch(label), checkpoint)
+
+
 def _once(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -70,7 +70,7 @@ def test_dense_neighbours_meet_few_pairs(spark):
     assert len(found) == len(xyz) // 40 + 1
     few = cloud.where("idx >= 992")  # 8 of the place
     at = few.where("idx % 40 = 0").select(F.col("idx").alias("center"), "x", "y", "z")
-    pairs = neighbors.within_radius(few, neighbors.levels_of(few, at, 8, 50.0), 50.0).count()
+    pairs = neighbors.within_radius(few, neighbors.levels_of(at, neighbors.dense_cells(few, 8, 50.0), 50.0), 50.0).count()
     assert pairs < at.count() * 600 < at.count() * few.count() / 4
 
 
