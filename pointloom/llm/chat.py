@@ -13,7 +13,7 @@ follow one another are escaped as one, so no control string can be put
 together from several parts.
 
 Defined cases: a null text, role or part is empty; an unknown part type
-counts as text; sizes that are missing, zero or negative count one unit, so a
+counts as text; sizes that are missing, zero, negative or not finite count one unit, so a
 placeholder expands to a token at least; placeholders are never under the loss
 mask; rows of a conversation are ordered by turn (nulls first), then role,
 then content, so repeated rows stay and ties do not depend on chance; rows
@@ -69,7 +69,8 @@ def text_part(text: Column) -> Column:
 
 
 def _units(value: float | None, size: float = 1) -> int:
-    return max(1, math.ceil((value or 0) / size))
+    """Units of ``size`` that a value fills, at least 1; a value that is no finite number counts as missing."""
+    return max(1, math.ceil(value / size)) if value and math.isfinite(value) else 1
 
 
 class Flattener:
