@@ -35,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, fresh, map_batches, narrow, texts_of
@@ -123,8 +123,11 @@ def _links_in_large(fps: DataFrame) -> DataFrame:
 
 def near_links(fps: DataFrame) -> DataFrame:
     """(u, v) between distinct fingerprints: true links that connect all pairs within the radius."""
-    same = Window.partitionBy("part", "key")
-    buckets = checkpointed(_variants(fps).withColumn("size", F.count("*").over(same)).where("size > 1"))
+    # counts are summed before they are shuffled; variants that no other fingerprint has go no further
+    met = _variants(fps).groupBy("part", "key").agg(F.count("*").alias("size")).where("size > 1")
+    met = checkpointed(met.select(F.col("part").alias("met_part"), F.col("key").alias("met_key"), "size"))
+    variants = _variants(fps)
+    buckets = checkpointed(variants.join(met, (variants.part == met.met_part) & (variants.key == met.met_key)).select("part", "key", "fp", "size"))
     large = buckets.where(F.col("size") > SMALL).select("fp").distinct()
     return _links_in_small(buckets).unionByName(_links_in_large(large))
 
