@@ -5,16 +5,17 @@ to a bucket with a learned vector; a document is the mean of all its vectors;
 a linear layer and softmax give the classes. Vectors and layer are trained
 together by plain stochastic gradient descent in numpy, with a falling rate;
 vectors take larger steps than the layer, since each has a small share of the
-mean. A mean of words does not see that words repeat, so up to three
-pseudo-words a document, hashed like any word, describe its shape (share of
-distinct words, length class, words that follow themselves).
+mean. A mean of words does not see that words repeat, so a word is spelled with
+the binary length of its occurrence's number in the document from the second
+one on ("ber", then "ber" with 2 twice, with 3 four times): the n-grams at its end are
+then shared by all words that stand as often, and what they mean is learned.
 
 Training takes at most ``max_docs`` labelled documents, chosen by hash of
 their id, so its size is bounded whatever the corpus; scoring covers all.
 The layer is linear, so a word's share of the logits is one number, which
 each task remembers by word.
 
-Defined cases: null and empty texts consist of the shape words only; labels
+Defined cases: null and empty texts consist of one empty word; labels
 that are null or on missing documents are ignored; several labels of one id
 count as the largest; without two classes to learn from, every score is the
 smoothed share of label 1; repeated rows get equal scores; an empty table
@@ -26,7 +27,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -76,14 +76,12 @@ def hashed(words: list[str], s: SubwordSettings) -> tuple[np.ndarray, np.ndarray
 
 
 def words_of(text: str) -> Counter:
-    """Word counts, with the words that describe the shape among them."""
-    words = text.split()
-    counts, total = Counter(words), len(words)
-    share = 10 * len(counts) // total if total else 0
-    again = sum(map(eq, words, words[1:]))
-    counts[f"\0distinct{share}"] = counts[f"\0length{total.bit_length()}"] = max(1, total // 20)
-    if again:
-        counts["\0again"] = 2 * again
+    """How often each spelling of a word occurs; later occurrences are spelled with the binary length of their number."""
+    counts = Counter(text.split() or [""])
+    for word, times in list(counts.items()):
+        counts[word] = 1
+        for size in range(2, times.bit_length() + 1):
+            counts[f"{word}\1{size}"] = min(times, (1 << size) - 1) - (1 << size - 1) + 1
     return counts
 
 
