@@ -5,12 +5,13 @@ closing quote or bracket, then white space), because passages that are pasted
 into a text seldom begin and end with a line. Units are normalised (ASCII
 letters to lower case, runs of ASCII white space to one space, ends trimmed)
 and hashed to 128 bits; digests are grouped over the whole corpus; the
-occurrence with the smallest (doc_id, start) stays. Later occurrences that
-follow one another without a gap are a passage, and a passage of at least
-``min_words`` words goes. What is shorter ("All rights reserved.", a sentence
-of three words) repeats in ordinary prose; it is listed by ``repeated_units``
-like the rest, with ``removed`` false, and stays in the text. Offsets count
-code points of the original text.
+occurrence with the smallest (doc_id, start) stays. Later occurrences of units
+that several documents have, following one another without a gap, are a
+passage, and a passage of at least ``min_words`` words goes. What is shorter ("All
+rights reserved.", a sentence of three words) repeats in ordinary prose, and
+what repeats inside one document alone is that document's own way; both are
+listed by ``repeated_units`` like the rest, with ``removed`` false, and stay in
+the text. Offsets count code points of the original text.
 
 Defined cases: null and empty texts have no units; blank lines are no units; a
 passage goes with the white space after it; a document without an id has no
@@ -81,10 +82,11 @@ def text_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per later occurrence of a unit: doc_id, text_key, run, start, end, next, n_words, keep_id, keep_start, removed.
+    """One row per later occurrence of a unit: doc_id, text_key, run, start, end, next, n_words, keep_id, keep_start, shared, removed.
 
     ``run`` is where the passage starts that the unit is part of; ``keep_id``
-    and ``keep_start`` say where the unit stays. The units are read twice
+    and ``keep_start`` say where the unit stays, ``shared`` whether several
+    documents have it. The units are read twice
     from the texts rather than stored: once to find the first place of each
     digest, aggregated before the shuffle, once to meet the digests that
     occur twice, in a plain join that adaptive execution splits where a line
@@ -92,18 +94,19 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     """
     units = text_units(docs, id_col, text_col)
     place = F.struct("doc_id", "text_key", "start")
-    firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = units.groupBy("digest").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_id"), F.count("*").alias("n")).where("n > 1")
     # stored, so that the join deals both sides anew and may split a frequent digest
-    firsts = checkpointed(firsts.select(F.col("digest").alias("first_digest"), "first"))
+    firsts = checkpointed(firsts.select(F.col("digest").alias("first_digest"), "first", (F.col("first.doc_id") != F.col("last_id")).alias("shared")))
     later = units.join(firsts, F.col("digest") == F.col("first_digest")).where(place != F.col("first"))
-    later = later.select("doc_id", "text_key", "start", "end", "next", "n_words", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"))
+    later = later.select("doc_id", "text_key", "start", "end", "next", "n_words", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "shared")
     document = Window.partitionBy("doc_id", "text_key").orderBy("start")
     # rows that repeat doc_id and text give equal rows, which count once
     single = later.withColumn("_again", F.lag("start").over(document)).where("_again is null or _again <> start").drop("_again")
-    heads = single.withColumn("_head", F.when(F.lag("next").over(document).eqNullSafe(F.col("start")), None).otherwise(F.col("start")))
+    goes_on = F.lag("next").over(document).eqNullSafe(F.col("start")) & F.col("shared") & F.lag("shared").over(document)
+    heads = single.withColumn("_head", F.when(goes_on, None).otherwise(F.col("start")))
     runs = heads.withColumn("run", F.last("_head", ignorenulls=True).over(document)).drop("_head")
     words = F.sum("n_words").over(Window.partitionBy("doc_id", "text_key", "run"))
-    return runs.withColumn("removed", words >= min_words)
+    return runs.withColumn("removed", F.col("shared") & (words >= min_words))
 
 
 def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None) -> DataFrame:
@@ -117,10 +120,10 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: s
     found = repeated_units(docs, min_words, id_col, text_col).where("removed")
     runs = found.groupBy("doc_id", "text_key", "run").agg(F.max("next").alias("end"))
     spans = runs.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct(F.col("run").alias("start"), "end"))).alias("found_spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "found_id", "text_key": "found_key"})
-    key, name = fresh(docs, "text_key"), fresh(docs, spans_col or "removed_spans")
+    key, name, found_id, found_key = fresh(docs, "text_key"), fresh(docs, spans_col or "removed_spans"), fresh(docs, "found_id"), fresh(docs, "found_key")
+    spans = spans.select(F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key), F.col("found_spans").alias(name))
     marked = docs.withColumn(key, _text_key(docs[text_col]))
-    joined = marked.join(spans, (marked[id_col] == spans.found_id) & (marked[key] == spans.found_key), "left").drop("found_id", "found_key", key).withColumnRenamed("found_spans", name)
+    joined = marked.join(spans, (F.col(id_col) == F.col(found_id)) & (F.col(key) == F.col(found_key)), "left").drop(found_id, found_key, key)
     size = F.size(name)
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(name), i - 1)["end"])
     until = lambda i: F.when(i == size, F.length(text_col)).otherwise(F.get(F.col(name), i)["start"])
@@ -154,17 +157,17 @@ WITH pieces AS (
 ), followed AS (
     SELECT *, lag(start) OVER (PARTITION BY doc_id ORDER BY start) AS prev FROM units
 ), firsts AS (
-    SELECT norm, min({{'doc_id': doc_id, 'start': start}}) AS first FROM units GROUP BY norm HAVING count(*) > 1
+    SELECT norm, min({{'doc_id': doc_id, 'start': start}}) AS first, min(doc_id) <> max(doc_id) AS shared FROM units GROUP BY norm HAVING count(*) > 1
 ), later AS (
-    SELECT u.*, f.first.doc_id AS keep_id, f.first.start AS keep_start
+    SELECT u.*, f.first.doc_id AS keep_id, f.first.start AS keep_start, f.shared
     FROM followed u JOIN firsts f USING (norm)
     WHERE u.doc_id <> f.first.doc_id OR u.start <> f.first.start
 ), heads AS (
-    SELECT *, CASE WHEN lag(start) OVER (PARTITION BY doc_id ORDER BY start) IS NOT DISTINCT FROM prev AND prev IS NOT NULL THEN NULL ELSE start END AS head FROM later
+    SELECT *, CASE WHEN lag(start) OVER (PARTITION BY doc_id ORDER BY start) IS NOT DISTINCT FROM prev AND prev IS NOT NULL AND shared AND lag(shared) OVER (PARTITION BY doc_id ORDER BY start) THEN NULL ELSE start END AS head FROM later
 ), runs AS (
     SELECT *, max(head) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM heads
 ), whole AS (
     SELECT *, sum(n_words) OVER (PARTITION BY doc_id, run) AS run_words FROM runs
 )
-SELECT doc_id, run, start, "end", n_words, keep_id, keep_start FROM whole WHERE run_words >= {MIN_WORDS}
+SELECT doc_id, run, start, "end", n_words, keep_id, keep_start FROM whole WHERE shared AND run_words >= {MIN_WORDS}
 """

@@ -56,7 +56,7 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """The same rows with columns named like what operators add."""
-    names = ["kept", "digest", "fp", "component_id", "text_digest", "removed_spans", "text_key", "size", "start", "n_words", "bucket", "score"]
+    names = ["found_id", "found_key", "found_spans", "kept", "digest", "fp", "component_id", "text_digest", "removed_spans", "text_key", "size", "start", "n_words", "bucket", "score"]
     return docs.select("*", *[F.lit("clash").alias(n) for n in names])
 
 
@@ -505,7 +505,7 @@ def test_chat_round_trip(spark):
 
 
 def test_no_control_string_from_several_parts():
-    part = lambda kind, text=None: {"type": kind, "text": text, "ref": "r", "width": 0, "height": -3, "seconds": None, "pages": 0}
+    part = lambda kind, text=None: {"type": kind, "text": text, "ref": "r", "width": 0, "height": -3, "seconds": float("nan"), "pages": 0}
     texts = ["<|en", "d|> [IN", "ST]", "", "<|ima", "ge|>"]
     formatted, spans, attached = chat.formatted_turn("assistant", [*(part("text", t) for t in texts), part("image"), None, part("video", "x"), part("audio"), part("document")])
     inside = formatted[len(chat.TURN) + len("assistant") + len(chat.SAYS) : -len(chat.END)]
@@ -551,11 +551,15 @@ def brute_lines(rows, min_words=line_dedup.MIN_WORDS):
     for (i, t), out in sorted(units.items(), key=lambda x: (x[0][0], xx_signed(x[0][1]))):
         for k, u in enumerate(out):
             first.setdefault(u[3], (i, t, k))
+    holders = defaultdict(set)
+    for (i, _), out in units.items():
+        for u in out:
+            holders[u[3]].add(i)
     gone = {}
     for (i, t), out in units.items():
         spans, run, words = [], None, 0
         for k, (a, _, b, norm) in [*enumerate(out), (None, (0, 0, 0, None))]:
-            if norm is not None and first[norm] != (i, t, k):
+            if norm is not None and first[norm] != (i, t, k) and len(holders[norm]) > 1:
                 run = (run[0] if run else a, b)
                 words += len(norm.split())
                 continue
