@@ -121,11 +121,16 @@ def _links_in_large(fps: DataFrame) -> DataFrame:
     return stars.where("u <> v").distinct()
 
 
+#: Shared buckets (20 bytes each) up to which they are broadcast; more meet the variants by shuffle.
+BROADCAST_BUCKETS = 200_000
+
+
 def near_links(fps: DataFrame) -> DataFrame:
     """(u, v) between distinct fingerprints: true links that connect all pairs within the radius."""
     # counts are summed before they are shuffled; variants that no other fingerprint has go no further
     met = _variants(fps).groupBy("part", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = checkpointed(met.select(F.col("part").alias("met_part"), F.col("key").alias("met_key"), "size"))
+    met = F.broadcast(met) if met.count() <= BROADCAST_BUCKETS else met
     variants = _variants(fps)
     buckets = checkpointed(variants.join(met, (variants.part == met.met_part) & (variants.key == met.met_key)).select("part", "key", "fp", "size"))
     large = buckets.where(F.col("size") > SMALL).select("fp").distinct()
