@@ -84,7 +84,7 @@ def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataF
     neighbours in space meet; at higher levels cells and reach are smaller.
     """
     placed = centers if "_level" in centers.columns else centers.withColumn("_level", F.lit(0))
-    sizes = {r["_level"]: r["count"] for r in placed.groupBy("_level").count().collect()} or {0: 0}  # at most HALVINGS + 1
+    sizes = {r["_level"]: r["count"] for r in placed.groupBy("_level").count().collect()} or {0: 0} if "_level" in centers.columns else {0: centers.count()}  # at most HALVINGS + 1
     reach = _reach(radius, F.col("_level"))
     around = F.array(*[F.struct(*[(F.floor(F.col(c) / reach) + o).cast("long").alias(f"_{c}") for c, o in zip(AXES, step, strict=True)]) for step in product((-1, 0, 1), repeat=3)])
     placed = placed.withColumn("_at", F.explode(around)).select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES], "_at._x", "_at._y", "_at._z")
@@ -130,7 +130,7 @@ def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_
     cells = dense_cells(points, k, radius) if cells is None else cells
     at = checkpointed(points.join(centers.select("idx"), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES))
     some = points.select("idx", *AXES) if single else thinned(points, cells, k, radius)
-    found = within_radius(some, checkpointed(levels_of(at, cells, radius)), radius)
+    found = within_radius(some, at if cells.isEmpty() else checkpointed(levels_of(at, cells, radius)), radius)
     if own_first:
         found = found.where("idx <> center").unionByName(at.select("center", F.col("center").alias("idx"), F.lit(0.0).alias("d2")))
     return nearest(found, k, own_first)
