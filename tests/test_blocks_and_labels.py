@@ -227,3 +227,14 @@ def test_sql_functions(spark):
 def test_duplicates_share_label(spark):
     frame = spark.createDataFrame([(1.0, 1.0, 1.0, 1), (1.0, 1.0, 1.0, 2), (2.0, 1.0, 1.0, 3)], "x double, y double, z double, label int")
     assert labels.duplicate_conflicts(frame).collect()[0].n_labels == 2
+
+
+def test_ranks_of_a_cloud_in_a_corner_are_dealt_evenly(spark):
+    """All codes in the lowest corner of the curve, a third of them equal: no range has twice the mean, ranks are those of one sort."""
+    steps = [(i, 0, *((5, 5, 5) if i % 3 == 0 else (i % 97, i % 89, i % 7))) for i in range(6000)]
+    cloud = spark.createDataFrame(steps, "idx long, batch long, gx long, gy long, gz long")
+    done = checkpointed(pooling.serialize(cloud, "z", parts=8).withColumn("range", F.spark_partition_id()))
+    sizes = [r["count"] for r in done.groupBy("range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * len(steps) / 8
+    rows = done.orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(6000)) and [(r.code, r.idx) for r in rows] == sorted((r.code, r.idx) for r in rows)
