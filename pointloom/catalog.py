@@ -489,11 +489,30 @@ def block_or_merge(spark, sf):
     return labelling.label_blocks(views.pts(spark, sf), by_voxel, RES, SHAPE_FULL, 0.25, binary=True)
 
 
-@query("SELECT 0::BIGINT AS n_different, count(*) AS n_core FROM pts WHERE x >= 100 AND x < 160 AND y >= 50 AND y < 110", "pts")
+TILE, IN_TILE = (100.0, 50.0, 160.0, 110.0), "x >= 100 AND x < 160 AND y >= 50 AND y < 110"
+
+
+def _halo_losses(buffer: float) -> str:
+    """SQL: points that the blocks of a tile's core lose with the halo ``buffer``, and core points."""
+    window = f"x BETWEEN {TILE[0] - buffer} AND {TILE[2] + buffer} AND y BETWEEN {TILE[1] - buffer} AND {TILE[3] + buffer}"
+    return f"""SELECT (SELECT count(*) FROM members WHERE block_id IN (SELECT block_id FROM members WHERE {IN_TILE}) AND NOT ({window})) AS n_different,
+    (SELECT count(*) FROM pts WHERE {IN_TILE}) AS n_core"""
+
+
+def _compared_blocks(cloud: DataFrame, buffer: float) -> DataFrame:
+    different = blocks.same_blocks(cloud, TILE, buffer, SIZE2, 0.25).agg(F.count("*").alias("n_different"))
+    return different.crossJoin(cloud.where(IN_TILE).agg(F.count("*").alias("n_core")))  # one row each
+
+
+@query(_halo_losses(32.0), "pts", *_lattice(SIZE2))
 def tiled_equals_untiled_blocks(spark, sf):
-    cloud, tile = views.pts(spark, sf), (100.0, 50.0, 160.0, 110.0)
-    different = blocks.same_blocks(cloud, tile, 32.0, SIZE2, 0.25).agg(F.count("*").alias("n_different"))
-    return different.crossJoin(cloud.where("x >= 100 and x < 160 and y >= 50 and y < 110").agg(F.count("*").alias("n_core")))
+    return _compared_blocks(views.pts(spark, sf), 32.0)
+
+
+@query(_halo_losses(10.0), "pts", *_lattice(SIZE2))
+def tiled_blocks_short_buffer(spark, sf):
+    """A halo below a block: how many points the core's blocks lose."""
+    return _compared_blocks(views.pts(spark, sf), 10.0)
 
 
 @query("""SELECT block_id, idx, round(cast(fx - mx AS DOUBLE), 2) + 0.0 AS nx, round(cast(fy - my AS DOUBLE), 2) + 0.0 AS ny, round(cast((fz - mz) - (lz - mz) AS DOUBLE), 2) AS height FROM single JOIN (
@@ -539,6 +558,30 @@ def label_crops(spark, sf):
     return labelling.label_crops(views.pts(spark, sf), everywhere_alike, 20, 6.0, 40.0, 0.5)
 
 
+def by_crop(xyz: np.ndarray) -> np.ndarray:
+    """Probabilities that depend on where in its crop a point is: height above the lowest, distance from the middle."""
+    x, y, height = xyz.T.astype(np.float64)
+    apart = x * x + y * y
+    return np.stack([height / (height + 11.0), apart / (apart + 170.0), np.full(len(xyz), 0.52)], axis=1)
+
+
+#: Crops of all points within 36 around the first point of each cell of side 20, whose diagonal is less: one round reaches every point.
+CROPS = (
+    "reps AS (SELECT idx, x, y, z FROM pts WHERE idx IN (SELECT min(idx) FROM vox GROUP BY vx, vy, vz))",
+    "cloud AS (SELECT idx, cast(cast(x - ox AS REAL) AS DOUBLE) AS x, cast(cast(y - oy AS REAL) AS DOUBLE) AS y, cast(cast(z - oz AS REAL) AS DOUBLE) AS z FROM reps, (SELECT floor(min(x)) AS ox, floor(min(y)) AS oy, floor(min(z)) AS oz FROM reps))",
+    "middles AS (SELECT idx AS center, x, y, z FROM cloud WHERE idx IN (SELECT min(idx) FROM cloud GROUP BY floor(x / 20), floor(y / 20), floor(z / 20)))",
+    "crops AS (SELECT center, p.idx, p.x::REAL AS fx, p.y::REAL AS fy, p.z::REAL AS fz FROM middles m JOIN cloud p ON p.x BETWEEN m.x - 37 AND m.x + 37 AND (p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z) <= 36 * 36)",
+    "placed AS (SELECT idx, cast(fx - mx AS DOUBLE) AS x, cast(fy - my AS DOUBLE) AS y, cast((fz - mz) - (lz - mz) AS DOUBLE) AS h FROM crops JOIN (SELECT center, avg(fx::DOUBLE)::REAL AS mx, avg(fy::DOUBLE)::REAL AS my, avg(fz::DOUBLE)::REAL AS mz, min(fz) AS lz FROM crops GROUP BY 1) USING (center))",
+    "mean AS (SELECT idx, [avg(h / (h + 11.0)), avg((x * x + y * y) / (x * x + y * y + 170.0)), avg(0.52::DOUBLE)] AS probs FROM placed GROUP BY idx)",
+)
+
+
+@query("SELECT v.idx, list_position(m.probs, list_max(m.probs))::INTEGER AS label FROM vox v JOIN (SELECT vx, vy, vz, min(idx) AS rep FROM vox GROUP BY 1, 2, 3) USING (vx, vy, vz) JOIN mean m ON m.idx = rep", "pts", LOCAL, _vox(0.5), *CROPS)
+def label_crops_by_place(spark, sf):
+    """Overlapping crops of all that lies within the radius, by a model that looks at the place; votes averaged."""
+    return labelling.label_crops(views.pts(spark, sf), by_crop, 1_000_000, 36.0, 20.0, 0.5)
+
+
 VOTES = "votes AS (SELECT idx, c::INTEGER AS class, ((idx * 7 + c * 13 + v * 5) % 101) / 101.0::DOUBLE AS p FROM pts, range(4) a(c), range(3) b(v))"
 
 

@@ -73,11 +73,20 @@ def or_merge(votes: DataFrame, points: DataFrame | None = None, unseen: bool = T
 
 
 def same_blocks(points: DataFrame, tile: tuple[float, float, float, float], buffer: float, size: tuple[float, ...], overlap: float = 0.1) -> DataFrame:
-    """Memberships (idx, block_id) of a tile's core points that differ between the whole cloud's lattice and the tile's window on the same origin; none, if ``buffer`` is at least a block."""
+    """(idx, block_id): where blocks that hold a tile's core points differ between the whole cloud and the tile's window on the cloud's lattice.
+
+    All points of such blocks count, those of the halo too, since a model sees
+    them all. None differ if ``buffer`` is at least a block; with less, blocks
+    lose points.
+    """
     grid = lattice(points, size, overlap)
     x0, y0, x1, y1 = tile
     core = F.expr(f"x >= {x0}D and x < {x1}D and y >= {y0}D and y < {y1}D")
+
+    def held(cloud: DataFrame) -> DataFrame:
+        members = sliding_blocks(cloud, size, overlap, grid=grid)
+        return members.join(members.where(core).select("block_id").distinct(), "block_id", "left_semi").select("idx", "block_id")
+
     window = points.where(F.col("x").between(x0 - buffer, x1 + buffer) & F.col("y").between(y0 - buffer, y1 + buffer))
-    whole = sliding_blocks(points, size, overlap, grid=grid).where(core).select("idx", "block_id")
-    part = sliding_blocks(window, size, overlap, grid=grid).where(core).select("idx", "block_id")
+    whole, part = held(points), held(window)
     return whole.exceptAll(part).unionByName(part.exceptAll(whole))

@@ -84,6 +84,10 @@ def refuse_waveforms(files: DataFrame) -> DataFrame:
 
 
 def write_tiles(assigned: DataFrame, path: str) -> None:
-    """x, y, z, idx of each tile in a folder of its own; one tile is read by partition pruning."""
+    """x, y, z, idx of each tile in a folder of its own; one tile is read by partition pruning.
+
+    Rows are dealt by ranges of tile, then point, with sampled bounds, so tasks
+    are about equal: a full tile is written by several, small ones by one.
+    """
     columns = assigned.select("idx", "x", "y", "z", "tile_id")
-    columns.repartition("tile_id", F.expr("idx % 16")).write.partitionBy("tile_id").parquet(path)
+    columns.repartitionByRange("tile_id", "idx").sortWithinPartitions("tile_id").write.partitionBy("tile_id").parquet(path)

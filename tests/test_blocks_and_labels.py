@@ -28,7 +28,18 @@ def test_single_point_block(spark):
 def test_tiled_blocks_equal_untiled(spark):
     xyz = np.random.default_rng(3).uniform(0, 1, (4000, 3)) * [300, 200, 30]
     cloud = cloud_of(spark, xyz)
-    assert blocks.same_blocks(cloud, (100, 50, 160, 110), 33.6, (33.6, 33.6)).count() == 0
+    tile, size = (100, 50, 160, 110), (33.6, 33.6)
+    assert blocks.same_blocks(cloud, tile, 33.6, size).count() == 0
+    lost = blocks.same_blocks(cloud, tile, 5.0, size)  # a halo below a block: points of the core's blocks are missing
+    assert lost.count() > 0
+    outside = lost.select("idx").distinct().join(cloud, "idx").where(~(F.col("x").between(95, 165) & F.col("y").between(45, 115)))
+    assert outside.count() == lost.select("idx").distinct().count()
+    window = cloud.where("x between 66.4 and 193.6 and y between 16.4 and 143.6")
+    corner = lambda grid: np.array(grid.select("lo_x", "lo_y").first())
+    whole, stride = corner(blocks.lattice(cloud, size, 0.1)), 33.6 * 0.9
+    assert np.allclose(corner(blocks.lattice(window, size, 0.1, tuple(whole))), whole)
+    shift = (corner(blocks.lattice(window, size, 0.1)) - whole) / stride  # without the cloud's origin the lattice moves
+    assert (np.abs(shift - np.round(shift)) > 1e-3).all()
 
 
 def test_voxels_equal_numpy(spark):
@@ -107,6 +118,28 @@ def test_crops_label_disconnected_groups(spark):
     assert sorted((r.idx, r.label) for r in found.collect()) == [(i, 2) for i in range(24)]
 
 
+def test_crop_labels_equal_numpy(spark):
+    """Labels by a model that looks at the place, against the same crops run in numpy."""
+    xyz = np.round(np.random.default_rng(6).uniform(0, 1, (600, 3)) * [60, 40, 12], 2)
+    cloud = cloud_of(spark, xyz)
+
+    def model(p):
+        return np.stack([p[:, 2] / (p[:, 2] + 3.1), np.full(len(p), 0.47), np.abs(p[:, 0]) / (np.abs(p[:, 0]) + 2.3)], 1)
+
+    found = {r.idx: r.label for r in labelling.label_crops(cloud, model, 12, 6.0, 9.0, 0.01).collect()}
+    local = (xyz - np.floor(xyz.min(0))).astype(np.float32)
+    sums, times = np.zeros((len(xyz), 3)), np.zeros(len(xyz))
+    crops = neighbors.cover_all(cloud_of(spark, local.astype(float)), 12, 6.0, 9.0).toPandas()
+    for _, crop in crops.groupby("center"):
+        at = crop.idx.to_numpy()
+        place = local[at] - local[at].mean(0, dtype=np.float64).astype(np.float32)
+        place[:, 2] -= place[:, 2].min()
+        sums[at] += model(place)
+        times[at] += 1
+    expected = (sums / times[:, None]).argmax(1) + 1
+    assert len(set(expected.tolist())) == 3 and found == dict(enumerate(expected.tolist()))
+
+
 def test_tiled_labels_equal_whole(spark):
     xyz = np.random.default_rng(4).uniform(0, 1, (2000, 3)) * [120, 80, 5]
     cloud = cloud_of(spark, xyz)

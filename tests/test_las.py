@@ -177,6 +177,20 @@ def test_folder_listing(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in files.list_files(spark, str(tmp_path)).collect()] == ["a.laz", "b.LAS"]
 
 
+def test_tiles_are_written_by_their_size(spark, tmp_path):
+    """A tile with most of all points is several tasks' work; small tiles are not cut up."""
+    rows = spark.range(20_000).select(F.col("id").alias("idx"), *[F.lit(0.0).alias(c) for c in "xyz"], F.when(F.col("id") < 15_000, 7).otherwise(F.col("id") % 40 + 100).alias("tile_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_tiles(rows, str(tmp_path / "tiles"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "tiles"))
+    assert back.count() == 20_000 and back.where("tile_id = 7").count() == 15_000
+    written = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "tiles").glob("tile_id=*")}
+    assert written.pop("tile_id=7") >= 3 and len(written) == 40 and max(written.values()) <= 2
+
+
 @pytest.mark.parametrize("path, want", [("/in/a.las", "/o/a_c.las"), ("/in/a.LAS", "/o/a_c.las"), ("/in/b.copc.laz", "/o/b_c.laz"), ("/in/x.y.laz", "/o/x.y_c.laz")])
 def test_output_names(spark, path, want):
     assert spark.range(1).select(files.output_path(F.lit(path), "/o", "_c")).first()[0] == want
