@@ -11,17 +11,20 @@ its length, or when chunks outside their bands make up too much of it.
 Defined cases: a null or empty text has no words and fails the base rule; a
 document of one chunk is judged as a whole only; repeated rows get the same
 verdict each; an empty table gives an empty result; other columns, whatever
-their names, are neither read nor changed.
+their names, are neither read nor changed. Bands belong to a corpus:
+``fit_bands`` takes them from documents known to be good, the defaults from
+ordinary prose; a length that few good documents have keeps the band it had.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import SPACES, documents, map_batches, narrow, texts_of
 
@@ -157,6 +160,44 @@ def _measured(texts: list[str], compress, limits: QualityLimits) -> list[tuple]:
     return list(zip(*(measures_of(t, compress, limits) for t in texts), strict=True))
 
 
+def stretch_ratios(text: str, compress, limits: QualityLimits) -> list[tuple[int, float]]:
+    """(band's first bytes, ratio) of the whole, of its chunks, and of the beginning as long as each band's shortest text; none if the base rule fails."""
+    raw = text.encode()
+    words = raw.split()
+    if len(words) < limits.min_words or 100 * repeated_window_words(words, limits.window) > limits.max_repeat_percent * len(words):
+        return []
+    starts = [b[0] for b in limits.bands if b[0] > 0]
+    parts = [raw, *(raw[:n] for n in starts if n < len(raw))]
+    if len(raw) > limits.chunk_bytes:
+        parts += [raw[i : i + limits.chunk_bytes] for i in range(0, len(raw), limits.chunk_bytes)]
+    return [(max(n for n in starts if n <= len(p)), len(p) / len(compress(p))) for p in parts if len(p) >= min(starts)]
+
+
+def fit_bands(good: DataFrame, limits: QualityLimits = QualityLimits(), tail: float = 0.0005, least: int = 200, text_col: str = "text") -> QualityLimits:
+    """``limits`` with bands as wide as the ratios of ``good`` documents, all but ``tail`` of them on either side, and the margins of the defaults.
+
+    All documents and whole texts count. One job: ratios are taken where the
+    texts lie, and only approximate percentiles, a row a band, reach the
+    driver. A band of fewer than ``least`` stretches stays as it is in
+    ``limits``, as does the one below the shortest length.
+    """
+    rows = narrow(good, text=text_col)
+
+    def make():
+        compress = zstandard.ZstdCompressor(level=limits.level).compress
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [pair for t in texts_of(batch.column(0)) for pair in stretch_ratios(t, compress, limits)]
+            return pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([r for _, r in found], pa.float64())], ["band", "ratio"])
+
+        return step
+
+    ends = F.percentile_approx("ratio", [tail, 1 - tail], 20_000).alias("ends")
+    measured = map_batches(rows, make, "band long, ratio double").groupBy("band").agg(ends, F.count("*").alias("n")).where(F.col("n") >= least)
+    fitted = {r.band: (r.band, r.ends[0] * LOW_MARGIN, r.ends[1] * HIGH_MARGIN) for r in measured.collect()}  # a row a band
+    return replace(limits, bands=tuple(fitted.get(b[0], b) for b in limits.bands))
+
+
 _TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
 

@@ -96,6 +96,25 @@ def test_quality(docs, clashing, empty):
     assert quality_rules.measure_quality(empty).count() == quality_rules.keep_quality(empty).count() == 0
 
 
+def test_bands_are_fitted(spark, clashing, empty):
+    """Bands from good documents keep these, and tell repetition and noise; without documents nothing changes."""
+    limits, compress = quality_rules.QualityLimits(), zstandard.ZstdCompressor(level=3).compress
+    assert quality_rules.fit_bands(empty) == quality_rules.fit_bands(clashing) == limits  # too few stretches
+    rows = [(i, prose(i, 20 + i * 3), "en", "s", 0) for i in range(300)]
+    fitted = quality_rules.fit_bands(spark.createDataFrame(rows, SCHEMA), tail=0.0)
+    assert fitted.bands != limits.bands and [b[0] for b in fitted.bands] == [b[0] for b in limits.bands]
+    stretches = [pair for _, text, *_ in rows for pair in quality_rules.stretch_ratios(text, compress, limits)]
+    for start, low, high in fitted.bands:
+        own = [r for n, r in stretches if n == start]
+        if len(own) >= 200:  # brute force
+            assert abs(low - min(own) * quality_rules.LOW_MARGIN) < 1e-9 and abs(high - max(own) * quality_rules.HIGH_MARGIN) < 1e-9
+        else:
+            assert (start, low, high) in limits.bands
+    assert all(quality_rules.compression(text.encode(), compress, fitted)[2] for _, text, *_ in rows if len(text) < 4096)
+    assert not quality_rules.compression(b"\0".join([b"spam and eggs"] * 200), compress, fitted)[2]
+    assert not quality_rules.compression(random.Random(1).randbytes(3000), compress, fitted)[2]
+
+
 def test_compression_bands():
     limits, compress = quality_rules.QualityLimits(), zstandard.ZstdCompressor(level=3).compress
     noise = random.Random(1).randbytes(3000).hex()
