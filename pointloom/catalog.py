@@ -578,8 +578,11 @@ CROPS = (
 
 @query("SELECT v.idx, list_position(m.probs, list_max(m.probs))::INTEGER AS label FROM vox v JOIN (SELECT vx, vy, vz, min(idx) AS rep FROM vox GROUP BY 1, 2, 3) USING (vx, vy, vz) JOIN mean m ON m.idx = rep", "pts", LOCAL, _vox(0.5), *CROPS)
 def label_crops_by_place(spark, sf):
-    """Overlapping crops of all that lies within the radius, by a model that looks at the place; votes averaged."""
-    return labelling.label_crops(views.pts(spark, sf), by_crop, 1_000_000, 36.0, 20.0, 0.5)
+    """Overlapping crops of all that lies within the radius, by a model that looks at the place; votes averaged.
+
+    A crop has at most the voxels of side 0.5 that its ball holds, some 1.6 million.
+    """
+    return labelling.label_crops(views.pts(spark, sf), by_crop, 2_000_000, 36.0, 20.0, 0.5)
 
 
 VOTES = "votes AS (SELECT idx, c::INTEGER AS class, ((idx * 7 + c * 13 + v * 5) % 101) / 101.0::DOUBLE AS p FROM pts, range(4) a(c), range(3) b(v))"
