@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,10 +85,13 @@ def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataF
     placed = centers if "_level" in centers.columns else centers.withColumn("_level", F.lit(0))
     sizes = {r["_level"]: r["count"] for r in placed.groupBy("_level").count().collect()} or {0: 0} if "_level" in centers.columns else {0: centers.count()}  # at most HALVINGS + 1
     reach = _reach(radius, F.col("_level"))
-    around = F.array(*[F.struct(*[(F.floor(F.col(c) / reach) + o).cast("long").alias(f"_{c}") for c, o in zip(AXES, step, strict=True)]) for step in product((-1, 0, 1), repeat=3)])
-    placed = placed.withColumn("_at", F.explode(around)).select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES], "_at._x", "_at._y", "_at._z")
+    steps = {"_x": "_step div 9", "_y": "_step div 3 % 3", "_z": "_step % 3"}
+    around = [(F.floor(F.col(c) / reach) + F.expr(f"{step} - 1")).cast("long").alias(cell) for c, (cell, step) in zip(AXES, steps.items(), strict=True)]
+    placed = placed.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(26)))).select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES], *around)
     placed = F.broadcast(placed) if sum(sizes.values()) <= BROADCAST_CENTERS else placed
-    own = points.select("idx", *AXES, F.explode(F.array(*[F.lit(v) for v in sorted(sizes)])).alias("_level")).select("idx", *AXES, "_level", *_cells(reach))
+    cloud = points.select("idx", *AXES)
+    leveled = cloud.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(sizes))))) if len(sizes) > 1 else cloud.withColumn("_level", F.lit(min(sizes)))
+    own = leveled.select("idx", *AXES, "_level", *_cells(reach))
     d2 = F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)")
     met = own.join(placed, CELL).select("center", "idx", "_level", d2.alias("d2"))
     return met.where(F.col("d2") <= F.when(F.col("_level") == 0, F.lit(float(radius) * float(radius))).otherwise(reach * reach)).select("center", "idx", "d2")

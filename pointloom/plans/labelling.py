@@ -9,9 +9,13 @@ back by idx.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +135,41 @@ def label_blocks(points: DataFrame, model: Model, resolution: tuple[float, float
     return points.select("idx").join(last_block(votes), "idx", "left").select("idx", F.coalesce("pred", F.lit(0)).alias("label"))
 
 
+def _whole_crops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, center, as tables of whole crops; held are one crop and one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        centers = batch.column(0).to_numpy()
+        last = int(np.searchsorted(centers, centers[-1]))
+        if last or (held and held[0].column(0)[0].as_py() != centers[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _crop_votes(model: Model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(idx, probs) of (center, idx, x, y, z) sorted by center and idx: the model runs once a crop."""
+    for table in _whole_crops(batches):
+        centers, place = table.column("center").to_numpy(), np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1).astype(np.float32)
+        bounds, found, widths = [*np.flatnonzero(np.diff(centers, prepend=centers[0] - 1)), len(centers)], [], []
+        for start, end in pairwise(bounds):
+            xyz = place[start:end]
+            xyz = xyz - xyz.mean(axis=0, dtype=np.float64).astype(np.float32)
+            xyz[:, 2] -= xyz[:, 2].min()
+            probs = np.asarray(model(xyz), np.float64)
+            if probs.ndim != 2 or len(probs) != len(xyz) or not np.isfinite(probs).all():
+                raise ValueError("the model must return finite probabilities, a row for each point")
+            found.append(probs.ravel())
+            widths.append(np.full(len(probs), probs.shape[1]))
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(widths))]).astype(np.int32)
+        votes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+        yield pa.RecordBatch.from_arrays([table.column("idx").combine_chunks(), votes], ["idx", "probs"])
+
+
 def label_crops(points: DataFrame, model: Model, k: int, radius: float, spacing: float, grid: float) -> DataFrame:
     """(idx, label): voxel representatives labelled by overlapping crops, votes averaged, labels carried to every point.
 
@@ -144,16 +183,10 @@ def label_crops(points: DataFrame, model: Model, k: int, radius: float, spacing:
     cloud = checkpointed(cloud.select("idx", *[F.col(f"l{c}").cast("double").alias(c) for c in "xyz"]))
     crops = cover_all(cloud, k, radius, spacing)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        xyz = frame[["x", "y", "z"]].to_numpy(np.float32)
-        xyz = xyz - xyz.mean(axis=0, dtype=np.float64).astype(np.float32)
-        xyz[:, 2] -= xyz[:, 2].min()
-        probs = np.asarray(model(xyz), np.float64)
-        if probs.ndim != 2 or len(probs) != len(frame) or not np.isfinite(probs).all():
-            raise ValueError("the model must return finite probabilities, a row for each point")
-        return pd.DataFrame({"idx": frame.idx, "probs": list(probs)})
-
-    votes = crops.select("center", "idx").join(cloud, "idx").groupBy("center").applyInPandas(run, "idx long, probs array<double>")
+    # by a stated number of partitions: rows are few beside the model's work, so partitions are not to be merged by size
+    members = crops.select("center", "idx").join(cloud, "idx").select("center", "idx", *"xyz")
+    dealt = members.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "center").sortWithinPartitions("center", "idx")
+    votes = dealt.mapInArrow(partial(_crop_votes, model), "idx long, probs array<double>")
     labels = ensemble_mean_arrays(votes).select(F.col("idx").alias("rep_idx"), argmax_label(F.col("probs")).alias("label"))
     return projected.join(labels, "rep_idx").select("idx", "label")
 

@@ -1,6 +1,9 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pointloom.functions import codes, curves, units
@@ -271,3 +274,28 @@ def test_ranks_of_a_cloud_in_a_corner_are_dealt_evenly(spark):
     assert len(sizes) == 8 and max(sizes) <= 2 * len(steps) / 8
     rows = done.orderBy("rank").collect()
     assert [r["rank"] for r in rows] == list(range(6000)) and [(r.code, r.idx) for r in rows] == sorted((r.code, r.idx) for r in rows)
+
+
+@given(st.lists(st.integers(0, 5), max_size=40), st.integers(1, 7))
+def test_crops_are_whole_however_batches_cut_them(centers, size):
+    centers = sorted(centers)
+    rows = pa.record_batch({"center": pa.array(centers, pa.int64()), "idx": pa.array(range(len(centers)), pa.int64())})
+    batches = [rows.slice(at, size) for at in range(0, len(centers), size)]
+    tables = list(labelling._whole_crops([rows.slice(0, 0), *batches]))
+    held = [set(table.column("center").to_pylist()) for table in tables]
+    assert sum(map(len, held)) == len(set(centers))  # no crop is in two tables
+    assert [v for table in tables for v in table.column("idx").to_pylist()] == list(range(len(centers)))
+    assert all(len(table) < size + max(centers.count(c) for c in found) + size for table, found in zip(tables, held, strict=True))
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9)), min_size=1, max_size=30), st.integers(1, 9))
+def test_crop_votes_are_those_of_each_crop(rows, size):
+    rows = sorted(rows)
+    cols = {"center": [c for c, _ in rows], "idx": list(range(len(rows))), **{a: [float(v + n) for _, v in rows] for n, a in enumerate("xyz")}}
+    batch = pa.record_batch({k: pa.array(v, pa.int64() if k in ("center", "idx") else pa.float64()) for k, v in cols.items()})
+    found = [row for out in labelling._crop_votes(lambda xyz: np.stack([xyz[:, 2], np.full(len(xyz), len(xyz))], axis=1), [batch.slice(at, size) for at in range(0, len(rows), size)]) for row in out.to_pylist()]
+    lowest, count = {}, {}
+    for c, v in rows:
+        lowest[c], count[c] = min(lowest.get(c, v), v), count.get(c, 0) + 1
+    assert [row["idx"] for row in found] == cols["idx"]
+    np.testing.assert_allclose([row["probs"] for row in found], [[v - lowest[c], count[c]] for c, v in rows], atol=1e-5)
