@@ -18,6 +18,8 @@ from pointloom.sources import views
 
 CPUS = os.environ.get("BENCH_CPUS", "8")
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+# the tasks' Python imports the package too, whatever folder this is started from
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH")]))
 
 
 def queries(spark):
