@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import codes, curves, units
 from .operators import blocks, labels, neighbors, points, pooling, tiling
 from .plans import labelling
-from .session import checkpointed, qualified, scratch
+from .session import checkpointed, grown, qualified, scratch
 from .sources import files as catalogue
 from .sources import las, publishing, views
 from .streaming import arrivals
@@ -543,9 +543,9 @@ def cover_all(spark, sf):
     crops = checkpointed(neighbors.cover_all(cloud, 20, 6.0, 40.0))
     centre = cloud.select(F.col("idx").alias("center"), *[F.col(c).alias(f"c{c}") for c in "xyz"])
     true = F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)")
-    held = cloud.select("idx", "x", "y", "z").join(crops.select("center", "idx", "d2"), "idx").join(centre, "center").select("idx", ((true > 36) | (F.abs(true - F.col("d2")) > 1e-6)).alias("far"))
+    held = cloud.select("idx", "x", "y", "z").join(grown(crops.select("center", "idx", "d2")), "idx").join(grown(centre), "center").select("idx", ((true > 36) | (F.abs(true - F.col("d2")) > 1e-6)).alias("far"))
     seen = held.groupBy("idx").agg(F.count_if("far").alias("n_far"))
-    return cloud.select("idx").join(seen, "idx", "left").select("idx", F.col("n_far").isNotNull().alias("visited"), F.coalesce("n_far", F.lit(0)).alias("n_far"))
+    return cloud.select("idx").join(grown(seen), "idx", "left").select("idx", F.col("n_far").isNotNull().alias("visited"), F.coalesce("n_far", F.lit(0)).alias("n_far"))
 
 
 def everywhere_alike(xyz: np.ndarray) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import grown
+
 AXES = ("x", "y", "z")
 
 
@@ -68,7 +70,7 @@ def or_merge(votes: DataFrame, points: DataFrame | None = None, unseen: bool = T
     """(idx, pred): 2 where any vote (boolean pred) is true, else 1; points without votes count as ``unseen``."""
     merged = votes.groupBy("idx").agg(F.bool_or("pred").alias("_any"))
     if points is not None:
-        merged = points.select("idx").join(merged, "idx", "left").withColumn("_any", F.coalesce("_any", F.lit(unseen)))
+        merged = points.select("idx").join(grown(merged), "idx", "left").withColumn("_any", F.coalesce("_any", F.lit(unseen)))
     return merged.select("idx", (F.col("_any").cast("int") + 1).alias("pred"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import unused
+from ..session import grown, unused
 
 
 def ensemble_mean(votes: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def merge_labels(points: DataFrame, labels: DataFrame, column: str = "label") ->
     """
     name, key = unused(points, "_merged"), unused(points, "_merged_idx")
     known = labels.select(F.col("idx").alias(key), F.col("label").alias(name))
-    return points.join(known, F.col("idx") == F.col(key), "left").withColumn(column, F.col(name)).drop(name, key)
+    return points.join(grown(known), F.col("idx") == F.col(key), "left").withColumn(column, F.col(name)).drop(name, key)
 
 
 def map_codes(labels: DataFrame, classes: DataFrame) -> DataFrame:

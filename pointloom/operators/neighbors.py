@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, grown
 from .points import VOXEL, crop_centers, localize, voxelize
 
 AXES = ("x", "y", "z")
@@ -56,7 +56,7 @@ def dense_cells(points: DataFrame, k: int, radius: float) -> DataFrame:
             return found
         keys = dense.select(*[F.col(c).alias(f"_in{c}") for c in CELL[1:]])
         fine = points.select(*_fine(radius))
-        inside = fine.join(keys, [cell == F.col(f"_in{c}") for cell, c in zip(_cell_at(level), CELL[1:], strict=True)], "left_semi")
+        inside = fine.join(grown(keys), [cell == F.col(f"_in{c}") for cell, c in zip(_cell_at(level), CELL[1:], strict=True)], "left_semi")
     return found
 
 
@@ -68,8 +68,8 @@ def levels_of(centers: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
     """
     level = F.explode(F.sequence(F.lit(1), F.lit(HALVINGS))).alias("_level")
     around = centers.select("center", *_fine(radius), level).select("center", "_level", *_cell_at("_level"))
-    dense = around.join(cells, CELL, "left_semi").groupBy("center").agg(F.max("_level").alias("_level"))
-    return centers.join(dense, "center", "left").select("center", *AXES, F.coalesce("_level", F.lit(0)).alias("_level"))
+    dense = around.join(grown(cells), CELL, "left_semi").groupBy("center").agg(F.max("_level").alias("_level"))
+    return centers.join(grown(dense), "center", "left").select("center", *AXES, F.coalesce("_level", F.lit(0)).alias("_level"))
 
 
 #: Centres up to which their surroundings, 27 rows each, are broadcast; more meet the points by shuffle.
@@ -88,7 +88,7 @@ def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataF
     steps = {"_x": "_step div 9", "_y": "_step div 3 % 3", "_z": "_step % 3"}
     around = [(F.floor(F.col(c) / reach) + F.expr(f"{step} - 1")).cast("long").alias(cell) for c, (cell, step) in zip(AXES, steps.items(), strict=True)]
     placed = placed.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(26)))).select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES], *around)
-    placed = F.broadcast(placed) if sum(sizes.values()) <= BROADCAST_CENTERS else placed
+    placed = F.broadcast(placed) if sum(sizes.values()) <= BROADCAST_CENTERS else grown(placed)
     cloud = points.select("idx", *AXES)
     leveled = cloud.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(sizes))))) if len(sizes) > 1 else cloud.withColumn("_level", F.lit(min(sizes)))
     own = leveled.select("idx", *AXES, "_level", *_cells(reach))
@@ -108,8 +108,8 @@ def thinned(points: DataFrame, cells: DataFrame, k: int, radius: float) -> DataF
         return cloud
     inside = [cell == F.col(f"_in{c}") for cell, c in zip(_fine(radius), CELL[1:], strict=True)]
     place = Window.partitionBy(*AXES).orderBy("idx")
-    first = cloud.join(crowded, inside, "left_semi").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k).drop("_place")
-    return cloud.join(crowded, inside, "left_anti").unionByName(first)
+    first = cloud.join(grown(crowded), inside, "left_semi").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= k).drop("_place")
+    return cloud.join(grown(crowded), inside, "left_anti").unionByName(first)
 
 
 def nearest(found: DataFrame, k: int, own_first: bool = False) -> DataFrame:
@@ -130,7 +130,7 @@ def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_
     share a place. The cloud itself is neither sorted nor stored.
     """
     cells = dense_cells(points, k, radius) if cells is None else cells
-    at = checkpointed(points.join(centers.select("idx"), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES))
+    at = checkpointed(points.join(grown(centers.select("idx")), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES))
     some = points.select("idx", *AXES) if single else thinned(points, cells, k, radius)
     found = within_radius(some, at if cells.isEmpty() else checkpointed(levels_of(at, cells, radius)), radius)
     if own_first:
@@ -145,7 +145,7 @@ def fill_centers(left: DataFrame, k: int, size: float, turn: int) -> DataFrame:
     """
     voxels = checkpointed(voxelize(localize(left), size).select("idx", *VOXEL))
     firsts = voxels.groupBy(*VOXEL).agg(F.min("idx").alias("first"), F.count("*").alias("n"))
-    some = voxels.where(F.pmod(F.xxhash64("idx", F.lit(turn)), F.lit(k)) == 0).join(firsts.where(F.col("n") > k), VOXEL, "left_semi")
+    some = voxels.where(F.pmod(F.xxhash64("idx", F.lit(turn)), F.lit(k)) == 0).join(grown(firsts.where(F.col("n") > k)), VOXEL, "left_semi")
     return firsts.select(F.col("first").alias("idx")).union(some.select("idx")).distinct()
 
 
@@ -166,15 +166,15 @@ def cover_all(points: DataFrame, k: int, radius: float, spacing: float) -> DataF
     single = checkpointed(points.groupBy(*AXES).agg(F.min("idx").alias("idx")))
     cells = dense_cells(single, k, radius)
     crops = checkpointed(knn_crops(single, crop_centers(single, spacing), k, radius, True, cells, True))
-    left = checkpointed(single.join(crops.select("idx").distinct(), "idx", "left_anti"))
+    left = checkpointed(single.join(grown(crops.select("idx").distinct()), "idx", "left_anti"))
     turn = 0
     while not left.isEmpty():
         more = checkpointed(knn_crops(single, fill_centers(left, k, radius / math.sqrt(3), turn), k, radius, True, cells, True))
         crops = crops.unionByName(more)
-        left = checkpointed(left.join(more.select("idx").distinct(), "idx", "left_anti"))
+        left = checkpointed(left.join(grown(more.select("idx").distinct()), "idx", "left_anti"))
         turn += 1
     place = [F.col(c).alias(f"_{c}") for c in AXES]
-    others = points.select("idx", *AXES).join(single.select(F.col("idx").alias("_first"), *place), [F.col(c) == F.col(f"_{c}") for c in AXES]).where("idx <> _first").select("idx", "_first")
+    others = points.select("idx", *AXES).join(grown(single.select(F.col("idx").alias("_first"), *place)), [F.col(c) == F.col(f"_{c}") for c in AXES]).where("idx <> _first").select("idx", "_first")
     near = crops.groupBy(F.col("idx").alias("_first")).agg(F.min(F.struct("d2", "center", "rank")).alias("_crop"))
-    added = others.join(near, "_first").select("_crop.center", "idx", "_crop.d2", "_crop.rank")
+    added = others.join(grown(near), "_first").select("_crop.center", "idx", "_crop.d2", "_crop.rank")
     return crops.unionByName(added)

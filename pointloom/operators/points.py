@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import numbered
+from ..session import grown, numbered
 
 AXES = ("x", "y", "z")
 #: Beyond this a 64-bit key may wrap.
@@ -123,7 +123,7 @@ def voxel_projection(points: DataFrame, grid: float, origin=None) -> DataFrame:
     voxels = voxelize(localize(points, origin), grid)
     reps = voxels.groupBy(*VOXEL).agg(F.min("idx").alias("rep_idx"))
     reps = numbered(reps, [F.expr("rep_idx div 65536")], [F.col("rep_idx")], "rep_number")
-    return voxels.join(reps, VOXEL).select("idx", "rep_idx", "rep_number")
+    return voxels.join(grown(reps), VOXEL).select("idx", "rep_idx", "rep_number")
 
 
 def crop_centers(points: DataFrame, spacing: float, origin=None) -> DataFrame:

@@ -26,7 +26,7 @@ from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays,
 from ..operators.neighbors import cover_all
 from ..operators.points import assert_finite, localize, voxel_projection
 from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, buffer_for, group_extents, in_group, plan_groups, plan_tiles, tile_grid
-from ..session import checkpointed, qualified
+from ..session import checkpointed, grown, qualified
 from ..sources import las
 from ..sources.files import check_outputs, files_changed, list_files, refuse_waveforms
 from ..sources.publishing import discard_staged, publish_staged
@@ -128,11 +128,11 @@ def label_blocks(points: DataFrame, model: Model, resolution: tuple[float, float
 
     # voxels are made distinct before they meet in a group, so a group has at most the voxels of a block
     labelled = placed.select(*voxel).distinct().groupBy("block_id").applyInPandas(run, "block_id long, vi long, vj long, vk long, pred int")
-    votes = placed.join(labelled, voxel).select("idx", "block_id", "pred")
+    votes = placed.join(grown(labelled), voxel).select("idx", "block_id", "pred")
     if binary:
         merged = or_merge(votes.withColumn("pred", F.col("pred") > 1), points, unseen=flat)
         return merged.select("idx", F.col("pred").alias("label"))
-    return points.select("idx").join(last_block(votes), "idx", "left").select("idx", F.coalesce("pred", F.lit(0)).alias("label"))
+    return points.select("idx").join(grown(last_block(votes)), "idx", "left").select("idx", F.coalesce("pred", F.lit(0)).alias("label"))
 
 
 def _whole_crops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -179,16 +179,16 @@ def label_crops(points: DataFrame, model: Model, k: int, radius: float, spacing:
     model = sendable(model)
     projected = checkpointed(voxel_projection(points, grid))
     reps = projected.select(F.col("rep_idx").alias("idx")).distinct()
-    cloud = localize(points.join(reps, "idx", "left_semi").select("idx", "x", "y", "z"))
+    cloud = localize(points.join(grown(reps), "idx", "left_semi").select("idx", "x", "y", "z"))
     cloud = checkpointed(cloud.select("idx", *[F.col(f"l{c}").cast("double").alias(c) for c in "xyz"]))
     crops = cover_all(cloud, k, radius, spacing)
 
     # by a stated number of partitions: rows are few beside the model's work, so partitions are not to be merged by size
-    members = crops.select("center", "idx").join(cloud, "idx").select("center", "idx", *"xyz")
+    members = crops.select("center", "idx").join(grown(cloud), "idx").select("center", "idx", *"xyz")
     dealt = members.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "center").sortWithinPartitions("center", "idx")
     votes = dealt.mapInArrow(partial(_crop_votes, model), "idx long, probs array<double>")
     labels = ensemble_mean_arrays(votes).select(F.col("idx").alias("rep_idx"), argmax_label(F.col("probs")).alias("label"))
-    return projected.join(labels, "rep_idx").select("idx", "label")
+    return projected.join(grown(labels), "rep_idx").select("idx", "label")
 
 
 def point_codes(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, budget: int | None = None, buffer: float | None = None, need: float | None = None,

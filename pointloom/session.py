@@ -44,6 +44,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """``df``, a side of a join that grows with the cloud: met by shuffle and merge, never broadcast.
+
+    Spark plans broadcasts by estimates, which it takes from the sizes of
+    compressed files and carries through stored results; the driver would have
+    to hold many times as much.
+    """
+    return df.hint("merge")
+
+
 def numbered(df: DataFrame, buckets: list[Column], order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name`` = 0, 1, 2, ... in the order of ``buckets``, then ``order``.
 
