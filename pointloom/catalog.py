@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import codes, curves, units
 from .operators import blocks, labels, neighbors, points, pooling, tiling
 from .plans import labelling
-from .session import checkpointed, grown, qualified, scratch
+from .session import checkpointed, few, grown, qualified, scratch
 from .sources import files as catalogue
 from .sources import las, publishing, views
 from .streaming import arrivals
@@ -909,7 +909,7 @@ def las_roundtrip(spark, sf):
     firsts = back.where("record = 0").select(F.col("path").alias("_path"), F.col("source_idx").alias("_head"))
     sizes = back.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("_n")).join(firsts, "_path")
     starts = sizes.select("_path", (F.sum("_n").over(Window.orderBy("_head")) - F.col("_n")).alias("_start"))  # one row a file
-    return back.join(starts, back.path == starts._path).select(*_back(back), "classification", (F.col("_start") + F.col("record")).alias("place"))
+    return back.join(few(starts), back.path == starts._path).select(*_back(back), "classification", (F.col("_start") + F.col("record")).alias("place"))
 
 
 @query("SELECT count(*) AS points, round(min(x), 2) AS min_x, round(max(x), 2) AS max_x, 0::BIGINT AS unreadable FROM pts", "pts")
@@ -949,7 +949,7 @@ def label_fields(spark, sf):
     heads = las.scan_headers(spark, second).select(F.explode("vlrs").alias("v"), "path")
     records = heads.where(F.col("v.user_id") == las.PROVENANCE_USER).groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("records"))
     back = las.read_points(spark, second, columns=["path", "source_idx", "label", "classification"])
-    return back.join(records, F.col("path") == F.col("_path")).select(F.col("source_idx").alias("idx"), "label", "classification", "records")
+    return back.join(few(records), F.col("path") == F.col("_path")).select(F.col("source_idx").alias("idx"), "label", "classification", "records")
 
 
 @query("SELECT idx, f AS file, cast(code AS SMALLINT) AS classification FROM (SELECT *, cast(cast(floor(round(x, 2) / 37) AS BIGINT) % 7 + 1 AS INTEGER) AS label FROM pts, range(3) t(f)) JOIN cls USING (label)", "pts", VOXEL_CODES)

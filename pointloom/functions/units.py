@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import few
+
 METRE, FOOT, US_FOOT, KILOMETRE = 1.0, 0.3048, 1200.0 / 3937.0, 1000.0
 #: EPSG unit codes, fixed values.
 EPSG_UNITS = {9001: METRE, 9002: FOOT, 9003: US_FOOT, 9036: KILOMETRE}
@@ -60,11 +62,10 @@ def _whole(rule: str) -> str:
 def to_metres(points: DataFrame, files: DataFrame, key: str = "file_id", kept: str | None = "raw_") -> DataFrame:
     """``points`` (file_id, x, y, z, ...) with x, y, z in metres by the file's factors (xy_to_m, z_to_m; null: 1); raw_x, raw_y, raw_z keep the source unless ``kept`` is None.
 
-    The factors, one row a file, meet the points in a join that Spark
-    broadcasts while the table is small.
+    The factors, one row a file, are broadcast while they are few.
     """
     factors = files.select(key, F.coalesce("xy_to_m", F.lit(1.0)).alias("_xy"), F.coalesce("z_to_m", F.lit(1.0)).alias("_z"))
-    out = points.join(factors, key, "left")
+    out = points.join(few(factors), key, "left")
     scaled = {c: F.col(c) * F.coalesce(F.col("_z" if c == "z" else "_xy"), F.lit(1.0)) for c in "xyz"}
     source = {f"{kept}{c}": F.col(c) for c in "xyz"} if kept else {}
     return out.withColumns(source | scaled).drop("_xy", "_z")

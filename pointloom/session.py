@@ -54,6 +54,15 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a side of a join with a row a file or the like: counted, and broadcast if small, else ``grown``."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else grown(df)
+
+
 def numbered(df: DataFrame, buckets: list[Column], order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name`` = 0, 1, 2, ... in the order of ``buckets``, then ``order``.
 

@@ -28,7 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from ..functions.codes import UPGRADES
-from ..session import checkpointed, qualified
+from ..session import checkpointed, grown, qualified
 from .publishing import Publisher, Written, located, names_in
 
 #: Fields of the point formats, fixed values: (name, numpy type).
@@ -728,7 +728,8 @@ def read_points(spark: SparkSession, path: str, size: int = RANGE, box: Box | No
                 yield from decoded(part["path"], part["first"], part["count"], part["start"], kinds, wanted, box)
 
     dealt = ranges.repartition(max(1, ranges.count()), "path", "first")
-    return dealt.mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in wanted))
+    # its size is estimated from the few rows of ``ranges``
+    return grown(dealt.mapInArrow(read, ", ".join(f"`{n}` {t}" for n, t in wanted)))
 
 
 def write_copies(points: DataFrame, folder: str, field: str = "classification", upgrade: bool = False, suffix: str = "", provenance: str = "", part: int = PART, stage: str = "") -> None:

@@ -1,6 +1,8 @@
 """What lets the queries run on clouds many times as large."""
 
+from pointloom import catalog
 from pointloom.catalog import QUERIES
+from pointloom.sources import las
 
 
 def planned(df):
@@ -10,3 +12,9 @@ def planned(df):
 def test_cover_all_broadcasts_no_side_that_grows(spark, sf):
     plan = planned(QUERIES["cover_all"](spark, sf))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_stored_points_are_not_broadcast(spark, sf):
+    """What is estimated of points read from LAS files are the few rows of their ranges."""
+    stored = las.read_points(spark, catalog._stored(spark, sf, 1), columns=["idx", "x"])
+    assert "BroadcastHashJoin" not in planned(spark.range(1 << 40).withColumnRenamed("id", "idx").join(stored, "idx"))
