@@ -706,7 +706,7 @@ def gray(spark, sf):
 
 @query("SELECT idx, code, batch, code & ((1::BIGINT << 48) - 1) AS inner_code FROM coded", "pts", GRID, CODED)
 def batch_code(spark, sf):
-    code = curves.batch_code(F.col("batch"), curves.zorder_encode(*[F.col(f"g{c}") for c in "xyz"]))
+    code = curves.batch_code(F.col("batch"), curves.zorder_encode(*[F.col(f"g{c}") for c in "xyz"], cubes=True))
     return _gridded(spark, sf).select("idx", code.alias("code")).select("idx", "code", curves.batch_split(F.col("code")).alias("p")).select("idx", "code", "p.batch", F.col("p.code").alias("inner_code"))
 
 

@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values: (shift, mask) that pull 16 bits apart to every third of 48.
+#: Fixed values: (shift, mask) that pull 21 bits apart to every third of 63.
 SPREAD = ((32, 0x00FF00000000FFFF), (16, 0x00FF0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 
 
 def _apart(v: Column) -> Column:
-    v = v.cast("long").bitwiseAND(F.lit(0xFFFF))
+    v = v.cast("long").bitwiseAND(F.lit(0x1FFFFF))
     for shift, mask in SPREAD:
         v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
     return v
@@ -20,7 +20,7 @@ def _apart(v: Column) -> Column:
 
 def _together(v: Column) -> Column:
     v = v.bitwiseAND(F.lit(SPREAD[-1][1]))
-    masks = [m for _, m in SPREAD[-2::-1]] + [0xFFFF]
+    masks = [m for _, m in SPREAD[-2::-1]] + [0x1FFFFF]
     for (shift, _), mask in zip(SPREAD[::-1], masks, strict=True):
         v = v.bitwiseOR(F.shiftrightunsigned(v, shift)).bitwiseAND(F.lit(mask))
     return v
@@ -31,11 +31,25 @@ def _within(v: Column, depth: int) -> Column:
     return F.when(v.isNull() | (v >= 0) & (v < F.lit(1 << depth)), v).otherwise(F.raise_error(F.lit(f"coordinate does not fit in {depth} bits")).cast("long"))
 
 
-def zorder_encode(x: Column, y: Column, z: Column, depth: int = 16) -> Column:
-    """Morton code: bit i of x at 3i + 2, of y at 3i + 1, of z at 3i; a coordinate outside 0 to 2**depth - 1 fails the job."""
-    if depth > 16:
-        raise ValueError("depth is 16 at most")
-    x, y, z = (_within(c, depth) for c in (x, y, z))
+def cube_of(x: Column, y: Column, z: Column, depth: int = 16) -> Column:
+    """struct(x, y, z): the cube of 2**depth cells a side that a cell lies in, by arithmetic shifts."""
+    return F.struct(*[F.shiftright(c.cast("long"), depth).alias(n) for n, c in zip("xyz", (x, y, z), strict=True)])
+
+
+def _in_cube(v: Column, depth: int) -> Column:
+    return v.cast("long").bitwiseAND(F.lit((1 << depth) - 1))
+
+
+def zorder_encode(x: Column, y: Column, z: Column, depth: int = 16, cubes: bool = False) -> Column:
+    """Morton code: bit i of x at 3i + 2, of y at 3i + 1, of z at 3i; a coordinate outside 0 to 2**depth - 1 fails the job.
+
+    With ``cubes`` any cell has the code of its place in its own cube
+    (``cube_of``), as the reference masks coordinates; cells of different
+    cubes may then share a code.
+    """
+    if depth > 21:
+        raise ValueError("depth is 21 at most")
+    x, y, z = (_in_cube(c, depth) if cubes else _within(c, depth) for c in (x, y, z))
     return F.shiftleft(_apart(x), 2).bitwiseOR(F.shiftleft(_apart(y), 1)).bitwiseOR(_apart(z))
 
 
@@ -117,15 +131,15 @@ def hilbert_axes(code: np.ndarray, bits: int) -> list[np.ndarray]:
     return _turned(_unweave(code ^ code >> 1, bits), bits, undo=True)
 
 
-def hilbert_encode(x: Column, y: Column, z: Column, bits: int = 16) -> Column:
-    """Place along a Hilbert curve through a cube of 2**bits a side; a coordinate outside it fails the job."""
+def hilbert_encode(x: Column, y: Column, z: Column, bits: int = 16, cubes: bool = False) -> Column:
+    """Place along a Hilbert curve through a cube of 2**bits a side; a coordinate outside it fails the job, or with ``cubes`` has its place in its own cube (``cube_of``)."""
     _unused_bits(bits)
 
     @F.pandas_udf("long")
     def code(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(a.to_numpy(), b.to_numpy(), c.to_numpy(), bits))
 
-    return code(*[_within(c, bits) for c in (x, y, z)])
+    return code(*[_in_cube(c, bits) if cubes else _within(c, bits) for c in (x, y, z)])
 
 
 def hilbert_decode(code: Column, bits: int = 16) -> Column:
@@ -139,14 +153,19 @@ def hilbert_decode(code: Column, bits: int = 16) -> Column:
     return axes(code)
 
 
-def curve_code(order: str, x: Column, y: Column, z: Column, depth: int = 16) -> Column:
-    """Code along "z", "z-trans", "hilbert" or "hilbert-trans" (trans: x and y exchanged)."""
+def in_cube(place: Column, cube: Column, depth: int = 16) -> Column:
+    """struct(x, y, z): the cell at ``place``, a decoded code, of ``cube``."""
+    return F.struct(*[F.shiftleft(cube[n], depth).bitwiseOR(place[n]).alias(n) for n in "xyz"])
+
+
+def curve_code(order: str, x: Column, y: Column, z: Column, depth: int = 16, cubes: bool = False) -> Column:
+    """Code along "z", "z-trans", "hilbert" or "hilbert-trans" (trans: x and y exchanged); ``cubes`` as of ``zorder_encode``."""
     if order.endswith("-trans"):
         x, y, order = y, x, order.removesuffix("-trans")
     if order == "z":
-        return zorder_encode(x, y, z, depth)
+        return zorder_encode(x, y, z, depth, cubes)
     if order == "hilbert":
-        return hilbert_encode(x, y, z, depth)
+        return hilbert_encode(x, y, z, depth, cubes)
     raise ValueError(f"unknown order {order!r}")
 
 

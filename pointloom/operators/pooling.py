@@ -60,14 +60,15 @@ def expand_offsets(offsets: DataFrame, key: str = "batch") -> DataFrame:
     return dealt.select(F.explode(F.sequence("_first", F.least(F.col("_first") + STRETCH - 1, F.col("_last")))).alias("position"), key)
 
 
-def serialize(df: DataFrame, order: str = "z", depth: int = 16, parts: int | None = None) -> DataFrame:
+def serialize(df: DataFrame, order: str = "z", depth: int = 16, parts: int | None = None, cubes: bool = False) -> DataFrame:
     """Adds code (of batch, gx, gy, gz along the curve) and rank, its place from 0 in the order of all codes, ties by idx.
 
     Codes are dealt by ``parts`` ranges (as many as shuffles have by default)
     with bounds sampled from the codes, so a cloud in a corner of the curve
-    is dealt as evenly as any other.
+    is dealt as evenly as any other. With ``cubes`` cells beyond 2**depth a side
+    are coded in cubes of their own (``curves.zorder_encode``).
     """
-    coded = df.withColumn("code", batch_code(F.col("batch"), curve_code(order, F.col("gx"), F.col("gy"), F.col("gz"), depth), depth))
+    coded = df.withColumn("code", batch_code(F.col("batch"), curve_code(order, F.col("gx"), F.col("gy"), F.col("gz"), depth, cubes), depth))
     return ranked(coded, ["code", "idx"], "rank", parts)
 
 

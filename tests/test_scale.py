@@ -1,9 +1,33 @@
 """What lets the queries run on clouds many times as large."""
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from pointloom import catalog
-from pointloom.catalog import QUERIES
+from pointloom.catalog import QUERIES, SQL
 from pointloom.sources import las
 
+from conftest import rows_of
+
+#: Queries over codes of 16 bits an axis.
+CODED = ("batch_code", "hilbert", "patches", "serialize_z", "zorder", "zorder_roundtrip")
+
+
+@pytest.fixture(scope="module")
+def wide(spark, sf, tmp_path_factory):
+    """The events with users beyond 16 bits."""
+    at = str(tmp_path_factory.mktemp("wide"))
+    spark.read.parquet(f"{sf}/events.parquet").withColumn("user_id", F.expr("user_id * 7919")).write.parquet(f"{at}/events.parquet")
+    return at
+
+
+@pytest.mark.parametrize("name", CODED)
+def test_codes_of_clouds_beyond_16_bits(spark, wide, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{wide}/events.parquet/*.parquet'")
+    assert rows_of(QUERIES[name](spark, wide).toPandas()) == rows_of(con.sql(SQL[name]).df())
+
 
 def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
