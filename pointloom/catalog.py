@@ -692,10 +692,10 @@ def _hilbert_sql(bits: int) -> list[str]:
 
 @query("SELECT idx, c6 AS code, gx AS x, gy AS y, gz AS z FROM g5", "pts", GRID, *_hilbert_sql(16))
 def hilbert(spark, sf):
-    """Codes, and the cells that they turn back into."""
+    """Codes, each in its cube of 2**16 cells a side, and the cells that both turn back into."""
     at = [F.col(f"g{c}") for c in "xyz"]
-    coded = _gridded(spark, sf).select("idx", curves.hilbert_encode(*at, bits=16).alias("code"))
-    return coded.select("idx", "code", curves.hilbert_decode(F.col("code"), 16).alias("p")).select("idx", "code", "p.x", "p.y", "p.z")
+    coded = _gridded(spark, sf).select("idx", curves.hilbert_encode(*at, bits=16, cubes=True).alias("code"), curves.cube_of(*at).alias("cube"))
+    return coded.select("idx", "code", curves.in_cube(curves.hilbert_decode(F.col("code"), 16), F.col("cube")).alias("p")).select("idx", "code", "p.x", "p.y", "p.z")
 
 
 @query("SELECT idx, xor(idx, idx >> 1) AS gray, idx AS back FROM pts", "pts")
