@@ -722,7 +722,7 @@ def serialize_z(spark, sf):
     UNION ALL SELECT batch, n // 48, pos % 48, idx, true FROM placed WHERE n > 48 AND n % 48 <> 0 AND pos // 48 = n // 48 - 1 AND pos % 48 >= n % 48""",
     "pts", GRID, CODED, RANKED, "placed AS (SELECT batch, idx, rank - min(rank) OVER (PARTITION BY batch) AS pos, count(*) OVER (PARTITION BY batch) AS n FROM ranked)")
 def patches(spark, sf):
-    return pooling.patches(checkpointed(pooling.serialize(_gridded(spark, sf), "z")), 48)
+    return pooling.patches(checkpointed(pooling.serialize(_gridded(spark, sf), "z", cubes=True)), 48)
 
 
 # --- units, codes, files ----------------------------------------------------------
