@@ -715,7 +715,7 @@ RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY code, idx) - 1 AS ran
 
 @query("SELECT idx, code, rank FROM ranked", "pts", GRID, CODED, RANKED)
 def serialize_z(spark, sf):
-    return pooling.serialize(_gridded(spark, sf), "z").select("idx", "code", "rank")
+    return pooling.serialize(_gridded(spark, sf), "z", cubes=True).select("idx", "code", "rank")
 
 
 @query("""SELECT batch, pos // 48 AS patch, pos % 48 AS slot, idx, false AS borrowed FROM placed
