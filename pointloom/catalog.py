@@ -663,7 +663,7 @@ CODED = f"coded AS (SELECT *, (batch << 48) | {_morton('gx', 'gy', 'gz')} AS cod
 @query(f"SELECT idx, {_morton('gx', 'gy', 'gz')} AS code, {_morton('gy', 'gx', 'gz')} AS trans FROM grid", "pts", GRID)
 def zorder(spark, sf):
     at = [F.col(f"g{c}") for c in "xyz"]
-    return _gridded(spark, sf).select("idx", curves.curve_code("z", *at).alias("code"), curves.curve_code("z-trans", *at).alias("trans"))
+    return _gridded(spark, sf).select("idx", curves.curve_code("z", *at, cubes=True).alias("code"), curves.curve_code("z-trans", *at, cubes=True).alias("trans"))
 
 
 @query("SELECT idx, gx AS x, gy AS y, gz AS z FROM grid", "pts", GRID)
