@@ -668,8 +668,9 @@ def zorder(spark, sf):
 
 @query("SELECT idx, gx AS x, gy AS y, gz AS z FROM grid", "pts", GRID)
 def zorder_roundtrip(spark, sf):
-    code = curves.zorder_encode(*[F.col(f"g{c}") for c in "xyz"])
-    return _gridded(spark, sf).select("idx", curves.zorder_decode(code).alias("p")).select("idx", "p.x", "p.y", "p.z")
+    at = [F.col(f"g{c}") for c in "xyz"]
+    coded = _gridded(spark, sf).select("idx", curves.zorder_encode(*at, cubes=True).alias("code"), curves.cube_of(*at).alias("cube"))
+    return coded.select("idx", curves.in_cube(curves.zorder_decode(F.col("code")), F.col("cube")).alias("p")).select("idx", "p.x", "p.y", "p.z")
 
 
 def _hilbert_sql(bits: int) -> list[str]:
