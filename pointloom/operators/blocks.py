@@ -61,6 +61,11 @@ def block_voxels(members: DataFrame, resolution: tuple[float, float, float], sha
     return out.where(held).select(*members.columns, "vi", "vj", "vk")
 
 
+def with_unseen(votes: DataFrame, points: DataFrame, pred) -> DataFrame:
+    """``votes`` and, below all blocks, one of ``pred`` for each of ``points``: a point without votes needs no join to be found."""
+    return votes.select("idx", "block_id", "pred").unionByName(points.select("idx", F.lit(-1).cast("long").alias("block_id"), pred.alias("pred")))
+
+
 def last_block(votes: DataFrame) -> DataFrame:
     """(idx, pred): of a point's overlapping predictions, the one of the highest block."""
     return votes.groupBy("idx").agg(F.max_by("pred", "block_id").alias("pred"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import audit_label_field, provenance_json
 from ..functions.units import resolve_units, to_metres
-from ..operators.blocks import block_voxels, last_block, or_merge, sliding_blocks
+from ..operators.blocks import block_voxels, last_block, sliding_blocks, with_unseen
 from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays, merge_labels, needs_upgrade
 from ..operators.neighbors import cover_all
 from ..operators.points import assert_finite, localize, voxel_projection
@@ -122,17 +122,16 @@ def label_blocks(points: DataFrame, model: Model, resolution: tuple[float, float
     voxel = ["block_id", "vi", "vj", "vk"]
     placed = block_voxels(members, resolution, shape).select("idx", *voxel)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["vi", "vj", "vk"])
-        return frame.assign(pred=checked(model(frame[["vi", "vj", "vk"]].to_numpy(np.int64)), len(frame)).astype("i4"))
-
-    # voxels are made distinct before they meet in a group, so a group has at most the voxels of a block
-    labelled = placed.select(*voxel).distinct().groupBy("block_id").applyInPandas(run, "block_id long, vi long, vj long, vk long, pred int")
+    # voxels are made distinct before they meet, so a block has at most the voxels of its grid; blocks are small, so they come as sorted batches
+    dealt = placed.select(*voxel).distinct().repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block_id").sortWithinPartitions(*voxel)
+    labelled = dealt.mapInArrow(partial(_block_preds, model), "block_id long, vi long, vj long, vk long, pred int")
     votes = placed.join(grown(labelled), voxel).select("idx", "block_id", "pred")
+    # one shuffle by idx, without the join that would sort cloud and votes
     if binary:
-        merged = or_merge(votes.withColumn("pred", F.col("pred") > 1), points, unseen=flat)
-        return merged.select("idx", F.col("pred").alias("label"))
-    return points.select("idx").join(grown(last_block(votes)), "idx", "left").select("idx", F.coalesce("pred", F.lit(0)).alias("label"))
+        told = with_unseen(votes.withColumn("pred", F.col("pred") > 1), points, F.lit(None).cast("boolean"))
+        label = F.coalesce(F.bool_or("pred"), F.lit(flat)).cast("int") + 1
+        return told.groupBy("idx").agg(label.alias("label"))
+    return last_block(with_unseen(votes, points, F.lit(0))).select("idx", F.col("pred").alias("label"))
 
 
 def _whole_crops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -170,6 +169,15 @@ def _crop_votes(model: Model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([table.column("idx").combine_chunks(), votes], ["idx", "probs"])
 
 
+def _block_preds(model: Model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block_id, vi, vj, vk) sorted by all, with pred: the model runs once a block."""
+    for table in _whole_crops(batches):
+        block, voxels = table.column("block_id").to_numpy(), np.stack([table.column(c).to_numpy() for c in ("vi", "vj", "vk")], axis=1)
+        bounds = [*np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block)]
+        preds = [checked(model(voxels[start:end]), end - start).astype("i4") for start, end in pairwise(bounds)]
+        yield from table.append_column("pred", pa.array(np.concatenate(preds))).to_batches()
+
+
 def label_crops(points: DataFrame, model: Model, k: int, radius: float, spacing: float, grid: float) -> DataFrame:
     """(idx, label): voxel representatives labelled by overlapping crops, votes averaged, labels carried to every point.
 

@@ -1,11 +1,14 @@
 """What lets the queries run on clouds many times as large."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pointloom import catalog
 from pointloom.catalog import QUERIES, SQL
+from pointloom.plans import labelling
 from pointloom.sources import las
 
 from conftest import rows_of
@@ -42,3 +45,25 @@ def test_stored_points_are_not_broadcast(spark, sf):
     """What is estimated of points read from LAS files are the few rows of their ranges."""
     stored = las.read_points(spark, catalog._stored(spark, sf, 1), columns=["idx", "x"])
     assert "BroadcastHashJoin" not in planned(spark.range(1 << 40).withColumnRenamed("id", "idx").join(stored, "idx"))
+
+
+@pytest.mark.parametrize("name", ["block_last_wins", "block_or_merge"])
+def test_blocks_are_no_groups_of_their_own(spark, sf, name):
+    plan = planned(QUERIES[name](spark, sf))
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_blocks_across_batches_meet_the_model_whole():
+    seen = []
+
+    def model(voxels):
+        seen.append(voxels.tolist())
+        return voxels.sum(1)
+
+    rows = [(b, i, 0, b) for b, n in ((3, 1), (4, 7), (9, 2)) for i in range(n)]
+    table = pa.table({n: np.array(v, np.int64) for n, v in zip(("block_id", "vi", "vj", "vk"), zip(*rows, strict=True), strict=True)})
+    for size in (1, 2, 3, 100):
+        seen.clear()
+        found = [r for b in labelling._block_preds(model, table.to_batches(size)) for r in b.to_pylist()]
+        assert [tuple(r.values()) for r in found] == [(*r, sum(r[1:])) for r in rows]
+        assert [len(v) for v in seen] == [1, 7, 2]
