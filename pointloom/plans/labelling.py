@@ -41,18 +41,23 @@ def checked(labels, count: int) -> np.ndarray:
     return found
 
 
+#: Points that a window shall hold at most where cuts can bring it there, however large the budget: what a task gives its model at once.
+WINDOW = 2_000_000
+
+
 def _grouped(assigned: DataFrame, group: list[str], model: Model) -> DataFrame:
     """(idx, label) of core points: the model sees a group's whole window."""
     model = sendable(model)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        core = (frame.x >= frame.x0) & (frame.x < frame.x1) & (frame.y >= frame.y0) & (frame.y < frame.y1)
+    def run(window: pa.Table) -> pa.Table:
+        core = window.column("core").to_numpy()
         if not core.any():  # halo alone
-            return pd.DataFrame({"idx": frame.idx[core], "label": np.zeros(0, "i4")})
-        labels = checked(model(frame[["x", "y", "z"]].to_numpy(float)), len(frame))
-        return pd.DataFrame({"idx": frame.idx[core], "label": labels[core.to_numpy()].astype("i4")})
+            return pa.table({"idx": pa.array([], pa.int64()), "label": pa.array([], pa.int32())})
+        labels = checked(model(np.stack([window.column(c).to_numpy() for c in "xyz"], axis=1).astype(float, copy=False)), len(core))
+        return pa.table({"idx": window.column("idx").to_numpy()[core], "label": labels[core].astype("i4")})
 
-    return assigned.select(*group, "idx", "x", "y", "z", "x0", "y0", "x1", "y1").groupBy(*group).applyInPandas(run, "idx long, label int")
+    core = F.coalesce(F.expr("x >= x0 and x < x1 and y >= y0 and y < y1"), F.lit(False)).alias("core")
+    return assigned.select(*group, "idx", "x", "y", "z", core).groupBy(*group).applyInArrow(run, "idx long, label int")
 
 
 def label_tiles(points: DataFrame, grid: TileGrid, model: Model, buffer: float) -> DataFrame:
@@ -82,19 +87,20 @@ def label_planned(points: DataFrame, grid: TileGrid, model: Model, buffer: float
     """(idx, label) by the tiles of ``grid``, cut and refined until no window holds more than ``budget`` points.
 
     A window that no cut can bring under the budget (more points than that
-    within the buffer of each other) is an error, unless it is allowed. With
-    columns ``by``, each group has tiles of that size of its own.
+    within the buffer of each other) is an error, unless it is allowed. A
+    window within a larger budget is cut to ``WINDOW`` points where cuts can.
+    With columns ``by``, each group has tiles of that size of its own.
     """
     if by:
         return label_groups(points, by, model, buffer, budget, None, grid.size, allow_over_budget)
-    return label_pieces(points, _in_budget(plan_tiles(points, grid, buffer, budget), budget, allow_over_budget), model, buffer)
+    return label_pieces(points, _in_budget(plan_tiles(points, grid, buffer, min(budget, WINDOW)), budget, allow_over_budget), model, buffer)
 
 
 def label_groups(points: DataFrame, by: tuple[str, ...], model: Model, buffer: float, budget: int, target: int | None, size: float | None = None, allow_over_budget: bool = False) -> DataFrame:
     """(idx, label): as label_planned, each group of points equal in the columns ``by`` planned, counted against the budget and labelled by itself."""
     groups = checkpointed(group_extents(points, by))
     members = in_group(points, groups, by)
-    pieces = _in_budget(plan_groups(members, groups, buffer, budget, target, size), budget, allow_over_budget)
+    pieces = _in_budget(plan_groups(members, groups, buffer, min(budget, WINDOW), target, size), budget, allow_over_budget)
     return label_pieces(members, pieces, model, buffer, ("grid_id",))
 
 
@@ -229,7 +235,8 @@ def classify(points: DataFrame, model: Model, classes: DataFrame, *, column: str
     ``buffer`` if that is more (``buffer_for``). Tiles hold about ``target``
     points where density is even; a window of more than ``budget`` (by default
     four times the target) is cut, so that no group of the model outgrows a
-    worker. Columns ``by`` tell groups apart, as files, that are planned and
+    worker; so is one of more than ``WINDOW`` points within a larger budget,
+    where a cut helps. Columns ``by`` tell groups apart, as files, that are planned and
     labelled each by itself. ``column`` may exist already and is then replaced.
     An unmapped label, a point without a label and an idx that several points
     share fail the job.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pointloom import catalog
 from pointloom.catalog import QUERIES, SQL
 from pointloom.plans import labelling
-from pointloom.sources import las
+from pointloom.sources import las, views
 
 from conftest import rows_of
 
@@ -67,3 +67,17 @@ def test_blocks_across_batches_meet_the_model_whole():
         found = [r for b in labelling._block_preds(model, table.to_batches(size)) for r in b.to_pylist()]
         assert [tuple(r.values()) for r in found] == [(*r, sum(r[1:])) for r in rows]
         assert [len(v) for v in seen] == [1, 7, 2]
+
+
+def test_windows_are_cut_within_any_budget(spark, sf, monkeypatch):
+    """A budget of the whole cloud asks for no window of it; one that no cut can bring down is kept as long as the budget allows it."""
+    monkeypatch.setattr(labelling, "WINDOW", 300)
+    cloud = views.pts(spark, sf)
+    n, same = cloud.count(), spark.createDataFrame([(k, k, "") for k in range(256)], "model_id int, asprs_code int, name string")
+    size = lambda xyz: np.full(len(xyz), len(xyz) // 10, np.int32)
+    for by in ((), ("file",)):
+        found = labelling.classify(cloud.withColumn("file", F.lit("a")), size, same, target=n, budget=n, need=5.0, by=by)
+        seen = found.agg(F.max("classification"), F.count("*")).first()
+        assert seen[0] <= 30 and seen[1] == n
+    dense = cloud.withColumns({c: F.lit(1.0) for c in "xyz"})
+    assert labelling.classify(dense, size, same, target=n, budget=n, need=5.0).agg(F.min("classification")).first()[0] == n // 10
