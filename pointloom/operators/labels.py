@@ -14,9 +14,13 @@ def ensemble_mean(votes: DataFrame) -> DataFrame:
 
 
 def ensemble_mean_arrays(votes: DataFrame) -> DataFrame:
-    """(idx, probs array) votes, one a visit -> (idx, probs): mean by position."""
-    long = votes.select("idx", F.posexplode("probs").alias("class", "p"))
-    means = ensemble_mean(long).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("class", "p"))).alias("m"))
+    """(idx, probs array) votes, one a visit -> (idx, probs): mean by position.
+
+    With a column visits, a vote is the sum of as many.
+    """
+    visits = F.col("visits") if "visits" in votes.columns else F.lit(1).cast("long")
+    long = votes.select("idx", visits.alias("visits"), F.posexplode("probs").alias("class", "p"))
+    means = long.groupBy("idx", "class").agg((F.sum("p") / F.sum("visits")).alias("p")).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("class", "p"))).alias("m"))
     return means.select("idx", F.col("m.p").alias("probs"))
 
 

@@ -72,14 +72,17 @@ def levels_of(centers: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
     return centers.join(grown(dense), "center", "left").select("center", *AXES, F.coalesce("_level", F.lit(0)).alias("_level"))
 
 
+#: Where a crop's point and its centre lie.
+PLACED = (*AXES, "cx", "cy")
+
 #: Centres up to which their surroundings, 27 rows each, are broadcast; more meet the points by shuffle.
 BROADCAST_CENTERS = 8_000
 
 
-def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataFrame:
+def within_radius(points: DataFrame, centers: DataFrame, radius: float, placed_too: bool = False) -> DataFrame:
     """(center, idx, d2): points at most ``radius`` from each center (center, x, y, z, and optionally _level of ``levels_of``).
 
-    Centres go to the 27 cells around theirs, points to their own, so only
+    With ``placed_too`` also PLACED, so that nothing is joined again for it. Centres go to the 27 cells around theirs, points to their own, so only
     neighbours in space meet; at higher levels cells and reach are smaller.
     """
     placed = centers if "_level" in centers.columns else centers.withColumn("_level", F.lit(0))
@@ -93,8 +96,9 @@ def within_radius(points: DataFrame, centers: DataFrame, radius: float) -> DataF
     leveled = cloud.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(sizes))))) if len(sizes) > 1 else cloud.withColumn("_level", F.lit(min(sizes)))
     own = leveled.select("idx", *AXES, "_level", *_cells(reach))
     d2 = F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)")
-    met = own.join(placed, CELL).select("center", "idx", "_level", d2.alias("d2"))
-    return met.where(F.col("d2") <= F.when(F.col("_level") == 0, F.lit(float(radius) * float(radius))).otherwise(reach * reach)).select("center", "idx", "d2")
+    kept = ["center", "idx", *PLACED * placed_too]
+    met = own.join(placed, CELL).select(*kept, "_level", d2.alias("d2"))
+    return met.where(F.col("d2") <= F.when(F.col("_level") == 0, F.lit(float(radius) * float(radius))).otherwise(reach * reach)).select(*kept, "d2")
 
 
 def thinned(points: DataFrame, cells: DataFrame, k: int, radius: float) -> DataFrame:
@@ -118,7 +122,7 @@ def nearest(found: DataFrame, k: int, own_first: bool = False) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_first: bool = False, cells: DataFrame | None = None, single: bool = False) -> DataFrame:
+def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_first: bool = False, cells: DataFrame | None = None, single: bool = False, placed_too: bool = False, ranks: bool = True) -> DataFrame:
     """(center, idx, d2, rank): at most ``k`` nearest points within ``radius`` of each center.
 
     ``centers`` has idx of points. A centre is its own first neighbour with
@@ -127,15 +131,18 @@ def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_
     surely lie, and of a place only the ``k`` smallest idx can be among the
     nearest, so pairs grow with ``k``, not with the density. ``cells``: the
     cloud's ``dense_cells``, if they are known; ``single``: no two points
-    share a place. The cloud itself is neither sorted nor stored.
+    share a place; ``placed_too``: with PLACED. The cloud itself is neither
+    sorted nor stored. Without ``ranks`` nothing is cut: for searches that
+    ``most_around`` tells to find at most ``k``.
     """
     cells = dense_cells(points, k, radius) if cells is None else cells
     at = checkpointed(points.join(grown(centers.select("idx")), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES))
     some = points.select("idx", *AXES) if single else thinned(points, cells, k, radius)
-    found = within_radius(some, at if cells.isEmpty() else checkpointed(levels_of(at, cells, radius)), radius)
+    found = within_radius(some, at if cells.isEmpty() else checkpointed(levels_of(at, cells, radius)), radius, placed_too)
     if own_first:
-        found = found.where("idx <> center").unionByName(at.select("center", F.col("center").alias("idx"), F.lit(0.0).alias("d2")))
-    return nearest(found, k, own_first)
+        own = at.select("center", F.col("center").alias("idx"), *AXES, F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(0.0).alias("d2"))
+        found = found.where("idx <> center").unionByName(own.select(*found.columns))
+    return nearest(found, k, own_first) if ranks else found
 
 
 def fill_centers(left: DataFrame, k: int, size: float, turn: int) -> DataFrame:
@@ -149,8 +156,18 @@ def fill_centers(left: DataFrame, k: int, size: float, turn: int) -> DataFrame:
     return firsts.select(F.col("first").alias("idx")).union(some.select("idx")).distinct()
 
 
+def most_around(points: DataFrame, radius: float) -> int:
+    """A number that no search within ``radius`` exceeds: 27 times the points of the fullest cell of that side."""
+    return 27 * (points.groupBy(*_cells(F.lit(float(radius)))).count().agg(F.max("count")).first()[0] or 0)
+
+
 def cover_all(points: DataFrame, k: int, radius: float, spacing: float) -> DataFrame:
-    """(center, idx, d2, rank): crops that together visit every point.
+    """(center, idx, d2, rank): crops that together visit every point (``placed_crops``)."""
+    return _crops(points, k, radius, spacing, False).select("center", "idx", "d2", "rank")
+
+
+def placed_crops(points: DataFrame, k: int, radius: float, spacing: float) -> DataFrame:
+    """(center, idx, x, y, z, cx, cy): crops that together visit every point.
 
     The first round puts a crop at the first point of each cell of side
     ``spacing``; each further round does so, in cells of side
@@ -161,20 +178,30 @@ def cover_all(points: DataFrame, k: int, radius: float, spacing: float) -> DataF
     its own first neighbour, so a round visits at least its own centres and
     the rounds end; the points left are joined away in the cluster, and the
     driver only asks whether there are any. Rounds share one index of dense
-    cells and read the stored places; none writes the cloud again.
+    cells and read the stored places; none writes the cloud again. Where no
+    search can find more than ``k``, crops are not sorted to be cut.
     """
+    return _crops(points, k, radius, spacing, True).select("center", "idx", *PLACED)
+
+
+def _crops(points: DataFrame, k: int, radius: float, spacing: float, placed_too: bool) -> DataFrame:
     single = checkpointed(points.groupBy(*AXES).agg(F.min("idx").alias("idx")))
-    cells = dense_cells(single, k, radius)
-    crops = checkpointed(knn_crops(single, crop_centers(single, spacing), k, radius, True, cells, True))
+    cells, ranks = dense_cells(single, k, radius), not placed_too or most_around(single, radius) > k
+    crops = checkpointed(knn_crops(single, crop_centers(single, spacing), k, radius, True, cells, True, placed_too, ranks))
     left = checkpointed(single.join(grown(crops.select("idx").distinct()), "idx", "left_anti"))
     turn = 0
     while not left.isEmpty():
-        more = checkpointed(knn_crops(single, fill_centers(left, k, radius / math.sqrt(3), turn), k, radius, True, cells, True))
+        more = checkpointed(knn_crops(single, fill_centers(left, k, radius / math.sqrt(3), turn), k, radius, True, cells, True, placed_too, ranks))
         crops = crops.unionByName(more)
         left = checkpointed(left.join(grown(more.select("idx").distinct()), "idx", "left_anti"))
         turn += 1
     place = [F.col(c).alias(f"_{c}") for c in AXES]
     others = points.select("idx", *AXES).join(grown(single.select(F.col("idx").alias("_first"), *place)), [F.col(c) == F.col(f"_{c}") for c in AXES]).where("idx <> _first").select("idx", "_first")
-    near = crops.groupBy(F.col("idx").alias("_first")).agg(F.min(F.struct("d2", "center", "rank")).alias("_crop"))
-    added = others.join(grown(near), "_first").select("_crop.center", "idx", "_crop.d2", "_crop.rank")
+    others = checkpointed(others)
+    if others.isEmpty():
+        return crops
+    shared = crops.join(grown(others.select(F.col("_first").alias("idx")).distinct()), "idx", "left_semi")
+    kept = [c for c in crops.columns if c not in ("center", "idx", "d2")]
+    near = shared.groupBy(F.col("idx").alias("_first")).agg(F.min(F.struct("d2", "center", *kept)).alias("_crop"))
+    added = others.join(grown(near), "_first").select("_crop.center", "idx", "_crop.d2", *[f"_crop.{c}" for c in kept])
     return crops.unionByName(added)

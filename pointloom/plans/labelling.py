@@ -23,7 +23,7 @@ from ..functions.codes import audit_label_field, provenance_json
 from ..functions.units import resolve_units, to_metres
 from ..operators.blocks import block_voxels, last_block, sliding_blocks, with_unseen
 from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays, merge_labels, needs_upgrade
-from ..operators.neighbors import cover_all
+from ..operators.neighbors import placed_crops
 from ..operators.points import assert_finite, localize, voxel_projection
 from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, buffer_for, group_extents, in_group, plan_groups, plan_tiles, tile_grid
 from ..session import checkpointed, grown, qualified
@@ -141,13 +141,14 @@ def label_blocks(points: DataFrame, model: Model, resolution: tuple[float, float
 
 
 def _whole_crops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by their first column, center, as tables of whole crops; held are one crop and one batch."""
+    """Batches in which rows equal in their first column, center, follow each other, as tables of whole crops; held are one crop and one batch."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
         centers = batch.column(0).to_numpy()
-        last = int(np.searchsorted(centers, centers[-1]))
+        other = np.flatnonzero(centers != centers[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
         if last or (held and held[0].column(0)[0].as_py() != centers[0]):
             yield pa.Table.from_batches([*held, batch.slice(0, last)])
             held = []
@@ -157,22 +158,54 @@ def _whole_crops(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _crop_votes(model: Model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(idx, probs) of (center, idx, x, y, z) sorted by center and idx: the model runs once a crop."""
+    """(idx, probs) of crops (center, idx, x, y, z), each crop's rows together in the order of idx: the model runs once a crop."""
     for table in _whole_crops(batches):
         centers, place = table.column("center").to_numpy(), np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1).astype(np.float32)
-        bounds, found, widths = [*np.flatnonzero(np.diff(centers, prepend=centers[0] - 1)), len(centers)], [], []
-        for start, end in pairwise(bounds):
-            xyz = place[start:end]
-            xyz = xyz - xyz.mean(axis=0, dtype=np.float64).astype(np.float32)
-            xyz[:, 2] -= xyz[:, 2].min()
-            probs = np.asarray(model(xyz), np.float64)
-            if probs.ndim != 2 or len(probs) != len(xyz) or not np.isfinite(probs).all():
+        bounds, found, widths = np.array([*np.flatnonzero(np.diff(centers, prepend=centers[0] - 1)), len(centers)]), [], []
+        sizes, starts = np.diff(bounds), bounds[:-1]
+        means = np.add.reduceat(place.astype(np.float64), starts, axis=0) / sizes[:, None]
+        place -= np.repeat(means.astype(np.float32), sizes, axis=0)
+        place[:, 2] -= np.repeat(np.minimum.reduceat(place[:, 2], starts), sizes)
+        for start, end in pairwise(bounds.tolist()):
+            probs = np.asarray(model(place[start:end]), np.float64)
+            if probs.ndim != 2 or len(probs) != end - start:
                 raise ValueError("the model must return finite probabilities, a row for each point")
             found.append(probs.ravel())
-            widths.append(np.full(len(probs), probs.shape[1]))
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(widths))]).astype(np.int32)
-        votes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-        yield pa.RecordBatch.from_arrays([table.column("idx").combine_chunks(), votes], ["idx", "probs"])
+            widths.append(probs.shape[1])
+        values = np.concatenate(found)
+        if not np.isfinite(values).all():
+            raise ValueError("the model must return finite probabilities, a row for each point")
+        offsets = np.concatenate([[0], np.cumsum(np.repeat(widths, sizes))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([table.column("idx").combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["idx", "probs"])
+
+
+#: Votes that a task sums by point before it hands them on.
+VOTES = 200_000
+
+
+def _summed_votes(model: Model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(idx, probs, visits): ``_crop_votes``, those of crops that follow each other summed by point, so that fewer are shuffled."""
+    held, n = [], 0
+    for batch in _crop_votes(model, batches):
+        held.append(batch)
+        n += len(batch)
+        if n >= VOTES:
+            yield from _summed(pa.Table.from_batches(held))
+            held, n = [], 0
+    if held:
+        yield from _summed(pa.Table.from_batches(held))
+
+
+def _summed(votes: pa.Table) -> Iterator[pa.RecordBatch]:
+    idx, probs = votes.column("idx").to_numpy(), votes.column("probs").combine_chunks()
+    widths, values = np.diff(probs.offsets.to_numpy()), probs.flatten().to_numpy()
+    for width in np.unique(widths).tolist():
+        same = widths == width
+        points, at, visits = np.unique(idx[same], return_inverse=True, return_counts=True)
+        rows = values[np.repeat(same, widths)].reshape(-1, width)
+        sums = np.stack([np.bincount(at, rows[:, c], len(points)) for c in range(width)], axis=1) if width else rows[:0]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(points) + 1, dtype=np.int32) * width), pa.array(sums.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(points), lists, pa.array(visits)], ["idx", "probs", "visits"])
 
 
 def _block_preds(model: Model, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,12 +228,15 @@ def label_crops(points: DataFrame, model: Model, k: int, radius: float, spacing:
     reps = projected.select(F.col("rep_idx").alias("idx")).distinct()
     cloud = localize(points.join(grown(reps), "idx", "left_semi").select("idx", "x", "y", "z"))
     cloud = checkpointed(cloud.select("idx", *[F.col(f"l{c}").cast("double").alias(c) for c in "xyz"]))
-    crops = cover_all(cloud, k, radius, spacing)
-
-    # by a stated number of partitions: rows are few beside the model's work, so partitions are not to be merged by size
-    members = crops.select("center", "idx").join(grown(cloud), "idx").select("center", "idx", *"xyz")
-    dealt = members.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "center").sortWithinPartitions("center", "idx")
-    votes = dealt.mapInArrow(partial(_crop_votes, model), "idx long, probs array<double>")
+    crops = placed_crops(cloud, k, radius, spacing)
+
+    # by a stated number of partitions: rows are few beside the model's work, so partitions are not to be merged by size;
+    # crops that lie together go to one, so that their votes on a point meet before the shuffle
+    side = F.lit(2.0 * (spacing + radius))
+    placed = [F.floor(F.col("cy") / side).alias("_cy"), F.floor(F.col("cx") / side).alias("_cx"), "center"]
+    members = crops.select(*placed, "idx", *"xyz")
+    dealt = members.repartitionByRange(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cy", "_cx", "center").sortWithinPartitions("_cy", "_cx", "center", "idx")
+    votes = dealt.select("center", "idx", *"xyz").mapInArrow(partial(_summed_votes, model), "idx long, probs array<double>, visits long")
     labels = ensemble_mean_arrays(votes).select(F.col("idx").alias("rep_idx"), argmax_label(F.col("probs")).alias("label"))
     return projected.join(grown(labels), "rep_idx").select("idx", "label")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pointloom import catalog
 from pointloom.catalog import QUERIES, SQL
+from pointloom.operators import neighbors
 from pointloom.plans import labelling
 from pointloom.sources import las, views
 
@@ -81,3 +82,23 @@ def test_windows_are_cut_within_any_budget(spark, sf, monkeypatch):
         assert seen[0] <= 30 and seen[1] == n
     dense = cloud.withColumns({c: F.lit(1.0) for c in "xyz"})
     assert labelling.classify(dense, size, same, target=n, budget=n, need=5.0).agg(F.min("classification")).first()[0] == n // 10
+
+
+def test_votes_of_crops_that_lie_together_are_summed_before_the_shuffle():
+    rows = [(c, i) for c in (7, 2, 5) for i in range(4)]  # crops in the order of their places
+    table = pa.table({"center": [c for c, _ in rows], "idx": [i for _, i in rows], **{a: [float(i) for _, i in rows] for a in "xyz"}})
+    model = lambda xyz: np.stack([xyz[:, 2], xyz[:, 2] + 1], axis=1)
+    found = [r for b in labelling._summed_votes(model, table.to_batches(3)) for r in b.to_pylist()]
+    assert found == [{"idx": i, "probs": [3.0 * i, 3.0 * i + 3], "visits": 3} for i in range(4)]
+
+
+def test_crops_that_nothing_cuts_are_not_ranked(spark, sf):
+    """By their plan: sorted only where a search can find more than k, and no cloud joined again for places."""
+    cloud = views.pts(spark, sf)
+    assert neighbors.most_around(cloud, 36.0) >= 27
+    at = cloud.select("idx").limit(3)
+    for ranks in (True, False):
+        found = neighbors.knn_crops(cloud, at, 10**6, 36.0, True, single=True, placed_too=True, ranks=ranks)
+        assert ("Window" in planned(found)) is ranks and {*neighbors.PLACED} <= {*found.columns}
+    placed = neighbors.placed_crops(cloud, 20, 6.0, 40.0).select("center", "idx")
+    assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, neighbors.cover_all(cloud, 20, 6.0, 40.0).select("center", "idx").collect()))
