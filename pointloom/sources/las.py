@@ -15,13 +15,14 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -29,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.codes import UPGRADES
 from ..session import checkpointed, grown, qualified
-from .publishing import Publisher, Written, located, names_in
+from .publishing import Publisher, Written, discard_folder, located, names_in
 
 #: Fields of the point formats, fixed values: (name, numpy type).
 _OLD = [("X", "<i4"), ("Y", "<i4"), ("Z", "<i4"), ("intensity", "<u2"), ("_returns", "u1"), ("_class", "u1"), ("scan_angle_rank", "i1"), ("user_data", "u1"), ("point_source_id", "<u2")]
@@ -411,15 +412,32 @@ class LasHeaders(DataSource):
         return HeaderReader(_paths(self.options["path"]))
 
 
+#: Records that a task of ``write_copies`` and ``write_classified`` sorts and writes at once; a file's sections are then put together.
+SECTION = 250_000
+_SECTION = "place string, count long, low array<long>, high array<long>, returns array<long>"
+
+
 class Body:
     """Records on their way to a file, with what its header needs to know of them."""
 
     def __init__(self, where: fs.FileSystem, path: str):
         self.where, self.path = where, path
         self.out = where.open_output_stream(f"{path}.body")
-        self.count, self.returns = 0, np.zeros(16, np.int64)
+        self.count, self.returns, self.sections = 0, np.zeros(16, np.int64), []
         self.low, self.high = np.full(3, np.iinfo("i4").max, np.int64), np.full(3, np.iinfo("i4").min, np.int64)
 
+    def section(self) -> dict:
+        """What another body needs to take these records over from ``place``, where they stay."""
+        self.out.close()
+        return {"place": f"{self.path}.body", "count": self.count, **{n: getattr(self, n).tolist() for n in ("low", "high", "returns")}}
+
+    def take(self, section: dict) -> None:
+        """Records of a section, read when the file is closed."""
+        self.sections.append(section["place"])
+        self.count += section["count"]
+        self.low, self.high = np.minimum(self.low, section["low"]), np.maximum(self.high, section["high"])
+        self.returns += np.array(section["returns"])
+
     def add(self, records: np.ndarray, return_bits: int) -> None:
         if len(records):
             whole = np.stack([records[c] for c in "XYZ"]).astype(np.int64)
@@ -431,10 +449,12 @@ class Body:
     def close(self, head: bytes, tail: bytes = b"") -> None:
         self.out.close()
         if self.count:
-            with self.where.open_output_stream(self.path) as out, self.where.open_input_stream(f"{self.path}.body") as points:
+            with self.where.open_output_stream(self.path) as out:
                 out.write(head)
-                while chunk := points.read(1 << 22):
-                    out.write(chunk)
+                for place in self.sections or [f"{self.path}.body"]:
+                    with self.where.open_input_stream(place) as points:
+                        while chunk := points.read(1 << 22):
+                            out.write(chunk)
                 out.write(tail)
         self.where.delete_file(f"{self.path}.body")
 
@@ -485,6 +505,16 @@ class LasWriter(Publisher):
         body.close(self._header(body))
         return Written(((name, name, body.count),) if body.count else ())
 
+    def section(self, folder: str, batches: Iterable[pa.RecordBatch]) -> dict | None:
+        """The section of a file, written to ``folder``; none without points."""
+        where, folder = located(folder)
+        where.create_dir(folder, recursive=True)
+        body = Body(where, f"{folder}/{uuid.uuid4().hex}")
+        for batch in batches:
+            body.add(self._encode(batch), 4)
+        found = body.section()
+        return found if body.count else None
+
     def _dtype(self) -> np.dtype:
         return np.dtype(FORMATS[self.format] + self.extra)
 
@@ -517,6 +547,21 @@ class LasWriter(Publisher):
         return bytes(head) + vlr
 
 
+class LasJoiner(LasWriter):
+    """Files of sections (file, sections in their order), a row a file."""
+
+    def write(self, batches):
+        (where, folder), done = self._folder(), []
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            name = f"part-{uuid.uuid4().hex}.las"
+            body = Body(where, f"{folder}/{name}")
+            for section in row["sections"]:
+                body.take(section)
+            body.close(self._header(body))
+            done.append((name, name, body.count))
+        return Written(tuple(done))
+
+
 class LasCopier(Publisher):
     """Each source file again, with other labels and everything else it had.
 
@@ -527,10 +572,10 @@ class LasCopier(Publisher):
     byte. A dimension that could not be kept fails the job.
     """
 
-    def __init__(self, path: str, schema: StructType, upgrade: bool, field: str, suffix: str, part: int, provenance: str, stage: str = ""):
+    def __init__(self, path: str, schema: StructType | None, upgrade: bool, field: str, suffix: str, part: int, provenance: str, stage: str = ""):
         super().__init__(path, False, stage)
         self.upgrade, self.field, self.suffix, self.part, self.provenance = upgrade, field, suffix, part, provenance
-        missing = {"path", "record", *_STORED, field} - {f.name for f in schema.fields}
+        missing = {"path", "record", *_STORED, field} - {f.name for f in schema.fields} if schema else None
         if missing:
             raise ValueError(f"columns are missing: {sorted(missing)}")
 
@@ -543,28 +588,48 @@ class LasCopier(Publisher):
             body.close(*self._ends(source, body))
             done.append((name, f"{attempt}-{name}", body.count))
 
+        for now, rows in self._runs(batches, self.part):
+            if now != key:
+                if body:
+                    finish()
+                key, source = now, read_header(now[0], ends=True)
+                name = self._name(source, now[1])
+                body = Body(where, f"{folder}/{attempt}-{name}")
+            body.add(self._encode(source, rows), 3 if self._format(source) < 6 else 4)
+        if body:
+            finish()
+        return Written(tuple(done))
+
+    def _runs(self, batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[tuple[str, int, int], pa.RecordBatch]]:
+        """((path, part, run of ``size`` records), rows that follow each other and have these)."""
         for batch in batches:
             names = batch.schema.names
             paths, records = batch.column(names.index("path")), batch.column(names.index("record")).to_numpy()
             at = paths.dictionary_encode().indices.to_numpy() if len(paths) else np.zeros(0, int)
-            parts = records // self.part
-            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (parts[1:] != parts[:-1])) + 1), len(at)]
+            parts, runs = records // self.part, records // size
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (parts[1:] != parts[:-1]) | (runs[1:] != runs[:-1])) + 1), len(at)]
             for a, b in zip(starts, starts[1:], strict=False):
-                if a == b:
-                    continue
-                now = (paths[a].as_py(), int(parts[a]))
-                if now != key:
-                    if body:
-                        finish()
-                    key, source = now, read_header(now[0], ends=True)
-                    stem = now[0].rsplit("/", 1)[1].rsplit(".", 1)[0]
-                    numbered = f"-{now[1]:05d}" if source.count > self.part else ""
-                    name = f"{stem}{self.suffix}{numbered}.las"
-                    body = Body(where, f"{folder}/{attempt}-{name}")
-                body.add(self._encode(source, batch.slice(int(a), int(b - a))), 3 if self._format(source) < 6 else 4)
+                if a < b:
+                    yield (paths[a].as_py(), int(parts[a]), int(runs[a])), batch.slice(int(a), int(b - a))
+
+    def _name(self, source: Header, part: int) -> str:
+        stem = source.path.rsplit("/", 1)[1].rsplit(".", 1)[0]
+        return f"{stem}{self.suffix}{f'-{part:05d}' if source.count > self.part else ''}.las"
+
+    def sections(self, folder: str, size: int, batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+        """Sections of at most ``size`` records, written to ``folder``, with path, part and run; ``batches`` are sorted by path and record."""
+        where, folder = located(folder)
+        where.create_dir(folder, recursive=True)
+        key, body, source = None, None, None
+        for now, rows in self._runs(batches, size):
+            if now != key:
+                if body:
+                    yield dict(zip(("path", "part", "run"), key, strict=True)) | body.section()
+                source = source if key and now[0] == key[0] else read_header(now[0])
+                key, body = now, Body(where, f"{folder}/{uuid.uuid4().hex}")
+            body.add(self._encode(source, rows), 3 if self._format(source) < 6 else 4)
         if body:
-            finish()
-        return Written(tuple(done))
+            yield dict(zip(("path", "part", "run"), key, strict=True)) | body.section()
 
     def _format(self, source: Header) -> int:
         return UPGRADES.get(source.point_format, source.point_format) if self.upgrade else source.point_format
@@ -639,6 +704,25 @@ class LasCopier(Publisher):
         return bytes(head) + b"".join(kept), b"".join(extended)
 
 
+class CopyJoiner(LasCopier):
+    """Copies of source files by their sections (path, part, sections in their order), a row a file."""
+
+    def __init__(self, path: str, *options):
+        super().__init__(path, None, *options)
+
+    def write(self, batches):
+        (where, folder), attempt, done = self._folder(), uuid.uuid4().hex, []
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            source = read_header(row["path"], ends=True)
+            name = self._name(source, row["part"])
+            body = Body(where, f"{folder}/{attempt}-{name}")
+            for section in row["sections"]:
+                body.take(section)
+            body.close(*self._ends(source, body))
+            done.append((name, f"{attempt}-{name}", body.count))
+        return Written(tuple(done))
+
+
 #: User id of the records that say what labelled a file, one a field.
 PROVENANCE_USER = "pointloom"
 #: Type of a label field that a file lacked.
@@ -678,7 +762,9 @@ class Las(DataSource):
 
     def writer(self, schema, overwrite):
         if "field" in self.options:
-            return LasCopier(self.options["path"], schema, self.options["upgrade"] == "true", self.options["field"], self.options["suffix"], int(self.options["part"]), self.options["provenance"], self.options.get("stage", ""))
+            return CopyJoiner(self.options["path"], self.options["upgrade"] == "true", self.options["field"], self.options["suffix"], int(self.options["part"]), self.options["provenance"], self.options.get("stage", ""))
+        if "sections" in self.options:  # the schema of the points
+            return LasJoiner(self.options["path"], StructType.fromJson(json.loads(self.options["sections"])), float(self.options["scale"]), overwrite, tuple(float(self.options[f"offset_{c}"]) for c in "xyz"))
         return LasWriter(self.options["path"], schema, float(self.options.get("scale", 0.001)), overwrite, tuple(float(self.options.get(f"offset_{c}", 0)) for c in "xyz"))
 
 
@@ -736,15 +822,45 @@ def write_copies(points: DataFrame, folder: str, field: str = "classification",
     """The source files of ``points`` (columns of ``read_points``) again in ``folder``, labels from column ``field``.
 
     Files keep names, order, header, records and all dimensions; sources of
-    more than ``part`` points come in several files, so that no task writes
-    more. A file of the same name is replaced when the whole job is done; with
+    more than ``part`` points come in several files. Tasks sort and write
+    sections of ``SECTION`` records, whatever the file's size; one task a file
+    then puts them together as bytes. A file of the same name is replaced when the whole job is done; with
     a name for a ``stage``, when ``publish_staged`` is called.
     """
     register(points.sparkSession)
-    pieces = points.withColumn("_part", F.expr(f"record div {part}"))
-    ordered = pieces.repartition("path", "_part").sortWithinPartitions("path", "record").drop("_part")
+    at = qualified(points.sparkSession, folder)
+    copier, place = LasCopier(at, points.schema, upgrade, field, suffix, part, provenance), f"{at.rstrip('/')}/_sections-{uuid.uuid4().hex}"
+    size = SECTION  # of this process
+
+    def write(batches):
+        rows = list(copier.sections(place, size, batches))
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _row(_COPIED))
+
+    ordered = points.withColumns({"_part": F.expr(f"record div {part}"), "_run": F.expr(f"record div {size}")}).repartition("path", "_part", "_run").sortWithinPartitions("path", "record").drop("_part", "_run")
     options = {"field": field, "upgrade": str(upgrade).lower(), "suffix": suffix, "part": str(part), "provenance": provenance, "stage": stage}
-    ordered.write.format("las").mode("append").options(**options).save(qualified(points.sparkSession, folder))
+    try:
+        done = checkpointed(ordered.mapInArrow(write, _COPIED))
+        files = _file_a_task(done.groupBy("path", "part"))
+        files.write.format("las").mode("append").options(**options).save(at)
+    finally:
+        discard_folder(place)
+
+
+#: Columns of a section: a copy's, and a new file's.
+_COPIED, _NEWS = (f"{keys}, run long, {_SECTION}" for keys in ("path string, part long", "file long"))
+
+
+def _row(columns: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(n, kinds[t]) for n, t in (c.split(" ") for c in columns.split(", "))])
+
+
+def _file_a_task(files) -> DataFrame:
+    """The grouped sections of files, in their order: a row and a task a file."""
+    fields = ["run", *[c.split(" ")[0] for c in _SECTION.split(", ")]]
+    rows = checkpointed(files.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sections")))  # a section is SECTION records
+    return rows.repartition(max(1, rows.count()))
 
 
 def whole_offsets(points) -> tuple[float, float, float]:
@@ -753,19 +869,40 @@ def whole_offsets(points) -> tuple[float, float, float]:
     return tuple(float(np.rint(v)) if v is not None and np.isfinite(v) else 0.0 for v in row)
 
 
+def _write_sections(ordered, at: str, each: int, scale: float, offsets: dict[str, str]) -> None:
+    """Files of ``each`` partitions of ``ordered``, a section each."""
+    place, schema = f"{at.rstrip('/')}/_sections-{uuid.uuid4().hex}", ordered.schema
+    writer = LasWriter(at, schema, scale, True, tuple(float(offsets[f"offset_{c}"]) for c in "xyz"))
+
+    def write(batches):
+        run = TaskContext.get().partitionId()
+        if found := writer.section(place, batches):
+            yield pa.RecordBatch.from_pylist([{"file": run // each, "run": run} | found], _row(_NEWS))
+
+    try:
+        files = _file_a_task(checkpointed(ordered.mapInArrow(write, _NEWS)).groupBy("file"))
+        files.write.format("las").mode("overwrite").option("scale", str(scale)).option("sections", schema.json()).options(**offsets).save(at)
+    finally:
+        discard_folder(place)
+
+
 def write_classified(points, path: str, kind: str = "parquet", parts: int | None = None, scale: float = 0.001) -> None:
     """``points`` in the order of idx: ranges of idx, a file each, published together.
 
     LAS files share whole-unit offsets in the middle of the cloud; for that,
-    ``points`` are stored first, so that a model behind them runs once. What
-    was in the folder goes when the new files are there.
+    ``points`` are stored first, so that a model behind them runs once. A
+    range of more than ``SECTION`` points is sorted and written by several
+    tasks, and then put together. What was in the folder goes when the new files are there.
     """
     points = checkpointed(points) if kind == "las" else points
-    ordered = points.repartitionByRange(parts, "idx") if parts else points.repartitionByRange("idx")
+    each = max(1, -(-points.count() // (parts * SECTION))) if kind == "las" and parts else 1
+    ordered = points.repartitionByRange(parts * each, "idx") if parts else points.repartitionByRange("idx")
     ordered = ordered.sortWithinPartitions("idx")
     if kind == "las":
         register(points.sparkSession)
         offsets = {f"offset_{c}": str(v) for c, v in zip("xyz", whole_offsets(points), strict=True)}
+        if each > 1:
+            return _write_sections(ordered, qualified(points.sparkSession, path), each, scale, offsets)
         ordered.write.format("las").mode("overwrite").option("scale", str(scale)).options(**offsets).save(qualified(points.sparkSession, path))
     else:
         ordered.write.mode("errorifexists").format(kind).save(path)

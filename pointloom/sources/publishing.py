@@ -165,3 +165,7 @@ def publish_staged(path: str, stage: str) -> None:
 def discard_staged(path: str, stage: str) -> None:
     where, folder = located(_stage_folder(path, stage))
     _remove_folder(where, folder)
+
+
+def discard_folder(path: str) -> None:
+    _remove_folder(*located(path))

@@ -4,6 +4,7 @@ import json
 import os
 import struct
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -461,3 +462,24 @@ def test_the_model_says_how_far_it_looks(spark):
     for need, want in ((None, 0.5), (2.0, 2.0)):
         seen.append(models.need_of(counted(""), need) == want)
     assert all(seen) and models.need_of(sides()) is None
+
+
+def test_files_of_many_sections_are_those_of_one(spark, tmp_path, monkeypatch):
+    """Tasks sort and write sections of a file, however large it is; what comes out is the file as one task writes it."""
+    n = 1000
+    cloud = spark.range(n).select(F.expr("id * 7 % 1000").alias("idx"), *[F.expr(f"double(id * {k} % 331)").alias(c) for c, k in (("x", 3), ("y", 5), ("z", 11))], F.expr("cast(id % 9 as short)").alias("classification"))
+    held = {}
+    for size in (n, 90):
+        monkeypatch.setattr(las, "SECTION", size)
+        source, out = str(tmp_path / f"in{size}"), str(tmp_path / f"out{size}")
+        las.write_classified(cloud, source, "las", parts=2)
+        assert len(list(Path(source).glob("*.las"))) == 2 and sorted(p.name for p in Path(source).iterdir() if p.is_dir()) == []
+        las.write_copies(las.read_points(spark, str(tmp_path / f"in{n}")).withColumn("label", F.col("classification").cast("int")), out, field="label", part=400, provenance="{}")
+        assert not [p for p in Path(out).iterdir() if p.is_dir()]
+        held[size] = [p.read_bytes() for p in sorted(Path(out).glob("*.las"))]
+        back = las.read_points(spark, source)
+        firsts = sorted(r.n for r in back.groupBy("path").agg(F.count("*").alias("n")).collect())
+        assert sum(firsts) == n and firsts[0] > n // 4
+        rows = {(r.x, r.y, r.z, r.classification) for r in back.collect()}
+        assert len(rows) == len({(r.x, r.y, r.z, r.classification) for r in cloud.collect()})
+    assert held[n] == held[90] and len(held[n]) == 4
