@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +20,44 @@ def ensemble_mean(votes: DataFrame) -> DataFrame:
 def ensemble_mean_arrays(votes: DataFrame) -> DataFrame:
     """(idx, probs array) votes, one a visit -> (idx, probs): mean by position.
 
-    With a column visits, a vote is the sum of as many.
+    With a column visits, a vote is the sum of as many. Votes are dealt by idx as
+    arrays, one shuffle, and summed where they lie, not as a row a class.
     """
-    visits = F.col("visits") if "visits" in votes.columns else F.lit(1).cast("long")
-    long = votes.select("idx", visits.alias("visits"), F.posexplode("probs").alias("class", "p"))
-    means = long.groupBy("idx", "class").agg((F.sum("p") / F.sum("visits")).alias("p")).groupBy("idx").agg(F.sort_array(F.collect_list(F.struct("class", "p"))).alias("m"))
-    return means.select("idx", F.col("m.p").alias("probs"))
+    visits = F.col("visits") if "visits" in votes.columns else F.lit(1)
+    dealt = votes.select("idx", "probs", visits.cast("long").alias("visits")).repartition("idx").sortWithinPartitions("idx")
+    return dealt.mapInArrow(_means, "idx long, probs array<double>")
+
+
+def _means(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(idx, probs) of votes (idx, probs, visits) in the order of idx; held are a batch and the votes of its last idx."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if len(table):
+            idx = table.column("idx").to_numpy()
+            last = int(np.searchsorted(idx, idx[-1]))
+            if last:
+                yield _mean(table.slice(0, last))
+            table = table.slice(last)
+        held = table
+    if held is not None and len(held):
+        yield _mean(held)
+
+
+def _mean(votes: pa.Table) -> pa.RecordBatch:
+    probs = votes.column("probs").combine_chunks()
+    widths, values = np.diff(probs.offsets.to_numpy()), probs.flatten().to_numpy()
+    points, at = np.unique(votes.column("idx").to_numpy(), return_inverse=True)
+    most = int(widths.max())
+    place = np.arange(len(values)) - np.repeat(np.cumsum(widths) - widths, widths)
+    key, n = np.repeat(at, widths) * most + place, len(points) * most
+    visits = np.bincount(key, np.repeat(votes.column("visits").to_numpy(), widths), n)
+    there = visits > 0
+    means = np.bincount(key, values, n)[there] / visits[there]
+    counts = there.reshape(len(points), most).sum(1)
+    offsets = np.concatenate([[0], np.cumsum(counts[counts > 0])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(points[counts > 0]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(means))], ["idx", "probs"])
 
 
 def argmax_label(probs: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, grown
+from ..session import checkpointed, few, grown
 from .points import VOXEL, crop_centers, localize, voxelize
 
 AXES = ("x", "y", "z")
@@ -75,29 +75,54 @@ def levels_of(centers: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
 #: Where a crop's point and its centre lie.
 PLACED = (*AXES, "cx", "cy")
 
-#: Centres up to which their surroundings, 27 rows each, are broadcast; more meet the points by shuffle.
+#: Centres up to which their surroundings, at most 27 rows each, are broadcast; more meet the points by shuffle.
 BROADCAST_CENTERS = 8_000
 
+#: ``k`` up to which searches use cells of twice the radius where points are not dense: the copies of centres, 8 and not 27, cost more there than the points compared.
+FEW_NEIGHBORS = 64
 
-def within_radius(points: DataFrame, centers: DataFrame, radius: float, placed_too: bool = False) -> DataFrame:
+#: By how much the cells looked at reach beyond the radius, so that no rounding of a coordinate loses a point.
+SLACK = 1 + 1e-6
+
+
+def _side(radius: float, wide: bool):
+    """The side of a cell at a level: the reach, or twice as much where no cell is dense if ``wide``."""
+    reach = _reach(radius, F.col("_level")) * SLACK
+    return F.when(F.col("_level") == 0, 2 * reach).otherwise(reach) if wide else reach
+
+
+#: A level and cell as one number, which sorts faster than four. Cells that are 2 ** 20 apart on an axis share it; no two around a
+#: centre do, and their points are too far to be kept.
+CELL_KEY = "shiftleft(cast(_level AS bigint), 60) | shiftleft(_x & 1048575, 40) | shiftleft(_y & 1048575, 20) | (_z & 1048575)"
+
+
+def surroundings(centers: DataFrame, radius: float, wide: bool) -> DataFrame:
+    """(center, _level, cx, cy, cz, _x, _y, _z): each center (center, x, y, z, _level) in every cell that points it may reach lie in."""
+    reach, side = _reach(radius, F.col("_level")) * SLACK, _side(radius, wide)
+    found = centers.select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES])
+    for c in AXES:
+        ends = [F.floor((F.col(f"c{c}") + sign * reach) / side).cast("long") for sign in (-1, 1)]
+        found = found.withColumn(f"_{c}", F.explode(F.sequence(*ends)))
+    return found
+
+
+def within_radius(points: DataFrame, centers: DataFrame, radius: float, placed_too: bool = False, wide: bool = False) -> DataFrame:
     """(center, idx, d2): points at most ``radius`` from each center (center, x, y, z, and optionally _level of ``levels_of``).
 
-    With ``placed_too`` also PLACED, so that nothing is joined again for it. Centres go to the 27 cells around theirs, points to their own, so only
-    neighbours in space meet; at higher levels cells and reach are smaller.
+    With ``placed_too`` also PLACED, so that nothing is joined again for it. Centres go to the cells around them (``surroundings``), points to
+    their own, so only neighbours in space meet; at higher levels cells and reach are smaller.
     """
     placed = centers if "_level" in centers.columns else centers.withColumn("_level", F.lit(0))
     sizes = {r["_level"]: r["count"] for r in placed.groupBy("_level").count().collect()} or {0: 0} if "_level" in centers.columns else {0: centers.count()}  # at most HALVINGS + 1
     reach = _reach(radius, F.col("_level"))
-    steps = {"_x": "_step div 9", "_y": "_step div 3 % 3", "_z": "_step % 3"}
-    around = [(F.floor(F.col(c) / reach) + F.expr(f"{step} - 1")).cast("long").alias(cell) for c, (cell, step) in zip(AXES, steps.items(), strict=True)]
-    placed = placed.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(26)))).select("center", "_level", *[F.col(c).alias(f"c{c}") for c in AXES], *around)
+    placed = surroundings(placed, radius, wide).withColumn("_cell", F.expr(CELL_KEY)).drop(*CELL)
     placed = F.broadcast(placed) if sum(sizes.values()) <= BROADCAST_CENTERS else grown(placed)
     cloud = points.select("idx", *AXES)
     leveled = cloud.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(sizes))))) if len(sizes) > 1 else cloud.withColumn("_level", F.lit(min(sizes)))
-    own = leveled.select("idx", *AXES, "_level", *_cells(reach))
+    own = leveled.select("idx", *AXES, "_level", *_cells(_side(radius, wide))).withColumn("_cell", F.expr(CELL_KEY))
     d2 = F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)")
     kept = ["center", "idx", *PLACED * placed_too]
-    met = own.join(placed, CELL).select(*kept, "_level", d2.alias("d2"))
+    met = own.join(placed, "_cell").select(*kept, "_level", d2.alias("d2"))
     return met.where(F.col("d2") <= F.when(F.col("_level") == 0, F.lit(float(radius) * float(radius))).otherwise(reach * reach)).select(*kept, "d2")
 
 
@@ -125,7 +150,7 @@ def nearest(found: DataFrame, k: int, own_first: bool = False) -> DataFrame:
 def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_first: bool = False, cells: DataFrame | None = None, single: bool = False, placed_too: bool = False, ranks: bool = True) -> DataFrame:
     """(center, idx, d2, rank): at most ``k`` nearest points within ``radius`` of each center.
 
-    ``centers`` has idx of points. A centre is its own first neighbour with
+    ``centers`` has idx of points, and may have their x, y, z. A centre is its own first neighbour with
     ``own_first``; else points in the same place with smaller idx precede it.
     Where points are dense the search looks only as far as ``k`` points
     surely lie, and of a place only the ``k`` smallest idx can be among the
@@ -136,9 +161,10 @@ def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_
     ``most_around`` tells to find at most ``k``.
     """
     cells = dense_cells(points, k, radius) if cells is None else cells
-    at = checkpointed(points.join(grown(centers.select("idx")), "idx", "left_semi").select(F.col("idx").alias("center"), *AXES))
+    known = centers if {*AXES} <= {*centers.columns} else points.join(grown(centers.select("idx")), "idx", "left_semi")
+    at = checkpointed(known.select(F.col("idx").alias("center"), *AXES))
     some = points.select("idx", *AXES) if single else thinned(points, cells, k, radius)
-    found = within_radius(some, at if cells.isEmpty() else checkpointed(levels_of(at, cells, radius)), radius, placed_too)
+    found = within_radius(some, at if cells.isEmpty() else checkpointed(levels_of(at, cells, radius)), radius, placed_too, k <= FEW_NEIGHBORS)
     if own_first:
         own = at.select("center", F.col("center").alias("idx"), *AXES, F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(0.0).alias("d2"))
         found = found.where("idx <> center").unionByName(own.select(*found.columns))
@@ -146,14 +172,17 @@ def knn_crops(points: DataFrame, centers: DataFrame, k: int, radius: float, own_
 
 
 def fill_centers(left: DataFrame, k: int, size: float, turn: int) -> DataFrame:
-    """idx of the first point of each cell of side ``size``, and of one in ``k`` points of cells with more than ``k``.
+    """(idx, x, y, z) of the first point of each cell of side ``size``, and of one in ``k`` points of cells with more than ``k``.
 
     The latter go by a hash that changes with ``turn``, so no window holds a dense cell.
     """
-    voxels = checkpointed(voxelize(localize(left), size).select("idx", *VOXEL))
-    firsts = voxels.groupBy(*VOXEL).agg(F.min("idx").alias("first"), F.count("*").alias("n"))
-    some = voxels.where(F.pmod(F.xxhash64("idx", F.lit(turn)), F.lit(k)) == 0).join(grown(firsts.where(F.col("n") > k)), VOXEL, "left_semi")
-    return firsts.select(F.col("first").alias("idx")).union(some.select("idx")).distinct()
+    voxels = voxelize(localize(left), size).select("idx", *AXES, *VOXEL)
+    firsts = checkpointed(voxels.groupBy(*VOXEL).agg(F.min("idx").alias("first"), *[F.min_by(c, "idx").alias(c) for c in AXES], F.count("*").alias("n")))
+    found, crowded = firsts.select(F.col("first").alias("idx"), *AXES), firsts.where(F.col("n") > k).select(*VOXEL)
+    if crowded.isEmpty():
+        return found
+    some = voxels.where(F.pmod(F.xxhash64("idx", F.lit(turn)), F.lit(k)) == 0).join(grown(crowded), VOXEL, "left_semi")
+    return found.union(some.select("idx", *AXES)).distinct()
 
 
 def most_around(points: DataFrame, radius: float) -> int:
@@ -185,7 +214,8 @@ def placed_crops(points: DataFrame, k: int, radius: float, spacing: float) -> Da
 
 
 def _crops(points: DataFrame, k: int, radius: float, spacing: float, placed_too: bool) -> DataFrame:
-    single = checkpointed(points.groupBy(*AXES).agg(F.min("idx").alias("idx")))
+    places = checkpointed(points.groupBy(*AXES).agg(F.min("idx").alias("idx"), F.count("*").alias("_n")))
+    single = places.drop("_n")
     cells, ranks = dense_cells(single, k, radius), not placed_too or most_around(single, radius) > k
     crops = checkpointed(knn_crops(single, crop_centers(single, spacing), k, radius, True, cells, True, placed_too, ranks))
     left = checkpointed(single.join(grown(crops.select("idx").distinct()), "idx", "left_anti"))
@@ -193,11 +223,10 @@ def _crops(points: DataFrame, k: int, radius: float, spacing: float, placed_too:
     while not left.isEmpty():
         more = checkpointed(knn_crops(single, fill_centers(left, k, radius / math.sqrt(3), turn), k, radius, True, cells, True, placed_too, ranks))
         crops = crops.unionByName(more)
-        left = checkpointed(left.join(grown(more.select("idx").distinct()), "idx", "left_anti"))
+        left = checkpointed(left.join(grown(more.select("idx")), "idx", "left_anti"))  # a point is in few of these crops
         turn += 1
-    place = [F.col(c).alias(f"_{c}") for c in AXES]
-    others = points.select("idx", *AXES).join(grown(single.select(F.col("idx").alias("_first"), *place)), [F.col(c) == F.col(f"_{c}") for c in AXES]).where("idx <> _first").select("idx", "_first")
-    others = checkpointed(others)
+    several = places.where("_n > 1").select(F.col("idx").alias("_first"), *[F.col(c).alias(f"_{c}") for c in AXES])
+    others = checkpointed(points.select("idx", *AXES).join(few(several), [F.col(c) == F.col(f"_{c}") for c in AXES]).where("idx <> _first").select("idx", "_first"))
     if others.isEmpty():
         return crops
     shared = crops.join(grown(others.select(F.col("_first").alias("idx")).distinct()), "idx", "left_semi")

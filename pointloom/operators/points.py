@@ -126,6 +126,14 @@ def voxel_projection(points: DataFrame, grid: float, origin=None) -> DataFrame:
     return voxels.join(grown(reps), VOXEL).select("idx", "rep_idx", "rep_number")
 
 
+def with_representatives(points: DataFrame, grid: float, origin=None) -> DataFrame:
+    """``points`` with rep_idx, the first point of each one's voxel."""
+    # led by a hash, since a sort by an axis of few values compares whole rows
+    voxels = voxelize(localize(points, origin), grid).withColumn("_voxel", F.xxhash64(*VOXEL))
+    reps = voxels.groupBy("_voxel", *VOXEL).agg(F.min("idx").alias("rep_idx"))
+    return voxels.join(grown(reps), ["_voxel", *VOXEL]).select(*points.columns, "rep_idx")
+
+
 def crop_centers(points: DataFrame, spacing: float, origin=None) -> DataFrame:
     """idx of the first point of each occupied cell of side ``spacing``."""
     return occupied_voxels(points, spacing, origin).select(F.col("rep_idx").alias("idx"))

@@ -24,7 +24,7 @@ from ..functions.units import resolve_units, to_metres
 from ..operators.blocks import block_voxels, last_block, sliding_blocks, with_unseen
 from ..operators.labels import apply_codes, argmax_label, ensemble_mean_arrays, merge_labels, needs_upgrade
 from ..operators.neighbors import placed_crops
-from ..operators.points import assert_finite, localize, voxel_projection
+from ..operators.points import assert_finite, localize, with_representatives
 from ..operators.tiling import TileGrid, assign_pieces, assign_tiles, buffer_for, group_extents, in_group, plan_groups, plan_tiles, tile_grid
 from ..session import checkpointed, grown, qualified
 from ..sources import las
@@ -224,21 +224,21 @@ def label_crops(points: DataFrame, model: Model, k: int, radius: float, spacing:
     the lowest point, and returns (N, classes) probabilities.
     """
     model = sendable(model)
-    projected = checkpointed(voxel_projection(points, grid))
-    reps = projected.select(F.col("rep_idx").alias("idx")).distinct()
-    cloud = localize(points.join(grown(reps), "idx", "left_semi").select("idx", "x", "y", "z"))
+    projected = checkpointed(with_representatives(points.select("idx", *"xyz"), grid))
+    cloud = localize(projected.where("idx = rep_idx").select("idx", *"xyz"))
     cloud = checkpointed(cloud.select("idx", *[F.col(f"l{c}").cast("double").alias(c) for c in "xyz"]))
     crops = placed_crops(cloud, k, radius, spacing)
 
     # by a stated number of partitions: rows are few beside the model's work, so partitions are not to be merged by size;
     # crops that lie together go to one, so that their votes on a point meet before the shuffle
     side = F.lit(2.0 * (spacing + radius))
-    placed = [F.floor(F.col("cy") / side).alias("_cy"), F.floor(F.col("cx") / side).alias("_cx"), "center"]
-    members = crops.select(*placed, "idx", *"xyz")
-    dealt = members.repartitionByRange(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_cy", "_cx", "center").sortWithinPartitions("_cy", "_cx", "center", "idx")
+    # one number, tile before crop, that tells most rows apart in a sort
+    near = F.shiftleft(F.floor(F.col("cy") / side).bitwiseAND(0xFFFFF), 44).bitwiseOR(F.shiftleft(F.floor(F.col("cx") / side).bitwiseAND(0xFFFFF), 24))
+    members = crops.select(near.bitwiseOR(F.xxhash64("center").bitwiseAND(0xFFFFFF)).alias("_crop"), "center", "idx", *"xyz")
+    dealt = members.repartitionByRange(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_crop", "center").sortWithinPartitions("_crop", "center", "idx")
     votes = dealt.select("center", "idx", *"xyz").mapInArrow(partial(_summed_votes, model), "idx long, probs array<double>, visits long")
     labels = ensemble_mean_arrays(votes).select(F.col("idx").alias("rep_idx"), argmax_label(F.col("probs")).alias("label"))
-    return projected.join(grown(labels), "rep_idx").select("idx", "label")
+    return projected.select("idx", "rep_idx").join(grown(labels), "rep_idx").select("idx", "label")
 
 
 def point_codes(points: DataFrame, model: Model, classes: DataFrame, *, tile_size: float | None = None, target: int = 1_000_000, budget: int | None = None, buffer: float | None = None, need: float | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointloom import catalog
 from pointloom.catalog import QUERIES, SQL
-from pointloom.operators import neighbors
+from pointloom.operators import labels, neighbors
 from pointloom.plans import labelling
 from pointloom.sources import las, views
 
@@ -102,3 +102,42 @@ def test_crops_that_nothing_cuts_are_not_ranked(spark, sf):
         assert ("Window" in planned(found)) is ranks and {*neighbors.PLACED} <= {*found.columns}
     placed = neighbors.placed_crops(cloud, 20, 6.0, 40.0).select("center", "idx")
     assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, neighbors.cover_all(cloud, 20, 6.0, 40.0).select("center", "idx").collect()))
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_centres_go_to_few_cells_and_lose_no_point(spark, wide):
+    """At most 8 cells a centre where they are wide, and every point at the radius itself."""
+    rng = np.random.default_rng(5)
+    at = [(int(i), *map(float, p)) for i, p in enumerate(np.concatenate([rng.integers(-30, 30, (400, 3)), [[0, 0, 0], [0, 0, 12_582_912]]]))]
+    cloud = spark.createDataFrame(at, "idx long, x double, y double, z double")
+    centers = cloud.withColumnRenamed("idx", "center")
+    cells = neighbors.surroundings(centers.withColumn("_level", F.lit(0)), 6.0, wide).groupBy("center").count().agg(F.max("count")).first()[0]
+    assert cells <= (8 if wide else 27)
+    xyz = np.array([r[1:] for r in at])
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
+    found = neighbors.within_radius(cloud, centers, 6.0, wide=wide).select("center", "idx").collect()
+    assert sorted(map(tuple, found)) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(d2 <= 36)), strict=True))
+
+
+def test_rounds_of_crops_shuffle_little(spark, sf, monkeypatch):
+    """No cloud met again for points that share a place, no centre for where it lies."""
+    sides, hinted = [], neighbors.grown
+    monkeypatch.setattr(neighbors, "grown", lambda df: sides.append(df.count()) or hinted(df))
+    cloud = views.pts(spark, sf)
+    n = neighbors.placed_crops(cloud, 20, 6.0, 40.0).select("idx").distinct().count()
+    assert n == cloud.count() and len(sides) == 3  # the first round's centres, and the points that each of two rounds has
+    assert "Join" not in planned(neighbors.fill_centers(cloud.select("idx", *"xyz"), 20, 6.0, 0).select("idx", *"xyz"))
+
+
+def test_votes_are_averaged_by_one_shuffle_of_arrays(spark):
+    rows = [(i, [float(i + v), float(v), *[9.0] * (i % 2)], v + 1) for i in range(50) for v in range(3)]
+    votes = spark.createDataFrame(rows, "idx long, probs array<double>, visits long")
+    found = labels.ensemble_mean_arrays(votes)
+    assert planned(found).count("hashpartitioning") == 1 and "Generate" not in planned(found)
+    means = {i: [(3 * i + 3) / 6, 0.5, *[27 / 6] * (i % 2)] for i in range(50)}
+    assert {r.idx: r.probs for r in found.collect()} == means
+    table = pa.table({"idx": [r[0] for r in rows], "probs": [r[1] for r in rows], "visits": [r[2] for r in rows]})
+    for size in (1, 2, 4, 1000):
+        assert {r["idx"]: r["probs"] for b in labels._means(table.to_batches(size)) for r in b.to_pylist()} == means
+    uneven = pa.table({"idx": [1, 1, 2], "probs": [[1.0], [3.0, 4.0], []], "visits": [1, 1, 1]})  # a class counts where it was voted on
+    assert [r for b in labels._means(uneven.to_batches(2)) for r in b.to_pylist()] == [{"idx": 1, "probs": [2.0, 4.0]}]
